@@ -27,3 +27,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2, seed=42)
     return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in documents."""
+    from .decontam import contamination
+
+    c = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return c.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+_DOC_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+ORACLES["op5_decontaminate"] = f"""
+with d as (select doc_id, row_number() over () as r, {_DOC_WORDS} as w from documents),
+b as (select item_id, {_DOC_WORDS} as w from benchmark),
+bw as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+       from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+ln as (select distinct n from bw),
+dw as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+       from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join ln where len(w) >= n)),
+hits as (select distinct dw.r, dw.i, dw.n from dw semi join bw on dw.n = bw.n and dw.g = bw.g),
+cover as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hits) group by r),
+its as (select r, count(*) as n_items, string_agg(s, ',' order by s) as l
+        from (select distinct dw.r, cast(bw.item_id as varchar) as s from dw join bw on dw.n = bw.n and dw.g = bw.g where bw.item_id is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cover using (r) left join its using (r)
+"""
