@@ -55,3 +55,44 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
        sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cover using (r) left join its using (r)
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules, and the verdict of the adaptive fences."""
+    from .quality_rules import quality_rules
+
+    q = quality_rules(table(spark, sf_dir, "documents"), min_docs=100, spread=3)
+    return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_RATES = {"symbols": ("n_symbols * 1000 // greatest(n_words, 1)", 100), "repeats": ("n_repeat_words * 1000 // greatest(n_words, 1)", 200), "adjacent": ("n_adjacent * 1000 // greatest(n_words, 1)", 150), "dup_lines": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 500), "length": ("word_chars * 100 // greatest(n_words, 1)", 150)}
+_FENCES = """select {g}, max(total) as total, {names} from (
+  select {g}, rate, total, case when b1 < 32 then b1 else (b1 - 32 * (b1 // 32 - 1)) << (b1 // 32 - 1) end as q1,
+    case when b3 < 32 then b3 else (b3 - 32 * (b3 // 32 - 1)) << (b3 // 32 - 1) end as q3 from (
+    select {g}, rate, max(total) as total, min(case when 4 * upto >= total then bucket end) as b1, min(case when 4 * upto >= 3 * total then bucket end) as b3 from (
+      select {g}, rate, bucket, sum(n) over (partition by {g}, rate order by bucket) as upto, sum(n) over (partition by {g}, rate) as total
+      from (select {g}, rate, bucket, sum(n) as n from sk group by all)) group by {g}, rate)) group by {g}"""
+_NAMES = ", ".join([f"max(case when rate = '{k}' then q3 + 3 * (q3 - q1) + {s} end) as {k}_high" for k, (_, s) in _RATES.items()] + ["max(case when rate = 'length' then q1 - 3 * (q3 - q1) - 150 end) as length_low"])
+_PICK = lambda c: f"case when o.total >= 100 then o.{c} when l.total >= 100 then l.{c} else a.{c} end"
+ORACLES["op8_quality_rules"] = rf"""
+with d as materialized (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+g as (select r, i, array_to_string(w[i:i + 7], ' ') as g from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+g2 as (select r, i from (select r, i, count(*) over (partition by r, g) as c from g) where c > 1),
+rw as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from g2) group by r),
+st as materialized (select d.r, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+    cast(coalesce(rw.n, 0) as bigint) as n_repeat_words, cast(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as bigint) as n_adjacent, cast(len(ls) as bigint) as n_lines
+  from d left join rw using (r)),
+sb as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from st),
+ra as ({" union all ".join(f"select lang, source, '{k}' as rate, cast({e} as bigint) as v from sb where not base_failed" for k, (e, _) in _RATES.items())}),
+sk as materialized (select 0 as z, coalesce(lang, '?') as lg, coalesce(source, '?') as so, rate, case when v < 32 then v else 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) end as bucket, cast(count(*) as bigint) as n from ra group by all),
+o as ({_FENCES.format(g="lg, so", names=_NAMES)}),
+l as ({_FENCES.format(g="lg", names=_NAMES)}),
+a as ({_FENCES.format(g="z", names=_NAMES)})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and {" and ".join(f"coalesce({e} <= {_PICK(k + '_high')}, true)" for k, (e, _) in _RATES.items())} and coalesce({_RATES["length"][0]} >= {_PICK("length_low")}, true) as kept
+from sb left join o on o.lg = coalesce(lang, '?') and o.so = coalesce(source, '?') left join l on l.lg = coalesce(lang, '?') left join a on true
+"""
