@@ -96,3 +96,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and {" and ".join(f"coalesce({e} <= {_PICK(k + '_high')}, true)" for k, (e, _) in _RATES.items())} and coalesce({_RATES["length"][0]} >= {_PICK("length_low")}, true) as kept
 from sb left join o on o.lg = coalesce(lang, '?') and o.so = coalesce(source, '?') left join l on l.lg = coalesce(lang, '?') left join a on true
 """
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, at most 16 MiB of text each."""
+    from .sharding import shards
+
+    s = shards(table(spark, sf_dir, "documents"), limit=16 << 20)
+    return s.select(F.col("id").alias("doc_id"), "n_bytes", "depth", "shard")
+
+
+ORACLES["op4_sharding"] = """
+with d as (select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as k from documents),
+b as (select z, k >> (60 - z) as p from d cross join (select unnest(range(0, 41)) as z) group by z, k >> (60 - z) having sum(n_bytes) <= 16777216 or count(*) = 1),
+f as (select k, min(z) as depth from (select distinct k from d) join b on p = k >> (60 - z) group by k)
+select doc_id, n_bytes, cast(depth as integer) as depth, substr(lpad(bin(k), 60, '0'), 1, depth) as shard from d join f using (k)
+"""
