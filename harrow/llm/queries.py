@@ -113,3 +113,14 @@ b as (select z, k >> (60 - z) as p from d cross join (select unnest(range(0, 41)
 f as (select k, min(z) as depth from (select distinct k from d) join b on p = k >> (60 - z) group by k)
 select doc_id, n_bytes, cast(depth as integer) as depth, substr(lpad(bin(k), 60, '0'), 1, depth) as shard from d join f using (k)
 """
+
+
+@query
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents, written as Parquet lists and read back."""
+    import public_tokenizers
+
+    from .tokens import tokenize_round_trip
+
+    t = tokenize_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return t.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
