@@ -11,10 +11,10 @@ meet in one task; within a part they are sorted by id and text. The part number
 are written with each row; the offset of a part is the sum of the parts before it, one small row each.
 
 Encoding. A tokenizer that lower-cases, drops white space and takes every run of letters as one word gives a
-text the ids of its blank-separated chunks, one after the other. With such a one each worker keeps the ids of
-the chunks and words it has met (at most ``CACHE`` of each) and gives the library only new ones: plain words
-straight to its model, everything else to the whole of it. Texts that hold a special token's string, and all
-texts under any other tokenizer, go to the library as they are.
+text the ids of its runs of letters and of other signs, one after the other. With such a one each worker keeps
+the ids of the runs it has met (at most ``CACHE``) and gives the library only new ones: words straight to its
+model, other runs to the whole of it. Texts beyond Latin-1, with an apostrophe or with a special token's
+string, where runs are not independent, and all texts under any other tokenizer, go to the library as they are.
 
 Defined results: null text is empty; every text ends with the end id; rows of equal id follow each other by
 text, null ids come first; an empty table writes an empty file. Extra columns are not read.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import pieces, row_hash, scratch
 
-CACHE = 600_000
-#: A run of letters that NFC leaves alone, and ASCII signs (no digit, no apostrophe) after it.
-PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+CACHE = 1_200_000
+#: Runs of Latin-1 letters, and of anything else but blanks and line ends.
+LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+RUNS = re.compile(f"[{LETTER}]+|[^{LETTER} \t\r\n]+")
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, Encoder] = {}
 
@@ -51,8 +53,7 @@ class Encoder:
         parts = lambda x, k: [y["type"] for y in (x or {}).get(k, [])]
         pre = (conf["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_word = parts(conf["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and parts(conf["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"] and pre[0]["pattern"].get("Regex") == WORD_SPLIT and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"]
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from 256 on.
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in own]
@@ -61,33 +62,36 @@ class Encoder:
     def of(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            shown = word.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.words[word] = np.array([t.id for t in self.whole.model.tokenize(shown)], np.uint32).tobytes()
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        if (m := PLAIN.fullmatch(chunk)) is None:
-            return self.of(chunk)
-        return self.word(m[1].lower()) + (self.chunks.get(m[2]) or self.of(m[2]))
+    def run(self, run: str) -> bytes:
+        if not run.isalpha():
+            return self.of(run)
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
 
     def text(self, text: str) -> bytes:
-        if not self.by_word or any(s in text for s in self.special):
+        if not self.by_word or "'" in text or not self.independent(text) or any(s in text for s in self.special):
             return self.of(text)
-        chunks = text.replace("\n", " ").split(" ")
+        runs, known = RUNS.findall(text.lower()), self.known
         try:
-            return b"".join([self.chunks[c] for c in chunks])
+            return b"".join([known[r] for r in runs])
         except KeyError:
-            if len(self.chunks) >= CACHE:
-                self.chunks = {"": b""}
-            known = self.chunks
-            for c in set(chunks):
-                if c not in known:
-                    known[c] = self.chunk(c)
-            return b"".join([known[c] for c in chunks])
+            if len(known) >= CACHE:
+                known.clear()
+            for r in set(runs):
+                if r not in known:
+                    known[r] = self.run(r)
+            return b"".join([known[r] for r in runs])
+
+    @staticmethod
+    def independent(text: str) -> bool:
+        """Latin-1, where composition changes nothing and each letter has one lower-case letter."""
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
 
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
