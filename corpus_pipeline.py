@@ -5,16 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from harrow.llm.common import written
+from harrow.llm.decontam import decontaminate
+from harrow.llm.mixing import TARGETS, domain, mix
+from harrow.llm.quality_classifier import keep_good
+from harrow.llm.sharding import shards
 from harrow.llm.simhash import near_dedup
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly labelled classifier rejects go."""
+    return keep_good(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return near_dedup(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash_dedup", dedup_stage)]
+def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), domain().alias("domain"))
+    return mix(docs, labels, TARGETS)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every row."""
+    return shards(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("simhash_dedup", dedup_stage),
+    ("decontamination", decontam_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 #: SQL has no XXH64 and no trained models; tests/llm checks the stages against brute-force versions.
 ORACLE_SQL: str | None = None
@@ -22,8 +55,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again as the next one's input."""
-    from harrow.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

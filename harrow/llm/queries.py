@@ -124,3 +124,20 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = tokenize_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return t.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of the weakly labelled classifier for every document."""
+    from .quality_classifier import score
+
+    return score(table(spark, sf_dir, "documents"), train_rows=6000).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and fitted rates of documents for the target token shares."""
+    from .mixing import TARGETS, domain, mixture
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), domain().alias("domain"))
+    return mixture(table(spark, sf_dir, "documents"), labels, TARGETS, train_rows=6000).withColumnRenamed("id", "doc_id").drop("h")
