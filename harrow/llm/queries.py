@@ -141,3 +141,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), domain().alias("domain"))
     return mixture(table(spark, sf_dir, "documents"), labels, TARGETS, train_rows=6000).withColumnRenamed("id", "doc_id").drop("h")
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, written to seekable bundles and read back."""
+    from .warc import warc_round_trip
+
+    r = warc_round_trip(table(spark, sf_dir, "pages"), revisit_least=0)
+    return r.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc"] = """
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first, count(*) as n from p group by h)
+select page_id, cast(strlen(t) as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(((cast('0x' || substr(p.h, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as bigint) + 1, 1)), 'string_agg', '') as payload_digest,
+  case when n > 1 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n > 1 and page_id <> first then first end as refers_to
+from p join f on p.h = f.h
+"""
