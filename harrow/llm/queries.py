@@ -162,3 +162,23 @@ select page_id, cast(strlen(t) as bigint) as payload_bytes,
   case when n > 1 and page_id <> first then first end as refers_to
 from p join f on p.h = f.h
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents outside the 13-word windows that a smaller doc_id has too."""
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), size=13).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op6_substring_dedup"] = r"""
+with d as materialized (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+h as (select r, i from (select r, i, doc_id, min(doc_id) over (partition by g) as m from g) where doc_id > m),
+c as (select distinct r, p from (select r, unnest(range(i, i + 13)) as p from h)),
+k as (select d.r, string_agg(x.word, ' ' order by x.p) as kept, count(*) as n from (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) x
+  join d using (r) anti join c on x.r = c.r and x.p = c.p group by d.r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (r)
+"""
