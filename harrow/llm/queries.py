@@ -182,3 +182,21 @@ k as (select d.r, string_agg(x.word, ' ' order by x.p) as kept, count(*) as n fr
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join k using (r)
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines of at least 20 code points that three of them share."""
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"), least_docs=3, least_chars=20).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op3_line_dedup"] = r"""
+with l as materialized (select r, doc_id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select r, doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i from (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+k as (select key, max(doc_id) as last from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select l.*, k.key is not null and l.doc_id <> k.last as gone from l left join k on l.key = k.key)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by r, doc_id
+"""
