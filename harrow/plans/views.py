@@ -61,6 +61,40 @@ select page_id, url, status, content_type, case variant when 1 then concat('<tit
   when 3 then substring(html, 1, 300) when 4 then concat('{{"items":[', cast(page_id as varchar(20)), ']}}') else html end as body
 from (select page_id, url, html, cast(page_id % 5 as int) as variant, case cast(page_id % 7 as int) when 1 then 403 when 2 then 404 when 3 then 503 when 4 then 429 else 200 end as status,
     case when page_id % 5 = 4 and page_id % 2 = 0 then 'application/json' when page_id % 3 = 0 then 'text/html' else '' end as content_type from {pages}) p""",
+    "payloads": """
+select id, source_id, fixture, v, k, case v
+  when 0 then concat('{{"title":"t', ks, '","id":"123","url":null,"points":', ks, '}}')
+  when 1 then concat('{{"id":"9", "title":"t","points":', ks, '}}')
+  when 2 then '{{"id":"a1","title":"t","points":1}}'
+  when 3 then '{{"points":-1,"id":"7","title":""}}'
+  when 4 then '{{"id":7,"title":"t","points":1.5}}'
+  when 5 then '{{"title":"t","points":2,"extra":{{"z":1,"b":[3,1]}}}}'
+  when 6 then '{{"id":"8","title":null,"points":3,"url":"u"}}'
+  else '[1,2]' end as payload
+from (select event_id as id, user_id as source_id, cast(event_id % 4 as int) as fixture, cast(event_id % 8 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+    "json_pages": """
+select page_id as id, status, content_type, case when variant = 3 then '{{"items":"none"}}' when variant = 4 then html else concat('{{"items":[', case when n >= 1 then concat('{{"id":"', p, '1","title":"a","points":', p, '}}') else '' end,
+    case when n >= 2 then concat(',{{"id":"', p, '2","title":"b","points":2}}') else '' end, case when n >= 3 then ',{{"title":"c","points":-2}}' else '' end, ']}}') end as body, n, variant
+from (select page_id, html, cast(page_id as varchar(20)) as p, cast(page_id % 4 as int) as n, cast(page_id % 5 as int) as variant, case cast(page_id % 7 as int) when 1 then 403 when 2 then 404 when 3 then 503 when 4 then 429 else 200 end as status,
+    case when page_id % 2 = 0 then 'application/json' else '' end as content_type from {pages}) x""",
+    "listings": """
+select page_id, concat('<html><body><div class="list">',
+  '<a data-testid="search-result-entry-header-', p, '" href="/d/', p, '"><h3> Flat ', p, ' </h3><span aria-label="Ort ', p, '">', plz, ' Wien, ', p, '. Bezirk, Nord</span>',
+  '<div data-testid="search-result-entry-teaser-attributes-', p, '"><span>', p, ',5 m²</span><span>3 Zimmer</span><span>Balkon</span></div>',
+  '<span data-testid="search-result-entry-price-', p, '">€ ', p, '.450,00</span><img alt="Cover Image" src="/i/', p, '.jpg"></a>',
+  '<a data-testid="search-result-entry-header-ad" href="/ad"><h3>Ad</h3></a>',
+  '<a data-testid="search-result-entry-header-9', p, '" href="https://x.example/', p, '"><h3>Loft</h3><span data-testid="search-result-entry-price-9', p, '">Preis auf Anfrage</span></a>',
+  '</div><a data-testid="pagination-bottom-next-button" href="/p/2"', case when page_id % 2 = 0 then ' aria-disabled="true"' else '' end, '>next</a></body></html>') as html
+from (select page_id, cast(page_id + 1 as varchar(20)) as p, cast(1000 + page_id % 230 as varchar(20)) as plz from {pages}) x""",
+    "texts": """
+select event_id as id, concat(case when k % 3 = 0 then '€ ' else '' end, cast(k as varchar(20)), '.', lpad(cast(event_id % 1000 as varchar(20)), 3, '0'), case when k % 2 = 0 then ',50' else '' end, case when k % 7 = 0 then ' pro Monat' else '' end) as price,
+  concat(cast(1000 + k as varchar(20)), ' Wien', case when k % 4 <> 0 then concat(', ', cast(k as varchar(20)), '. Bezirk, ', event_type) else '' end) as address,
+  case when k % 3 = 0 then concat(cast(k as varchar(20)), ',5 m²') when k % 3 = 1 then concat(cast(k as varchar(20)), ' Zimmer') else 'Balkon' end as teaser,
+  case when k % 3 = 0 then concat('http://a.example/', cast(k as varchar(20))) when k % 3 = 1 then concat('/p/', cast(k as varchar(20))) else concat('q', cast(k as varchar(20))) end as href,
+  concat(event_type, case when k % 2 = 0 then '-' else '_' end, cast(event_id as varchar(20))) as anchor,
+  concat('  ', event_type, '   a', chr(9), 'b', chr(10), ' ', case when k % 2 = 0 then 'long ' else '' end, event_type, ' ') as messy,
+  case cast(k % 6 as int) when 0 then 'div > ul > li' when 1 then '[data-list] > li' when 2 then 'a:nth-child(2)' when 3 then 'div.x, main > * > p' when 4 then 'li:first-child' else 'ul > li.a > b' end as selector
+from (select event_id, event_type, cast($K as int) as k from {events}) e""",
     "repairs": """
 select conv_id as id, conv_id % 40 as source_id, case when conv_id % 3 = 0 then 'compile' else 'repair' end as kind,
   case cast(conv_id % 4 as int) when 0 then 'queued' when 1 then 'failed' when 2 then 'succeeded' else 'running' end as state, cast(turns as int) as turns
