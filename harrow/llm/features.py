@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
 
 import numpy as np
 
@@ -13,25 +12,37 @@ BITS = 18
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"([^\x20\x09-\x0D])\1+")
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
-_PLAIN = re.compile(rb"[A-Za-z]?[a-z\x80-\xff]*[.,;:?]?(?=[\x20\x09-\x0D]|$)")
+_PLAIN = re.compile(rb"(A|Aa|a)[.,;:?]?")
 SYMBOLS = b"#*$%&|<>"
 #: Rates are cut into these steps before they are hashed.
 STEPS = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7])
 
 
-def rates(text: bytes, words: list[bytes]) -> dict[str, float]:
-    """What the heuristics look at, each per word (letters: per byte)."""
-    n = max(len(words), 1)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    grams = Counter(zip(*[words[i:] for i in range(5)], strict=False))
+def shapes_of(text: bytes) -> Counter:
+    """Word shapes and how often they occur: letters as A and a, digits as 0, repeated characters once."""
+    out = Counter()
+    for s, c in Counter(text.translate(_SHAPE).split()).items():
+        out[_RUNS.sub(rb"\1", s)] += c
+    return out
+
+
+def rates(text: bytes, shapes: Counter) -> dict[str, float]:
+    """What the heuristics look at, each per word; lines: per line."""
+    h = np.fromiter(map(hash, text.split()), np.int64)
+    n = max(len(h), 1)
+    grams = np.zeros(max(len(h) - 4, 0), np.int64)
+    for j in range(5):
+        grams = grams * 1_000_003 + h[j : j + len(grams)]
+    times = np.unique(grams, return_counts=True)[1]
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return {
-        "plain": sum(_PLAIN.fullmatch(w) is not None for w in words) / n,
+        "plain": sum(c for s, c in shapes.items() if _PLAIN.fullmatch(s)) / n,
         "symbols": (len(text) - len(text.translate(None, SYMBOLS))) / n,
-        "upper": sum(map(bytes.isupper, words)) / n,
+        "upper": sum(c for s, c in shapes.items() if s.isupper()) / n,
         "exclaim": text.count(b"!") / n,
-        "adjacent": sum(a == b for a, b in pairwise(words)) / n,
-        "distinct": len(set(words)) / n,
-        "repeats": sum(v for v in grams.values() if v > 1) / n,
+        "adjacent": np.count_nonzero(h[1:] == h[:-1]) / n,
+        "distinct": len(set(h.tolist())) / n,
+        "repeats": int(times[times > 1].sum()) / n,
         "lines": 1 - len(set(lines)) / max(len(lines), 1),
         "digits": (len(text) - len(text.translate(None, b"0123456789"))) / n,
     }
@@ -40,12 +51,11 @@ def rates(text: bytes, words: list[bytes]) -> dict[str, float]:
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's hashed features: its distinct words, and its word shapes and rates in steps."""
     text = text or b""
-    words = text.split()
-    n = max(len(words), 1)
+    shapes = shapes_of(text)
+    n = max(sum(shapes.values()), 1)
     own = np.fromiter(map(zlib.crc32, set(_WORD.findall(text.lower()))), np.uint32)
-    shapes = Counter(_RUNS.sub(rb"\1", text.translate(_SHAPE)).split())
     stepped = [b"%s %d" % (s, np.searchsorted(STEPS, c / n)) for s, c in shapes.most_common(16)]
-    stepped += [b"%s=%d" % (k.encode(), np.searchsorted(STEPS, v)) for k, v in rates(text, words).items()]
+    stepped += [b"%s=%d" % (k.encode(), np.searchsorted(STEPS, v)) for k, v in rates(text, shapes).items()]
     other = np.fromiter(map(zlib.crc32, stepped), np.uint32)
     values = np.concatenate([np.full(len(own), 0.2), np.full(len(other), 0.25)])
     return (np.concatenate([own, other]) >> (32 - BITS)).astype(np.int32), values.astype(np.float32)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, row_hash, text_bytes
-from .features import features, fit, logits, rates, softmax
+from .features import features, fit, logits, rates, shapes_of, softmax
 
 #: Labeller: rate it looks at, good up to (None: it never votes good), bad from. Those with a minus look at the
 #: rate's negative. Each kind of junk is seen by more than one of them.
@@ -45,13 +45,13 @@ LONG = 10  # fewer words than this and the labellers of repetition do not vote
 
 def votes(text: bytes | None) -> str:
     """A letter for each labeller: g, b or a dash."""
-    words = (text or b"").split()
-    if not words:
+    shapes = shapes_of(text or b"")
+    if not shapes:
         return "-" * len(LABELLERS)
-    of, out = rates(text, words), ""
+    of, n, out = rates(text, shapes), sum(shapes.values()), ""
     for name, good, bad in LABELLERS:
         v = -of[name[1:]] if name[0] == "-" else of[name]
-        out += "-" if name in REPETITION and len(words) < LONG else "b" if v >= bad else "g" if good is not None and v <= good else "-"
+        out += "-" if name in REPETITION and n < LONG else "b" if v >= bad else "g" if good is not None and v <= good else "-"
     return out
 
 
