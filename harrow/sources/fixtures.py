@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def decode_bytes(raw: bytes | None, encoding: str | None) -> str | None:
@@ -28,7 +29,7 @@ def decode_bytes(raw: bytes | None, encoding: str | None) -> str | None:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(raw: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(None if r is None else bytes(r), e) for r, e in zip(raw, encoding, strict=True)], dtype=object)
 
