@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import scratch, written  # noqa: F401
+
 #: ASCII white space, as the word patterns [^\x20\x09-\x0D]+ take it.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
@@ -20,43 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_harrow_root", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="harrow-")
-            spark.sparkContext._harrow_root = base
-            atexit.register(_remove_local, base[7:])
-    return base.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/harrow/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, uri: str) -> None:
-    """Deletes a scratch path through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _local(uri: str) -> str | None:
     u = urlparse(uri)
     return u.path if u.scheme in ("", "file") else None
