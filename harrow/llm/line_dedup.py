@@ -62,42 +62,38 @@ class CuckooFilter:
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """Adds the keys; says which found no room. A key that is pushed around and finds none is undone, so
-        that no other key is lost."""
+        that no other key is lost, and those after it are refused with it: the filter is full."""
         refused = np.zeros(len(k1), bool)
+        slots = memoryview(self.table.reshape(-1))
+        steps: dict[int, int] = {}
         for n, (fp, one, two) in enumerate(zip(*map(np.ndarray.tolist, self._places(k1, k2)), strict=True)):
-            for place in (one, two):
-                free = np.flatnonzero(self.table[place] == 0)
-                if len(free):
-                    self.table[place, free[0]] = fp
-                    break
-            else:
-                path, place, now = [], one, fp
-                for _ in range(500):
-                    slot = int(self.rng.integers(4))
-                    now, old = int(self.table[place, slot]), now
-                    self.table[place, slot] = old
-                    path.append((place, slot, now))
-                    place ^= int(self._step(now))
-                    free = np.flatnonzero(self.table[place] == 0)
-                    if len(free):
-                        self.table[place, free[0]] = now
-                        break
-                else:
-                    for place, slot, was in reversed(path):
-                        self.table[place, slot] = was
-                    refused[n] = True
+            at = next((i for place in (one, two) for i in range(4 * place, 4 * place + 4) if not slots[i]), None)
+            path, place, now = [], one, fp
+            while at is None and len(path) < 500:
+                i = 4 * place + int(self.rng.integers(4))
+                path.append((i, slots[i]))
+                slots[i], now = now, slots[i]
+                if now not in steps:
+                    steps[now] = int(self._step(now))
+                place ^= steps[now]
+                at = next((i for i in range(4 * place, 4 * place + 4) if not slots[i]), None)
+            if at is None:
+                for i, was in reversed(path):
+                    slots[i] = was
+                refused[n:] = True
+                break
+            slots[at] = now
         return refused
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """Removes the keys; says which were there."""
         found = np.zeros(len(k1), bool)
+        slots = memoryview(self.table.reshape(-1))
         for n, (fp, one, two) in enumerate(zip(*map(np.ndarray.tolist, self._places(k1, k2)), strict=True)):
-            for place in (one, two):
-                at = np.flatnonzero(self.table[place] == fp)
-                if len(at):
-                    self.table[place, at[0]] = 0
-                    found[n] = True
-                    break
+            at = next((i for place in (one, two) for i in range(4 * place, 4 * place + 4) if slots[i] == fp), None)
+            if at is not None:
+                slots[at] = 0
+                found[n] = True
         return found
 
 

@@ -58,13 +58,15 @@ def votes(text: bytes | None) -> str:
 def posteriors(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """Probability of good for each vote pattern, by EM."""
     patterns = sorted(counts)
+    if not patterns:
+        return {}
     n = np.array([counts[p] for p in patterns], float)
-    shown = np.array([[["g", "b", "-"].index(x) for x in p] for p in patterns]).reshape(len(patterns), -1)
+    shown = np.array([[["g", "b", "-"].index(x) for x in p] for p in patterns])
     good = np.array([0.02 if "b" in p else 0.98 for p in patterns])
     # A labeller is taken to call one good document in a hundred bad, with the weight of half of all documents;
     # how many of the bad ones it finds, and its good votes, are left to the counts.
     half = n.sum() / 2
-    for _ in range(rounds if len(patterns) else 0):
+    for _ in range(rounds):
         z = []
         for c, weight in ((good, half), (1 - good, 0.0)):
             m = n * c

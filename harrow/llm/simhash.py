@@ -158,7 +158,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     first = g.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_hash(F.col(text_col)) == F.col("__h"))
-    kept = docs.join(first, on, "left_semi")
+    # As large as docs in rows: never broadcast.
+    kept = docs.join(first.hint("merge"), on, "left_semi")
     # Equal rows pass the join together; they meet in a further shuffle only where there are any.
     again = g.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h"))
     if again.isEmpty():
