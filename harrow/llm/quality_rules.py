@@ -22,7 +22,7 @@ from .common import WHITE_RE, written
 
 SYMBOLS = "[#*$%&|<>]"
 #: Rate: slack. Symbols, repeated and adjacent words per 1000 words, repeated lines per 1000 lines, code points per 100 words.
-SLACK = {"symbols": 100, "repeats": 200, "adjacent": 150, "dup_lines": 500, "length": 150}
+SLACK = {"symbols": 100, "repeats": 300, "adjacent": 150, "dup_lines": 500, "length": 150}
 #: Rates that can also be too low.
 LOW = ("length",)
 

@@ -66,7 +66,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_RATES = {"symbols": ("n_symbols * 1000 // greatest(n_words, 1)", 100), "repeats": ("n_repeat_words * 1000 // greatest(n_words, 1)", 200), "adjacent": ("n_adjacent * 1000 // greatest(n_words, 1)", 150), "dup_lines": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 500), "length": ("word_chars * 100 // greatest(n_words, 1)", 150)}
+_RATES = {"symbols": ("n_symbols * 1000 // greatest(n_words, 1)", 100), "repeats": ("n_repeat_words * 1000 // greatest(n_words, 1)", 300), "adjacent": ("n_adjacent * 1000 // greatest(n_words, 1)", 150), "dup_lines": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 500), "length": ("word_chars * 100 // greatest(n_words, 1)", 150)}
 _FENCES = """select {g}, max(total) as total, {names} from (
   select {g}, rate, total, case when b1 < 32 then b1 else (b1 - 32 * (b1 // 32 - 1)) << (b1 // 32 - 1) end as q1,
     case when b3 < 32 then b3 else (b3 - 32 * (b3 // 32 - 1)) << (b3 // 32 - 1) end as q3 from (
