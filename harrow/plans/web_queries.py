@@ -11,6 +11,7 @@ from ..operators import gate as G
 from ..operators import queue as Q
 from ..operators import trace as A
 from ..sources import html as D
+from ..sources import json_outline as O
 from .registry import Tables, query
 
 #: The item schema of the queries.
@@ -251,17 +252,20 @@ def extract_json(t: Tables) -> DataFrame:
     return r.where("key is not null and title is not null")
 
 
-@query("select id, path, length from (select id, '$.items' as path, n as length from {json_pages} where variant < 3 and n > 0) x")
+NESTED = """select id, concat('{{"meta":{{"n":', n, ',"tags":["x","y"]}},"items":[{{"id":1,"parts":[{{"p":1}},{{"p":2}},{{"p":3}}]}}', case when n >= 2 then ',{{"id":2}}' else '' end, '],"note":"a  b"}}') as body, n from {json_pages}"""
+
+
+@query(f"""select id, '$.items' as path, case when n >= 2 then 2 else 1 end as length, 'id,parts' as keys, 2 as rank from ({NESTED}) x union all select id, '$.items[0].parts', 3, 'p', 1 from ({NESTED}) y""")
 def item_array_topk(t: Tables) -> DataFrame:
-    """The longest arrays of objects among the top fields of each JSON response, at most eight."""
-    j = t.json_pages.withColumn("value", J.variant(F.when(F.startswith("body", F.lit("{")), F.col("body")))).where("value is not null")
-    names = F.map_keys(F.from_json(F.to_json("value"), "map<string,string>"))
-    f = j.select("id", "value", F.explode(names).alias("name"))
-    f = f.withColumn("arr", F.expr("from_json(get_json_object(to_json(value), concat('$.', name)), 'array<string>')"))
-    found = f.where(F.size("arr") > 0).where(F.startswith(F.get("arr", 0), F.lit("{"))).select("id", F.concat(F.lit("$."), "name").alias("path"), F.size("arr").alias("length"))
-    from pyspark.sql import Window
+    """The longest arrays of objects of each JSON body, eight at most, at any depth."""
+    o = O.with_outline(t.spark.sql(NESTED, json_pages=t.json_pages), "body")
+    return o.select("id", F.posexplode("outline.arrays").alias("k", "a")).select("id", "a.path", "a.length", F.array_join("a.keys", ",").alias("keys"), (F.col("k") + 1).alias("rank"))
+
 
-    return found.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.col("length").desc(), "path"))).where("k <= 8").drop("k")
+@query(f"""select id, concat('{{{{"meta":{{{{"n":', n, ',"tags":["x","…2 items"]}}}},"items":[{{{{"id":1,"parts":[{{{{"p":1}}}},"…3 items"]}}}},"…', case when n >= 2 then 2 else 1 end, ' items"],"note":"a b"}}}}') as shape from ({NESTED}) x""")
+def json_shape(t: Tables) -> DataFrame:
+    """The shape of each JSON body."""
+    return O.with_outline(t.spark.sql(NESTED, json_pages=t.json_pages), "body").select("id", "outline.shape")
 
 
 FIX = "select source_id, fixture, cast(count(*) filter (not empty) as int) as items, cast(count(*) filter (not empty and v <= 1) as int) as valid, bool_or(err) as err from (select *, (source_id + fixture) % 13 = 0 as empty, (source_id + fixture) % 11 = 0 as err from {payloads} where id % 16 < 8 or v <= 1) p where source_id % 5 <> 1 or fixture < 2 group by source_id, fixture"

@@ -12,6 +12,7 @@ from harrow.functions import text as X
 from harrow.operators import gate as G
 from harrow.sources import fixtures as S
 from harrow.sources import html as D
+from harrow.sources import json_outline as O
 
 PAGE = "<html><article>" + "word " * 500 + "</article></html>"
 
@@ -108,6 +109,18 @@ def test_process(spark):
     assert [(x.id, x.external_key) for x in items.collect()] == [(1, "1")]
 
 
+def test_outline():
+    o = O.outline('{"a":[{"x":1,"b":[{"y":1},{"y":2}]}],"c":[1,2],"d":[],"e":"' + "z" * 80 + '"}')
+    assert [(a["path"], a["length"], a["keys"]) for a in o["arrays"]] == [("$.a[0].b", 2, ["y"]), ("$.a", 1, ["x", "b"])]
+    assert json.loads(o["shape"]) == {"a": [{"x": 1, "b": [{"y": 1}, "…2 items"]}, "…1 items"], "c": [1, "…2 items"], "d": [], "e": "z" * 60 + "…"}
+    assert O.outline("{x") is None and O.outline(None) is None and O.outline("<a>") is None
+
+
+def test_headers(spark):
+    d = spark.createDataFrame([({"Content-Type": ["a", "b"], "X": []},)], "m map<string,array<string>>")
+    assert d.select(S.headers(F.col("m"))).first()[0] == {"content-type": "a, b"}
+
+
 def test_decode_and_fixtures(spark, tmp_path):
     assert S.decode_bytes(gzip.compress(b"a"), "gzip") == "a"
     assert S.decode_bytes(zlib.compress(b"a"), "Deflate") == "a"
