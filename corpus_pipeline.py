@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return near_dedup(docs)
+    """One document of each SimHash group stays: linked at 3 of 64 bits or fewer under any of four seeds."""
+    return near_dedup(docs, shingle=3, max_bits=3, seeds=(42, 43, 44, 45))
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

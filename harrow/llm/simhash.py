@@ -34,37 +34,41 @@ from pyspark.sql import functions as F
 from .common import pieces, row_hash, text_bytes, written
 
 
-def fingerprint_one(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def fingerprint_one(text: bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """The fingerprint under each seed, as signed 64-bit integers."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return [0] * len(seeds)
+    line = b" ".join(words)
     if n <= shingle:
-        h = [xxh64_intdigest(b" ".join(words), seed)]
+        grams = [line]
     else:
-        line = b" ".join(words)
         at = np.zeros(n + 1, np.int64)
         np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=at[1:])
-        h = [xxh64_intdigest(line[a:b], seed) for a, b in zip(at[: n - shingle + 1].tolist(), (at[shingle:] - 1).tolist(), strict=True)]
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65536):  # bounded however long the text
-        total += np.unpackbits(np.array(h[i : i + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h)).view(">i8")[0])
+        grams = [line[a:b] for a, b in zip(at[: n - shingle + 1].tolist(), (at[shingle:] - 1).tolist(), strict=True)]
+    out = []
+    for seed in seeds:
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(grams), 65536):  # bounded however long the text
+            h = np.array([xxh64_intdigest(g, seed) for g in grams[i : i + 65536]], dtype=">u8")
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * total > len(grams)).view(">i8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, h, fp long) of every row; h tells rows of one id apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(id, h, fps array of long) of every row; h tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            fp = pa.array([fingerprint_one(t, shingle, seed) for t in text_bytes(b.column(2))], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["id", "h", "fp"])
+            fps = pa.array([fingerprint_one(t, shingle, seeds) for t in text_bytes(b.column(2))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], ["id", "h", "fps"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, fp bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, fps array<bigint>")
 
 
 def _ball(value, bits: int):
@@ -142,7 +146,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
     """Per row: id, h, fp (long), component_id (least id of the linked group), component (its least fingerprint)."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fps")
+    fps = written(fingerprints(docs, id_col, text_col, shingle, (seed,)).select("id", "h", F.get("fps", F.lit(0)).alias("fp")), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     comp = components(links(nodes.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("root").alias("component"))
     rooted = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -151,17 +155,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(of, "fp").select("id", "h", "fp", "component", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """docs, all columns, with one row of each linked group: that of the least id (null ids last), of rows of
-    that id the one with the least text hash, of equal rows any one."""
-    g = written(simhash_groups(docs, id_col, text_col, shingle, max_bits, seed), "groups")
+    that id the one with the least text hash, of equal rows any one. With more seeds there is a fingerprint and
+    an index for each, and texts link that are near under any of them: near copies whose distance under one
+    seed happens to be large are found by another."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle, seeds).withColumn("node", F.xxhash64("fps")), "fps")
+    nodes = written(prints.select("node", "fps").distinct(), "nodes")
+    edges = []
+    for k in range(len(seeds)):
+        own = nodes.select("node", F.get("fps", F.lit(k)).alias("fp"))
+        # Each fingerprint is stood for by one of its texts, to which the others of that fingerprint link.
+        first = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+        a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("u")), first.select(F.col("fp").alias("b"), F.col("rep").alias("v"))
+        edges += [links(first.select("fp"), max_bits).join(a, "a").join(b, "b").select("u", "v"), own.join(first, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))]
+    union = edges[0]
+    for e in edges[1:]:
+        union = union.unionByName(e)
+    comp = components(union, "u", "v")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    first = g.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
+    g = prints.select("id", "h", "node").join(comp, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    first = written(g.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "first")
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_hash(F.col(text_col)) == F.col("__h"))
     # As large as docs in rows: never broadcast.
     kept = docs.join(first.hint("merge"), on, "left_semi")
     # Equal rows pass the join together; they meet in a further shuffle only where there are any.
-    again = g.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    again = prints.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
     rows = kept.withColumn("__k", row_hash(F.col(text_col)))

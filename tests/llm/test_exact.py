@@ -1,6 +1,7 @@
 """Operators with one right result, against brute force in plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -179,6 +180,22 @@ def test_near_dedup(docs, rows):
     assert sorted(1 << 59 if r.doc_id is None else r.doc_id for r in got) == sorted(best.values())
 
 
+def test_more_seeds_find_more_copies(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        w = say(150)
+        rows.append((2 * i, " ".join(w), "en", "s", 1))
+        w[rng.randrange(150)] = "changed"
+        rows.append((2 * i + 1, " ".join(w), "en", "s", 1))
+    d = spark.createDataFrame(rows, DOC)
+    one = {r.doc_id for r in simhash.near_dedup(d, max_bits=3).collect()}
+    four = {r.doc_id for r in simhash.near_dedup(d, max_bits=3, seeds=(42, 43, 44, 45)).collect()}
+    assert four < one and all(2 * i in four for i in range(60))
+    assert sum(i % 2 for i in four) < 12
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_groups(empty).count() == 0
     assert simhash.near_dedup(empty).count() == 0
