@@ -325,7 +325,7 @@ def tool_call_match(t: Tables) -> DataFrame:
 
 
 @query("""select conv_id as run_id, model, cast(sum(case when role = 'user' then length(text) else 0 end) as bigint) as tokens_in, cast(sum(case when role = 'user' then 0 else length(text) end) as bigint) as tokens_out,
- round(case when conv_id % 3 < 2 then (sum(case when role = 'user' then length(text) else 0 end) * case when conv_id % 3 = 0 then 3.0 else 0.5 end + sum(case when role = 'user' then 0 else length(text) end) * case when conv_id % 3 = 0 then 15.0 else 2.0 end) / 1000000.0 end, 4) as cost_usd
+ cast(round(case when conv_id % 3 < 2 then cast((sum(case when role = 'user' then length(text) else 0 end) * case when conv_id % 3 = 0 then 30 else 5 end + sum(case when role = 'user' then 0 else length(text) end) * case when conv_id % 3 = 0 then 150 else 20 end) as decimal(18,0)) * cast('0.0000001' as decimal(8,7)) end, 4) as decimal(10,4)) as cost_usd
 from (select *, concat('model-', conv_id % 3) as model from {conversations}) c group by conv_id, model""")
 def compile_cost(t: Tables) -> DataFrame:
     n = lambda is_user: F.sum(F.when((F.col("role") == "user") == is_user, F.length("text")).otherwise(0)).cast("long")
