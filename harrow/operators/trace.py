@@ -31,7 +31,8 @@ def paired(turns: DataFrame) -> DataFrame:
 def cost(runs: DataFrame, rates: DataFrame) -> DataFrame:
     """runs (model, tokens_in, tokens_out) with cost_usd by the rate per million tokens; null without a rate."""
     exact = lambda c: F.col(c).cast("decimal(12,4)")  # noqa: E731  halves round up, which doubles cannot promise
-    usd = ((F.col("tokens_in") * exact("usd_in") + F.col("tokens_out") * exact("usd_out")) * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(20,10)")
+    count = lambda c: F.col(c).cast("decimal(12,0)")
+    usd = ((count("tokens_in") * exact("usd_in") + count("tokens_out") * exact("usd_out")) * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(20,10)")
     return runs.join(F.broadcast(rates), "model", "left").select(*runs.columns, F.round(usd, 4).cast("decimal(10,4)").alias("cost_usd"))
 
 
