@@ -23,9 +23,19 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/harrow/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; clean() removes it."""
+    _made.append(f"{shared_root(spark)}/harrow/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all scratch paths of this process. Results that have not been written yet go with them."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

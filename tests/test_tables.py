@@ -67,3 +67,15 @@ def test_tables(spark):
     assert T.unknown_values(spark.createDataFrame([("odd",)], "state string"), "job").count() == 1
     rec = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "source_id bigint, external_key string")
     assert [x.external_key for x in T.duplicates(rec, "record").collect()] == ["a"]
+
+
+def test_scratch(spark):
+    import os
+
+    from harrow.store import clean, written
+
+    before = written(spark.range(3), "t")
+    path = before.inputFiles()[0].removeprefix("file://")
+    assert before.count() == 3 and os.path.exists(path)
+    clean(spark)
+    assert not os.path.exists(path)
