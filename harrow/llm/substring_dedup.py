@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import remove
 from .common import open_read, pieces, row_hash, scratch, text_bytes, write_bytes, written
 
 NONE = -(2**63)
@@ -259,7 +260,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = blobs.groupBy("bucket").agg(F.collect_list(F.struct("file", "start", "length")).alias("at"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, buckets // 4))
     hits = count_buckets(work.repartition(tasks, "bucket"), folder, size)
-    return written(notes.unionByName(hits).distinct(), "hits")
+    found = written(notes.unionByName(hits).distinct(), "hits")
+    remove(spark, folder)  # the blobs have served; the text is dealt out only after this
+    return found
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, with_text: bool = False, **params) -> DataFrame:
