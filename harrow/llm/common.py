@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..store import scratch, written  # noqa: F401
 
@@ -73,18 +74,54 @@ def row_hash(text: Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df bears it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def split_count(df: DataFrame, column: str, per_part: int, least: int = 1) -> int:
     """How many parts keep the summed length of a column under per_part each; one scan of that column."""
     n = df.agg(F.sum(F.octet_length(F.col(column)).cast("long")).alias("n")).first()["n"] or 0
     return max(least, -(-n // per_part))
 
 
+def least_hashed(rows: DataFrame, key: Column, k: int, total: int) -> DataFrame:
+    """A sample of rows that does not depend on their number or layout: of the k least hashes of key, one row each
+    (the least). A bound on the hash, widened until it passes enough, keeps all other rows out of the shuffle."""
+    names, share = rows.columns, 2.0 * k / max(total, 1)
+    hashed = rows.select(F.xxhash64(F.lit("sample"), key).alias("h"), F.struct(*names).alias("row"))
+    while True:
+        near = hashed.where(F.col("h") < -(2**63) + int(share * 2.0**64)) if share < 1 else hashed
+        got = written(near.groupBy("h").agg(F.min("row").alias("row")).orderBy("h").limit(k).select("row.*"), "sample")
+        if share >= 1 or got.count() >= k:
+            return got
+        share *= 16
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Spark's own bound is 64 MiB, which a worker holds several
+#: times over; a batch still has one row at least, so a single longer text passes.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_BYTES (a setting of the session, lowered where it is higher)."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that long texts do not meet by the thousand in one worker's memory."""
+    """Cuts batches by rows, for operators whose working memory follows the rows at hand."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)

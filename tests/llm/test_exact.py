@@ -368,7 +368,8 @@ def test_tokens(spark, docs, rows):
     t = Tokenizer.from_file(path)
     out = tokens.tokenize_round_trip(docs, path, 1).collect()
     whole = {(d, x): t.encode(x or "", add_special_tokens=False).ids + [1] for d, x, *_ in rows}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    signed = lambda x: 0 if x is None else (xxhash.xxh64_intdigest(x.encode(), 42) + 2**63) % 2**64 - 2**63
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     want, start = [], 0
     for d, x, *_ in order:
         ids = whole[d, x]
@@ -392,6 +393,39 @@ def test_token_files(spark, docs, rows, tmp_path, encoding):
     import public_tokenizers
     import pyarrow.parquet as pq
 
+@pytest.mark.parametrize("change", [None, ("normalizers", 1, "content", "a"), ("pretokenizers", 0, "behavior", "Isolated"), ("pretokenizers", 1, "add_prefix_space", True)])
+def test_other_tokenizers_of_the_same_shape(tmp_path, change):
+    """Words by themselves only under the very settings that allow it; always the library's ids."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    conf = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    if change:
+        group, k, name, value = change
+        conf["normalizer" if group == "normalizers" else "pre_tokenizer"][group][k][name] = value
+    path = str(tmp_path / "t.json")
+    json.dump(conf, open(path, "w"))
+    assert tokens.Encoder(path).by_word == (change is None)
+    for text in ["Some words,  and\nmore 12", "x" * 50 + " é à"]:
+        assert tokens.encode([text], path, 7)[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [7]
+
+
+def test_token_cache_is_bounded(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)) for _ in range(20)]
+    e, t = tokens.Encoder(path), Tokenizer.from_file(path)
+    for x in texts:
+        assert np.frombuffer(e.text(x), np.uint32).tolist() == t.encode(x, add_special_tokens=False).ids
+        assert e.known.size <= 10_000 and len(e.known) + len(e.known.older) < 500
+
+
     tokens.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 1, encoding=encoding)
     files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("*.parquet")]
     cols = [f.metadata.row_group(0).column(f.metadata.num_columns - 1) for f in files if f.metadata.num_rows]
