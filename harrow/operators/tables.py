@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
 SCHEMAS = {
     "source": "id string, key string, intent string, entry_url string, url_pattern string, output_schema variant, required_fields array<string>, cadence interval day to second, state string, fetch_hints variant, created_at timestamp_ntz, updated_at timestamp_ntz",
     "adapter": "id string, source_id string, version int, status string, fetch_plan variant, code string, code_hash string, notes string, compile_run_id string, created_at timestamp_ntz",
@@ -61,6 +63,19 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str], a
     return j.select(*out)
 
 
+def sequenced(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """rows with id, counting on from after in the given order: ranges of the order are sorted and counted by
+    themselves, and each starts where those before it end."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    dealt = written(dealt, "sequenced").withColumn("__part", F.shiftright("__place", 33)).withColumn("__nth", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + 1)
+    # One row a range, whose number is that of the shuffle's partitions.
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    out = dealt.join(F.broadcast(before), "__part").withColumn("id", F.col("__before") + F.col("__nth") + after)
+    return out.drop("__place", "__part", "__nth", "__before")
+
+
 def duplicates(rows: DataFrame, table: str) -> DataFrame:
     """Keys that break the table's uniqueness."""
     return rows.groupBy(*UNIQUE[table]).agg(F.count("*").alias("n")).where("n > 1")
