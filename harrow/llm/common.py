@@ -26,26 +26,38 @@ def _local(uri: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
-def write_bytes(uri: str, chunks: Iterator[bytes]) -> None:
-    """Writes a file of the shared folder under a name of its own and renames it, so that a retried or
-    speculative task leaves one whole file."""
-    if (path := _local(uri)) is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            for x in chunks:
-                f.write(x)
-        os.replace(part, path)
-        return
-    from pyarrow import fs
+class SharedFile:
+    """A file of the shared folder, written piece by piece under a name of its own; commit() gives it its name, so that
+    a retried or speculative task leaves one whole file."""
 
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        for x in chunks:
-            f.write(x)
-    store.move(part, path)
+    def __init__(self, uri: str) -> None:
+        part = uuid.uuid4().hex
+        if (path := _local(uri)) is not None:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            self.file = open(f"{path}.{part}", "wb")
+            self.rename = lambda: os.replace(f"{path}.{part}", path)
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(uri)
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            self.file = store.open_output_stream(f"{path}.{part}")
+            self.rename = lambda: store.move(f"{path}.{part}", path)
+
+    def write(self, chunk: bytes) -> None:
+        self.file.write(chunk)
+
+    def commit(self) -> None:
+        self.file.close()
+        self.rename()
+
+
+def write_bytes(uri: str, chunks: Iterator[bytes]) -> None:
+    """Writes a whole file of the shared folder."""
+    f = SharedFile(uri)
+    for x in chunks:
+        f.write(x)
+    f.commit()
 
 
 def open_read(uri: str):
@@ -84,6 +96,13 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def rough_bytes(df: DataFrame) -> int | None:
+    """The bytes of the files a table is read from, as the optimizer has them; None where it is no single table."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    n = int(str(plan.stats().sizeInBytes())) if plan.collectLeaves().size() == 1 else 0
+    return n if 0 < n < 1 << 60 else None
+
+
 def split_count(df: DataFrame, column: str, per_part: int, least: int = 1) -> int:
     """How many parts keep the summed length of a column under per_part each; one scan of that column."""
     n = df.agg(F.sum(F.octet_length(F.col(column)).cast("long")).alias("n")).first()["n"] or 0

@@ -43,7 +43,7 @@ def docs(spark, rows):
     from pyspark.sql import functions as F
 
     d = spark.createDataFrame(rows, DOC)
-    return d.withColumns({c: F.lit("x") for c in ("id", "h", "words", "fp", "kept", "shard", "n", "p", "k1", "first")})
+    return d.withColumns({c: F.lit("x") for c in ("id", "h", "words", "fp", "kept", "shard", "n", "p", "k1", "first", "__id", "__h", "__n", "__times", "__k", "n_bytes", "row")})
 
 
 @pytest.fixture(scope="session")
