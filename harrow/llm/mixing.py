@@ -3,12 +3,13 @@
 A classifier trained on a bounded sample of a labelled table gives every document its posteriors over the
 domains. A rate r >= 0 is then fitted for every document (how often it is taken, one at first), so that the
 expected domain totals s = sum of r * tokens * posterior match the targets t: least squares on s - t, with a
-light pull of the rates towards one, solved by projected gradient descent over 0 <= r <= ``most``. The residual is weighted by the inverse of the documents' moment matrix, which
-makes one the right step size and a few rounds enough. Each round is one distributed sum over the table of
+light pull of the rates towards one, solved by projected gradient descent over 0 <= r <= ``most``. The residual is weighted by the inverse of the
+documents' moment matrix, which makes one the right step size and a few rounds enough. Each round is one distributed sum over the table of
 tokens and posteriors; a document's rate is a function of its posteriors and the residuals so far, so no rates
 are stored between rounds and a lost executor costs nothing but its own tasks.
 
-The labelled sample is at most ``train_rows`` labels, chosen by a hash of the id; totals and rates cover all rows.
+The labelled sample is the ``train_rows`` labels of documents at hand whose ids have the least hashes, or all labels
+where there are fewer, at any size of the tables; totals and rates cover all rows.
 
 Defined results: null and empty texts have no tokens, posteriors from the bias alone, and a rate like any
 other; ids with a null or no label are not trained on; of rows with a labelled id, the least text is; without
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_hash, text_bytes, written
+from .common import arrow_map, free, least_hashed, pieces, row_hash, text_bytes, written
 from .features import features, fit, logits, softmax
 
 #: Share of all tokens each domain is to have.
@@ -39,10 +40,9 @@ def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     """labels: id, domain."""
-    known = labels.where(F.col("domain").isin(domains))
-    share = min(1.0, train_rows / max(known.count(), 1))
-    # Twice the share expected is the bound the hash cannot pass but by ties; limit() states it.
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("id").agg(F.min("domain").alias("domain")).limit(2 * train_rows)
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
+    known = written(labels.select("id", "domain").where(F.col("domain").isin(domains)).join(ids, "id", "left_semi"), "labels")
+    picked = least_hashed(known, F.col("id").cast("string"), train_rows, known.count())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str =
             got = [features(t) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([i.tolist() for i, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32())), b.column(0)], ["at", "value", "domain"])
 
-    sample = rows.select("domain", "text").mapInArrow(run, "at array<int>, value array<float>, domain string").toArrow()
+    sample = arrow_map(rows.select("domain", "text"), run, "at array<int>, value array<float>, domain string").toArrow()
     got = [(np.array(i.values, np.int32), np.array(v.values, np.float32)) for i, v in zip(sample.column("at"), sample.column("value"), strict=True)]
     y = np.array([domains.index(x) for x in sample.column("domain").to_pylist()], int)
     return fit(got, np.eye(len(domains))[y] if len(y) else np.zeros((0, len(domains))))
@@ -68,7 +68,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array(list(p), pa.list_(pa.float64()))], ["id", "h", "n_tokens", "p"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, n_tokens bigint, p array<double>")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, n_tokens bigint, p array<double>")
 
 
 def _rate(steps: list[np.ndarray], pull: float, most: float) -> Column:
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     m = mixture(docs, labels, targets, id_col, text_col, train_rows)
     chance = F.pmod(F.xxhash64(F.col("id").cast("string"), "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    taken = m.select(F.col("id").alias("__id"), F.col("h").alias("__h"), times.alias("__times")).where("__times > 0").distinct()
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_hash(F.col(text_col)) == F.col("__h"))
-    return docs.join(taken, on).withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).drop("__id", "__h", "__times", "__n")
+    own_id, own_h, own_times, own_n = free(docs, "__id", "__h", "__times", "__n")
+    taken = m.select(F.col("id").alias(own_id), F.col("h").alias(own_h), times.alias(own_times)).where(F.col(own_times) > 0).distinct()
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (row_hash(F.col(text_col)) == F.col(own_h))
+    return docs.join(taken, on).withColumn(own_n, F.explode(F.sequence(F.lit(1), own_times))).drop(own_id, own_h, own_times, own_n)

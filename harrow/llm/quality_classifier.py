@@ -7,7 +7,8 @@ patterns is bounded by the number of labellers, so the counts are a small table.
 pattern is its label, and the posteriors of a bounded sample of documents train a hashed linear scorer
 (features.py) that then scores every document.
 
-The sample is ``train_rows`` rows, chosen by a hash of id and text; labeller counts and scores cover all rows.
+The sample is the ``train_rows`` distinct texts of the least hashes, or all texts where there are fewer, at any size
+of the table; labeller counts and scores cover all rows.
 
 Defined results: null and wordless texts score 0 and are not kept; each row is scored by itself, so repeated
 rows score alike; an empty table gives no rows. Extra columns are passed on by ``keep_good`` and not read.
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_hash, text_bytes
+from .common import arrow_map, least_hashed, pieces, text_bytes
 from .features import features, fit, logits, rates, shapes_of, softmax
 
 #: Labeller: rate it looks at, good up to (None: it never votes good), bad from. Those with a minus look at the
@@ -55,30 +56,29 @@ def votes(text: bytes | None) -> str:
     return out
 
 
-def posteriors(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
-    """Probability of good for each vote pattern, by EM."""
+def posteriors(counts: dict[str, int], rounds: int = 200, prior: float = 1.0) -> dict[str, float]:
+    """Probability of good for each vote pattern, by EM: the share of good documents and how often each labeller
+    votes good, bad or nothing on good and on bad ones, all from the counts (and prior of each vote). The classes
+    get their names from the start, where a bad vote makes a document bad; a pattern without one is never held to
+    be more bad than good, so that a corpus without bad documents is not split along some other line."""
     patterns = sorted(counts)
     if not patterns:
         return {}
     n = np.array([counts[p] for p in patterns], float)
     shown = np.array([[["g", "b", "-"].index(x) for x in p] for p in patterns])
-    good = np.array([0.02 if "b" in p else 0.98 for p in patterns])
-    # A labeller is taken to call one good document in a hundred bad, with the weight of half of all documents;
-    # how many of the bad ones it finds, and its good votes, are left to the counts.
-    half = n.sum() / 2
+    accused = np.array(["b" in p for p in patterns])
+    good = np.where(accused, 0.02, 0.98)
     for _ in range(rounds):
         z = []
-        for c, weight in ((good, half), (1 - good, 0.0)):
+        for c in (good, 1 - good):
             m = n * c
-            log = np.log((m.sum() + 1) / (n.sum() + 2)) * np.ones(len(patterns))
+            log = np.full(len(patterns), np.log((m.sum() + prior) / (n.sum() + 2 * prior)))
             for j in range(shown.shape[1]):
-                share = np.bincount(shown[:, j], m, 3) + 0.1
-                bad = (share[1] + 0.01 * weight) / (share.sum() + weight)
-                share *= (1 - bad) / (share[0] + share[2])
-                share[1] = bad
-                log += np.log(share[shown[:, j]])
+                share = np.bincount(shown[:, j], m, 3) + prior
+                log += np.log(share / share.sum())[shown[:, j]]
             z.append(log)
         new = 1 / (1 + np.exp(np.clip(z[1] - z[0], -50, 50)))
+        new = np.where(accused, new, np.maximum(new, 0.5))
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
@@ -103,16 +103,14 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             c.update(map(votes, text_bytes(b.column(0))))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["pattern", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs.select(F.col(text_col).alias("text")), run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
     return {r["pattern"]: r["n"] for r in counted.collect()}  # at most 3 ** labellers
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", train_rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of the scorer (class 1: good)."""
     counts = vote_counts(docs, text_col)
     good = posteriors(counts)
-    total = sum(counts.values())
-    share = min(1.0, train_rows / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -122,10 +120,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 [pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32())), pa.array([good[votes(t)] for t in texts], pa.float64())], ["at", "value", "good"]
             )
 
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), row_hash(F.col(text_col))), F.lit(1 << 20)) < int(share * (1 << 20))
-    # Repeats of one row would all be picked together; one of them is enough.
-    picked = docs.where(pick).select(F.col(text_col).alias("text")).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("text").limit(2 * train_rows)
-    sample = picked.mapInArrow(run, "at array<int>, value array<float>, good double").toArrow()
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    picked = least_hashed(texts, F.col("text"), train_rows, sum(counts.values()))
+    sample = arrow_map(picked, run, "at array<int>, value array<float>, good double").toArrow()
     rows = [(np.array(i.values, np.int32), np.array(v.values, np.float32)) for i, v in zip(sample.column("at"), sample.column("value"), strict=True)]
     g = sample.column("good").to_numpy()
     return fit(rows, np.stack([1 - g, g], axis=1))
@@ -138,7 +135,7 @@ def scores(texts: list[bytes | None], weights: np.ndarray, bias: np.ndarray) ->
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000, least: float = 0.5) -> DataFrame:
     """Per row: id, score (probability of good), kept."""
-    weights, bias = train(docs, id_col, text_col, train_rows)
+    weights, bias = train(docs, text_col, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +144,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= least)], ["id", "score", "kept"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, kept boolean")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000, least: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", train_rows: int = 6000, least: float = 0.5) -> DataFrame:
     """docs, all columns, without the rows that score under least."""
-    weights, bias = train(docs, id_col, text_col, train_rows)
+    weights, bias = train(docs, text_col, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     at = docs.columns.index(text_col)
 
@@ -160,4 +157,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         for b in pieces(batches):
             yield b.filter(pc.greater_equal(pa.array(scores(text_bytes(b.column(at)), *shared.value), pa.float64()), least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

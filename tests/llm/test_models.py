@@ -1,6 +1,8 @@
 """Trained operators: held-out accuracy, planted cases, and the pipeline against its parts."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from harrow.llm import features, mixing
 from harrow.llm import quality_classifier as Q
+from harrow.llm.common import least_hashed
 
 from .conftest import DOC
 
@@ -76,6 +79,114 @@ def test_em_recovers_accuracies():
     assert Q.posteriors({}) == {}
 
 
+def plain_votes(text):
+    """The labellers by their words, one text and one loop at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return "-" * 8
+    n = len(words)
+
+    def shape(w):
+        out = []
+        for b in w.encode():
+            c = "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b)
+            if not out or out[-1] != c:
+                out.append(c)
+        return "".join(out)
+
+    shapes = [shape(w) for w in words]
+    grams = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    symbols = sum(c in "#*$%&|<>" for c in text) / n
+    plain = sum(s.rstrip(".,;:?") in ("A", "Aa", "a") and len(s) - len(s.rstrip(".,;:?")) <= 1 for s in shapes) / n
+    upper = sum("A" in s and "a" not in s for s in shapes) / n
+    adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    repeats = sum(grams.count(g) > 1 for g in grams) / n
+    distinct, digits = len(set(words)) / n, sum(c in "0123456789" for c in text) / n
+    vote = lambda v, good, bad: "b" if v >= bad else "g" if good is not None and v <= good else "-"
+    long = lambda x: x if n >= 10 else "-"
+    return vote(symbols, None, 0.25) + vote(-plain, -0.85, -0.5) + vote(upper, None, 0.4) + vote(text.count("!") / n, None, 0.25) + long(vote(adjacent, 0.08, 0.3)) + long(vote(repeats, None, 0.5)) + long(vote(-distinct, -0.45, -0.2)) + vote(digits, None, 1.0)
+
+
+def plain_em(votes_of):
+    """EM over documents, not over counts of patterns."""
+    good = [0.02 if "b" in p else 0.98 for p in votes_of]
+    for _ in range(200):
+        share = {}
+        for c in (0, 1):
+            weight = [g if c else 1 - g for g in good]
+            share[c] = [(sum(weight) + 1) / (len(good) + 2)]
+            for j in range(8):
+                of = {v: 1.0 + sum(w for w, p in zip(weight, votes_of, strict=True) if p[j] == v) for v in "gb-"}
+                share[c].append({v: x / sum(of.values()) for v, x in of.items()})
+        new = []
+        for p in votes_of:
+            like = [share[c][0] * np.prod([share[c][1 + j][p[j]] for j in range(8)]) for c in (0, 1)]
+            x = like[1] / (like[0] + like[1])
+            new.append(x if "b" in p else max(x, 0.5))
+        done = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9
+        good = new
+        if done:
+            break
+    return good
+
+
+def plain_softmax(text, weights, bias):
+    """One text's scores, feature by feature."""
+    z = [float(b) for b in bias]
+    for i, v in zip(*features.features(text.encode()), strict=True):
+        z = [x + float(v) * float(w) for x, w in zip(z, weights[i], strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_quality_matches_brute_force(planted, data, rows, docs):
+    for t in [t for _, t, *_ in rows] + [t for _, t, _, _ in data]:
+        assert Q.votes(None if t is None else t.encode()) == plain_votes(t), t
+    texts = [t for _, t, _, _ in data]
+    of = [plain_votes(t) for t in texts]
+    counts = Q.vote_counts(planted)
+    assert counts == {p: of.count(p) for p in set(of)}
+    good = Q.posteriors(counts)
+    assert max(abs(good[p] - x) for p, x in zip(of, plain_em(of), strict=True)) < 1e-6
+    # All texts are in the sample here, so the fit can be repeated from the posteriors.
+    weights, bias = Q.train(planted, train_rows=1000)
+    rows_of = sorted(set(texts))
+    again = features.fit([features.features(t.encode()) for t in rows_of], np.array([[1 - good[plain_votes(t)], good[plain_votes(t)]] for t in rows_of]))
+    assert np.abs(weights - again[0]).max() < 1e-3
+    got = {r.id: r.score for r in Q.score(planted, train_rows=1000).collect()}
+    assert all(abs(got[i] - plain_softmax(t, weights, bias)[1]) < 1e-4 for i, t, _, _ in data)
+
+
+def test_fit_is_at_the_minimum(data):
+    """The gradient of the loss, taken example by example, is near zero at the fitted weights."""
+    got = [features.features(t.encode()) for _, t, _, _ in data]
+    y = np.array([[1 - q, q] for _, _, q, _ in data], float)
+    weights, bias = features.fit(got, y, steps=2000, rate=0.05)
+    g = {}
+    for (i, v), goal, (_, t, _, _) in zip(got, y, data, strict=True):
+        p = plain_softmax(t, weights, bias)
+        for k, x in zip(i, v, strict=True):
+            g[int(k)] = g.get(int(k), 0.0) + float(x) * (p[1] - goal[1]) / len(data)
+    used = [k for k in g if weights[k].any()]
+    assert used and max(abs(g[k] + 0.1 * float(weights[k, 1]) / len(data)) for k in used) < 2e-3
+
+
+def test_em_leaves_a_clean_corpus_alone():
+    good = Q.posteriors({"-g--g-g-": 100_000, "-g------": 20_000, "----g-g-": 500})
+    assert min(good.values()) >= 0.5
+
+
+@pytest.mark.parametrize("total", [10**4, 7 * 10**9, 2 * 10**10, 10**12])
+def test_a_sample_is_never_empty(spark, total):
+    """However many rows there are said to be, and however they repeat, k distinct ones are picked if there are as many."""
+    few = spark.range(3000).selectExpr("concat('t', id % 1500) as text")
+    assert least_hashed(few, F.col("text"), 1000, total).count() == 1000
+    assert least_hashed(few, F.col("text"), 5000, total).count() == 1500
+    one = spark.range(500).selectExpr("'same' as text")
+    assert [r.text for r in least_hashed(one, F.col("text"), 1000, total).collect()] == ["same"]
+    assert least_hashed(one.where("false"), F.col("text"), 1000, 0).count() == 0
+
+
 def test_votes_of_odd_texts():
     assert Q.votes(None) == Q.votes(b"") == Q.votes(b" \n ") == "-" * len(Q.LABELLERS)
     assert "b" not in Q.votes("Ein kurzer Satz, für sich.".encode())
@@ -124,6 +235,21 @@ def test_mixing(spark, planted, data):
     assert all(int(of[r.doc_id]) <= r["count"] <= int(of[r.doc_id]) + 1 for r in n)
 
 
+def test_posteriors_match_brute_force(spark, planted, data):
+    """The posteriors that the query returns, document by document, and the fit on all labels."""
+    domains = list(mixing.TARGETS)
+    name = lambda q, x: "toxic" if x else "clean" if q else "low"
+    labels = spark.createDataFrame([(i, name(q, x)) for i, _, q, x in data], "id bigint, domain string")
+    weights, bias = mixing.train(planted, labels, domains)
+    order = sorted(data, key=lambda r: r[0])
+    again = features.fit([features.features(t.encode()) for _, t, _, _ in order], np.array([[float(name(q, x) == d) for d in domains] for _, _, q, x in order]))
+    assert np.abs(weights - again[0]).max() < 1e-3
+    out = {r.id: r for r in mixing.mixture(planted, labels).collect()}
+    for i, t, _, _ in data:
+        p = plain_softmax(t, weights, bias)
+        assert all(abs(out[i][f"p_{d}"] - x) < 1e-4 for d, x in zip(domains, p, strict=True)) and out[i].n_tokens == len(t.split())
+
+
 def test_mixing_edges(spark, docs, empty):
     none = spark.createDataFrame([], "id bigint, domain string")
     out = mixing.mixture(docs, none).collect()
@@ -155,3 +281,5 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == [*docs.columns, "n_bytes_", "depth", "shard_"] and last.count() == docs.count()
