@@ -1,12 +1,19 @@
 """Quality rules whose thresholds adapt to each language and source, in DataFrame operations only.
 
-Per text a few counts are taken and turned into integer rates. The rates of the documents that pass the base
-rules are held in mergeable quantile sketches, one per language, source and rate: counts of log-linear buckets
-with 32 buckets to a power of two (relative error at most 1/32), whose merge is the sum of the counts, so
-partial aggregation does most of the work and a hot source costs no more than a small one. A rate's fences are
-the group's quartiles, widened by ``spread`` times their distance and the rate's slack (what a single odd word
-or line may add to a clean text). A group of fewer than ``min_docs`` documents takes the merged sketch of its
-language, and failing that of all. Documents outside a fence, or that fail the base rules, are not kept.
+Per text a few counts are taken and turned into integer rates; the first odd symbol, repeated line or repeated window
+of a text is not counted. Rates are held in mergeable quantile sketches, one per language, source and rate: counts of
+log-linear buckets with 32 buckets to a power of two (relative error at most 1/32), whose merge is the sum of the
+counts, so partial aggregation does most of the work and a hot source costs no more than a small one. Two rounds:
+
+1. Typical documents. Of the documents that pass the base rules, those count as typical whose rates of kind SPREAD
+   (which differ among all texts) lie within one and a half quartile distances of the group's quartiles.
+2. Fences. The sketches of the typical documents give each rate's median and its 0.5 % and 99.5 % quantiles; a fence
+   lies beyond the outer quantile by ``spread`` times its distance from the median. So a source whose texts use many
+   symbols or repeat themselves gets a wide fence for that, one that never does gets a narrow one.
+
+A group of fewer than ``min_docs`` documents takes the merged sketch of its language, and failing that of all.
+Documents outside a fence, or that fail the base rules, are not kept. No threshold is fixed: quantile levels, spread
+and min_docs are all there is.
 
 Defined results: null and empty texts have no words and fail the base rules; null language and source are
 groups of their own; each row is judged by itself, so repeated rows and ids give a row each; a rate whose
@@ -21,10 +28,16 @@ from pyspark.sql import functions as F
 from .common import WHITE_RE, written
 
 SYMBOLS = "[#*$%&|<>]"
-#: Rate: slack. Symbols, repeated and adjacent words per 1000 words, repeated lines per 1000 lines, code points per 100 words.
-SLACK = {"symbols": 100, "repeats": 300, "adjacent": 150, "dup_lines": 500, "length": 150}
-#: Rates that can also be too low.
+#: Symbols, repeated and adjacent words per 1000 words, repeated lines per 1000 lines, code points per 100 words: the
+#: count less what a single occurrence makes, the unit, and what it is taken of.
+RATES = {"symbols": ("greatest(n_symbols - 1, 0)", 1000, "n_words"), "repeats": ("greatest(n_repeat_words - 16, 0)", 1000, "n_words"), "adjacent": ("n_adjacent", 1000, "n_words"), "dup_lines": ("greatest(n_dup_lines - 1, 0)", 1000, "n_lines"), "length": ("word_chars", 100, "n_words")}
+#: Rates that differ among all texts, and so say which are typical; rates that can also be too low.
+SPREAD = ("length", "adjacent")
 LOW = ("length",)
+#: Quantiles taken of a sketch, as fractions. A quantile is the least value of its bucket;
+#: those that bound from above are the greatest value of their bucket, so that none in it lies outside.
+LEVELS = {"lo": (1, 200), "q1": (1, 4), "mid": (1, 2), "q3": (3, 4), "hi": (199, 200)}
+UPPER = ("q3", "hi")
 
 
 def counts(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -59,8 +72,7 @@ def counts(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
 
 
 def rates() -> dict[str, Column]:
-    per = lambda n, k, of: F.expr(f"{n} * {k} div greatest({of}, 1)")
-    return {"symbols": per("n_symbols", 1000, "n_words"), "repeats": per("n_repeat_words", 1000, "n_words"), "adjacent": per("n_adjacent", 1000, "n_words"), "dup_lines": per("n_dup_lines", 1000, "n_lines"), "length": per("word_chars", 100, "n_words")}
+    return {k: F.expr(f"{n} * {unit} div greatest({of}, 1)") for k, (n, unit, of) in RATES.items()}
 
 
 def bucket(v: str) -> Column:
@@ -69,14 +81,14 @@ def bucket(v: str) -> Column:
 
 
 def bucket_least(b: str) -> Column:
-    """The least value of a bucket."""
+    """The least value of a bucket; of the next one, less one, is its greatest."""
     return F.expr(f"case when {b} < 32 then {b} else shiftleft({b} - 32 * ({b} div 32 - 1), cast({b} div 32 - 1 as int)) end")
 
 
 def sketch(stats: DataFrame, groups: list[str]) -> DataFrame:
-    """The sketches of the documents that pass the base rules: groups, rate, bucket, n. Merge: sum n."""
+    """The sketches of the rows: groups, rate, bucket, n. Merge: sum n."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("v")) for k, v in rates().items()])).alias("r")
-    return stats.where("not base_failed").select(*groups, each).select(*groups, "r.rate", bucket("r.v").alias("bucket")).groupBy(*groups, "rate", "bucket").agg(F.count("*").alias("n"))
+    return stats.select(*groups, each).select(*groups, "r.rate", bucket("r.v").alias("bucket")).groupBy(*groups, "rate", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketches: DataFrame, groups: list[str]) -> DataFrame:
@@ -84,39 +96,56 @@ def merged(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, groups: list[str], spread: int) -> DataFrame:
-    """groups, total, and <rate>_low and <rate>_high from a sketch's quartiles."""
+def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, total and q: a map from each rate to its quantiles."""
     up_to = Window.partitionBy(*groups, "rate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     df = sketches.withColumn("to", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(Window.partitionBy(*groups, "rate")))
-    q = df.groupBy(*groups, "rate").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("to") >= F.col("total"), F.col("bucket"))).alias("b1"), F.min(F.when(4 * F.col("to") >= 3 * F.col("total"), F.col("bucket"))).alias("b3"))
-    q = q.select(*groups, "rate", "total", bucket_least("b1").alias("q1"), bucket_least("b3").alias("q3"))
-    far = lambda k: spread * (F.col("q3") - F.col("q1")) + SLACK[k]
-    pick = lambda k, v: F.max(F.when(F.col("rate") == k, v))
-    out = [pick(k, F.col("q3") + far(k)).alias(f"{k}_high") for k in SLACK] + [pick(k, F.col("q1") - far(k)).alias(f"{k}_low") for k in LOW]
-    return q.groupBy(*groups).agg(F.max("total").alias("total"), *out)
+    at = [F.min(F.when(den * F.col("to") >= num * F.col("total"), F.col("bucket"))).alias(name) for name, (num, den) in LEVELS.items()]
+    q = df.groupBy(*groups, "rate").agg(F.max("total").alias("total"), *at)
+    q = q.select(*groups, "total", F.struct("rate", F.struct(*[(bucket_least(f"({name} + 1)") - 1 if name in UPPER else bucket_least(name)).alias(name) for name in LEVELS]).alias("q")).alias("e"))
+    return q.groupBy(*groups).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list("e")).alias("q"))
 
 
-def judge(stats: DataFrame, group_cols: tuple[str, str], min_docs: int = 100, spread: int = 3) -> DataFrame:
-    """stats with kept."""
+def with_quantiles(stats: DataFrame, reference: DataFrame, group_cols: tuple[str, str], min_docs: int) -> DataFrame:
+    """stats with q: the quantiles over reference for the row's language and source, or where these have fewer than
+    min_docs rows there for its language, or else for all. As many rows as there are groups decide this."""
     lang, source = group_cols
-    names = [f"{k}_high" for k in SLACK] + [f"{k}_low" for k in LOW]
-    fine = written(sketch(stats, [lang, source]), "sketch")
-    own = fences(fine, [lang, source], spread).where(F.col("total") >= min_docs)
-    by_lang = fences(merged(fine, [lang]), [lang], spread).where(F.col("total") >= min_docs)
-    of_all = fences(merged(fine.withColumn("__all", F.lit(0)), ["__all"]), ["__all"], spread).drop("__all", "total").select(F.struct(*names).alias("f_all"))
+    fine = written(sketch(reference, [lang, source]), "sketch")
+    own = quantiles(fine, [lang, source]).where(F.col("total") >= min_docs).select(F.col(lang).alias("l1"), F.col(source).alias("s1"), F.col("q").alias("q_own"))
+    by_lang = quantiles(merged(fine, [lang]), [lang]).where(F.col("total") >= min_docs).select(F.col(lang).alias("l2"), F.col("q").alias("q_lang"))
+    of_all = quantiles(merged(fine.withColumn("__all", F.lit(0)), ["__all"]), ["__all"]).select(F.col("q").alias("q_all"))
     keys = stats.select(F.col(lang).alias("l"), F.col(source).alias("s")).distinct()
-    own = own.select(F.col(lang).alias("l1"), F.col(source).alias("s1"), F.struct(*names).alias("f_own"))
-    by_lang = by_lang.select(F.col(lang).alias("l2"), F.struct(*names).alias("f_lang"))
     limit = keys.join(own, F.col("l").eqNullSafe(F.col("l1")) & F.col("s").eqNullSafe(F.col("s1")), "left").join(by_lang, F.col("l").eqNullSafe(F.col("l2")), "left")
-    # One row at most; it is null-padded when no document passes the base rules.
-    limit = limit.join(F.broadcast(of_all), F.lit(True), "left").select("l", "s", F.coalesce("f_own", "f_lang", "f_all").alias("f"))
-    inside = F.lit(True)
+    # One row at most; it is null-padded when there is no reference.
+    limit = limit.join(F.broadcast(of_all), F.lit(True), "left").select("l", "s", F.coalesce("q_own", "q_lang", "q_all").alias("q"))
+    return stats.join(written(limit, "fences"), F.col(lang).eqNullSafe(F.col("l")) & F.col(source).eqNullSafe(F.col("s")), "left").drop("l", "s")
+
+
+def typical() -> Column:
+    """Within one and a half quartile distances of the quartiles, in the rates whose quartiles differ."""
+    out = F.lit(True)
+    for k in SPREAD:
+        v, q1, q3 = rates()[k], F.col("q")[k]["q1"], F.col("q")[k]["q3"]
+        out &= F.coalesce((q1 == q3) | ((2 * v >= 2 * q1 - 3 * (q3 - q1)) & (2 * v <= 2 * q3 + 3 * (q3 - q1))), F.lit(True))
+    return out
+
+
+def inside(spread: int) -> Column:
+    """Within the fences of all rates."""
+    out = F.lit(True)
     for k, v in rates().items():
-        inside &= F.coalesce(v <= F.col(f"f.{k}_high"), F.lit(True))
+        q = F.col("q")[k]
+        out &= F.coalesce(v <= q["hi"] + spread * (q["hi"] - q["mid"]), F.lit(True))
         if k in LOW:
-            inside &= F.coalesce(v >= F.col(f"f.{k}_low"), F.lit(True))
-    joined = stats.join(written(limit, "fences"), F.col(lang).eqNullSafe(F.col("l")) & F.col(source).eqNullSafe(F.col("s")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("l", "s", "f")
+            out &= F.coalesce(v >= q["lo"] - spread * (q["mid"] - q["lo"]), F.lit(True))
+    return out
+
+
+def judge(stats: DataFrame, group_cols: tuple[str, str], min_docs: int = 100, spread: int = 3) -> DataFrame:
+    """stats with kept."""
+    fair = stats.where(~F.col("base_failed"))
+    reference = with_quantiles(fair, fair, group_cols, min_docs).where(typical()).drop("q")
+    return with_quantiles(stats, reference, group_cols, min_docs).withColumn("kept", ~F.col("base_failed") & inside(spread)).drop("q")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), min_docs: int = 100, spread: int = 3) -> DataFrame:

@@ -66,15 +66,33 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_RATES = {"symbols": ("n_symbols * 1000 // greatest(n_words, 1)", 100), "repeats": ("n_repeat_words * 1000 // greatest(n_words, 1)", 300), "adjacent": ("n_adjacent * 1000 // greatest(n_words, 1)", 150), "dup_lines": ("n_dup_lines * 1000 // greatest(n_lines, 1)", 500), "length": ("word_chars * 100 // greatest(n_words, 1)", 150)}
-_FENCES = """select {g}, max(total) as total, {names} from (
-  select {g}, rate, total, case when b1 < 32 then b1 else (b1 - 32 * (b1 // 32 - 1)) << (b1 // 32 - 1) end as q1,
-    case when b3 < 32 then b3 else (b3 - 32 * (b3 // 32 - 1)) << (b3 // 32 - 1) end as q3 from (
-    select {g}, rate, max(total) as total, min(case when 4 * upto >= total then bucket end) as b1, min(case when 4 * upto >= 3 * total then bucket end) as b3 from (
+_RATES = {"symbols": "greatest(n_symbols - 1, 0) * 1000 // greatest(n_words, 1)", "repeats": "greatest(n_repeat_words - 16, 0) * 1000 // greatest(n_words, 1)", "adjacent": "n_adjacent * 1000 // greatest(n_words, 1)", "dup_lines": "greatest(n_dup_lines - 1, 0) * 1000 // greatest(n_lines, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
+_LEVELS = {"lo": (1, 200), "q1": (1, 4), "mid": (1, 2), "q3": (3, 4), "hi": (199, 200)}
+_VALUE = "case when {b} < 32 then {b} else ({b} - 32 * ({b} // 32 - 1)) << ({b} // 32 - 1) end"
+
+
+def _quantiles(source: str, g: str) -> str:
+    """Per group g: total, and <rate>_<level> from the sketch table."""
+    at = ", ".join(f"min(case when {d} * upto >= {n} * total then bucket end) as {k}" for k, (n, d) in _LEVELS.items())
+    value = {k: _VALUE.format(b="(" + k + " + 1)") + " - 1" if k in ("q3", "hi") else _VALUE.format(b=k) for k in _LEVELS}
+    names = ", ".join(f"max(case when rate = '{r}' then {value[k]} end) as {r}_{k}" for r in _RATES for k in _LEVELS)
+    return f"""select {g}, max(total) as total, {names} from (select {g}, rate, max(total) as total, {at} from (
       select {g}, rate, bucket, sum(n) over (partition by {g}, rate order by bucket) as upto, sum(n) over (partition by {g}, rate) as total
-      from (select {g}, rate, bucket, sum(n) as n from sk group by all)) group by {g}, rate)) group by {g}"""
-_NAMES = ", ".join([f"max(case when rate = '{k}' then q3 + 3 * (q3 - q1) + {s} end) as {k}_high" for k, (_, s) in _RATES.items()] + ["max(case when rate = 'length' then q1 - 3 * (q3 - q1) - 150 end) as length_low"])
-_PICK = lambda c: f"case when o.total >= 100 then o.{c} when l.total >= 100 then l.{c} else a.{c} end"
+      from (select {g}, rate, bucket, sum(n) as n from {source} group by all)) group by {g}, rate) group by {g}"""
+
+
+def _sketch(rows: str) -> str:
+    each = " union all ".join(f"select lang, source, '{k}' as rate, cast({e} as bigint) as v from {rows}" for k, e in _RATES.items())
+    return f"select 0 as z, coalesce(lang, '?') as lg, coalesce(source, '?') as so, rate, case when v < 32 then v else 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) end as bucket, cast(count(*) as bigint) as n from ({each}) group by all"
+
+
+def _joined(rows: str, k: int) -> str:
+    return f"{rows} b left join o{k} o on o.lg = coalesce(lang, '?') and o.so = coalesce(source, '?') left join l{k} l on l.lg = coalesce(lang, '?') left join a{k} a on true"
+
+
+_PICK = lambda c: f"(case when o.total >= 100 then o.{c} when l.total >= 100 then l.{c} else a.{c} end)"
+_TYPICAL = " and ".join(f"coalesce({_PICK(k + '_q1')} = {_PICK(k + '_q3')} or (2 * ({_RATES[k]}) >= 2 * {_PICK(k + '_q1')} - 3 * ({_PICK(k + '_q3')} - {_PICK(k + '_q1')}) and 2 * ({_RATES[k]}) <= 2 * {_PICK(k + '_q3')} + 3 * ({_PICK(k + '_q3')} - {_PICK(k + '_q1')})), true)" for k in ("length", "adjacent"))
+_INSIDE = " and ".join([f"coalesce({e} <= {_PICK(k + '_hi')} + 3 * ({_PICK(k + '_hi')} - {_PICK(k + '_mid')}), true)" for k, e in _RATES.items()] + [f"coalesce({_RATES['length']} >= {_PICK('length_lo')} - 3 * ({_PICK('length_mid')} - {_PICK('length_lo')}), true)"])
 ORACLES["op8_quality_rules"] = rf"""
 with d as materialized (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -86,30 +104,34 @@ st as materialized (select d.r, doc_id, lang, source, cast(len(w) as bigint) as
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
     cast(coalesce(rw.n, 0) as bigint) as n_repeat_words, cast(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as bigint) as n_adjacent, cast(len(ls) as bigint) as n_lines
   from d left join rw using (r)),
-sb as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from st),
-ra as ({" union all ".join(f"select lang, source, '{k}' as rate, cast({e} as bigint) as v from sb where not base_failed" for k, (e, _) in _RATES.items())}),
-sk as materialized (select 0 as z, coalesce(lang, '?') as lg, coalesce(source, '?') as so, rate, case when v < 32 then v else 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) end as bucket, cast(count(*) as bigint) as n from ra group by all),
-o as ({_FENCES.format(g="lg, so", names=_NAMES)}),
-l as ({_FENCES.format(g="lg", names=_NAMES)}),
-a as ({_FENCES.format(g="z", names=_NAMES)})
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"coalesce({e} <= {_PICK(k + '_high')}, true)" for k, (e, _) in _RATES.items())} and coalesce({_RATES["length"][0]} >= {_PICK("length_low")}, true) as kept
-from sb left join o on o.lg = coalesce(lang, '?') and o.so = coalesce(source, '?') left join l on l.lg = coalesce(lang, '?') left join a on true
+sb as materialized (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from st),
+fair as materialized (select * from sb where not base_failed),
+sk1 as materialized ({_sketch("fair")}),
+o1 as materialized ({_quantiles("sk1", "lg, so")}),
+l1 as materialized ({_quantiles("sk1", "lg")}),
+a1 as materialized ({_quantiles("sk1", "z")}),
+ref as materialized (select b.* from {_joined("fair", 1)} where {_TYPICAL}),
+sk2 as materialized ({_sketch("ref")}),
+o2 as materialized ({_quantiles("sk2", "lg, so")}),
+l2 as materialized ({_quantiles("sk2", "lg")}),
+a2 as materialized ({_quantiles("sk2", "z")})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_INSIDE} as kept
+from {_joined("sb", 2)}
 """
 
 
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document, at most 16 MiB of text each."""
+    """The shard of every document, at most 256 KiB of text each (small, so that small tables split as well)."""
     from .sharding import shards
 
-    s = shards(table(spark, sf_dir, "documents"), limit=16 << 20)
+    s = shards(table(spark, sf_dir, "documents"), limit=256 << 10)
     return s.select(F.col("id").alias("doc_id"), "n_bytes", "depth", "shard")
 
 
 ORACLES["op4_sharding"] = """
 with d as (select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as k from documents),
-b as (select z, k >> (60 - z) as p from d cross join (select unnest(range(0, 41)) as z) group by z, k >> (60 - z) having sum(n_bytes) <= 16777216 or count(*) = 1),
+b as (select z, k >> (60 - z) as p from d cross join (select unnest(range(0, 41)) as z) group by z, k >> (60 - z) having sum(n_bytes) <= 262144 or count(*) = 1),
 f as (select k, min(z) as depth from (select distinct k from d) join b on p = k >> (60 - z) group by k)
 select doc_id, n_bytes, cast(depth as integer) as depth, substr(lpad(bin(k), 60, '0'), 1, depth) as shard from d join f using (k)
 """
