@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_hash, text_bytes, written
+from .common import arrow_map, free, pieces, row_hash, text_bytes, written
 
 
 def fingerprint_one(text: bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], ["id", "h", "fps"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, fps array<bigint>")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, fps array<bigint>")
 
 
 def _ball(value, bits: int):
@@ -155,12 +155,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(of, "fp").select("id", "h", "fp", "component", "component_id")
 
 
+def _node(fps: Column) -> Column:
+    """Stands for an array of fingerprints: 120 hash bits as a decimal, so that two arrays do not meet by chance."""
+    half = lambda *seed: F.shiftrightunsigned(F.xxhash64(*seed, fps), 4).cast("decimal(20,0)")
+    return (half() * F.lit(1 << 60).cast("decimal(19,0)") + half(F.lit(1))).cast("decimal(38,0)")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """docs, all columns, with one row of each linked group: that of the least id (null ids last), of rows of
     that id the one with the least text hash, of equal rows any one. With more seeds there is a fingerprint and
     an index for each, and texts link that are near under any of them: near copies whose distance under one
     seed happens to be large are found by another."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle, seeds).withColumn("node", F.xxhash64("fps")), "fps")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, seeds).withColumn("node", _node(F.col("fps"))), "fps")
     nodes = written(prints.select("node", "fps").distinct(), "nodes")
     edges = []
     for k in range(len(seeds)):
@@ -175,13 +181,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = components(union, "u", "v")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     g = prints.select("id", "h", "node").join(comp, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    first = written(g.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "first")
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_hash(F.col(text_col)) == F.col("__h"))
+    own_id, own_h, own_k = free(docs, "__id", "__h", "__k")
+    first = written(g.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h)), "first")
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (row_hash(F.col(text_col)) == F.col(own_h))
     # As large as docs in rows: never broadcast.
     kept = docs.join(first.hint("merge"), on, "left_semi")
     # Equal rows pass the join together; they meet in a further shuffle only where there are any.
     again = prints.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
-    rows = kept.withColumn("__k", row_hash(F.col(text_col)))
-    return rows.dropDuplicates([id_col, "__k"]).drop("__k")
+    return kept.withColumn(own_k, row_hash(F.col(text_col))).dropDuplicates([id_col, own_k]).drop(own_k)
