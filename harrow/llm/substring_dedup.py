@@ -6,38 +6,42 @@ Super-k-mers go to the bucket of their minimiser, where all equal windows of the
 are unpacked, sorted by a 128-bit hash of their words and document id, and every window that a smaller id also
 has is a hit. Words under hits are removed.
 
-Transport. Map tasks pack each bucket's super-k-mers into Zstandard blobs in files of the shared folder and
-return one index row a blob; bucket tasks read their byte ranges. Nothing depends on an executor's disk.
+Transport. Map tasks pack each bucket's super-k-mers into Zstandard blobs, which go to their bucket's task through one
+shuffle, sorted by bucket, so that a task holds one bucket at a time. A lost executor costs its tasks.
 
 Skew. A task sends a super-k-mer once; when it meets the same string again in a larger id, that is a hit
-already and only its place is noted. So copies and shared passages cost a bucket one string a task, however
-many documents hold them. Buckets still over ``hot`` times the usual size (a minimiser at the edge of a common
-passage, with different words around) are dealt again, window by window, by the hash of the whole window.
+already and only its place is sent on. So copies and shared passages cost a bucket about one string a task, however
+many documents hold them. Buckets of over ``hot`` times the usual size (a minimiser at the edge of a common
+passage, with different words around) are dealt window by window, by the hash of the whole window. Which these are is
+counted on a share of the documents, ``sample``; it decides only where windows meet, not what is found.
 
 Defined results: null and short texts have no windows; equal ids never hit each other; a null id is smaller
-than all others; repeated rows are judged alike; an empty table gives no rows. Extra columns are not read.
+than all others; repeated rows are judged alike; an empty table gives no rows. Ids that are no integers are ranked
+first, which costs a join of the texts with their ranks. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..store import remove
-from .common import open_read, pieces, row_hash, scratch, text_bytes, write_bytes, written
+from ..operators.tables import sequenced
+from .common import arrow_map, pieces, row_hash, text_bytes, written
 
 NONE = -(2**63)
 SEEN = 200_000  # strings a task remembers
 FLUSH = 96 << 10  # bytes of a bucket's blob before packing
-HELD = 48 << 20  # bytes of all blobs a task holds
-ROW = "bucket bigint, file string, start bigint, length bigint, windows bigint, id bigint, h bigint, first int, last int"
+HELD = 48 << 20  # bytes of all strings a task holds
+ROW = "bucket bigint, blob binary, id bigint, h bigint, first int, last int"
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 2**63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -62,19 +66,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    """Collects strings by bucket, packs them, writes files and gives their index rows."""
+    """Collects strings by bucket and packs them into rows; hits that it finds itself are rows without a blob."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self) -> None:
         import zstandard
 
-        self.folder, self.pack = folder, zstandard.ZstdCompressor(level=3)
+        self.pack = zstandard.ZstdCompressor(level=3)
         self.open: dict[int, list[tuple]] = defaultdict(list)
         self.bytes: dict[int, int] = defaultdict(int)
-        self.held = self.size = 0
-        self.blobs: list[bytes] = []
+        self.held = self.ready = 0
         self.rows: list[tuple] = []
         self.seen: dict[bytes, int] = {}
-        self.file = f"{uuid.uuid4().hex}.bin"
 
     def add(self, bucket: int, string: bytes, key: int, h: int, first: int, windows: int) -> None:
         from xxhash import xxh3_128_digest
@@ -82,7 +84,8 @@ class Packer:
         mark = xxh3_128_digest(string)
         least = self.seen.get(mark)
         if least is not None and key > least:
-            self.rows.append((None, None, None, None, None, key, h, first, first + windows - 1))
+            self.rows.append((hash((key, h, first)), None, key, h, first, first + windows - 1))
+            self.ready += 64
             return
         if len(self.seen) >= SEEN:
             self.seen.clear()
@@ -102,23 +105,20 @@ class Packer:
         strings, *numbers = zip(*got, strict=True)
         plain = b"".join([np.int64(len(got)).tobytes(), *[np.array(x, np.int64).tobytes() for x in numbers], b"\n".join(strings)])
         blob = self.pack.compress(plain)
-        self.rows.append((bucket, self.file, self.size, len(blob), int(sum(numbers[3])), None, None, None, None))
-        self.blobs.append(blob)
-        self.size += len(blob)
+        self.rows.append((bucket, blob, None, None, None, None))
+        self.ready += len(blob)
 
     def batch(self, end: bool = False) -> Iterator[pa.RecordBatch]:
+        """The rows that are ready, some megabytes at a time."""
         if end:
             for b in list(self.open):
                 self.flush(b)
-        if self.blobs and (end or self.size >= HELD):
-            write_bytes(f"{self.folder}/{self.file}", iter(self.blobs))
-            self.blobs, self.size, self.file = [], 0, f"{uuid.uuid4().hex}.bin"
-        elif not end:
-            return  # rows wait for their file
-        if self.rows:
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], t) for i, t in enumerate(types)], ["bucket", "file", "start", "length", "windows", "id", "h", "first", "last"])
-            self.rows = []
+        if self.rows and (end or self.ready >= 4 << 20):
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            for i in range(0, len(self.rows), 20_000):
+                part = self.rows[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], ["bucket", "blob", "id", "h", "first", "last"])
+            self.rows, self.ready = [], 0
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -129,148 +129,175 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(plain, np.int64, 4 * n, 8).reshape(4, n), plain[8 + 32 * n :]
 
 
-def pack_documents(docs: DataFrame, folder: str, size: int, gram: int, buckets: int) -> DataFrame:
-    """docs: id long, h, text."""
+def _superkmers(b: pa.RecordBatch, size: int, gram: int, buckets: int) -> Iterator[tuple[int, bytes, int, int, int, int]]:
+    """(bucket, string, key, h, first window, windows) of a batch of key, h, text."""
+    keys, hs, counts = [], [], []
+    words: list[bytes] = []
+    rows = zip([NONE if k is None else k for k in b.column(0).to_pylist()], b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True)
+    for key, h, text in sorted(rows, key=itemgetter(0)):  # small ids first: then the others' copies are hits at once
+        own = (text or b"").split()
+        if len(own) >= size:
+            keys.append(key)
+            hs.append(h)
+            counts.append(len(own))
+            words += own
+    if not keys:
+        return
+    n = len(words)
+    line = b" ".join(words)
+    at = np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=at[1:])
+    doc = np.repeat(np.arange(len(keys)), counts)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    g = _runs(_hashes(words), gram, FACTORS[0])
+    del words
+    least = g[: n - size + 1].copy()
+    for j in range(1, size - gram + 1):
+        np.minimum(least, g[j : j + len(least)], out=least)
+    i = np.flatnonzero(doc[: len(least)] == doc[size - 1 :])
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (least[i[1:]] != least[i[:-1]])
+    starts = i[new]
+    ends = np.append(i[np.flatnonzero(new)[1:] - 1], i[-1])
+    bucket = (_mix(least[starts]) % np.uint64(buckets)).tolist()
+    d = doc[starts]
+    first = (starts - begin[d]).tolist()
+    for k, a, z, x, f, c in zip(bucket, at[starts].tolist(), (at[ends + size] - 1).tolist(), d.tolist(), first, (ends - starts + 1).tolist(), strict=True):
+        yield k, line[a:z], keys[x], hs[x], f, c
+
+
+def hot_buckets(rows: DataFrame, size: int, gram: int, buckets: int, most: float) -> dict[int, int]:
+    """The buckets of more than most windows, and how many parts of that size they make. rows: key, h, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Packer(folder)
+        n = Counter()
         for b in pieces(batches, 256):
-            keys, hs, lines, counts = [], [], [], []
-            words: list[bytes] = []
-            for key, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
-                own = (text or b"").split()
-                if len(own) >= size:
-                    keys.append(NONE if key is None else key)
-                    hs.append(h)
-                    counts.append(len(own))
-                    words += own
-            if not keys:
-                continue
-            n = len(words)
-            line = b" ".join(words)
-            at = np.zeros(n + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=at[1:])
-            doc = np.repeat(np.arange(len(keys)), counts)
-            begin = np.concatenate([[0], np.cumsum(counts)])
-            g = _runs(_hashes(words), gram, FACTORS[0])
-            del words
-            least = g[: n - size + 1].copy()
-            for j in range(1, size - gram + 1):
-                np.minimum(least, g[j : j + len(least)], out=least)
-            inside = doc[: len(least)] == doc[size - 1 :]
-            i = np.flatnonzero(inside)
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1] + 1) | (least[i[1:]] != least[i[:-1]])
-            starts = i[new]
-            ends = np.append(i[np.flatnonzero(new)[1:] - 1], i[-1])
-            bucket = (_mix(least[starts]) % np.uint64(buckets)).tolist()
-            d = doc[starts]
-            first = (starts - begin[d]).tolist()
-            for k, a, z, x, f, c in zip(bucket, at[starts].tolist(), (at[ends + size] - 1).tolist(), d.tolist(), first, (ends - starts + 1).tolist(), strict=True):
-                p.add(k, line[a:z], keys[x], hs[x], f, c)
-            yield from p.batch()
-        yield from p.batch(end=True)
+            for bucket, _, _, _, _, windows in _superkmers(b, size, gram, buckets):
+                n[bucket] += windows
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["bucket", "n"])
 
-    return docs.mapInArrow(run, ROW)
+    n = arrow_map(rows, run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return {r["bucket"]: -int(-r["n"] // most) for r in n.collect()}  # fewer than windows / most
 
 
-def pack_windows(blobs: DataFrame, folder: str, size: int) -> DataFrame:
-    """Deals the windows of some buckets again. blobs: bucket, file, start, length, parts."""
+def pack_documents(rows: DataFrame, size: int, gram: int, buckets: int, hot: dict[int, int]) -> DataFrame:
+    """The blobs of the super-k-mers of rows (key, h, text), and hits found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Packer(folder)
-        for b in batches:
-            for bucket, file, start, length, parts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                with open_read(f"{folder}/{file}") as f:
-                    f.seek(start)
-                    numbers, text = _unpack(f.read(length))
-                for string, (key, h, first, windows) in zip(text.split(b"\n"), numbers.T.tolist(), strict=True):
-                    words = string.split(b" ")
-                    own = _mix(_runs(_hashes(words), size, FACTORS[1])) % np.uint64(parts)
-                    for j in range(windows):
-                        p.add(((bucket + 1) << 24) + int(own[j]), b" ".join(words[j : j + size]), key, h, first + j, 1)
-                yield from p.batch()
+        p = Packer()
+        for b in pieces(batches, 256):
+            for bucket, string, key, h, first, windows in _superkmers(b, size, gram, buckets):
+                if bucket not in hot:
+                    p.add(bucket, string, key, h, first, windows)
+                    continue
+                words = string.split(b" ")
+                own = _mix(_runs(_hashes(words), size, FACTORS[1])) % np.uint64(hot[bucket])
+                for j in range(windows):
+                    p.add(((bucket + 1) << 24) + int(own[j]), b" ".join(words[j : j + size]), key, h, first + j, 1)
+            yield from p.batch()
         yield from p.batch(end=True)
 
-    return blobs.mapInArrow(run, ROW)
+    return arrow_map(rows, run, ROW)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The word hashes and numbers of each bucket in turn; blobs come sorted by bucket."""
+    now, hashes, numbers = None, [], []
+    for b in batches:
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            if bucket != now and hashes:
+                yield hashes, numbers
+                hashes, numbers = [], []
+            now = bucket
+            n, text = _unpack(b.column(1)[i].as_py())
+            hashes.append(_hashes(text.split()))
+            numbers.append(n)
+    if hashes:
+        yield hashes, numbers
 
 
-def count_buckets(blobs: DataFrame, folder: str, size: int) -> DataFrame:
-    """Hits of each bucket: id, h, first, last (windows). blobs: bucket, at (array of file, start, length)."""
+def count_buckets(packed: DataFrame, size: int) -> DataFrame:
+    """Hits of each bucket: id, h, first, last (windows). packed: as pack_documents has it, the rows of a bucket one
+    after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in b.column(1).to_pylist():
-                hashes, numbers, lengths = [], [], []
-                for x in sorted(at, key=lambda x: (x["file"], x["start"])):
-                    with open_read(f"{folder}/{x['file']}") as f:
-                        f.seek(x["start"])
-                        n, text = _unpack(f.read(x["length"]))
-                    hashes.append(_hashes(text.split()))
-                    numbers.append(n)
-                keys, hs, firsts, windows = np.concatenate(numbers, axis=1)
-                h = np.concatenate(hashes)
-                lengths = windows + size - 1
-                string = np.repeat(np.arange(len(keys)), lengths)
-                i = np.flatnonzero(string[: len(h) - size + 1] == string[size - 1 :])
-                a, z = _runs(h, size, FACTORS[1])[i], _runs(h, size, FACTORS[2])[i]
-                string = string[i]
-                key = keys[string]
-                order = np.lexsort((key, z, a))
-                a, z = a[order], z[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1])
-                sorted_key = key[order]
-                least = sorted_key[new][np.cumsum(new) - 1]
-                hit = np.zeros(len(order), bool)
-                hit[order] = sorted_key > least
-                # Runs of hits within a string.
-                place = i - (np.cumsum(lengths) - lengths)[string] + firsts[string]
-                j = np.flatnonzero(hit)
-                if not len(j):
-                    continue
-                new = np.ones(len(j), bool)
-                new[1:] = (j[1:] != j[:-1] + 1) | (string[j[1:]] != string[j[:-1]])
-                s = j[new]
-                e = np.append(j[np.flatnonzero(new)[1:] - 1], j[-1])
-                own = string[s]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(hs[own]), pa.array(place[s].astype(np.int32)), pa.array(place[e].astype(np.int32))], ["id", "h", "first", "last"])
-
-    return blobs.select("bucket", "at").mapInArrow(run, "id bigint, h bigint, first int, last int")
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, gram: int = 4, bucket_windows: int = 400_000, hot: int = 8) -> DataFrame:
-    """(id, h, first, last): runs of windows that a smaller id has too. Null ids are shown as the least long."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "superkmers")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    chars = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()["n"] or 0
-    buckets = max(1, chars // (6 * bucket_windows))
-    packed = written(pack_documents(rows, folder, size, gram, buckets), "packed")
-    notes = packed.where("bucket is null").select("id", "h", "first", "last")
-    blobs = packed.where("bucket is not null").select("bucket", "file", "start", "length", "windows")
-    sizes = blobs.groupBy("bucket").agg(F.sum("windows").alias("all_windows"))
-    over = written(sizes.where(F.col("all_windows") > hot * bucket_windows).select("bucket", F.ceil(F.col("all_windows") / bucket_windows).alias("parts")), "hot")
-    if not over.isEmpty():
-        wide = blobs.join(over, "bucket").select("bucket", "file", "start", "length", "parts")
-        again = written(pack_windows(wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, "file", "start"), folder, size), "packed")
-        notes = notes.unionByName(again.where("bucket is null").select("id", "h", "first", "last"))
-        blobs = blobs.join(over, "bucket", "left_anti").unionByName(again.where("bucket is not null").select(blobs.columns))
-    # One row a bucket, with the places of its blobs; as many tasks as buckets, up to a bound.
-    work = blobs.groupBy("bucket").agg(F.collect_list(F.struct("file", "start", "length")).alias("at"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, buckets // 4))
-    hits = count_buckets(work.repartition(tasks, "bucket"), folder, size)
-    found = written(notes.unionByName(hits).distinct(), "hits")
-    remove(spark, folder)  # the blobs have served; the text is dealt out only after this
-    return found
+        notes: list[pa.RecordBatch] = []
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                is_blob = pc.is_valid(b.column(1))
+                notes.append(b.filter(pc.invert(is_blob)).select([2, 3, 4, 5]))
+                yield b.filter(is_blob)
+
+        for hashes, numbers in _by_bucket(blobs()):
+            yield from notes
+            notes.clear()
+            keys, hs, firsts, windows = np.concatenate(numbers, axis=1)
+            h = np.concatenate(hashes)
+            lengths = windows + size - 1
+            string = np.repeat(np.arange(len(keys)), lengths)
+            i = np.flatnonzero(string[: len(h) - size + 1] == string[size - 1 :])
+            a, z = _runs(h, size, FACTORS[1])[i], _runs(h, size, FACTORS[2])[i]
+            string = string[i]
+            key = keys[string]
+            order = np.lexsort((key, z, a))
+            a, z = a[order], z[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1])
+            sorted_key = key[order]
+            least = sorted_key[new][np.cumsum(new) - 1]
+            hit = np.zeros(len(order), bool)
+            hit[order] = sorted_key > least
+            # Runs of hits within a string.
+            place = i - (np.cumsum(lengths) - lengths)[string] + firsts[string]
+            j = np.flatnonzero(hit)
+            if not len(j):
+                continue
+            new = np.ones(len(j), bool)
+            new[1:] = (j[1:] != j[:-1] + 1) | (string[j[1:]] != string[j[:-1]])
+            s = j[new]
+            e = np.append(j[np.flatnonzero(new)[1:] - 1], j[-1])
+            own = string[s]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(hs[own]), pa.array(place[s].astype(np.int32)), pa.array(place[e].astype(np.int32))], ["id", "h", "first", "last"])
+
+        yield from notes
+
+    return arrow_map(packed, run, "id bigint, h bigint, first int, last int")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (a long in the order of the ids), h (tells rows of one id apart; zero where no id is repeated), text."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    repeated = not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = docs.select(F.col(id_col).alias("id"), (row_hash(F.col(text_col)) if repeated else F.lit(0).cast("long")).alias("h"), F.col(text_col).alias("text"))
+    if isinstance(rows.schema["id"].dataType, IntegralType):
+        return rows.withColumn("key", F.col("id").cast("long"))
+    ranks = sequenced(ids.where("id is not null").distinct().withColumnRenamed("id", "name"), ["name"]).select("name", F.col("id").alias("key"))
+    return written(rows.join(ranks, F.col("id") == F.col("name"), "left").drop("name"), "keyed")
+
+
+def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 4, bucket_windows: int = 400_000, hot: int = 4, sample: float = 1 / 16, sample_docs: int = 200_000) -> DataFrame:
+    """(key, h, first, last): runs of windows that a smaller key has too. rows: key long, h, text. A null key is
+    shown as the least long. sample: the share of documents that hot buckets are counted on, of sample_docs at most."""
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("chars"), F.count("*").alias("n")).first()
+    buckets = max(1, (total["chars"] or 0) // (6 * bucket_windows))
+    rows = rows.select("key", "h", "text")
+    share = min(sample, sample_docs / max(total["n"], 1))
+    some = rows.where(F.xxhash64("key", "h") < -(2**63) + int(share * 2.0**64)) if share < 1 else rows
+    over = hot_buckets(some, size, gram, buckets, hot * bucket_windows * share) if buckets > 1 else {}
+    packed = pack_documents(rows, size, gram, buckets, over)
+    # A task counts a few buckets one after the other, up to a bound on tasks.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, buckets // 4))
+    hits = count_buckets(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), size)
+    return written(hits.withColumnRenamed("id", "key").distinct(), "hits")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, with_text: bool = False, **params) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of the kept words, one blank between), and kept if asked."""
-    hits = repeated_windows(docs, id_col, text_col, size, **params)
-    spans = hits.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "spans")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    on = (F.coalesce(F.col("id").cast("long"), F.lit(NONE)) == F.col("__id")) & (row_hash(F.col("text")) == F.col("__h"))
+    rows = _keyed(docs, id_col, text_col)
+    hits = repeated_windows(rows, size, **params)
+    spans = hits.groupBy("key", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("key").alias("__key"), F.col("h").alias("__h"), "spans")
+    on = (F.coalesce("key", F.lit(NONE)) == F.col("__key")) & (F.col("h") == F.col("__h"))
     joined = rows.join(spans, on, "left").select("id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,5 +315,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), line.decode() if with_text else None))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.string()])]], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = arrow_map(joined, run, f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
