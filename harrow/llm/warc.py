@@ -8,8 +8,11 @@ bundle, frame, and offset and length within the plain frame.
 
 Records. One WARC/1.1 record per page. Of records whose payloads are equal and at least ``revisit_least`` bytes
 long, that of the least id is a response and the others are revisits that refer to it and carry no payload.
-Tasks write their bundles under names of their own and rename them, and the index names only renamed files, so
-retried tasks do no harm.
+Tasks write their bundles frame by frame under names of their own and rename them, and the index names only renamed
+files, so retried tasks do no harm. A worker holds one frame. Reading deals the frames out by their bytes.
+
+A record says when it was made (``date``, the time of the call unless given) and bears its page's id, percent-encoded,
+so that ids of any signs come back as they were.
 
 Defined results: null payloads are empty; rows that share the least id of a payload are all responses; rows
 with a null id come after all others, and among them alone all are responses. Null addresses are empty.
@@ -23,12 +26,14 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_read, pieces, scratch, text_bytes, write_bytes, written
+from .common import SharedFile, arrow_map, open_read, pieces, scratch, text_bytes, written
 
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -39,14 +44,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(key: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def urn(key: str) -> str:
+    return f"<urn:page:{quote(key, safe='')}>"
+
+
+def key_of(name: str) -> str:
+    return unquote(name.removeprefix("<urn:page:")[:-1])
+
+
+def record(key: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str, content_type: str = "text/html; charset=utf-8") -> bytes:
     """One WARC record; key and refers_to are page ids as text."""
     kind = "response" if refers_to is None else "revisit"
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{key}>", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(key)}", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
-    head.append(f"Content-Length: {len(payload)}")
+    head += [f"Content-Type: {content_type}", f"Content-Length: {len(payload)}"]
     return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + payload + b"\r\n\r\n"
 
 
@@ -97,63 +110,71 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     return joined.select("id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, date: str | None = None) -> DataFrame:
     """Writes the bundles and the index under folder; returns the index as read back."""
     rows = with_revisits(pages, id_col, url_col, payload_col, revisit_least)
+    when = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        bundle, frame, index = [], [], []
+        file, name, kind = None, "", None
+        frame, index = [], []
         sizes: list[tuple[int, int]] = []
-        name = ""
-        held = total = 0
+        held = 0
 
         def close_frame() -> None:
-            nonlocal frame, held, total
+            nonlocal held
             if frame:
-                plain = b"".join(frame)
-                bundle.append(pack.compress(plain))
-                sizes.append((len(bundle[-1]), len(plain)))
-                total += len(bundle[-1])
-                frame, held = [], 0
+                packed = pack.compress(b"".join(frame))
+                file.write(packed)
+                sizes.append((len(packed), held))
+                frame.clear()
+                held = 0
 
         def close_bundle() -> pa.RecordBatch:
-            nonlocal bundle, sizes, index, total
+            nonlocal file
             close_frame()
-            write_bytes(f"{folder}/{name}", iter([*bundle, seek_table(sizes)]))
+            file.write(seek_table(sizes))
+            file.commit()
             out = pa.RecordBatch.from_arrays([pa.array([name] * len(index), pa.string()), *[pa.array([x[i] for x in index], pa.int32()) for i in range(3)], pa.array([x[3] for x in index], kind)], ["bundle", "frame", "offset", "length", "id"])
-            bundle, sizes, index, total = [], [], [], 0
+            index.clear()
+            sizes.clear()
+            file = None
             return out
 
         for b in pieces(batches, 64):
             kind = b.column(0).type
             for key, url, payload, first in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if not name:
+                if file is None:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-                r = record("" if key is None else str(key), (url or b"").decode(), payload, base32_sha1(payload), None if first is None else str(first))
+                    file = SharedFile(f"{folder}/{name}")
+                r = record("" if key is None else str(key), (url or b"").decode(), payload, base32_sha1(payload), None if first is None else str(first), when)
                 index.append((len(sizes), held, len(r), key))
                 frame.append(r)
                 held += len(r)
                 if held >= frame_bytes:
                     close_frame()
-                    if total >= bundle_bytes:
+                    if sum(x for x, _ in sizes) >= bundle_bytes:
                         yield close_bundle()
-                        name = ""
-        if name:
+        if file is not None:
             yield close_bundle()
 
     kind_name = rows.schema["id"].dataType.simpleString()
-    rows.mapInArrow(run, INDEX.format(id=kind_name)).write.parquet(f"{folder}/index")
+    arrow_map(rows, run, INDEX.format(id=kind_name)).write.parquet(f"{folder}/index")
     return pages.sparkSession.read.parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_payload: bool = True, part_bytes: int = 16 << 20) -> DataFrame:
     """The records an index (or any part of it) names: id, target, payload_bytes, payload_digest, record_type,
-    refers_to, payload. Only the frames that hold them are read; digests of responses are checked."""
+    refers_to, and payload if asked. Only the frames that hold them are read, some part_bytes of records a task;
+    digests of responses are checked."""
     kind = index.schema["id"].dataType.simpleString()
-    at = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length", "id")).alias("records"))
+    # Index rows are few bytes for much to read: the number of tasks is set by what they stand for.
+    size = index.agg(F.sum(F.col("length").cast("long")).alias("n")).first()["n"] or 0
+    dealt = index.repartition(max(1, min(-(-size // part_bytes), 1 << 17)), "bundle", "frame")
+    at = dealt.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length", "id")).alias("records")).sortWithinPartitions("bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -177,17 +198,18 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "response" and base32_sha1(block) != digest:
                         raise ValueError(f"digest of {h['WARC-Record-ID']} in {name} does not match")
-                    refers = h["WARC-Refers-To"].removeprefix("<urn:page:")[:-1] if "WARC-Refers-To" in h else None
-                    rows.append((r["id"], h["WARC-Target-URI"], int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers, block if refers is None else None))
+                    refers = key_of(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
+                    rows.append((r["id"], h["WARC-Target-URI"], int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers, block if with_payload and refers is None else None))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([id_type, pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()])], ["id", "target", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
         if f is not None:
             f.close()
 
-    out = at.mapInArrow(run, f"id {kind}, target string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
-    return out.withColumn("refers_to", F.col("refers_to").cast(kind))
+    out = arrow_map(at, run, f"id {kind}, target string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
+    out = out.withColumn("refers_to", F.col("refers_to").cast(kind))
+    return out if with_payload else out.drop("payload")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", **params) -> DataFrame:
-    """All records as read back from the bundles written."""
+    """All records, without their payloads, as read back and checked from the bundles written."""
     folder = scratch(pages.sparkSession, "warc")
-    return read_records(write_bundles(pages, folder, id_col, url_col, payload_col, **params), folder)
+    return read_records(write_bundles(pages, folder, id_col, url_col, payload_col, **params), folder, with_payload=False)
