@@ -11,7 +11,7 @@ from harrow.llm.common import written
 from harrow.llm.decontam import decontaminate
 from harrow.llm.mixing import TARGETS, domain, mix
 from harrow.llm.quality_classifier import keep_good
-from harrow.llm.sharding import shards
+from harrow.llm.sharding import sharded
 from harrow.llm.simhash import near_dedup
 
 
@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every row."""
-    return shards(docs).withColumnRenamed("id", "doc_id")
+    """Every row, all columns, with its bytes and its shard of 16 MiB of text at most."""
+    return sharded(docs, limit=16 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
