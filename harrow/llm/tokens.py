@@ -6,10 +6,9 @@ pages have set sizes, and the writer adds column and offset indexes, so that a r
 columns without the tokens, or a range of ids without the rest. All of it goes through Spark's own readers and
 writers and works on any store they reach.
 
-Order. Rows are in the order of (id, hash of the text), the hash being XXH64 with seed 42 as a signed number, and
-zero for a null text. They are dealt by ranges of these two and their position, so that a repeated or null id does
-not meet in one task. The part number and the offset within the part are written with each row; the offset of a
-part is the sum of the parts before it, one small row each.
+Order. Rows are in the order of their ids, and rows of one id in that of the table as Spark reads it. They are dealt
+by ranges of id and position, so that a repeated or null id does not meet in one task. The part number and the offset
+within the part are written with each row; the offset of a part is the sum of the parts before it, one small row each.
 
 Encoding. A tokenizer that lower-cases, drops white space and takes every run of letters as one word gives a
 text the ids of its runs of letters and of other signs, one after the other. With such a one each worker keeps
@@ -18,8 +17,8 @@ gives the library only new ones: runs of letters straight to its model, others t
 Latin-1, with an apostrophe or with a special token's string, where runs are not independent, and all texts under
 any other tokenizer, go to the library as they are.
 
-Defined results: null text is empty; every text ends with the end id; rows of equal id follow each other by
-the hash of their text, null ids come first; an empty table writes an empty file. Extra columns are not read.
+Defined results: null text is empty; every text ends with the end id; rows of equal id follow each other in
+the order they have in the table, null ids come first; an empty table writes an empty file. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, row_hash, scratch
+from .common import arrow_map, pieces, rough_bytes, scratch
 
 CACHE_BYTES = 80 << 20
 #: What an entry takes besides its letters and ids: two objects' heads and its share of the table.
@@ -149,10 +148,10 @@ def write_tokens(
     """Writes docs to path as (part, offset, id, n_tokens, meta, tokens)."""
     meta = [c for c in meta_cols if c in docs.columns]
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"meta_{c}") for c in meta], row_hash(text).alias("__h"), F.monotonically_increasing_id().alias("__m"))
-    size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"meta_{c}") for c in meta], F.monotonically_increasing_id().alias("__m"))
+    size = rough_bytes(docs) or docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
     parts = max(1, min(-(-size // part_bytes), 1 << 18), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
-    rows = rows.repartitionByRange(parts, "id", "__h", "__m").sortWithinPartitions("id", "__h").drop("__h", "__m").withColumn("part", F.spark_partition_id())
+    rows = rows.repartitionByRange(parts, "id", "__m").sortWithinPartitions("id", "__m").drop("__m").withColumn("part", F.spark_partition_id())
     kind = rows.schema["id"].dataType
     names = ["part", "offset", "id", "n_tokens", *[f"meta_{c}" for c in meta], "tokens"]
 
