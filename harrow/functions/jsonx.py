@@ -1,101 +1,236 @@
-"""Semi-structured values: canonical form, hashes, keys, null rates and a JSON-Schema subset, over VARIANT."""
+"""Semi-structured values: canonical form, hashes, keys, null rates and JSON Schema, over VARIANT.
+
+A value is taken apart once: its kind, its fields as a map and its elements as an array are bound to a lambda's
+variable (``_opened``), and every rule reads them from there.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NO_ERRORS = "array<string>"
+#: Strings, numbers, and what lies between them, of JSON without blanks.
+TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
 
 def variant(text: Column) -> Column:
+    """Parsed JSON, or null; the last of equal keys counts (a setting of the session)."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return F.try_parse_json(text)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def number_text(token: Column) -> Column:
+    """A JSON number in its shortest form: no sign on zero, no point in a whole number, an exponent from 1e21 on and
+    below 1e-6. Numbers are double precision; beyond that range they are null."""
+
+    def shown(d: Column) -> Column:
+        s = F.abs(d).cast("string")
+        mantissa, exponent = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.nullif(F.split_part(s, F.lit("E"), F.lit(2)), F.lit("")).cast("int"), F.lit(0))
+        whole, rest = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+        digits = F.concat(whole, rest)
+        zeros = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+        # The value is 0.<plain> times ten to the power of place.
+        parts = F.struct(F.rtrim(F.ltrim(digits, F.lit("0")), F.lit("0")).alias("plain"), (F.length(whole) + exponent - zeros).alias("place"), F.when(d < 0, "-").otherwise("").alias("sign"))
+
+        def laid_out(p: Column) -> Column:
+            plain, place = p["plain"], p["place"]
+            n, power = F.length(plain), place - 1
+            small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), plain)
+            inner = F.concat(F.substring(plain, F.lit(1), place), F.lit("."), F.substring(plain, place + 1, n))
+            head = F.when(n > 1, F.concat(F.substring(plain, 1, 1), F.lit("."), F.substring(plain, F.lit(2), n))).otherwise(plain)
+            far = F.concat(head, F.lit("e"), F.when(power >= 0, "+").otherwise("-"), F.abs(power).cast("string"))
+            text = F.when((place >= n) & (place <= 21), F.concat(plain, F.repeat(F.lit("0"), place - n))).when((place > 0) & (place <= 21), inner).when((place > -6) & (place <= 0), small).otherwise(far)
+            return F.concat(p["sign"], text)
+
+        return F.when(d == 0, "0").when(F.abs(d) == math.inf, "null").otherwise(_let(parts, laid_out))
+
+    plain = token.rlike("^-?[1-9][0-9]{0,14}$")
+    return F.when(plain, token).otherwise(_let(token.cast("double"), shown))
+
+
 def canonical(v: Column) -> Column:
-    """JSON with sorted object keys; arrays keep their order."""
-    return F.to_json(v)
+    """JSON without blanks, with sorted object keys and numbers in their shortest form; arrays keep their order."""
+    fixed = lambda t: F.when(t.rlike("^-?[0-9]"), number_text(t)).otherwise(t)
+    respelt = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(TOKENS), F.lit(0)), fixed), "")
+    # Most values have whole numbers of few digits only and are left as they are.
+    return _let(F.to_json(v), lambda s: F.when(s.rlike(r"[0-9][.eE]|-0|[0-9]{16}"), respelt(s)).otherwise(s))
 
 
 def content_hash(v: Column) -> Column:
     return F.sha2(canonical(v), 256)
 
 
+def _fields(v: Column) -> Column:
+    """The fields of an object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _elements(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _kind(v: Column, fields: Column, elements: Column) -> Column:
+    """Only scalars are asked for their schema: that of an object would be made for all that is in it."""
+    s = F.schema_of_variant(v)
+    return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").when(fields.isNotNull(), "object").when(elements.isNotNull(), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
+
+
 def kind_of(v: Column) -> Column:
     """object, array, string, number, boolean or null; null where the value is absent."""
-    s = F.schema_of_variant(v)
-    return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").when(F.startswith(s, F.lit("OBJECT")), "object").when(F.startswith(s, F.lit("ARRAY")), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
+    return _let(F.struct(_fields(v).alias("f"), _elements(v).alias("e")), lambda x: _kind(v, x["f"], x["e"]))
+
+
+def _opened(v: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x: v, fields, elements, kind."""
+    full = lambda x: F.struct(v.alias("v"), x["f"].alias("fields"), x["e"].alias("elements"), _kind(v, x["f"], x["e"]).alias("kind"))
+    return _let(F.struct(_fields(v).alias("f"), _elements(v).alias("e")), lambda x: _let(full(x), use))
 
 
 def field(v: Column, name: str) -> Column:
-    return F.when(kind_of(v) == "object", F.try_variant_get(v, f"$['{name}']", "variant"))
+    """A field of an object, whatever signs its name has."""
+    return F.element_at(_fields(v), F.lit(name))
 
 
 def external_key(v: Column, names: tuple[str, ...] = ("externalKey", "id", "key")) -> Column:
     """The first of the fields that is a non-empty string or a number, as text."""
-    out = []
-    for n in names:
-        x = field(v, n)
-        text = F.try_variant_get(x, "$", "string")
-        out.append(F.when((kind_of(x) == "string") & (text != ""), text).when(kind_of(x) == "number", text))
-    return F.coalesce(*out)
+
+    def first(fields: Column) -> Column:
+        out = []
+        for n in names:
+            x = F.element_at(fields, F.lit(n))
+            text, kind = F.try_variant_get(x, "$", "string"), F.schema_of_variant(x)
+            number = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~F.startswith(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY"))
+            out.append(F.when((kind == "STRING") & (text != ""), text).when(number, number_text(text)))
+        return F.coalesce(*out)
+
+    return _let(_fields(v), first)
 
 
 def null_rates(items: DataFrame, group: list[str], value: str, required: list[str]) -> DataFrame:
     """group, field, rate: the share of items where the field is null or absent, for all fields that occur in
-    the group and the required ones. Keys are counted once a value, so only present values are exploded."""
+    the group and the required ones. Each value is opened once, into its fields."""
     total = items.groupBy(*group).agg(F.count("*").alias("n"))
-    objects = items.where(kind_of(F.col(value)) == "object")
-    keys = F.map_keys(F.from_json(canonical(F.col(value)), "map<string,string>"))
-    names = F.explode(F.transform(keys, lambda k: k))
-    present = objects.select(*group, value, names.alias("field"))
-    set_ = F.from_json(canonical(F.col(value)), "map<string,string>")[F.col("field")].isNotNull()
-    seen = present.groupBy(*group, "field").agg(F.sum(F.when(set_, 1).otherwise(0)).alias("present"))
+    present = items.select(*group, F.explode(_fields(F.col(value))).alias("field", "x"))
+    seen = present.groupBy(*group, "field").agg(F.sum(F.when(F.is_variant_null("x"), 0).otherwise(1)).alias("present"))
     wanted = total.select(*group, F.explode(F.array(*[F.lit(r) for r in required])).alias("field")).unionByName(seen.select(*group, "field")).distinct()
     j = wanted.join(seen, [*group, "field"], "left").join(total, group)
     return j.select(*group, "field", F.round(1 - F.coalesce("present", F.lit(0)) / F.col("n"), 6).alias("rate"))
 
 
-KNOWN = {"type", "required", "properties", "additionalProperties", "pattern", "minLength", "minimum", "items", "description"}
-
-
-def schema_errors(v: Column, schema: dict[str, Any], path: str = "") -> Column:
-    """Errors of a value under a JSON-Schema subset, as an array of 'path keyword'. Unknown keywords raise."""
-    if unknown := set(schema) - KNOWN:
-        raise ValueError(f"keywords not supported: {sorted(unknown)}")
-    kind, found = kind_of(v), []
-    add = lambda bad, word: found.append(F.when(bad, F.lit(f"{path or '/'} {word}")))
-    types = schema.get("type")
-    if types is not None:
-        ok = F.lit(False)
-        for t in [types] if isinstance(types, str) else types:
-            if t == "integer":
-                x = F.try_variant_get(v, "$", "double")
-                ok |= (kind == "number") & (x == F.floor(x))
-            else:
-                ok |= kind == t
-        add(~ok, "type")
-    text = F.try_variant_get(v, "$", "string")
-    if "pattern" in schema:
-        add((kind == "string") & ~text.rlike(schema["pattern"]), "pattern")
-    if "minLength" in schema:
-        add((kind == "string") & (F.length(text) < schema["minLength"]), "minLength")
-    if "minimum" in schema:
-        add((kind == "number") & (F.try_variant_get(v, "$", "double") < schema["minimum"]), "minimum")
-    for name in schema.get("required", []):
-        add((kind == "object") & field(v, name).isNull(), f"required {name}")
-    out = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-    properties = schema.get("properties", {})
-    if schema.get("additionalProperties") is False:
-        names = F.map_keys(F.from_json(F.when(kind == "object", canonical(v)), "map<string,string>"))
-        extra = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: ~n.isin(*properties) if properties else F.lit(True))
-        out = F.concat(out, F.transform(F.sort_array(extra), lambda n: F.concat(F.lit(f"{path or '/'} additional "), n)))
-    for name, sub in properties.items():
-        child = field(v, name)
-        out = F.concat(out, F.when(child.isNotNull(), schema_errors(child, sub, f"{path}/{name}")).otherwise(F.array().cast("array<string>")))
-    if "items" in schema:
-        each = F.when(kind == "array", F.try_variant_get(v, "$", "array<variant>"))
-        out = F.concat(out, F.coalesce(F.flatten(F.transform(each, lambda x: schema_errors(x, schema["items"], f"{path}/*"))), F.array().cast("array<string>")))
+def json_text(value: Any) -> str:
+    """The canonical text of a constant of a schema."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json_text(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(json_text, value)) + "]"
+    if isinstance(value, float) and value == int(value) and abs(value) < 1e21:
+        return str(int(value))
+    if isinstance(value, float):
+        return repr(value).replace("e-0", "e-")
+    return json.dumps(value, ensure_ascii=False)
+
+
+def schema_errors(v: Column, schema: dict[str, Any] | bool, path: str = "") -> Column:
+    """Errors of a value under a JSON Schema, as an array of 'path keyword'. Keywords that only annotate, formats
+    and unknown keywords are passed over; references must not be recursive."""
+    return _errors(v, schema, path, schema, ())
+
+
+def _errors(v: Column, schema: dict[str, Any] | bool, path: str, root: Any, via: tuple[str, ...]) -> Column:
+    here, none = path or "/", F.array().cast(NO_ERRORS)
+    if isinstance(schema, bool):
+        return none if schema else F.array(F.lit(f"{here} false"))
+
+    def rules(x: Column) -> Column:
+        kind, found, lists = x["kind"], [], []
+        add = lambda bad, word: found.append(F.when(bad, F.lit(f"{here} {word}")))
+        below = lambda s, tag="": _errors(x["v"], s, path, root, via)
+        holds = lambda s: F.size(below(s)) == 0
+        number, text = F.try_variant_get(x["v"], "$", "double"), F.try_variant_get(x["v"], "$", "string")
+        types = schema.get("type")
+        if types is not None:
+            ok = F.lit(False)
+            for t in [types] if isinstance(types, str) else types:
+                ok |= (kind == "number") & (number == F.floor(number)) if t == "integer" else kind == t
+            add(~ok, "type")
+        if "enum" in schema:
+            add(~canonical(x["v"]).isin([json_text(c) for c in schema["enum"]]), "enum")
+        if "const" in schema:
+            add(canonical(x["v"]) != json_text(schema["const"]), "const")
+        for word, limit in schema.items():
+            if word in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and not isinstance(limit, bool):
+                bad = {"minimum": number < limit, "maximum": number > limit, "exclusiveMinimum": number <= limit, "exclusiveMaximum": number >= limit}[word]
+                add((kind == "number") & bad, word)
+            elif word == "multipleOf":
+                add((kind == "number") & (F.abs(number / limit - F.round(number / limit)) > 1e-9), word)
+            elif word in ("minLength", "maxLength"):
+                add((kind == "string") & (F.length(text) < limit if word == "minLength" else F.length(text) > limit), word)
+            elif word == "pattern":
+                add((kind == "string") & ~text.rlike(limit), word)
+            elif word in ("minItems", "maxItems"):
+                add((kind == "array") & (F.size(x["elements"]) < limit if word == "minItems" else F.size(x["elements"]) > limit), word)
+            elif word == "uniqueItems" and limit:
+                add((kind == "array") & (F.size(F.array_distinct(F.transform(x["elements"], canonical))) < F.size(x["elements"])), word)
+            elif word in ("minProperties", "maxProperties"):
+                add((kind == "object") & (F.size(x["fields"]) < limit if word == "minProperties" else F.size(x["fields"]) > limit), word)
+            elif word == "contains":
+                add((kind == "array") & ~F.exists(x["elements"], lambda e: F.size(_errors(e, limit, path, root, via)) == 0), word)  # noqa: B023
+            elif word == "anyOf":
+                add(~_any([holds(s) for s in limit]), word)
+            elif word == "oneOf":
+                add(sum([holds(s).cast("int") for s in limit], F.lit(0)) != 1, word)
+            elif word == "not":
+                add(holds(limit), word)
+            elif word == "allOf":
+                lists += [below(s) for s in limit]
+            elif word == "$ref":
+                if limit in via or not limit.startswith("#"):
+                    raise ValueError(f"reference not supported: {limit}")
+                target = root
+                for step in [s.replace("~1", "/").replace("~0", "~") for s in limit[1:].split("/") if s]:
+                    target = target[step]
+                lists.append(_errors(x["v"], target, path, root, (*via, limit)))
+        for name in schema.get("required", []):
+            add((kind == "object") & ~F.map_contains_key(x["fields"], F.lit(name)), f"required {name}")
+        out = [F.array_compact(F.array(*found))] if found else []
+        properties, patterns, more = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties")
+        known = lambda n: _any([n.isin(*properties) if properties else F.lit(False), *[n.rlike(p) for p in patterns]])
+        fields = F.coalesce(x["fields"], F.create_map().cast("map<string,variant>"))
+        if more is False:
+            extra = F.sort_array(F.filter(F.map_keys(fields), lambda n: ~known(n)))
+            out.append(F.transform(extra, lambda n: F.concat(F.lit(f"{here} additional "), n)))
+        elif isinstance(more, dict):
+            out.append(F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: ~known(n))), lambda e: _errors(e["value"], more, f"{path}/*", root, via))))
+        for name, sub in properties.items():
+            child = F.element_at(fields, F.lit(name))
+            out.append(F.when(child.isNotNull(), _errors(child, sub, f"{path}/{name}", root, via)).otherwise(none))
+        for pattern, sub in patterns.items():
+            out.append(F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: n.rlike(pattern))), lambda e: _errors(e["value"], sub, f"{path}/*", root, via))))  # noqa: B023
+        if "items" in schema:
+            each = F.coalesce(x["elements"], F.array().cast("array<variant>"))
+            out.append(F.flatten(F.transform(each, lambda e: _errors(e, schema["items"], f"{path}/*", root, via))))
+        out += lists
+        return F.concat(*[F.coalesce(o, none) for o in out]) if out else none
+
+    return F.when(v.isNull(), none).otherwise(_opened(v, rules))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out |= c
     return out
 
 
@@ -107,10 +242,12 @@ TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean":
 
 
 def typed_view(items: DataFrame, value: str, schema: dict[str, Any], *keep: str) -> DataFrame:
-    """One typed column for each property of the schema."""
+    """One typed column for each property of the schema; a value of another type is null."""
     cols = []
     for name, sub in schema["properties"].items():
         t = sub.get("type", "string")
         t = next((x for x in ([t] if isinstance(t, str) else t) if x != "null"), "string")
-        cols.append(F.try_variant_get(F.col(value), f"$['{name}']", TYPES.get(t, "variant")).alias(name))
-    return items.select(*keep, *cols)
+        x = F.try_variant_get(F.element_at("__fields", F.lit(name)), "$", TYPES.get(t, "variant"))
+        whole = F.try_variant_get(F.element_at("__fields", F.lit(name)), "$", "double")
+        cols.append((F.when(whole == F.floor(whole), x) if t == "integer" else x).alias(name))
+    return items.withColumn("__fields", _fields(F.col(value))).select(*keep, *cols)

@@ -63,7 +63,36 @@ def test_schema(spark):
     texts = ['{"id":"1","title":"a"}', '{"id":"1"}', '{"id":1,"title":"a"}', '{"id":"1","title":"a","x":1}', '{"id":"1","title":"a","points":1.0}', '{"id":"1","title":"a","points":1.5}', '{"id":"1","title":"a","tags":["x",1]}', "[]", "nope", None]
     assert one(spark, lambda c: J.is_valid(J.variant(c), SCHEMA), *texts) == [True, False, False, False, True, False, False, False, False, False]
     with pytest.raises(ValueError):
-        J.schema_errors(F.col("x"), {"oneOf": []})
+        J.schema_errors(F.col("x"), {"$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}, "$ref": "#/$defs/a"})
+
+
+KEYWORDS = [
+    ({"enum": [1, "a", {"k": [1.0]}]}, ["1", "1.0", '"a"', '{"k":[1]}', "2", '"b"'], [True, True, True, True, False, False]),
+    ({"const": 100}, ["1e2", "100.0", "101", '"100"'], [True, True, False, False]),
+    ({"maxLength": 2, "minLength": 1}, ['"ab"', '"abc"', '""', "123"], [True, False, False, True]),
+    ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, ["[1]", "[1,2]", "[1,1.0]", "[]", "[1,2,3]", "{}"], [True, True, False, False, False, True]),
+    ({"minimum": 1, "exclusiveMaximum": 3, "multipleOf": 0.5}, ["1", "2.5", "3", "0.5", "1.2", '"x"'], [True, True, False, False, False, True]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 5, "type": "number"}]}, ['"x"', "7", "3", "null"], [True, True, False, False]),
+    ({"oneOf": [{"minimum": 2}, {"maximum": 4}]}, ["1", "3", "5"], [True, False, True]),
+    ({"allOf": [{"minimum": 2}, {"maximum": 4}], "not": {"const": 3}}, ["2", "3", "5"], [True, False, False]),
+    ({"additionalProperties": {"type": "string"}, "properties": {"n": {"type": "integer"}}}, ['{"n":1,"x":"a"}', '{"n":1,"x":2}', '{"n":1.5}'], [True, False, False]),
+    ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False}, ['{"n_a":1}', '{"n_a":"1"}', '{"b":1}'], [True, False, False]),
+    ({"properties": {"it's a": {"type": "string"}}, "required": ["it's a"]}, ['{"it\'s a":"x"}', '{"it\'s a":1}', "{}"], [True, False, False]),
+    ({"$defs": {"p": {"type": "integer"}}, "items": {"$ref": "#/$defs/p"}}, ["[1,2]", "[1,2.5]"], [True, False]),
+    ({"contains": {"const": 1}, "minProperties": 1}, ["[2,1]", "[2]", "{}"], [True, False, False]),
+    ({"type": "string", "format": "uri", "x-note": 1, "default": "d"}, ['"anything"', "1"], [True, False]),
+]
+
+
+@pytest.mark.parametrize(("schema", "texts", "valid"), KEYWORDS)
+def test_schema_keywords(spark, schema, texts, valid):
+    assert one(spark, lambda c: J.is_valid(J.variant(c), schema), *texts) == valid
+
+
+def test_numbers_in_canonical_form(spark):
+    texts = ["1e2", "100", "100.0", "-0", "0.0", "1.50", "1e-7", "0.000001", "1e21", "1e20", "12345678901234567890", "-1.5e300", '"1e2"', '"a\\"1.0"', '{"b":1.0,"a":[1e0]}', '{"a":1,"a":2}']
+    assert one(spark, lambda c: J.canonical(J.variant(c)), *texts) == ["100", "100", "100", "0", "0", "1.5", "1e-7", "0.000001", "1e+21", "100000000000000000000", "12345678901234567000", "-1.5e+300", '"1e2"', '"a\\"1.0"', '{"a":[1],"b":1}', '{"a":2}']
+    assert one(spark, lambda c: J.external_key(J.variant(c)), '{"id":7.0}', '{"id":1e3}', '{"it\'s":1,"id":"x"}') == ["7", "1000", "x"]
 
 
 def test_keys_and_hashes(spark):
