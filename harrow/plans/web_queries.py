@@ -76,7 +76,7 @@ _JSONISH = "(ltrim(body) like '{{%' and rtrim(body) like '%}}')"
 _REASON = (
     "case when status in (401, 403, 407, 429, 451) then concat('HTTP ', status) when contains(content_type, 'json') then null when " + _JSONISH + " then null "
     + " ".join(f"when regexp_matches(body, '(?i){p}') then '{r}'" for p, r in X.CHALLENGE_MARKERS)
-    + " when length(body) < 500 then concat('body of ', length(body)) when not (" + " or ".join(f"contains(body, '{m}')" for m in X.REAL_PAGE_MARKERS) + ") and length(body) < 10000 then 'no structure' end"
+    + " when length(body) < 500 then concat('body is only ', length(body), ' bytes') when not (" + " or ".join(f"contains(body, '{m}')" for m in X.REAL_PAGE_MARKERS) + ") and length(body) < 10000 then 'no document structure and an implausibly small body' end"
 )
 
 
