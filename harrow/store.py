@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir, or where it is unset and Spark runs on one machine (as in tests) a folder of our own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(sc, "_harrow_root", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="harrow-")

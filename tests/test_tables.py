@@ -35,6 +35,55 @@ def test_allowed():
     assert E.violations("def extract(g):\n    while True:\n        break\n    return [x for x in g.select('[data-x] > li')]\n") == []
 
 
+@pytest.mark.parametrize(
+    ("body", "bounded"),
+    [
+        ("while True:\n        for x in [1]:\n            break\n    return []", False),
+        ("while True:\n        while False:\n            break\n    return []", False),
+        ("while True:\n        for x in [1]:\n            return []", True),
+        ("while True:\n        for x in [1]:\n            pass\n        else:\n            break\n    return []", True),
+        ("while True:\n        if g:\n            break\n    return []", True),
+        ("while True:\n        try:\n            pass\n        except ValueError:\n            break\n    return []", True),
+        ("while True:\n        def f():\n            return 1\n    return []", False),
+    ],
+)
+def test_exits_of_loops(body, bounded):
+    rules = {r for r, _ in E.violations(f"def extract(g):\n    {body}\n")}
+    assert ("unbounded-loop" not in rules) == bounded
+
+
+@pytest.mark.parametrize("code", ["return [g.source.output_schema]", "return [g.outputSchema]", "return [output_schema]", "return [g.meta['output_schema']]"])
+def test_schema_is_out_of_reach(code):
+    assert "schema-reference" in {r for r, _ in E.violations(f"def extract(g):\n    {code}\n")}
+    assert E.violations("def extract(g):\n    return [{'schema': 'v1'}]\n") == []
+
+
+def test_runs_start_afresh(spark):
+    """A name of the module is as new for every response."""
+    code = "seen = []\ndef extract(g):\n    seen.append(g.url)\n    return [len(seen)]\n"
+    r = spark.createDataFrame([(i, "u", 200, "") for i in range(5)], "id bigint, url string, status int, body string").coalesce(1)
+    assert [x["items"] for x in E.run(r, code).collect()] == [["1"]] * 5
+
+
+def test_sequence(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "k int, v string")
+    got = T.sequenced(rows, ["k"], 100).collect()
+    assert sorted((r.id, r.k) for r in got) == [(101 + k, k) for k in range(50)]
+    assert T.sequenced(rows.where("k < 0"), ["k"]).count() == 0
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from harrow.store import shared_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, fine in (("yarn", False), ("local-cluster[2,1,512]", False), ("spark://h:7077", False)):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf), conf=conf)
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_root(fake)
+
+
 @pytest.mark.parametrize(
     ("code", "outcome"),
     [
