@@ -10,9 +10,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+from .tables import ERROR_CHARS, sequenced
+
 MAX_ATTEMPTS = 5
 LEASE_S = 900
 MIN_GAP_MS = 1000
+#: What one page of due sources, one drain of jobs and one of compile runs take at most.
+DUE_PAGE = 50
+MAX_JOBS = 500
+MAX_COMPILES = 20
 #: Source states by event, as fixed values: (state, event) -> state; a dash stands for any state.
 FSM = [
     ("-", "claim_compile", "compiling"),
@@ -31,12 +38,14 @@ def ntz(t: datetime) -> Column:
     return F.lit(t).cast("timestamp_ntz")
 
 
-def due_sources(sources: DataFrame, runs: DataFrame, as_of: datetime) -> DataFrame:
-    """Scheduled sources without a run inside their cadence: a left anti join on the source with a range residual."""
+def due_sources(sources: DataFrame, runs: DataFrame, as_of: datetime, limit: int | None = None) -> DataFrame:
+    """Scheduled sources without a run inside their cadence: a left anti join on the source with a range residual.
+    With a limit, so many of those that have waited longest (updated_at)."""
     s = sources.where(F.col("state").isin("active", "repairing"))
     r = runs.select(F.col("source_id").alias("run_source"), "created_at")
     newer = F.col("created_at") > ntz(as_of) - F.make_dt_interval(F.col("cadence_days"))
-    return s.join(r, (F.col("source_id") == F.col("run_source")) & newer, "left_anti")
+    due = s.join(r, (F.col("source_id") == F.col("run_source")) & newer, "left_anti")
+    return due if limit is None else due.orderBy("updated_at", "source_id").limit(limit)
 
 
 def encode_component(c: Column) -> Column:
@@ -62,27 +71,47 @@ def tick(due: DataFrame, with_adapter: DataFrame) -> DataFrame:
     return j.select("source_id", "key", "status", F.when(F.col("status") == "queued", resolve_url(F.col("template"), F.col("key"))).alias("url"))
 
 
+JOB_KEY = ["source_id", "url"]
+
+
 def enqueue(jobs: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
-    """jobs after requests (id, priority): what runs is left alone, anything else starts over, new ids are added."""
-    r = requests.groupBy("id").agg(F.min("priority").alias("new_priority"), F.min("source_id").alias("new_source"))
-    j = jobs.join(r, "id", "full_outer")
-    reset = F.col("new_priority").isNotNull() & ~F.col("state").eqNullSafe("running")
-    return j.select(
+    """jobs after requests (JOB_KEY, external_key, priority, run_after, pos), with the effect on each: what runs is
+    left alone, anything else under the same key starts over with the request's priority and time, new keys are
+    added, with ids counted on in the order of their keys. Of requests for one key, taken in the order of pos, the
+    last one's priority and time hold, and the first one's external key. Without a time a job may run at once."""
+    r = requests.groupBy(*JOB_KEY).agg(F.min_by("external_key", "pos").alias("new_key"), F.max_by(F.struct(F.coalesce("priority", F.lit(100)).alias("priority"), F.coalesce("run_after", ntz(as_of)).alias("run_after")), "pos").alias("new"))
+    j = jobs.join(r, JOB_KEY, "full_outer")
+    asked, there = F.col("new").isNotNull(), F.col("id").isNotNull()
+    reset = asked & ~F.col("state").eqNullSafe("running")
+    j = j.select(
         "id",
-        F.coalesce("source_id", "new_source").alias("source_id"),
-        F.when(reset, F.col("new_priority")).otherwise(F.col("priority")).alias("priority"),
+        *JOB_KEY,
+        F.when(there, F.col("external_key")).otherwise(F.col("new_key")).alias("external_key"),
+        F.when(reset, F.col("new.priority")).otherwise(F.col("priority")).alias("priority"),
         F.when(reset, "queued").otherwise(F.col("state")).alias("state"),
         F.when(reset, 0).otherwise(F.col("attempts")).alias("attempts"),
-        F.when(reset, ntz(as_of)).otherwise(F.col("run_after")).alias("run_after"),
-        F.when(F.col("new_priority").isNull(), "kept").when(F.col("state").isNull(), "inserted").when(reset, "reset").otherwise("running").alias("effect"),
+        F.when(reset, F.col("new.run_after")).otherwise(F.col("run_after")).alias("run_after"),
+        F.when(~reset, F.col("locked_by")).alias("locked_by"),
+        F.when(~reset, F.col("locked_at")).alias("locked_at"),
+        F.col("last_error"),
+        F.when(~asked, "kept").when(~there, "inserted").when(reset, "reset").otherwise("running").alias("effect"),
     )
+    j = written(j, "enqueue")
+    last = j.agg(F.max("id").alias("id")).first()["id"] or 0
+    return j.where("id is not null").unionByName(sequenced(j.where("id is null").drop("id"), JOB_KEY, last).select(j.columns))
 
 
 def claim(jobs: DataFrame, workers: int, as_of: datetime) -> DataFrame:
     """The jobs that so many workers get: the first by priority and id of those due. A global top-k, ranked after
     the limit has cut it down."""
     first = jobs.where((F.col("state") == "queued") & (F.col("run_after") <= ntz(as_of))).orderBy("priority", "id").limit(workers)
-    return first.select("id", "source_id", "priority", F.row_number().over(Window.orderBy("priority", "id")).alias("worker"), (F.col("attempts") + 1).cast("int").alias("attempts"), F.lit("running").alias("state"))
+    n = F.row_number().over(Window.orderBy("priority", "id"))
+    return first.select("id", "source_id", "priority", n.alias("worker"), (F.col("attempts") + 1).cast("int").alias("attempts"), F.lit("running").alias("state"), F.concat(F.lit("worker-"), n.cast("string")).alias("locked_by"), ntz(as_of).alias("locked_at"))
+
+
+def drain(jobs: DataFrame, as_of: datetime, most: int = MAX_JOBS) -> DataFrame:
+    """What one drain runs: the jobs due, in the order of their claims, most at the most."""
+    return claim(jobs, most, as_of)
 
 
 def claim_each(rows: DataFrame, key: str = "source_id") -> DataFrame:
@@ -95,17 +124,18 @@ def backoff_s(attempts: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), attempts) * 30, F.lit(3600.0)).cast("int")
 
 
-def fail(jobs: DataFrame, as_of: datetime) -> DataFrame:
-    """Failed jobs: queued again after a backoff, or dead after MAX_ATTEMPTS."""
+def fail(jobs: DataFrame, as_of: datetime, error: Column | None = None) -> DataFrame:
+    """Failed jobs: queued again after a backoff, or dead after MAX_ATTEMPTS; unlocked, with the error, cut."""
+    error = F.substring(F.lit(None).cast("string") if error is None else error, 1, ERROR_CHARS["job"])
     dead = F.col("attempts") >= MAX_ATTEMPTS
     wait = F.when(dead, 0).otherwise(backoff_s(F.col("attempts")))
-    return jobs.select("id", "source_id", "attempts", F.when(dead, "dead").otherwise("queued").alias("state"), wait.cast("int").alias("backoff_s"), (ntz(as_of) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait.cast("decimal(18,6)"))).alias("run_after"))
+    return jobs.select("id", "source_id", "attempts", F.when(dead, "dead").otherwise("queued").alias("state"), wait.cast("int").alias("backoff_s"), (ntz(as_of) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait.cast("decimal(18,6)"))).alias("run_after"), error.alias("last_error"), F.lit(None).cast("string").alias("locked_by"), F.lit(None).cast("timestamp_ntz").alias("locked_at"))
 
 
 def reclaim(jobs: DataFrame, as_of: datetime, lease_s: int = LEASE_S) -> DataFrame:
     """Running jobs whose lease has run out, queued again with their attempts kept."""
     stale = (F.col("state") == "running") & (F.col("locked_at") < ntz(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_s).cast("decimal(18,6)")))
-    return jobs.where(stale).select("id", "source_id", "attempts", F.lit("queued").alias("state"))
+    return jobs.where(stale).select("id", "source_id", "attempts", F.lit("queued").alias("state"), F.lit(None).cast("string").alias("locked_by"), F.lit(None).cast("timestamp_ntz").alias("locked_at"))
 
 
 def depth(jobs: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ SCHEMAS = {
     "compile_step": "id bigint, compile_run_id string, n int, tool string, input variant, output_summary variant",
     "job": "id bigint, source_id string, url string, external_key string, priority int, state string, attempts int, run_after timestamp_ntz, locked_by string, locked_at timestamp_ntz, last_error string",
     "run": "id bigint, job_id bigint, source_id string, adapter_id string, adapter_version int, canary boolean, http_status int, fetch_ms int, parse_ms int, bytes int, items int, valid_items int, field_nulls map<string,double>, outcome string, error string, tier_used string, escalated boolean, complete boolean, created_at timestamp_ntz",
-    "record": "id bigint, source_id string, external_key string, payload variant, content_hash string, first_seen timestamp_ntz, last_seen timestamp_ntz, last_run_id bigint, is_active boolean, gone_at timestamp_ntz",
-    "change_event": "id bigint, record_id bigint, source_id string, kind string, created_at timestamp_ntz, consumed_at timestamp_ntz",
+    "record": "id string, source_id string, external_key string, payload variant, content_hash string, first_seen timestamp_ntz, last_seen timestamp_ntz, last_run_id bigint, is_active boolean, gone_at timestamp_ntz",
+    "change_event": "id bigint, record_id string, source_id string, kind string, created_at timestamp_ntz, consumed_at timestamp_ntz",
 }
 #: The vocabularies of state columns.
 VALUES = {

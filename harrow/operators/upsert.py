@@ -1,18 +1,32 @@
 """Keyed upsert with change detection, its change feed, and sweeps of absent records.
 
-Each operator maps (state, input) to new rows; nothing is changed in place.
+Each operator maps (state, input) to new rows; nothing is changed in place. Records have the columns of
+``tables.SCHEMAS["record"]``; incoming items have the key, payload, content_hash, run_id and what ORDER names.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import sequenced, stable_uuid
+
 KEY = ["source_id", "external_key"]
 #: The order in which a batch's items are applied.
 ORDER = ["seen_at", "job_id", "item_idx", "content_hash"]
+RECORD = ["id", *KEY, "payload", "content_hash", "first_seen", "last_seen", "last_run_id", "is_active", "gone_at"]
+
+
+def record_id(*key: Column) -> Column:
+    """The id of a record, made from its key: the same in every batch, without a counter to wait for."""
+    return stable_uuid(*key)
+
+
+def _whole(df: DataFrame, **types: str) -> DataFrame:
+    """df with the columns it lacks as nulls."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
 
 
 def transitions(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -31,6 +45,12 @@ def change_events(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return transitions(current, incoming).where("kind <> 'unchanged'")
 
 
+def feed(changes: DataFrame, at: Column, order: list[str], after: int = 0) -> DataFrame:
+    """Changes (KEY, kind) as rows of the change feed: id counts on from after in the given order."""
+    rows = changes.select(record_id(F.col("source_id"), F.col("external_key")).alias("record_id"), "source_id", "external_key", "kind", at.alias("created_at"), *[c for c in order if c not in (*KEY, "kind")])
+    return sequenced(rows, order, after).select("id", "record_id", "source_id", "external_key", "kind", "created_at", F.lit(None).cast("timestamp_ntz").alias("consumed_at"))
+
+
 def write_result(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Inserted, updated and unchanged items of each source."""
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
@@ -38,19 +58,41 @@ def write_result(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The records after the batch: the last item of a key wins; what came is active again."""
-    last = incoming.groupBy(*KEY).agg(F.max_by("content_hash", F.struct(*ORDER)).alias("new_hash"), F.max("seen_at").alias("new_seen"))
+    """The records after the batch, and the change each has seen: the last item of a key wins; what came is active
+    again and no longer gone. An unchanged record is seen, and keeps its payload. Columns that either side lacks
+    are null."""
+    kind = dict(incoming.dtypes).get("payload") or dict(current.dtypes).get("payload", "string")
+    current = _whole(current, id="string", payload=kind, first_seen="timestamp_ntz", last_run_id="bigint", gone_at="timestamp_ntz")
+    incoming = _whole(incoming, payload=kind, run_id="bigint")
+    last = incoming.groupBy(*KEY).agg(
+        F.max_by(F.struct("payload", "content_hash", "run_id"), F.struct(*ORDER)).alias("new"), F.max("seen_at").alias("new_seen"), F.min("seen_at").alias("new_first")
+    )
     j = current.join(last, KEY, "full_outer")
-    came = F.col("new_hash").isNotNull()
+    came, there = F.col("new").isNotNull(), F.col("content_hash").isNotNull()
+    changed = came & (~F.col("content_hash").eqNullSafe(F.col("new.content_hash")) | ~F.col("is_active"))
     return j.select(
+        F.coalesce("id", record_id(F.col("source_id"), F.col("external_key"))).alias("id"),
         *KEY,
-        F.coalesce("new_hash", "content_hash").alias("content_hash"),
+        F.when(changed | ~there, F.col("new.payload")).otherwise(F.col("payload")).alias("payload"),
+        F.coalesce("new.content_hash", "content_hash").alias("content_hash"),
+        F.coalesce("first_seen", "new_first").alias("first_seen"),
         F.when(came, F.greatest("new_seen", "last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(came, F.col("new.run_id")).otherwise(F.col("last_run_id")).alias("last_run_id"),
         (came | F.coalesce("is_active", F.lit(False))).alias("is_active"),
-        F.when(F.col("content_hash").isNull(), "insert").when(came & (~F.col("content_hash").eqNullSafe(F.col("new_hash")) | ~F.col("is_active")), "update").otherwise("unchanged").alias("change"),
+        F.when(~came, F.col("gone_at")).alias("gone_at"),
+        F.when(~there, "insert").when(changed, "update").otherwise("unchanged").alias("change"),
     )
 
 
+def swept(current: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
+    """current after a sweep: the records with the keys of gone are inactive, and gone since at."""
+    g = gone.select(*KEY).distinct().withColumn("swept", F.lit(True))
+    hit = F.coalesce("swept", F.lit(False)) & F.col("is_active")
+    current = _whole(current, gone_at="timestamp_ntz")
+    new = {"is_active": F.col("is_active") & ~hit, "gone_at": F.when(hit, at).otherwise(F.col("gone_at"))}
+    return current.join(g, KEY, "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in current.columns])
+
+
 def sweep_absent(current: DataFrame, seen: DataFrame, complete: DataFrame) -> DataFrame:
     """Active records that a complete tick of their source did not see. complete: the source_ids it holds for;
     a source that saw nothing is left alone."""

@@ -30,24 +30,47 @@ def upsert_intra_batch(t: Tables) -> DataFrame:
     return U.transitions(t.record_cur, t.incoming)
 
 
+#: A record's id in DuckDB, and its columns as they are carried.
+ID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
+WITH_ID = f"(select * exclude (h), {ID} as rid from (select *, sha256(concat(cast(source_id as varchar), chr(0), external_key)) as h from {{0}}))"
+
+
+def _records(t: Tables) -> DataFrame:
+    return t.record_cur.withColumn("id", U.record_id(F.col("source_id"), F.col("external_key")))
+
+
 @query(f"select * from ({TRANS}) k where kind <> 'unchanged'")
 def change_events(t: Tables) -> DataFrame:
     return U.change_events(t.record_cur, t.incoming)
 
 
+@query(f"""select 1000 + row_number() over (order by seen_at, job_id, item_idx, content_hash, source_id, external_key) as id, rid as record_id, source_id, external_key, kind, seen_at as created_at, cast(null as timestamp) as consumed_at
+from {WITH_ID.replace("{0}", f"({TRANS}) k")} x where kind <> 'unchanged'""")
+def change_feed(t: Tables) -> DataFrame:
+    """The batch's changes as they are appended to the feed, after the thousand events that are there."""
+    return U.feed(U.change_events(t.record_cur, t.incoming), F.col("seen_at"), [*U.ORDER, *U.KEY], 1000)
+
+
 @query(f"""select source_id, cast(count(*) filter (kind = 'insert') as bigint) as inserted, cast(count(*) filter (kind = 'update') as bigint) as updated, cast(count(*) filter (kind = 'unchanged') as bigint) as unchanged from ({TRANS}) k group by source_id""")
 def write_result(t: Tables) -> DataFrame:
     return U.write_result(t.record_cur, t.incoming)
 
 
-@query("""with l as (select source_id, external_key, content_hash as new_hash, seen_at as new_seen
-  from (select *, row_number() over (partition by source_id, external_key order by seen_at desc, job_id desc, item_idx desc, content_hash desc) as rnk from {incoming}) x where rnk = 1)
-select coalesce(c.source_id, l.source_id) as source_id, coalesce(c.external_key, l.external_key) as external_key, coalesce(new_hash, content_hash) as content_hash,
-  case when new_hash is not null then greatest(new_seen, coalesce(last_seen, new_seen)) else last_seen end as last_seen, new_hash is not null or is_active as is_active,
-  case when content_hash is null then 'insert' when new_hash is not null and (new_hash <> content_hash or not is_active) then 'update' else 'unchanged' end as change
-from {record_cur} c full outer join l on l.source_id = c.source_id and l.external_key = c.external_key""")
+MERGED = f"""with l as (select source_id, external_key, content_hash as new_hash, payload as new_payload, run_id as new_run, seen_at as new_seen, new_first
+  from (select *, row_number() over (partition by source_id, external_key order by seen_at desc, job_id desc, item_idx desc, content_hash desc) as rnk, min(seen_at) over (partition by source_id, external_key) as new_first from {{incoming}}) x where rnk = 1),
+j as (select coalesce(c.source_id, l.source_id) as source_id, coalesce(c.external_key, l.external_key) as external_key, c.* exclude (source_id, external_key), l.* exclude (source_id, external_key),
+    content_hash is null as fresh, new_hash is not null as came, new_hash is not null and (new_hash <> content_hash or not is_active) as changed
+  from {{record_cur}} c full outer join l on l.source_id = c.source_id and l.external_key = c.external_key)
+select rid as id, source_id, external_key, case when changed or fresh then new_payload else payload end as payload, coalesce(new_hash, content_hash) as content_hash, coalesce(first_seen, new_first) as first_seen,
+  case when came then greatest(new_seen, coalesce(last_seen, new_seen)) else last_seen end as last_seen, case when came then new_run else last_run_id end as last_run_id, came or is_active as is_active,
+  case when not came then gone_at end as gone_at, case when fresh then 'insert' when changed then 'update' else 'unchanged' end as change
+from {WITH_ID.replace("{0}", "j")} x"""
+
+
+@query(MERGED)
 def upsert_merge(t: Tables) -> DataFrame:
-    return U.upsert(t.record_cur, t.incoming)
+    """Records after a batch, all columns."""
+    return U.upsert(_records(t), t.incoming)
 
 
 OUTBOX = "select event_id as id, user_id as source_id, event_type as kind, ts as created_at, case when event_id % 3 = 0 then ts end as consumed_at from {events}"
@@ -79,6 +102,25 @@ def sweep_absent(t: Tables) -> DataFrame:
     return U.sweep_absent(t.record_cur, t.incoming, t.record_cur.where("source_id % 3 <> 0").select("source_id").distinct())
 
 
+SWEPT = f"""is_active and source_id in ({COMPLETE}) and source_id in (select source_id from {{incoming}}) and not exists (select 1 from {{incoming}} i where i.source_id = c.source_id and i.external_key = c.external_key)"""
+
+
+@query(f"""select rid as id, source_id, external_key, payload, content_hash, first_seen, last_seen, last_run_id, is_active and not swept as is_active, case when swept then timestamp '1999-01-01 00:00:00' else gone_at end as gone_at
+from {WITH_ID.replace("{0}", f"(select *, {SWEPT} as swept from {{record_cur}} c)")} x""")
+def sweep_apply(t: Tables) -> DataFrame:
+    """Records after a sweep: those it did not see are inactive, and gone since then."""
+    gone = U.sweep_absent(t.record_cur, t.incoming, t.record_cur.where("source_id % 3 <> 0").select("source_id").distinct())
+    return U.swept(_records(t), gone, F.lit(datetime(1999, 1, 1)).cast("timestamp_ntz")).select(*U.RECORD)
+
+
+@query(f"""select row_number() over (order by source_id, external_key) as id, rid as record_id, source_id, external_key, 'gone' as kind, timestamp '1999-01-01 00:00:00' as created_at, cast(null as timestamp) as consumed_at
+from {WITH_ID.replace("{0}", f"(select * from {{record_cur}} c where {SWEPT})")} x""")
+def gone_feed(t: Tables) -> DataFrame:
+    """The events of a sweep."""
+    gone = U.sweep_absent(t.record_cur, t.incoming, t.record_cur.where("source_id % 3 <> 0").select("source_id").distinct())
+    return U.feed(gone, F.lit(datetime(1999, 1, 1)).cast("timestamp_ntz"), U.KEY)
+
+
 @query(f"""select source_id, external_key, last_seen, 'gone' as kind from {{record_cur}} where is_active and last_seen < timestamp '1997-06-01 00:00:00' and source_id in ({COMPLETE})""")
 def sweep_stale(t: Tables) -> DataFrame:
     return U.sweep_stale(t.record_cur, datetime(1997, 6, 1), t.record_cur.where("source_id % 3 <> 0").select("source_id").distinct())
@@ -98,6 +140,12 @@ def due_sources(t: Tables) -> DataFrame:
     return Q.due_sources(t.sources, t.runs, AS_OF).select("source_id", "cadence_days", "state")
 
 
+@query(f"select source_id, cadence_days, state, updated_at from ({DUE}) d order by updated_at, source_id limit 50")
+def due_page(t: Tables) -> DataFrame:
+    """The fifty due sources that have waited longest: what one tick takes."""
+    return Q.due_sources(t.sources, t.runs, AS_OF, Q.DUE_PAGE).select("source_id", "cadence_days", "state", "updated_at")
+
+
 def _entry_keys(s: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(1), F.col("n_keys")), lambda i: F.concat(F.lit("key "), i.cast("string"), F.lit("/é")))
     return s.withColumn("entry_keys", F.when(F.col("n_keys") > 0, keys))
@@ -113,41 +161,52 @@ def tick_expand(t: Tables) -> DataFrame:
     return Q.tick(s, t.sources.where("source_id % 6 <> 0"))
 
 
-REQ = "select o_orderkey + case when o_orderkey % 10 = 3 then 100000000 else 0 end as id, o_custkey as source_id, 100 as priority from {orders} where o_orderkey % 5 = 3"
+REQ = """select o_custkey as source_id, concat('https://x.example/o/', cast(o_orderkey as varchar), case when o_orderkey % 10 = 3 then '/new' else '' end) as url, concat('r', cast(n as varchar)) as external_key, case when n = 2 then 50 end as priority,
+  case when o_orderkey % 4 = 0 then o_orderdate end as run_after, o_orderkey * 2 + n as pos from {orders} cross join (values (1), (2)) v(n) where o_orderkey % 5 = 3 and (n = 1 or o_orderkey % 7 = 0)"""
+ENQUEUED = f"""with r as (select source_id, url, arg_min(external_key, pos) as new_key, coalesce(arg_max(coalesce(priority, 100), pos)) as new_priority, arg_max(coalesce(run_after, timestamp '1998-01-01 00:00:00'), pos) as new_after from ({REQ}) q group by source_id, url),
+j as (select coalesce(j.source_id, r.source_id) as source_id, coalesce(j.url, r.url) as url, j.* exclude (source_id, url), r.* exclude (source_id, url), r.new_priority is not null as asked, r.new_priority is not null and coalesce(state, '') <> 'running' as reset
+  from {{jobs}} j full outer join r on r.source_id = j.source_id and r.url = j.url)
+select coalesce(id, (select max(id) from {{jobs}}) + row_number() over (partition by id is null order by source_id, url)) as id, source_id, url, case when id is null then new_key else external_key end as external_key, case when reset then new_priority else priority end as priority,
+  case when reset then 'queued' else state end as state, case when reset then 0 else attempts end as attempts, case when reset then new_after else run_after end as run_after, case when not reset then locked_by end as locked_by, case when not reset then locked_at end as locked_at, last_error,
+  case when not asked then 'kept' when id is null then 'inserted' when reset then 'reset' else 'running' end as effect from j"""
 
 
-@query(f"""select coalesce(j.id, r.id) as id, coalesce(j.source_id, r.source_id) as source_id,
-  case when r.id is not null and coalesce(j.state, '') <> 'running' then 100 else j.priority end as priority,
-  case when r.id is not null and coalesce(j.state, '') <> 'running' then 'queued' else j.state end as state,
-  case when r.id is not null and coalesce(j.state, '') <> 'running' then 0 else j.attempts end as attempts,
-  case when r.id is not null and coalesce(j.state, '') <> 'running' then timestamp '1998-01-01 00:00:00' else j.run_after end as run_after,
-  case when r.id is null then 'kept' when j.id is null then 'inserted' when j.state = 'running' then 'running' else 'reset' end as effect
-from {{jobs}} j full outer join ({REQ}) r on r.id = j.id""")
+@query(ENQUEUED)
 def enqueue_upsert(t: Tables) -> DataFrame:
-    o = t.orders.where("o_orderkey % 5 = 3")
-    r = o.select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 10 == 3, 100000000).otherwise(0)).alias("id"), F.col("o_custkey").alias("source_id"), F.lit(100).alias("priority"))
+    """Jobs after a batch of requests, some for jobs that are there and some asked for twice."""
+    o = t.orders.where("o_orderkey % 5 = 3").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).where("n = 1 or o_orderkey % 7 = 0")
+    r = o.select(F.col("o_custkey").alias("source_id"), F.concat(F.lit("https://x.example/o/"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 10 == 3, "/new").otherwise("")).alias("url"), F.concat(F.lit("r"), F.col("n").cast("string")).alias("external_key"), F.when(F.col("n") == 2, 50).alias("priority"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("run_after"), (F.col("o_orderkey") * 2 + F.col("n")).alias("pos"))
     return Q.enqueue(t.jobs, r, JOBS_AS_OF)
 
 
-@query("""select id, source_id, priority, cast(row_number() over (order by priority, id) as int) as worker, attempts + 1 as attempts, 'running' as state from {jobs}
-where state = 'queued' and run_after <= timestamp '1998-01-01 00:00:00' order by priority, id limit 64""")
+CLAIM = """select id, source_id, priority, cast(row_number() over (order by priority, id) as int) as worker, attempts + 1 as attempts, 'running' as state, concat('worker-', row_number() over (order by priority, id)) as locked_by, timestamp '1998-01-01 00:00:00' as locked_at from {jobs}
+where state = 'queued' and run_after <= timestamp '1998-01-01 00:00:00' order by priority, id limit """
+
+
+@query(CLAIM + "64")
 def claim_jobs(t: Tables) -> DataFrame:
     """What 64 workers claim."""
     return Q.claim(t.jobs, 64, JOBS_AS_OF)
 
 
+@query(CLAIM + "500")
+def drain_jobs(t: Tables) -> DataFrame:
+    """What one drain takes."""
+    return Q.drain(t.jobs, JOBS_AS_OF)
+
+
 @query("""select source_id, min(id) as id, cast(count(*) as bigint) as waiting from {repairs} r where state = 'queued' and not exists (select 1 from {repairs} b where b.state = 'running' and b.source_id = r.source_id) group by source_id""")
 def claim_compile(t: Tables) -> DataFrame:
     return Q.claim_each(t.repairs)
 
 
 @query("""select id, source_id, attempts, case when attempts >= 5 then 'dead' else 'queued' end as state, cast(case when attempts >= 5 then 0 else least(pow(2, attempts) * 30, 3600) end as int) as backoff_s,
-timestamp '1998-01-01 00:00:00' + cast(case when attempts >= 5 then 0 else least(pow(2, attempts) * 30, 3600) end as int) * interval '1' second as run_after from {jobs} where state = 'running'""")
+timestamp '1998-01-01 00:00:00' + cast(case when attempts >= 5 then 0 else least(pow(2, attempts) * 30, 3600) end as int) * interval '1' second as run_after, substr(repeat('e', cast(1990 + id % 20 as int)), 1, 2000) as last_error, cast(null as varchar) as locked_by, cast(null as timestamp) as locked_at from {jobs} where state = 'running'""")
 def retry_backoff(t: Tables) -> DataFrame:
-    return Q.fail(t.jobs.where("state = 'running'"), JOBS_AS_OF)
+    return Q.fail(t.jobs.where("state = 'running'"), JOBS_AS_OF, F.repeat(F.lit("e"), (1990 + F.col("id") % 20).cast("int")))
 
 
-@query("""select id, source_id, attempts, 'queued' as state from {jobs} where state = 'running' and locked_at < timestamp '1998-01-01 00:00:00' - interval '900' second""")
+@query("""select id, source_id, attempts, 'queued' as state, cast(null as varchar) as locked_by, cast(null as timestamp) as locked_at from {jobs} where state = 'running' and locked_at < timestamp '1998-01-01 00:00:00' - interval '900' second""")
 def reclaim_stale(t: Tables) -> DataFrame:
     return Q.reclaim(t.jobs, JOBS_AS_OF)
 

@@ -34,12 +34,14 @@ select id, source_id, outcome, items, valid_items, case when source_id % 9 = 0 t
 select source_id, cast(1 + source_id % 3 as int) as cadence_days, concat('source-', cast(source_id as varchar(20))) as source_key,
   case when source_id % 5 = 3 then 'degraded' when source_id % 5 = 4 then 'repairing' else 'active' end as state,
   case when source_id % 7 = 0 then null else concat('https://', cast(source_id % 11 as varchar(20)), '.example.com/list?q={{key}}') end as template,
-  cast(source_id % 4 as int) as n_keys
-from (select distinct user_id as source_id from {events}) s""",
+  cast(source_id % 4 as int) as n_keys, updated_at
+from (select user_id as source_id, max(ts) as updated_at from {events} group by user_id) s""",
     "jobs": """
 select o_orderkey as id, o_custkey as source_id, cast(substring(o_orderpriority, 1, 1) as int) * 50 as priority,
   case o_orderstatus when 'P' then 'queued' when 'O' then 'running' else 'done' end as state,
-  cast(o_orderkey % 7 as int) as attempts, o_orderdate as run_after, o_orderdate as locked_at
+  cast(o_orderkey % 7 as int) as attempts, o_orderdate as run_after, case when o_orderstatus in ('P', 'O') then o_orderdate end as locked_at,
+  concat('https://x.example/o/', cast(o_orderkey as varchar(20))) as url, concat('o', cast(o_orderkey as varchar(20))) as external_key,
+  case when o_orderstatus = 'O' then 'w1' end as locked_by, case when o_orderkey % 3 = 0 then 'timeout' end as last_error
 from {orders}""",
     "adapters": """
 select id, source_id, version, case when rnk = 1 then 'canary' when rnk = 2 then 'active' when size2 = 0 then 'retired' else 'draft' end as status
@@ -49,13 +51,14 @@ from (select p_partkey as id, p_brand as source_id, p_size % 2 as size2,
     "line_items": """
 select l_orderkey % 50 as source_id, concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as external_key,
   cast(l_quantity as int) as quantity, l_shipdate as seen_at, l_partkey as job_id, l_suppkey as item_idx, l_linestatus,
-  concat('q', cast(cast(l_quantity as int) as varchar(20)), 'p', cast(l_partkey % 5 as varchar(20))) as content_hash
+  concat('q', cast(cast(l_quantity as int) as varchar(20)), 'p', cast(l_partkey % 5 as varchar(20))) as content_hash,
+  concat('{{"q":', cast(cast(l_quantity as int) as varchar(20)), ',"p":', cast(l_partkey % 5 as varchar(20)), '}}') as payload
 from {lineitem}""",
     "record_cur": """
-select source_id, external_key, content_hash, seen_at as last_seen, quantity % 7 <> 0 as is_active
+select source_id, external_key, payload, content_hash, seen_at - interval '10' day as first_seen, seen_at as last_seen, job_id as last_run_id, quantity % 7 <> 0 as is_active, case when quantity % 7 = 0 then seen_at end as gone_at
 from (select *, row_number() over (partition by source_id, external_key order by seen_at desc, job_id desc, item_idx desc, content_hash desc) as rnk from {line_items} where l_linestatus = 'O') c where rnk = 1""",
     "incoming": """
-select source_id, external_key, content_hash, seen_at, job_id, item_idx from {line_items} where l_linestatus = 'F'""",
+select source_id, external_key, payload, content_hash, seen_at, job_id, item_idx, job_id as run_id from {line_items} where l_linestatus = 'F'""",
     "responses": """
 select page_id, url, status, content_type, case variant when 1 then concat('<title>Just a moment</title>', html) when 2 then replace(html, '<article', '<section')
   when 3 then substring(html, 1, 300) when 4 then concat('{{"items":[', cast(page_id as varchar(20)), ']}}') else html end as body

@@ -28,9 +28,34 @@ def test_claim_order(spark):
 
 
 def test_enqueue(spark):
-    j = jobs(spark, (1, "running", 2), (1, "dead", 5))
-    r = spark.createDataFrame([(0, 1, 9), (1, 1, 9), (7, 2, 9)], "id bigint, source_id bigint, priority int")
-    assert {x.id: (x.state, x.attempts, x.effect) for x in Q.enqueue(j, r, T0).collect()} == {0: ("running", 2, "running"), 1: ("queued", 0, "reset"), 7: ("queued", 0, "inserted")}
+    """By source and address: what runs is left alone, what is there starts over, what is new gets an id."""
+    later = T0 + timedelta(days=1)
+    full = "id bigint, source_id bigint, url string, external_key string, priority int, state string, attempts int, run_after timestamp_ntz, locked_by string, locked_at timestamp_ntz, last_error string"
+    j = spark.createDataFrame([(1, 1, "u", "k", 100, "running", 2, T0, "w", T0, None), (2, 1, "v", "k", 100, "dead", 5, T0, "w", T0, "e"), (3, 2, "u", "k", 100, "queued", 0, T0, None, None, None)], full)
+    asked = [(1, "u", "x", 9, None, 1), (1, "v", "x", 9, later, 2), (1, "w", "first", 5, None, 3), (1, "w", "second", None, later, 4), (0, "z", "x", 9, None, 5)]
+    r = spark.createDataFrame(asked, "source_id bigint, url string, external_key string, priority int, run_after timestamp_ntz, pos int")
+    got = {(x.source_id, x.url): (x.id, x.external_key, x.priority, x.state, x.attempts, x.run_after, x.locked_by, x.last_error, x.effect) for x in Q.enqueue(j, r, T0).collect()}
+    assert got == {
+        (1, "u"): (1, "k", 100, "running", 2, T0, "w", None, "running"),
+        (1, "v"): (2, "k", 9, "queued", 0, later, None, "e", "reset"),
+        (2, "u"): (3, "k", 100, "queued", 0, T0, None, None, "kept"),
+        (0, "z"): (4, "x", 9, "queued", 0, T0, None, None, "inserted"),
+        (1, "w"): (5, "first", 100, "queued", 0, later, None, None, "inserted"),
+    }
+
+
+def test_claims_lock_and_failures_unlock(spark):
+    got = Q.claim(jobs(spark, (1, "queued", 0)), 5, T0).first()
+    assert (got.locked_by, got.locked_at, got.state) == ("worker-1", T0, "running")
+    f = Q.fail(jobs(spark, (1, "running", 1)), T0, F.lit("x" * 3000)).first()
+    assert len(f.last_error) == 2000 and f.locked_by is None and f.locked_at is None
+    assert Q.drain(jobs(spark, *[(1, "queued", 0)] * 5), T0, 3).count() == 3
+
+
+def test_due_page_takes_those_that_waited_longest(spark):
+    src = spark.createDataFrame([(i, 1, "active", T0 - timedelta(hours=i % 4)) for i in range(8)], "source_id bigint, cadence_days int, state string, updated_at timestamp_ntz")
+    none = spark.createDataFrame([], "source_id bigint, created_at timestamp_ntz")
+    assert sorted(r.source_id for r in Q.due_sources(src, none, T0, 3).collect()) == [2, 3, 7]
 
 
 def test_reclaim(spark):
