@@ -241,13 +241,24 @@ def is_valid(v: Column, schema: dict[str, Any]) -> Column:
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
 
 
+def _typed(x: Column, kind: str) -> Column:
+    """A value as one of TYPES: text of scalars, whole numbers only for an integer, null for what does not fit."""
+    text, shape = F.try_variant_get(x, "$", "string"), F.schema_of_variant(x)
+    number = ~shape.isin("STRING", "BOOLEAN", "VOID") & ~F.startswith(shape, F.lit("OBJECT")) & ~F.startswith(shape, F.lit("ARRAY"))
+    whole = F.try_variant_get(x, "$", "double")
+    if kind == "string":
+        return F.when(number, number_text(text)).when(shape.isin("STRING", "BOOLEAN"), text)
+    if kind == "integer":
+        return F.when(number & (whole == F.floor(whole)), F.try_variant_get(x, "$", "bigint"))
+    return F.try_variant_get(x, "$", TYPES.get(kind, "variant"))
+
+
 def typed_view(items: DataFrame, value: str, schema: dict[str, Any], *keep: str) -> DataFrame:
     """One typed column for each property of the schema; a value of another type is null."""
     cols = []
     for name, sub in schema["properties"].items():
         t = sub.get("type", "string")
         t = next((x for x in ([t] if isinstance(t, str) else t) if x != "null"), "string")
-        x = F.try_variant_get(F.element_at("__fields", F.lit(name)), "$", TYPES.get(t, "variant"))
-        whole = F.try_variant_get(F.element_at("__fields", F.lit(name)), "$", "double")
-        cols.append((F.when(whole == F.floor(whole), x) if t == "integer" else x).alias(name))
+        v = F.element_at("__fields", F.lit(name))
+        cols.append(_let(v, lambda x: _typed(x, t)).alias(name))  # noqa: B023
     return items.withColumn("__fields", _fields(F.col(value))).select(*keep, *cols)

@@ -73,8 +73,16 @@ select id, source_id, fixture, v, k, case v
   when 4 then '{{"id":7,"title":"t","points":1.5}}'
   when 5 then '{{"title":"t","points":2,"extra":{{"z":1,"b":[3,1]}}}}'
   when 6 then '{{"id":"8","title":null,"points":3,"url":"u"}}'
-  else '[1,2]' end as payload
-from (select event_id as id, user_id as source_id, cast(event_id % 4 as int) as fixture, cast(event_id % 8 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+  when 7 then '[1,2]'
+  when 8 then '{{"id":"12","title":"e","points":1e2}}'
+  when 9 then '{{"points":100.0,"title":"e","id":"12"}}'
+  when 10 then concat('{{"id":"', ks, '","title":"no 1.0 here","points":', ks, '.50,"na me":true,"0":{{"y":[],"x":-0.0}}}}')
+  when 11 then concat('{{"title":"x","id":"', ks, '","points":0.0,"url":"u","key":', ks, '.0}}')
+  when 12 then 'not json'
+  else concat('{{"externalKey":"e', ks, '","id":"', ks, '","title":"t', ks, '","points":', ks, '}}') end as payload
+from (select event_id as id, user_id as source_id, cast(event_id % 4 as int) as fixture, cast(event_id % 14 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+    "gate_items": """
+select id, source_id, fixture, case when source_id % 3 = 0 then concat('{{"id":"', cast(k as varchar(20)), '","title":"t","points":', cast(id as varchar(20)), '}}') else payload end as payload from {payloads}""",
     "json_pages": """
 select page_id as id, status, content_type, case when variant = 3 then '{{"items":"none"}}' when variant = 4 then html else concat('{{"items":[', case when n >= 1 then concat('{{"id":"', p, '1","title":"a","points":', p, '}}') else '' end,
     case when n >= 2 then concat(',{{"id":"', p, '2","title":"b","points":2}}') else '' end, case when n >= 3 then ',{{"title":"c","points":-2}}' else '' end, ']}}') end as body, n, variant

@@ -27,48 +27,85 @@ def _variants(t: Tables) -> DataFrame:
     return t.payloads.withColumn("value", J.variant(F.col("payload")))
 
 
-CANONICAL = """case v when 0 then concat('{{"id":"123","points":', k, ',"title":"t', k, '","url":null}}') when 1 then concat('{{"id":"9","points":', k, ',"title":"t"}}') when 2 then '{{"id":"a1","points":1,"title":"t"}}'
- when 3 then '{{"id":"7","points":-1,"title":""}}' when 4 then '{{"id":7,"points":1.5,"title":"t"}}' when 5 then '{{"extra":{{"b":[3,1],"z":1}},"points":2,"title":"t"}}' when 6 then '{{"id":"8","points":3,"title":null,"url":"u"}}' else '[1,2]' end"""
-
-
-@query(f"select id, sha256({CANONICAL}) as content_hash from {{payloads}}")
+# The oracles read the payloads with DuckDB's own JSON functions.
+def _number(x: str) -> str:
+    """The shortest form of a number; exponents do not occur in the payloads' own range but as whole numbers."""
+    d = f"cast({x} as double)"
+    return f"case when {d} = floor({d}) then cast(cast({d} as bigint) as varchar) else cast({d} as varchar) end"
+
+
+def _canonical(x: str, depth: int = 2) -> str:
+    """The canonical text of a JSON value: sorted keys, numbers in their shortest form, arrays of whole numbers as they are."""
+    plain = f"case when json_type({x}) in ('DOUBLE', 'UBIGINT', 'BIGINT') then {_number(x)} else cast({x} as varchar) end"
+    if not depth:
+        return plain
+    k = f"k{depth}"
+    member = f"""concat('"', {k}, '":', {_canonical(f"json_extract({x}, concat('$.\"', {k}, '\"'))", depth - 1)})"""
+    return f"case when json_type({x}) = 'OBJECT' then concat('{{{{', list_aggregate(list_transform(list_sort(json_keys({x})), lambda {k}: {member}), 'string_agg', ','), '}}}}') else {plain} end"
+
+
+PARSED = "(select *, case when json_valid(payload) then cast(payload as json) end as j from {payloads}) p"
+_type = lambda name: f"json_type(j, '$.\"{name}\"')"
+_text = lambda name: f"json_extract_string(j, '$.\"{name}\"')"
+_NUMBERS = "('DOUBLE', 'UBIGINT', 'BIGINT')"
+_KEY = "coalesce(" + ", ".join(f"case when {_type(n)} = 'VARCHAR' then nullif({_text(n)}, '') when {_type(n)} in {_NUMBERS} then {_number(_text(n))} end" for n in ("externalKey", "id", "key")) + ")"
+#: What the schema objects to, in SQL: its text, and when.
+_FAULTS = [
+    ("/ type", "json_type(j) <> 'OBJECT'"),
+    ("/ required id", f"json_type(j) = 'OBJECT' and {_type('id')} is null"),
+    ("/ required title", f"json_type(j) = 'OBJECT' and {_type('title')} is null"),
+    ("/id type", f"{_type('id')} <> 'VARCHAR'"),
+    ("/id pattern", f"{_type('id')} = 'VARCHAR' and not regexp_matches({_text('id')}, '^[0-9]+$')"),
+    ("/title type", f"{_type('title')} <> 'VARCHAR'"),
+    ("/title minLength", f"{_type('title')} = 'VARCHAR' and length({_text('title')}) < 1"),
+    ("/url type", f"{_type('url')} not in ('VARCHAR', 'NULL')"),
+    ("/points type", f"not coalesce({_type('points')} in {_NUMBERS} and try_cast({_text('points')} as double) = floor(try_cast({_text('points')} as double)), false) and {_type('points')} is not null"),
+    ("/points minimum", f"{_type('points')} in {_NUMBERS} and try_cast({_text('points')} as double) < 0"),
+]
+_ERRORS = "list_sort(list_concat(list_filter([" + ", ".join(f"case when {when} then '{text}' end" for text, when in _FAULTS) + "], lambda x: x is not null), list_transform(list_filter(coalesce(json_keys(j), []), lambda k: k not in ('id', 'title', 'url', 'points')), lambda k: concat('/ additional ', k))))"
+_VALID = f"(j is not null and len({_ERRORS}) = 0)"
+
+
+@query(f"select id, sha256({_canonical('j')}) as content_hash from {PARSED}")
 def content_hash(t: Tables) -> DataFrame:
     return _variants(t).select("id", J.content_hash(F.col("value")).alias("content_hash"))
 
 
-@query("select id, case v when 0 then '123' when 1 then '9' when 2 then 'a1' when 3 then '7' when 4 then '7' when 6 then '8' end as external_key from {payloads}")
+@query(f"select id, {_KEY} as external_key from {PARSED}")
 def external_key(t: Tables) -> DataFrame:
     return _variants(t).select("id", J.external_key(F.col("value")).alias("external_key"))
 
 
-@query("""with c as (select source_id, count(*) as n, count(*) filter (v <= 4 or v = 6) as f_id, count(*) filter (v <= 5) as f_title, count(*) filter (v <= 6) as f_points, count(*) filter (v = 6) as f_url, count(*) filter (v = 5) as f_extra from {payloads} group by source_id)
-select source_id, field, round(1 - present / n, 6) as rate from (select source_id, n, 'id' as field, f_id as present from c union all select source_id, n, 'title', f_title from c union all select source_id, n, 'points', f_points from c
- union all select source_id, n, 'url', f_url from c union all select source_id, n, 'extra', f_extra from c where f_extra > 0) x""")
+@query(f"""with o as (select source_id, j, unnest(json_keys(j)) as field from {PARSED} where json_type(j) = 'OBJECT'),
+seen as (select source_id, field, count(*) filter (json_type(j, concat('$."', field, '"')) <> 'NULL') as present from o group by source_id, field),
+total as (select source_id, count(*) as n from {{payloads}} group by source_id),
+wanted as (select source_id, unnest(['id', 'title', 'points', 'url']) as field from total union select source_id, field from seen)
+select w.source_id, w.field, round(1 - coalesce(present, 0) / n, 6) as rate from wanted w join total t on t.source_id = w.source_id left join seen s on s.source_id = w.source_id and s.field = w.field""")
 def field_null_rates(t: Tables) -> DataFrame:
     return J.null_rates(_variants(t), ["source_id"], "value", ["id", "title", "points", "url"])
 
 
-@query("select id, v in (0, 1) as valid from {payloads}")
+@query(f"select id, {_VALID} as valid from {PARSED}")
 def schema_validate(t: Tables) -> DataFrame:
     return _variants(t).select("id", J.is_valid(F.col("value"), SCHEMA).alias("valid"))
 
 
-@query("""select id, case v when 2 then '/id pattern' when 3 then '/points minimum; /title minLength' when 4 then '/id type; /points type' when 5 then '/ additional extra; / required id' when 6 then '/title type' when 7 then '/ type' else '' end as errors from {payloads}""")
+@query(f"select id, array_to_string({_ERRORS}, '; ') as errors from {PARSED}")
 def schema_errors(t: Tables) -> DataFrame:
     return _variants(t).select("id", F.array_join(F.sort_array(J.schema_errors(F.col("value"), SCHEMA)), "; ").alias("errors"))
 
 
-@query("select a.id, (b.v = a.v and (a.v > 1 or a.k = b.k)) as same from {payloads} a join {payloads} b on b.id = a.id + 8")
+@query(f"with c as (select id, {_canonical('j')} as shown from {PARSED}) select a.id, a.shown = b.shown as same from c a join c b on b.id = a.id + 14")
 def expected_match(t: Tables) -> DataFrame:
     p = _variants(t).select("id", J.canonical(F.col("value")).alias("shown"))
-    b = p.select((F.col("id") - 8).alias("id"), F.col("shown").alias("next"))
+    b = p.select((F.col("id") - 14).alias("id"), F.col("shown").alias("next"))
     return p.join(b, "id").select("id", (F.col("shown") == F.col("next")).alias("same"))
 
 
-@query("""select id, case v when 0 then '123' when 1 then '9' when 2 then 'a1' when 3 then '7' when 4 then '7' when 6 then '8' end as key, case v when 0 then concat('t', k) when 3 then '' when 6 then null when 7 then null else 't' end as title,
- case v when 6 then 'u' end as url, cast(case v when 0 then k when 1 then k when 2 then 1 when 3 then -1 when 5 then 2 when 6 then 3 end as bigint) as points from {payloads} where v <> 4""")
+@query(f"""select id, {", ".join(f"case when {_type(n)} = 'VARCHAR' then {_text(n)} when {_type(n)} in {_NUMBERS} then {_number(_text(n))} end as {a}" for n, a in (("id", "key"), ("title", "title"), ("url", "url")))},
+ case when {_type('points')} in {_NUMBERS} and cast({_text('points')} as double) = floor(cast({_text('points')} as double)) then cast(cast({_text('points')} as double) as bigint) end as points from {PARSED}""")
 def payload_view(t: Tables) -> DataFrame:
-    return J.typed_view(_variants(t).where("v <> 4").withColumnRenamed("id", "row"), "value", SCHEMA, "row").select(F.col("row").alias("id"), F.col("id").alias("key"), "title", "url", "points")
+    return J.typed_view(_variants(t).withColumnRenamed("id", "row"), "value", SCHEMA, "row").select(F.col("row").alias("id"), F.col("id").alias("key"), "title", "url", "points")
 
 
 RESPONSE = r"""case when status >= 500 then 'fetch_error' when blocked then 'blocked' when status >= 400 then 'fetch_error' else 'ok' end"""
@@ -244,10 +281,12 @@ def page_outline(t: Tables) -> DataFrame:
     return p.select("page_id", F.octet_length("html").alias("n_bytes"), "title", F.transform(F.slice(scripts, 1, 5), lambda e: X.truncate_ws(e["text"], 400)).alias("embedded"), F.size("elements").alias("n_elements"), F.size(F.array_distinct(F.col("elements.tag"))).alias("n_tags"))
 
 
-@query("""select id, p as key, case when u = 1 then 'a' else 'b' end as title, cast(case when u = 1 then id else 2 end as bigint) as points from (select id, n, unnest([1, 2]) as u, concat(id, unnest([1, 2])) as p from {json_pages} where variant < 3) x where u <= n""")
+@query("""select id, json_extract_string(item, '$.id') as key, json_extract_string(item, '$.title') as title, cast(json_extract(item, '$.points') as bigint) as points
+from (select id, unnest(json_extract(cast(body as json), '$.items[*]')) as item from {json_pages} where json_valid(body)) x where json_extract_string(item, '$.id') is not null and json_extract_string(item, '$.title') is not null""")
 def extract_json(t: Tables) -> DataFrame:
-    """Items of the JSON responses as typed rows; those without an id are dropped."""
-    j = t.json_pages.where("variant < 3").select("id", F.explode(F.try_variant_get(J.variant(F.col("body")), "$.items", "array<variant>")).alias("item"))
+    """Items of the JSON responses as typed rows; those without an id are dropped, and bodies that are no JSON or
+    hold no array give none."""
+    j = t.json_pages.select("id", F.explode(F.try_variant_get(J.variant(F.col("body")), "$.items", "array<variant>")).alias("item"))
     r = j.select("id", F.try_variant_get("item", "$.id", "string").alias("key"), F.try_variant_get("item", "$.title", "string").alias("title"), F.try_variant_get("item", "$.points", "bigint").alias("points"))
     return r.where("key is not null and title is not null")
 
@@ -268,12 +307,14 @@ def json_shape(t: Tables) -> DataFrame:
     return O.with_outline(t.spark.sql(NESTED, json_pages=t.json_pages), "body").select("id", "outline.shape")
 
 
-FIX = "select source_id, fixture, cast(count(*) filter (not empty) as int) as items, cast(count(*) filter (not empty and v <= 1) as int) as valid, bool_or(err) as err from (select *, (source_id + fixture) % 13 = 0 as empty, (source_id + fixture) % 11 = 0 as err from {payloads} where id % 16 < 8 or v <= 1) p where source_id % 5 <> 1 or fixture < 2 group by source_id, fixture"
+GATE = "(select *, case when json_valid(payload) then cast(payload as json) end as j from {gate_items}) p"
+FIX = f"select source_id, fixture, cast(count(*) filter (not empty) as int) as items, cast(count(*) filter (not empty and {_VALID}) as int) as valid, bool_or(err) as err from (select *, (source_id + fixture) % 13 = 0 as empty, (source_id + fixture) % 11 = 0 as err from {GATE}) q where source_id % 5 <> 1 or fixture < 2 group by source_id, fixture"
 REPORT = f"select source_id, fixture, items, valid, case when err then 'exec-error' when items = 0 then 'empty' when valid < items then 'schema-invalid' when (source_id + fixture) % 17 = 0 then 'expected-mismatch' end as failure from ({FIX}) f"
 
 
 def _fixtures(t: Tables) -> DataFrame:
-    p = _variants(t).where("(id % 16 < 8 or v <= 1) and (source_id % 5 <> 1 or fixture < 2)")
+    """Fixtures of items; a fifth of the sources has captured two only, which is too few for the gate."""
+    p = t.gate_items.where("source_id % 5 <> 1 or fixture < 2")
     hit = lambda n: (F.col("source_id") + F.col("fixture")) % n == 0
     texts = F.sort_array(F.collect_list(F.when(~hit(13), F.col("payload"))))
     f = p.groupBy("source_id", "fixture").agg(F.transform(texts, J.variant).alias("items"))
