@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.upsert import RECORD, record_id
 from ..store import scratch
 from ..streaming import outbox as S
 from .registry import Tables, query
+from .state_queries import MERGED
 
 
 def _collect(t: Tables, stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
@@ -36,22 +40,23 @@ def stream_tumbling(t: Tables) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""select coalesce(c.source_id, i.source_id) as source_id, coalesce(c.external_key, i.external_key) as external_key, coalesce(i.content_hash, c.content_hash) as content_hash, i.content_hash is not null or c.is_active as is_active
-from {record_cur} c full outer join (select source_id, external_key, arg_max(content_hash, (seen_at, job_id, item_idx, content_hash)) as content_hash from {incoming} where item_idx % 4 = 0 group by source_id, external_key) i on i.source_id = c.source_id and i.external_key = c.external_key""")
+@query(f"select * exclude (change) from ({MERGED}) m")
 def stream_merge(t: Tables) -> DataFrame:
-    """Records after a stream of items, merged in one batch a trigger."""
-    state = S.MergedRecords(t.spark, t.record_cur)
-    items = t.incoming.where("item_idx % 4 = 0")
+    """Records after a stream of items: those of the first years in one run of the stream, the rest in another, which
+    takes the state up again from its folder."""
+    folder = scratch(t.spark, "merged")
     path = scratch(t.spark, "items")
-    items.coalesce(1).write.parquet(path)
-    state.drain(S.file_stream(t.spark, path, items.schema, 8))
-    return state.records().select("source_id", "external_key", "content_hash", "is_active")
+    late = F.col("seen_at") >= F.lit(datetime(1995, 1, 1)).cast("timestamp_ntz")
+    S.MergedRecords(t.spark, t.record_cur.withColumn("id", record_id(F.col("source_id"), F.col("external_key"))).select(*RECORD), folder, 16)
+    for items in (t.incoming.where(~late), t.incoming.where(late)):
+        items.write.mode("append").parquet(path)
+        S.MergedRecords.open(t.spark, folder).drain(S.file_stream(t.spark, path, items.schema, 10_000))
+    return S.MergedRecords.open(t.spark, folder).records()
 
 
-@query("""select source_id, external_key, content_hash, case when before is null then 'insert' else 'update' end as kind from (select *, lag(content_hash) over (partition by source_id, external_key order by seen_at, content_hash) as before from {incoming} where item_idx % 4 = 0) x where before is null or before <> content_hash""")
+@query("""select source_id, external_key, content_hash, case when before is null then 'insert' else 'update' end as kind from (select *, lag(content_hash) over (partition by source_id, external_key order by seen_at, content_hash) as before from {incoming}) x where before is null or before <> content_hash""")
 def stream_changes(t: Tables) -> DataFrame:
-    """Change events of a stream with keyed state, all items in one batch."""
-    items = t.incoming.where("item_idx % 4 = 0")
+    """Change events of a stream with keyed state."""
     path = scratch(t.spark, "items")
-    items.coalesce(1).write.parquet(path)
-    return _collect(t, S.keyed_changes(S.file_stream(t.spark, path, items.schema, 8)), "changes")
+    t.incoming.write.parquet(path)
+    return _collect(t, S.keyed_changes(S.file_stream(t.spark, path, t.incoming.schema, 10_000)), "changes")

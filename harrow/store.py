@@ -47,6 +47,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(spark: SparkSession, uri: str) -> list[str]:
+    """The names in a folder, none where there is no folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Deletes a scratch path through Hadoop's file systems."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)

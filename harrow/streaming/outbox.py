@@ -1,22 +1,24 @@
 """Structured Streaming over the change feed and over captured items.
 
-Batch and stream share the transition functions of operators.upsert; a stream keeps its state as versions of a
-table in the shared folder, one a batch, so that a batch that is run again starts from the same version.
+Batch and stream share the transition functions of operators.upsert. A stream keeps its state in a folder, split by
+a hash of the key: a batch writes the parts it touches anew and a list of which version holds which part, so that a
+batch that is run again starts from the same state, and a process that starts again goes on from the last list.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.upsert import KEY, transitions, upsert
-from ..store import scratch
+from ..store import listed, remove, scratch
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -32,25 +34,66 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], Any], checkpoint
 
 
 class MergedRecords:
-    """Records kept by a stream of incoming items: each batch is one set-based upsert over the last version."""
-
-    def __init__(self, spark: SparkSession, current: DataFrame) -> None:
-        self.spark, self.folder = spark, scratch(spark, "records")
-        self.schema = current.schema
-        current.write.parquet(f"{self.folder}/v0")
-        self.last = 0
+    """Records kept by a stream of incoming items: each batch is one set-based upsert over the parts it touches."""
+
+    def __init__(self, spark: SparkSession, current: DataFrame, folder: str | None = None, parts: int = 64) -> None:
+        """A new state in folder, from the records there are."""
+        self.spark, self.folder, self.parts, self.schema, self.last = spark, folder or scratch(spark, "records"), parts, current.schema, 0
+        self._write(current, 0, {})
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> MergedRecords:
+        """The state that folder holds, as its last finished batch left it."""
+        state = cls.__new__(cls)
+        state.spark, state.folder = spark, folder
+        state.last = max(int(n.removeprefix("n")) for n in listed(spark, f"{folder}/lists"))
+        at = spark.read.parquet(f"{folder}/lists/n{state.last}").first()
+        state.parts, state.schema = at["parts"], StructType.fromJson(json.loads(at["schema"]))
+        return state
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*KEY), F.lit(self.parts)).cast("int")
+
+    def _list(self, number: int) -> dict[int, int]:
+        """Which version holds each part; as many entries as there are parts."""
+        rows = self.spark.read.parquet(f"{self.folder}/lists/n{number}").where("part is not null").collect()
+        return {r["part"]: r["version"] for r in rows}
+
+    def _read(self, held: dict[int, int], only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/v{v}/part={p}" for p, v in held.items() if only is None or p in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _write(self, records: DataFrame, version: int, held: dict[int, int]) -> None:
+        """records are the new content of the parts they lie in; the list comes last and makes it count."""
+        part = self._part()
+        records.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{version}")
+        new = {int(n.removeprefix("part=")): version for n in listed(self.spark, f"{self.folder}/v{version}") if n.startswith("part=")}
+        rows = [(p, v, self.parts, self.schema.json()) for p, v in {**held, **new}.items()] or [(None, None, self.parts, self.schema.json())]
+        self.spark.createDataFrame(rows, "part int, version int, parts int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/n{version}")
 
     def records(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.last}")
+        return self._read(self._list(self.last))
 
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/events")
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        current = self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{number}")
+        held = self._list(number)
+        touched = {r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()}  # parts at most
+        current = self._read(held, touched)
         transitions(current, batch).where("kind <> 'unchanged'").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/events/b={number}")
-        upsert(current, batch).select(self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/v{number + 1}")
+        self._write(upsert(current, batch).select(self.schema.names), number + 1, held)
         self.last = number + 1
+        self._forget(number)
+
+    def _forget(self, number: int) -> None:
+        """Removes what neither this batch, if it is run again, nor a later one reads."""
+        needed = {f"v{v}/part={p}" for n in (number, number + 1) for p, v in self._list(n).items()}
+        if number > 0:
+            old = {f"v{v}/part={p}" for p, v in self._list(number - 1).items()}
+            for path in old - needed:
+                remove(self.spark, f"{self.folder}/{path}")
+            remove(self.spark, f"{self.folder}/lists/n{number - 1}")
 
     def drain(self, items: DataFrame) -> None:
         drain(items, self.apply, f"{self.folder}/checkpoint")
@@ -63,11 +106,10 @@ def keyed_changes(items: DataFrame) -> DataFrame:
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
-        for part in rows:
-            for h in part.sort_values(["seen_at", "content_hash"])["content_hash"]:
-                if h != last:
-                    out.append((*key, h, "insert" if last is None else "update"))
-                    last = h
+        for h in pd.concat(list(rows)).sort_values(["seen_at", "content_hash"])["content_hash"]:
+            if h != last:
+                out.append((*key, h, "insert" if last is None else "update"))
+                last = h
         state.update((last,))
         yield pd.DataFrame(out, columns=[*KEY, "content_hash", "kind"])
 

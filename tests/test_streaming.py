@@ -38,6 +38,26 @@ def test_merge_equals_batch_and_resumes(spark):
     assert events(state.events()) == events(U.change_events(cur, whole))
 
 
+def test_a_new_process_goes_on(spark):
+    """The state is taken up from its folder, only touched parts are written, and a batch may be run twice."""
+    cur = spark.createDataFrame([(s, f"k{k}", "z", T0, True) for s in range(9) for k in range(30)], CUR)
+    state = S.MergedRecords(spark, cur, parts=8)
+    one = spark.createDataFrame([(1, "k1", "a", T0 + timedelta(1), 1, 1)], INC)
+    state.apply(one, 0)
+    held = state._list(1)
+    assert sum(v == 1 for v in held.values()) == 1 and sum(v == 0 for v in held.values()) == 7
+    again = S.MergedRecords.open(spark, state.folder)
+    assert again.last == 1 and again.schema == state.schema
+    again.apply(one, 0)
+    two = spark.createDataFrame([(1, "k1", "b", T0 + timedelta(2), 2, 1), (1, "new", "c", T0 + timedelta(2), 2, 2)], INC)
+    again.apply(two, 1)
+    third = spark.createDataFrame([(2, "k2", "d", T0 + timedelta(3), 3, 1)], INC)
+    again.apply(third, 2)
+    key = lambda df: sorted((r.source_id, r.external_key, r.content_hash, r.is_active) for r in df.collect())
+    assert key(S.MergedRecords.open(spark, state.folder).records()) == key(U.upsert(cur, one.unionByName(two).unionByName(third)))
+    assert again.events().count() == 4
+
+
 def test_keyed_state(spark):
     path = feed(spark, [0, 1])
     out = scratch(spark, "out")
