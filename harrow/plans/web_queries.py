@@ -231,8 +231,8 @@ HEADER = "search-result-entry-header-"
 
 def _cards(t: Tables) -> DataFrame:
     p = D.with_elements(t.listings, "html")
-    c = p.select("page_id", "elements", F.explode(D.select(F.col("elements"), f'a[data-testid^="{HEADER}"]')).alias("card"))
-    key = F.substring(F.col("card.attrs")["data-testid"], len(HEADER) + 1, 100)
+    c = p.select("page_id", "elements", "elements_text", F.explode(D.select(F.col("elements"), f'a[data-testid^="{HEADER}"]')).alias("card"))
+    key = F.substr(F.col("card.attrs")["data-testid"], F.lit(len(HEADER) + 1))
     return c.withColumn("id", F.when(key.rlike("^[0-9]+$"), key)).where("id is not null and element_at(card.attrs, 'href') is not null")
 
 
@@ -243,14 +243,14 @@ def extract_html(t: Tables) -> DataFrame:
     """Listing cards as items."""
     by_id = lambda prefix: D.inside(F.col("elements"), F.col("card"), lambda e: F.element_at(e["attrs"], "data-testid") == F.concat(F.lit(prefix), F.col("id")))
     c = _cards(t).select(
-        "id", "elements", F.col("card.attrs")["href"].alias("href"),
-        X.text_of(D.inside(F.col("elements"), F.col("card"), lambda e: e["tag"] == "h3")["text"]).alias("title"),
-        X.text_of(by_id("search-result-entry-price-")["text"]).alias("price_text"),
-        X.text_of(D.inside(F.col("elements"), F.col("card"), lambda e: (e["tag"] == "span") & F.startswith(F.element_at(e["attrs"], "aria-label"), F.lit("Ort ")))["text"]).alias("address"),
+        "id", "elements", "elements_text", F.col("card.attrs")["href"].alias("href"),
+        X.text_of(D.text(D.inside(F.col("elements"), F.col("card"), lambda e: e["tag"] == "h3"))).alias("title"),
+        X.text_of(D.text(by_id("search-result-entry-price-"))).alias("price_text"),
+        X.text_of(D.text(D.inside(F.col("elements"), F.col("card"), lambda e: (e["tag"] == "span") & F.startswith(F.element_at(e["attrs"], "aria-label"), F.lit("Ort "))))).alias("address"),
         by_id("search-result-entry-teaser-attributes-")["pos"].alias("teaser"),
         F.element_at(D.inside(F.col("elements"), F.col("card"), lambda e: (e["tag"] == "img") & (F.element_at(e["attrs"], "alt") == "Cover Image"))["attrs"], "src").alias("image_url"),
     ).where("title is not null")
-    parts = F.coalesce(F.transform(F.filter("elements", lambda e: e["parent"] == F.col("teaser")), lambda e: X.text_of(e["text"])), F.array().cast("array<string>"))
+    parts = F.coalesce(F.transform(F.filter("elements", lambda e: e["parent"] == F.col("teaser")), lambda e: X.text_of(D.text(e))), F.array().cast("array<string>"))
     c = c.withColumn("parts", F.when(F.col("teaser").isNull(), F.array().cast("array<string>")).otherwise(F.filter(parts, lambda x: x.isNotNull())))
     last = lambda f: F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.filter(F.transform("parts", f), lambda x: x.isNotNull())), -1)
     rest = F.filter("parts", lambda x: X.size_m2(x).isNull() & X.rooms(x).isNull())
@@ -269,16 +269,16 @@ def discover_urls(t: Tables) -> DataFrame:
 @query(r"""select page_id, cast(len(regexp_extract_all(html, '<li>')) as bigint) as n, cast(len(regexp_extract_all(html, '<article')) as bigint) as n_articles, nullif(trim(regexp_extract(html, '<li><a href="[^"]*">([^<]*)</a>', 1)), '') as first_text from {pages}""")
 def query_dom(t: Tables) -> DataFrame:
     """What a selector finds on each page: the count, and the first element's text."""
-    p = D.with_elements(t.pages, "html").select("page_id", D.select(F.col("elements"), "nav > ul > li").alias("found"), D.select(F.col("elements"), "article").alias("articles"))
-    return p.select("page_id", F.size("found").cast("long").alias("n"), F.size("articles").cast("long").alias("n_articles"), X.text_of(F.get("found", 0)["text"]).alias("first_text"))
+    p = D.with_elements(t.pages, "html").select("page_id", "elements_text", D.select(F.col("elements"), "nav > ul > li").alias("found"), D.select(F.col("elements"), "article").alias("articles"))
+    return p.select("page_id", F.size("found").cast("long").alias("n"), F.size("articles").cast("long").alias("n_articles"), X.text_of(D.text(F.get("found", 0))).alias("first_text"))
 
 
 @query()
 def page_outline(t: Tables) -> DataFrame:
     """Title, embedded JSON and tag counts of each page."""
-    p = D.with_elements(t.pages, "html").withColumn("title", F.get(D.select(F.col("elements"), "title"), 0)["text"])
-    scripts = F.filter(D.select(F.col("elements"), "script"), lambda e: F.contains(F.coalesce(F.element_at(e["attrs"], "type"), F.lit("")), F.lit("ld+json")) | (F.coalesce(F.element_at(e["attrs"], "id"), F.lit("")) == "__NEXT_DATA__") | ((F.length(e["text"]) >= 40) & e["text"].rlike(r"^\s*(window\.__|self\.__)")))
-    return p.select("page_id", F.octet_length("html").alias("n_bytes"), "title", F.transform(F.slice(scripts, 1, 5), lambda e: X.truncate_ws(e["text"], 400)).alias("embedded"), F.size("elements").alias("n_elements"), F.size(F.array_distinct(F.col("elements.tag"))).alias("n_tags"))
+    p = D.with_elements(t.pages, "html").withColumn("title", D.text(F.get(D.select(F.col("elements"), "title"), 0)))
+    scripts = F.filter(D.select(F.col("elements"), "script"), lambda e: F.contains(F.coalesce(F.element_at(e["attrs"], "type"), F.lit("")), F.lit("ld+json")) | (F.coalesce(F.element_at(e["attrs"], "id"), F.lit("")) == "__NEXT_DATA__") | ((F.length(D.text(e)) >= 40) & D.text(e).rlike(r"^\s*(window\.__|self\.__)")))
+    return p.select("page_id", F.octet_length("html").alias("n_bytes"), "title", F.transform(F.slice(scripts, 1, 5), lambda e: X.truncate_ws(D.text(e), 400)).alias("embedded"), F.size("elements").alias("n_elements"), F.size(F.array_distinct(F.col("elements.tag"))).alias("n_tags"))
 
 
 @query("""select id, json_extract_string(item, '$.id') as key, json_extract_string(item, '$.title') as title, cast(json_extract(item, '$.points') as bigint) as points

@@ -1,4 +1,7 @@
-"""HTML as rows: one Arrow pass turns a page into its elements; everything after is DataFrame work.
+"""HTML as rows: one Arrow pass turns a page into its text and its elements; everything after is DataFrame work.
+
+An element says where its text begins and ends in the page's, which elements are above it, and which is the last
+below, so that a page's elements take little more room than the page.
 
 Supported: tags in any case, void elements, unquoted attributes, entities, script and style as raw text; an end
 tag closes up to its start tag and is dropped if there is none. Browser repair (tables, formatting) is not.
@@ -10,11 +13,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT = "struct<pos:int,last:int,parent:int,tag:string,attrs:map<string,string>,text:string>"
+ELEMENT = "struct<pos:int,last:int,parent:int,above:array<int>,tag:string,attrs:map<string,string>,start:int,end:int>"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -23,11 +27,13 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
+        self.length = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         pos = len(self.out)
         own = {k: v or "" for k, v in reversed(attrs)}
-        self.out.append({"pos": pos, "last": pos, "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": own, "text": []})
+        self.out.append({"pos": pos, "last": pos, "parent": self.open[-1] if self.open else -1, "above": list(self.open), "tag": tag, "attrs": own, "start": self.length, "end": self.length})
         if tag not in VOID:
             self.open.append(pos)
 
@@ -39,34 +45,59 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.out[self.open[i]]["tag"] == tag), None)
         if at is not None:
-            for p in self.open[at:]:
-                self.out[p]["last"] = len(self.out) - 1
-            del self.open[at:]
+            self.leave(at)
+
+    def leave(self, at: int) -> None:
+        """Closes what is open from there on."""
+        for p in self.open[at:]:
+            self.out[p]["last"], self.out[p]["end"] = len(self.out) - 1, self.length
+        del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        for p in self.open:
-            self.out[p]["text"].append(data)
+        self.pieces.append(data)
+        self.length += len(data)
 
 
-def parse(html: str | None) -> list[dict]:
-    """Elements in document order; last is the position of the last descendant, parent -1 at the top."""
+def parse(html: str | None) -> tuple[str, list[dict]]:
+    """The page's text, and its elements in document order; last is the position of the last descendant, above the
+    positions of all ancestors, parent the nearest of them or -1, start and end the places of its text."""
     t = _Tree()
     t.feed(html or "")
     t.close()
-    for p in t.open:
-        t.out[p]["last"] = len(t.out) - 1
-    return [e | {"text": "".join(e["text"])} for e in t.out]
+    t.leave(0)
+    return "".join(t.pieces), t.out
+
+
+def _arrow(pages: list[str | None]) -> pa.StructArray:
+    """Text and elements of pages, column by column."""
+    parsed = [parse(p) for p in pages]
+    flat = [e for _, elements in parsed for e in elements]
+    ints = lambda name: pa.array([e[name] for e in flat], pa.int32())
+    edges = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int32))
+    strings = lambda values: pa.array(list(values), pa.string())
+    above = pa.ListArray.from_arrays(edges(len(e["above"]) for e in flat), pa.array([p for e in flat for p in e["above"]], pa.int32()))
+    attrs = pa.MapArray.from_arrays(edges(len(e["attrs"]) for e in flat), strings(k for e in flat for k in e["attrs"]), strings(v for e in flat for v in e["attrs"].values()))
+    columns = {"pos": ints("pos"), "last": ints("last"), "parent": ints("parent"), "above": above, "tag": strings(e["tag"] for e in flat), "attrs": attrs, "start": ints("start"), "end": ints("end")}
+    lists = pa.ListArray.from_arrays(edges(len(elements) for _, elements in parsed), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+    return pa.StructArray.from_arrays([strings(text for text, _ in parsed), lists], ["text", "elements"])
 
 
 def with_elements(df: DataFrame, html: str, name: str = "elements") -> DataFrame:
-    """df with the page's elements as an array."""
+    """df with the page's elements as an array, and its text as <name>_text."""
+
+    @F.arrow_udf(f"struct<text:string,elements:array<{ELEMENT}>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            parts = [_arrow(b.slice(i, 256).to_pylist()) for i in range(0, len(b), 256)]
+            yield pa.concat_arrays(parts) if parts else _arrow([])
+
+    page = f"{name}_page"
+    return df.withColumn(page, run(F.col(html))).withColumns({name: F.col(page)["elements"], f"{name}_text": F.col(page)["text"]}).drop(page)
 
-    @F.pandas_udf(f"array<{ELEMENT}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(parse)
 
-    return df.withColumn(name, run(F.col(html)))
+def text(e: Column, name: str = "elements") -> Column:
+    """The text of an element and all below it."""
+    return F.substring(F.col(f"{name}_text"), e["start"] + 1, e["end"] - e["start"])
 
 
 _STEP = re.compile(r"^([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:#[\w-]+|\.[\w-]+|\[[^\]]+\])*)$")
@@ -93,12 +124,12 @@ def _matches(e: Column, step: str) -> Column:
 
 
 def _branch(elements: Column, e: Column, steps: list[tuple[str, str]]) -> Column:
-    """Whether e matches the last step and the rest above it. steps: (combinator before, step)."""
+    """Whether e matches the last step and its ancestors the rest. steps: (combinator before, step)."""
     how, step = steps[-1]
     out = _matches(e, step)
     if len(steps) > 1:
-        above = lambda a: _branch(elements, a, steps[:-1]) & ((e["parent"] == a["pos"]) if how == ">" else ((a["pos"] < e["pos"]) & (e["pos"] <= a["last"])))
-        out &= F.exists(elements, above)
+        rest = lambda p: F.coalesce(_branch(elements, F.get(elements, p), steps[:-1]), F.lit(False))  # noqa: E731  an element stands at its position
+        out &= (e["parent"] >= 0) & rest(e["parent"]) if how == ">" else F.exists(e["above"], rest)
     return out
 
 

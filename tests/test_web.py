@@ -109,7 +109,7 @@ def test_null_rates(spark):
 def test_html(spark):
     page = '<div id=x class="a b"><p>one<br>two<p data-k="v1">three</div><ul><li>a</li><li><b>b</b></li></ul><script>"</p>"</script>'
     d = D.with_elements(spark.createDataFrame([(page,), (None,), ("",)], "h string"), "h")
-    found = lambda s: d.select(F.transform(D.select(F.col("elements"), s), lambda e: e["text"])).first()[0]
+    found = lambda s: d.select(F.transform(D.select(F.col("elements"), s), lambda e: D.text(e))).first()[0]
     assert found("ul > li") == ["a", "b"]
     assert found("li b") == ["b"]
     assert found("#x p[data-k]") == ["three"]
