@@ -63,12 +63,18 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str], a
     return j.select(*out)
 
 
-def sequenced(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
-    """rows with id, counting on from after in the given order: ranges of the order are sorted and counted by
-    themselves, and each starts where those before it end."""
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of the given order, each sorted, with __part (the range) and __place (the place in the order).
+    Written, so that every reader sees the same ranges."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    dealt = written(dealt, "sequenced").withColumn("__part", F.shiftright("__place", 33)).withColumn("__nth", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + 1)
+    return written(dealt, "ranged").withColumn("__part", F.shiftright("__place", 33))
+
+
+def sequenced(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """rows with id, counting on from after in the given order: ranges of the order are counted by themselves, and
+    each starts where those before it end."""
+    dealt = ranged(rows, order).withColumn("__nth", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + 1)
     # One row a range, whose number is that of the shuffle's partitions.
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
