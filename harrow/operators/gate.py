@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import canonical, external_key, is_valid, variant
-from ..functions.text import fetch_outcome
+from ..functions.text import blocked_reason, fetch_outcome
 
 MIN_FIXTURES = 3
 
@@ -37,13 +37,16 @@ def gate_verdict(report: DataFrame) -> DataFrame:
 
 def process(responses: DataFrame, schema: dict[str, Any], array_path: str = "$.items") -> tuple[DataFrame, DataFrame]:
     """(run rows, valid keyed items) of a batch: classify, extract the item array, validate, key. An item
-    without a key counts as invalid."""
+    without a key counts as invalid. A run says why it is not ok: the reason of a block, the status of a failed
+    fetch, or how many of its items failed."""
     r = responses.withColumn("fetched", fetch_outcome(F.col("status"), F.col("content_type"), F.col("body")))
     r = r.withColumn("items", F.when(F.col("fetched") == "ok", F.try_variant_get(variant(F.col("body")), array_path, "array<variant>")))
     good = lambda v: is_valid(v, schema) & external_key(v).isNotNull()
     r = r.withColumn("n", F.when(F.col("items").isNull(), 0).otherwise(F.size("items"))).withColumn("kept", F.filter("items", good)).withColumn("valid", F.when(F.col("items").isNull(), 0).otherwise(F.size("kept")))
     outcome = F.when(F.col("fetched") != "ok", F.col("fetched")).when(F.col("n") == 0, "empty").when(F.col("valid") < F.col("n"), "schema_invalid").otherwise("ok")
-    runs = r.select("id", outcome.alias("outcome"), F.col("n").alias("items"), F.col("valid").alias("valid_items"), (outcome == "ok").alias("complete"))
+    why = F.when(F.col("fetched") == "blocked", blocked_reason(F.col("status"), F.col("content_type"), F.col("body"))).when(F.col("fetched") == "fetch_error", F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("none"))))
+    why = why.when(F.col("valid") < F.col("n"), F.format_string("%d of %d items failed validation", F.col("n") - F.col("valid"), F.col("n")))
+    runs = r.select("id", outcome.alias("outcome"), F.col("n").alias("items"), F.col("valid").alias("valid_items"), (outcome == "ok").alias("complete"), why.alias("error"))
     items = r.select("id", F.posexplode("kept").alias("item_idx", "payload")).withColumn("external_key", external_key(F.col("payload")))
     return runs, items
 

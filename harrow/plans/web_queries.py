@@ -342,8 +342,9 @@ def gate_verdict(t: Tables) -> DataFrame:
 _JP = "case when status >= 500 then 'fetch_error' when status in (403, 429) then 'blocked' when content_type = '' and variant = 4 and length(body) < 10000 and not contains(body, '<article') then 'blocked' when status >= 400 then 'fetch_error'"
 
 
-@query(f"""select id, {_JP} when variant >= 3 or n = 0 then 'empty' when n = 3 then 'schema_invalid' else 'ok' end as outcome, case when fetched <> 'ok' or variant >= 3 then 0 else n end as items, case when fetched <> 'ok' or variant >= 3 then 0 else least(n, 2) end as valid_items,
- {_JP} when variant >= 3 or n = 0 or n = 3 then 'x' else 'ok' end = 'ok' as complete from (select *, {_JP} else 'ok' end as fetched from {{json_pages}}) j""")
+@query(f"""select id, outcome, items, valid_items, outcome = 'ok' as complete, case when fetched = 'blocked' then {_REASON} when fetched = 'fetch_error' then concat('HTTP ', status) when valid_items < items then concat(items - valid_items, ' of ', items, ' items failed validation') end as error from (
+ select *, {_JP} when variant >= 3 or n = 0 then 'empty' when n = 3 then 'schema_invalid' else 'ok' end as outcome, case when fetched <> 'ok' or variant >= 3 then 0 else n end as items, case when fetched <> 'ok' or variant >= 3 then 0 else least(n, 2) end as valid_items
+ from (select *, {_JP} else 'ok' end as fetched from {{json_pages}}) j) k""")
 def pipeline_runs(t: Tables) -> DataFrame:
     """The run row of every response: classified, extracted, validated, keyed."""
     return G.process(t.json_pages, SCHEMA)[0]

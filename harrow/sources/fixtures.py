@@ -6,13 +6,14 @@ import gzip
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
 def decode_bytes(raw: bytes | None, encoding: str | None) -> str | None:
-    """gzip, x-gzip and deflate; what cannot be decoded is taken as UTF-8 as it is."""
+    """gzip, x-gzip, deflate and br; what cannot be decoded is taken as UTF-8 as it is."""
     if raw is None:
         return None
     try:
@@ -24,6 +25,9 @@ def decode_bytes(raw: bytes | None, encoding: str | None) -> str | None:
                 raw = zlib.decompress(raw)
             except zlib.error:
                 raw = zlib.decompress(raw, -zlib.MAX_WBITS)
+        elif kind == "br":
+            with pa.CompressedInputStream(pa.BufferReader(raw), "brotli") as f:
+                raw = f.read()
     except (OSError, EOFError, zlib.error):
         pass
     return raw.decode("utf-8", "replace")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -33,6 +35,18 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], Any], checkpoint
     q.awaitTermination()
 
 
+@contextmanager
+def following(stream: DataFrame, handle: Callable[[DataFrame, int], Any], checkpoint: str, every: str = "2 seconds") -> Iterator[StreamingQuery]:
+    """Polls: hands over what has come in, batch by batch, as often as that, until the block is left. Stopping lets
+    the checkpoint stand, so that the next follower or drain goes on from there."""
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        yield q
+    finally:
+        q.processAllAvailable()
+        q.stop()
+
+
 class MergedRecords:
     """Records kept by a stream of incoming items: each batch is one set-based upsert over the parts it touches."""
 

@@ -58,6 +58,20 @@ def test_a_new_process_goes_on(spark):
     assert again.events().count() == 4
 
 
+def test_following_polls_and_stops(spark):
+    """What comes in while a follower runs is handed over; another one goes on where it stopped."""
+    path, checkpoint, seen = feed(spark, [0]), scratch(spark, "follow"), []
+    schema = spark.read.parquet(path).schema
+    handle = lambda df, n: seen.append((n, df.count()))
+    with S.following(S.file_stream(spark, path, schema, 8), handle, checkpoint, "100 milliseconds") as q:
+        q.processAllAvailable()
+        spark.createDataFrame(rows(1), INC).coalesce(1).write.mode("append").parquet(path)
+    assert not q.isActive and [n for _, n in seen if n] == [20, 20]
+    spark.createDataFrame(rows(2), INC).coalesce(1).write.mode("append").parquet(path)
+    S.drain(S.file_stream(spark, path, schema, 8), handle, checkpoint)
+    assert [n for _, n in seen if n] == [20, 20, 20]
+
+
 def test_keyed_state(spark):
     path = feed(spark, [0, 1])
     out = scratch(spark, "out")

@@ -134,7 +134,7 @@ def test_process(spark):
     body = json.dumps({"items": [{"id": "1", "title": "a"}, {"id": "2", "title": ""}]})
     r = spark.createDataFrame([(1, 200, "", body), (2, 200, "application/json", '{"items":"x"}'), (3, 403, "", body)], "id bigint, status int, content_type string, body string")
     runs, items = G.process(r, SCHEMA)
-    assert sorted(map(tuple, runs.collect())) == [(1, "schema_invalid", 2, 1, False), (2, "empty", 0, 0, False), (3, "blocked", 0, 0, False)]
+    assert sorted(map(tuple, runs.collect())) == [(1, "schema_invalid", 2, 1, False, "1 of 2 items failed validation"), (2, "empty", 0, 0, False, None), (3, "blocked", 0, 0, False, "HTTP 403")]
     assert [(x.id, x.external_key) for x in items.collect()] == [(1, "1")]
 
 
@@ -154,6 +154,10 @@ def test_decode_and_fixtures(spark, tmp_path):
     assert S.decode_bytes(gzip.compress(b"a"), "gzip") == "a"
     assert S.decode_bytes(zlib.compress(b"a"), "Deflate") == "a"
     assert S.decode_bytes(b"a\xff", "br") == "a�"
+    import pyarrow as pa
+
+    text = "a longer body " * 200
+    assert S.decode_bytes(pa.Codec("brotli").compress(text.encode()).to_pybytes(), "br") == text
     (tmp_path / "manifest.json").write_text(json.dumps([{"url": "u", "file": "1.body.gz", "status": None}, {"url": "v", "file": "2.body.gz", "status": 404}]))
     for n in "12":
         (tmp_path / f"{n}.body.gz").write_bytes(gzip.compress(f"body {n}".encode()))
