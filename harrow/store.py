@@ -40,6 +40,22 @@ def clean(spark: SparkSession) -> None:
         remove(spark, _made.pop())
 
 
+def made() -> int:
+    """How many scratch paths there are: a mark for settled()."""
+    return len(_made)
+
+
+def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """df written and read back, and the scratch paths made since the mark removed, which it no longer needs."""
+    out = written(df, tag)
+    used, own = _made[since:-1], _made[-1]
+    del _made[since:]
+    _made.append(own)
+    for path in used:
+        remove(df.sparkSession, path)
+    return out
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, tag)

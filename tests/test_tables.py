@@ -65,6 +65,19 @@ def test_runs_start_afresh(spark):
     assert [x["items"] for x in E.run(r, code).collect()] == [["1"]] * 5
 
 
+def test_settled_removes_what_it_was_made_of(spark):
+    import os
+
+    from harrow.store import made, settled, written
+
+    since = made()
+    a = written(spark.range(5), "a")
+    b = written(a.where("id > 1"), "b")
+    gone = [x.inputFiles()[0].removeprefix("file://") for x in (a, b)]
+    out = settled(b.join(a, "id"), "out", since)
+    assert made() == since + 1 and out.count() == 3 and not any(map(os.path.exists, gone))
+
+
 def test_sequence(spark):
     rows = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "k int, v string")
     got = T.sequenced(rows, ["k"], 100).collect()
