@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import written
 from harrow.llm.decontam import decontaminate
 from harrow.llm.mixing import TARGETS, domain, mix
 from harrow.llm.quality_classifier import keep_good
 from harrow.llm.sharding import sharded
 from harrow.llm.simhash import near_dedup
+from harrow.store import made, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +49,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding_stage),
 ]
 
-#: SQL has no XXH64 and no trained models; tests/llm checks the stages against brute-force versions.
+#: SQL has no XXH64 and no trained models; tests/llm checks every stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again as the next one's input."""
+    """All stages over documents, each written and read again as the next one's input. What a stage has put aside,
+    its input included, is removed once its output stands; what the last one has is left to ``store.clean``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    since = made()
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name, since)
+    return STAGES[-1][1](spark, docs, sf_dir)
