@@ -59,6 +59,10 @@ select source_id, external_key, payload, content_hash, seen_at - interval '10' d
 from (select *, row_number() over (partition by source_id, external_key order by seen_at desc, job_id desc, item_idx desc, content_hash desc) as rnk from {line_items} where l_linestatus = 'O') c where rnk = 1""",
     "incoming": """
 select source_id, external_key, payload, content_hash, seen_at, job_id, item_idx, job_id as run_id from {line_items} where l_linestatus = 'F'""",
+    "rich_pages": """
+select page_id, replace(html, '</head>', concat(case when page_id % 3 = 0 then concat('<script type="application/ld+json">{{"@type": "Thing",', chr(10), ' "n": ', cast(page_id as varchar(20)), '}}</script>')
+  when page_id % 3 = 1 then concat('<script>', chr(10), ' window.__STATE__ = {{"items": [', cast(page_id as varchar(20)), '], "text": "', repeat('x y ', cast(page_id % 300 as int)), '"}}</script><script>self.__x=1</script>') else '' end,
+  case when page_id % 2 = 0 then '<script id="__NEXT_DATA__" type="application/json">{{}}</script>' else '' end, '</head>')) as html from {pages}""",
     "responses": """
 select page_id, url, status, content_type, case variant when 1 then concat('<title>Just a moment</title>', html) when 2 then replace(html, '<article', '<section')
   when 3 then substring(html, 1, 300) when 4 then concat('{{"items":[', cast(page_id as varchar(20)), ']}}') else html end as body

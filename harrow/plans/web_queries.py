@@ -273,12 +273,23 @@ def query_dom(t: Tables) -> DataFrame:
     return p.select("page_id", F.size("found").cast("long").alias("n"), F.size("articles").cast("long").alias("n_articles"), X.text_of(D.text(F.get("found", 0))).alias("first_text"))
 
 
-@query()
+_SHORT = r"case when length({x}) <= 400 then {x} else concat(substr({x}, 1, 400), '…') end"
+
+
+@query(r"""with s as (select page_id, html, regexp_replace(html, '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\1', 'g') as bare, regexp_extract_all(html, '(?s)<script[^>]*>.*?</script>') as scripts from {rich_pages}),
+e as (select *, list_transform(scripts, lambda x: {{'tag': regexp_extract(x, '<script[^>]*>'), 'text': regexp_replace(x, '^<script[^>]*>|</script>$', '', 'g')}}) as parts from s)
+select page_id, cast(strlen(html) as bigint) as n_bytes, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as title,
+ array_to_string(list_transform(list_filter(parts, lambda p: contains(p.tag, 'ld+json') or contains(p.tag, 'id="__NEXT_DATA__"') or (length(p.text) >= 40 and regexp_matches(p.text, '^\s*(window\.__|self\.__)')))[1:5], lambda p: """ + _SHORT.format(x=r"trim(regexp_replace(p.text, '\s+', ' ', 'g'))") + r"""), ' | ') as embedded,
+ cast(len(regexp_extract_all(bare, '<[a-zA-Z]')) as bigint) as n_elements, cast(len(list_distinct(list_transform(regexp_extract_all(bare, '<[a-zA-Z][a-zA-Z0-9]*'), lambda x: lower(x)))) as bigint) as n_tags from e""")
 def page_outline(t: Tables) -> DataFrame:
     """Title, embedded JSON and tag counts of each page."""
-    p = D.with_elements(t.pages, "html").withColumn("title", D.text(F.get(D.select(F.col("elements"), "title"), 0)))
-    scripts = F.filter(D.select(F.col("elements"), "script"), lambda e: F.contains(F.coalesce(F.element_at(e["attrs"], "type"), F.lit("")), F.lit("ld+json")) | (F.coalesce(F.element_at(e["attrs"], "id"), F.lit("")) == "__NEXT_DATA__") | ((F.length(D.text(e)) >= 40) & D.text(e).rlike(r"^\s*(window\.__|self\.__)")))
-    return p.select("page_id", F.octet_length("html").alias("n_bytes"), "title", F.transform(F.slice(scripts, 1, 5), lambda e: X.truncate_ws(D.text(e), 400)).alias("embedded"), F.size("elements").alias("n_elements"), F.size(F.array_distinct(F.col("elements.tag"))).alias("n_tags"))
+    p = D.with_elements(t.rich_pages, "html").withColumn("title", D.text(F.get(D.select(F.col("elements"), "title"), 0)))
+    kind = lambda e, k: F.coalesce(F.element_at(e["attrs"], k), F.lit(""))
+    state = lambda e: (e["end"] - e["start"] >= 40) & D.text(e).rlike(r"^\s*(window\.__|self\.__)")
+    scripts = F.filter(D.select(F.col("elements"), "script"), lambda e: F.contains(kind(e, "type"), F.lit("ld+json")) | (kind(e, "id") == "__NEXT_DATA__") | state(e))
+    embedded = F.array_join(F.transform(F.slice(scripts, 1, 5), lambda e: X.truncate_ws(D.text(e), 400)), " | ")
+    long = lambda c: c.cast("long")
+    return p.select("page_id", long(F.octet_length("html")).alias("n_bytes"), "title", embedded.alias("embedded"), long(F.size("elements")).alias("n_elements"), long(F.size(F.array_distinct(F.col("elements.tag")))).alias("n_tags"))
 
 
 @query("""select id, json_extract_string(item, '$.id') as key, json_extract_string(item, '$.title') as title, cast(json_extract(item, '$.points') as bigint) as points
