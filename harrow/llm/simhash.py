@@ -174,7 +174,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Each fingerprint is stood for by one of its texts, to which the others of that fingerprint link.
         first = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
         a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("u")), first.select(F.col("fp").alias("b"), F.col("rep").alias("v"))
-        edges += [links(first.select("fp"), max_bits).join(a, "a").join(b, "b").select("u", "v"), own.join(first, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))]
+        near = links(first.select("fp"), max_bits).join(a, "a").join(b, "b").select("u", "v")
+        # Written seed by seed: one plan over all seeds would be as large as all of them for the driver.
+        edges.append(written(near.unionByName(own.join(first, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))), "edges"))
     union = edges[0]
     for e in edges[1:]:
         union = union.unionByName(e)
