@@ -254,7 +254,7 @@ class LineIndex:
             moved = now.select("k1", "k2", F.lit(True).alias("add"))
         else:
             touched = written(batch.select("k1", "k2").distinct(), "touched")
-            held = self._read("postings", list(range(1, v + 1))).join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by > 0")
+            held = self.spark.read.schema(batch.schema).parquet(*[f"{self.folder}/postings-{k}" for k in range(1, v + 1)]).join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by > 0")
             was = self.counts.select("k1", "k2", F.lit(True).alias("was")).join(touched, ["k1", "k2"], "left_semi")
             now = touched.join(count(held), ["k1", "k2"], "left").join(was, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "last", F.coalesce("was", F.lit(False)).alias("was"))
             now = written(now.where(enough | F.col("was")), "now")
