@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import compile as C
 from ..operators import lifecycle as L
 from ..operators import queue as Q
 from ..operators import upsert as U
@@ -302,3 +303,45 @@ def latest_fixtures(t: Tables) -> DataFrame:
     f = t.events.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("id"), F.col("ts").alias("captured_at"))
     return L.latest(f, 20).select("source_id", "id", "rn")
 
+
+CLAIMED = "select id, source_id, kind from {repairs} where state = 'queued' order by id limit 20"
+
+
+@query(f"select id, source_id, kind, 'running' as state, case when kind = 'repair' then 'repairing' else 'compiling' end as source_state from ({CLAIMED}) c")
+def compile_claims(t: Tables) -> DataFrame:
+    """The compile runs that one round takes."""
+    return C.claims(t.repairs)
+
+
+SETTLED = f"""select c.id, c.source_id, c.kind, case when good then 'succeeded' else 'failed' end as state, case when good then c.id * 10 end as result_adapter_id,
+  case when good then null when not known then 'the source no longer exists' when c.id % 5 = 0 then 'the run gave no outcome' else 'gate failed' end as error
+from (select *, source_id in (select source_id from {{sources}} where source_id % 4 <> 1) as known, id % 5 <> 0 and id % 5 <> 1 and source_id in (select source_id from {{sources}} where source_id % 4 <> 1) as good from ({CLAIMED}) q) c"""
+
+
+def _settled(t: Tables) -> tuple[DataFrame, DataFrame]:
+    sources = t.sources.where("source_id % 4 <> 1")
+    claimed = C.claims(t.repairs)
+    outcomes = claimed.where("id % 5 <> 0").select("id", (F.col("id") % 5 != 1).alias("succeeded"), F.when(F.col("id") % 5 != 1, F.col("id") * 10).alias("adapter_id"), F.lit("gate failed").alias("message"))
+    return C.settled_runs(claimed, outcomes, sources), sources
+
+
+@query(SETTLED)
+def compile_runs_settled(t: Tables) -> DataFrame:
+    """Runs after a round: some sources are gone, a fifth of the runs crash, another fifth fails the gate."""
+    return _settled(t)[0]
+
+
+@query(f"""select s.source_id, s.state, case when r.state = 'succeeded' then 'active' when r.kind = 'repair' then 'degraded' else 'new' end as next_state from {{sources}} s
+join (select source_id, arg_max(kind, id) as kind, arg_max(state, id) as state from ({SETTLED}) x group by source_id) r on r.source_id = s.source_id where s.source_id % 4 <> 1""")
+def compile_sources_settled(t: Tables) -> DataFrame:
+    """The states that sources go to after a round."""
+    return C.settled_sources(*_settled(t))
+
+
+@query("""with n as (select source_id, max(id) as id from {adapters} where status = 'draft' group by source_id)
+select a.id, a.source_id, a.version, case when n.id % 2 = 0 and n.id = a.id then 'active' when n.id % 2 = 0 and a.status = 'active' then 'retired' else a.status end as status from {adapters} a left join n on n.source_id = a.source_id""")
+def compile_adapters_settled(t: Tables) -> DataFrame:
+    """Adapters after a round whose runs made the newest drafts: even ones by a first compile, odd ones by a repair."""
+    made = t.adapters.where("status = 'draft'").groupBy("source_id").agg(F.max("id").alias("result_adapter_id"))
+    runs = made.select("source_id", F.col("result_adapter_id").alias("id"), F.when(F.col("result_adapter_id") % 2 == 0, "compile").otherwise("repair").alias("kind"), F.lit("succeeded").alias("state"), "result_adapter_id")
+    return C.settled_adapters(t.adapters, runs)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from harrow.operators import compile as C
 from harrow.operators import lifecycle as L
 from harrow.operators import queue as Q
 
@@ -89,6 +90,22 @@ def test_due_and_tick(spark):
     assert got == [(1, "a", "queued", "u/a"), (1, "b", "queued", "u/b"), (2, "s2", "queued", "u"), (3, "s3", "misconfigured", None), (4, "s4", "skipped", None)]
 
 
+def test_compile_round(spark):
+    """Claims, then what each kind of outcome makes of the run, its source and its adapters."""
+    runs = spark.createDataFrame([(i, i, "repair" if i % 2 else "compile", "queued") for i in range(1, 7)] + [(0, 9, "compile", "running")], "id bigint, source_id bigint, kind string, state string")
+    claimed = C.claims(runs, 5)
+    assert sorted((r.id, r.source_state) for r in claimed.collect()) == [(1, "repairing"), (2, "compiling"), (3, "repairing"), (4, "compiling"), (5, "repairing")]
+    outcomes = spark.createDataFrame([(1, True, 11, None), (2, True, 12, None), (3, False, None, "x" * 9000), (4, True, None, "no adapter")], "id bigint, succeeded boolean, adapter_id bigint, message string")
+    sources = spark.createDataFrame([(i, "degraded" if i % 2 else "new") for i in (1, 2, 3, 4)], "source_id bigint, state string")
+    done = C.settled_runs(claimed, outcomes, sources)
+    got = {r.id: (r.state, r.result_adapter_id, r.error) for r in done.collect()}
+    assert got == {1: ("succeeded", 11, None), 2: ("succeeded", 12, None), 3: ("failed", None, "x" * 8000), 4: ("failed", None, "no adapter"), 5: ("failed", None, C.MISSING)}
+    assert {r.source_id: r.next_state for r in C.settled_sources(done, sources).collect()} == {1: "active", 2: "active", 3: "degraded", 4: "new"}
+    assert C.settled_runs(claimed.where("id = 2"), outcomes.where("false"), sources).first()["error"] == C.CRASHED
+    adapters = spark.createDataFrame([(1, 1, 1, "active"), (11, 1, 2, "canary"), (2, 2, 1, "active"), (12, 2, 2, "draft")], "id bigint, source_id bigint, version int, status string")
+    assert {r.id: r.status for r in C.settled_adapters(adapters, done).collect()} == {1: "active", 11: "canary", 2: "retired", 12: "active"}
+
+
 def test_versions(spark):
     a = spark.createDataFrame([(1, 1, 1, "retired"), (2, 1, 2, "retired"), (3, 1, 3, "active"), (4, 1, 4, "canary"), (5, 2, 1, "active")], "id bigint, source_id bigint, version int, status string")
     p = L.promote(a, a.where("id = 4"))
