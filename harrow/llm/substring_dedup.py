@@ -3,8 +3,8 @@
 A window is ``size`` consecutive words. Its minimiser is the least hash among its runs of ``gram`` words, and
 consecutive windows with one minimiser form a super-k-mer: one string of words that stands for all of them.
 Super-k-mers go to the bucket of their minimiser, where all equal windows of the corpus meet; there the windows
-are unpacked, sorted by a 128-bit hash of their words and document id, and every window that a smaller id also
-has is a hit. Words under hits are removed.
+are unpacked, sorted by two 64-bit hashes (of the 64-bit hashes of their words) and document id, and every window
+that a smaller id also has is a hit. Words under hits are removed.
 
 Transport. Map tasks pack each bucket's super-k-mers into Zstandard blobs, which go to their bucket's task through one
 shuffle, sorted by bucket, so that a task holds one bucket at a time. A lost executor costs its tasks.
@@ -39,7 +39,7 @@ from .common import arrow_map, pieces, row_hash, text_bytes, written
 
 NONE = -(2**63)
 SEEN = 200_000  # strings a task remembers
-FLUSH = 96 << 10  # bytes of a bucket's blob before packing
+FLUSH = 256 << 10  # bytes of a bucket's blob before packing
 HELD = 48 << 20  # bytes of all strings a task holds
 ROW = "bucket bigint, blob binary, id bigint, h bigint, first int, last int"
 _rng = np.random.default_rng(20240229)
@@ -71,7 +71,7 @@ class Packer:
     def __init__(self) -> None:
         import zstandard
 
-        self.pack = zstandard.ZstdCompressor(level=3)
+        self.pack = zstandard.ZstdCompressor(level=5)
         self.open: dict[int, list[tuple]] = defaultdict(list)
         self.bytes: dict[int, int] = defaultdict(int)
         self.held = self.ready = 0
@@ -102,9 +102,10 @@ class Packer:
     def flush(self, bucket: int) -> None:
         got = self.open.pop(bucket)
         self.held -= self.bytes.pop(bucket)
-        strings, *numbers = zip(*got, strict=True)
-        plain = b"".join([np.int64(len(got)).tobytes(), *[np.array(x, np.int64).tobytes() for x in numbers], b"\n".join(strings)])
-        blob = self.pack.compress(plain)
+        strings, keys, hs, firsts, windows = zip(*got, strict=True)
+        # Keys as steps: a task goes through small ids first, so most steps are small.
+        head = [np.int64(len(got)), np.diff(np.array(keys, np.int64), prepend=0), np.array(hs, np.int64), np.array(firsts, np.int32), np.array(windows, np.int32)]
+        blob = self.pack.compress(b"".join([x.tobytes() for x in head]) + b"\n".join(strings))
         self.rows.append((bucket, blob, None, None, None, None))
         self.ready += len(blob)
 
@@ -122,11 +123,13 @@ class Packer:
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """(keys, hs, firsts, windows) and the strings, one a line."""
     import zstandard
 
     plain = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(plain, np.int64, 1)[0])
-    return np.frombuffer(plain, np.int64, 4 * n, 8).reshape(4, n), plain[8 + 32 * n :]
+    wide, narrow = np.frombuffer(plain, np.int64, 2 * n, 8), np.frombuffer(plain, np.int32, 2 * n, 8 + 16 * n)
+    return np.stack([np.cumsum(wide[:n]), wide[n:], narrow[:n].astype(np.int64), narrow[n:].astype(np.int64)]), plain[8 + 24 * n :]
 
 
 def _superkmers(b: pa.RecordBatch, size: int, gram: int, buckets: int) -> Iterator[tuple[int, bytes, int, int, int, int]]:
@@ -276,7 +279,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.join(ranks, F.col("id") == F.col("name"), "left").drop("name"), "keyed")
 
 
-def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 4, bucket_windows: int = 400_000, hot: int = 4, sample: float = 1 / 16, sample_docs: int = 200_000) -> DataFrame:
+def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 3, bucket_windows: int = 400_000, hot: int = 4, sample: float = 1 / 16, sample_docs: int = 200_000) -> DataFrame:
     """(key, h, first, last): runs of windows that a smaller key has too. rows: key long, h, text. A null key is
     shown as the least long. sample: the share of documents that hot buckets are counted on, of sample_docs at most."""
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("chars"), F.count("*").alias("n")).first()
@@ -288,7 +291,9 @@ def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 4, bucket_wind
     packed = pack_documents(rows, size, gram, buckets, over)
     # A task counts a few buckets one after the other, up to a bound on tasks.
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, buckets // 4))
-    hits = count_buckets(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), size)
+    # Dealt in turn, not by a hash, so that no task gets more buckets than others.
+    dealt = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    hits = count_buckets(dealt, size)
     return written(hits.withColumnRenamed("id", "key").distinct(), "hits")
 
 
