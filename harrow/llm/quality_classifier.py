@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, least_hashed, pieces, text_bytes
+from .common import arrow_map, least_hashed, parallelism, pieces, text_bytes
 from .features import features, fit, logits, rates, shapes_of, softmax
 
 #: Labeller: rate it looks at, good up to (None: it never votes good), bad from. Those with a minus look at the
@@ -114,7 +114,7 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = 6000) -> tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            texts = [t for t in text_bytes(b.column(0)) if t and t.split()]
+            texts = [t for t in text_bytes(b.column(0)) if t and not t.isspace()]
             rows = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32())), pa.array([good[votes(t)] for t in texts], pa.float64())], ["at", "value", "good"]
@@ -122,7 +122,7 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = 6000) -> tu
 
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     picked = least_hashed(texts, F.col("text"), train_rows, sum(counts.values()))
-    sample = arrow_map(picked, run, "at array<int>, value array<float>, good double").toArrow()
+    sample = arrow_map(picked.repartition(parallelism(docs.sparkSession)), run, "at array<int>, value array<float>, good double").toArrow()
     rows = [(np.array(i.values, np.int32), np.array(v.values, np.float32)) for i, v in zip(sample.column("at"), sample.column("value"), strict=True)]
     g = sample.column("good").to_numpy()
     return fit(rows, np.stack([1 - g, g], axis=1))
@@ -130,7 +130,7 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = 6000) -> tu
 
 def scores(texts: list[bytes | None], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     p = softmax(logits([features(t) for t in texts], weights, bias))
-    return np.array([x if t and t.split() else 0.0 for t, x in zip(texts, p[:, 1] if len(p) else [], strict=True)])
+    return np.array([x if t and not t.isspace() else 0.0 for t, x in zip(texts, p[:, 1] if len(p) else [], strict=True)])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000, least: float = 0.5) -> DataFrame:
