@@ -166,7 +166,7 @@ def write_tokens(
             offset += int(ends[-1])
 
     schema = f"part int, offset bigint, id {kind.simpleString()}, n_tokens bigint, " + "".join(f"meta_{c} {docs.schema[c].dataType.simpleString()}, " for c in meta) + "tokens array<int>"
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "v2" if encoding == "delta" else "v1", "compression": "zstd"}
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "v2" if encoding == "delta" else "v1", "compression": "zstd", "parquet.compression.codec.zstd.level": 1}
     arrow_map(rows, run, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
