@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import ranged
+from .tables import SPLIT, busiest, ranged
 
 #: Fixed values of the health rules.
 WINDOW = 20
@@ -79,24 +79,31 @@ def degraded() -> Column:
     return F.col("trip_schema") | F.col("trip_null") | F.col("trip_yield") | F.col("trip_streak")
 
 
-def rolling_yield(runs: DataFrame, span: int = WINDOW) -> DataFrame:
-    """For every run that is not blocked: the median of the items of up to span - 1 runs before it, and whether
-    the run falls under the yield rule.
-
-    Runs are dealt by ranges of source and id, so that a busy source is spread over many tasks; what a range needs of
-    those before it are the last span - 1 numbers, which lie in so many ranges of the source at most."""
-    back = span - 1
-    r = ranged(runs.where("outcome <> 'blocked' and not canary").select("id", "source_id", "items"), ["source_id", "id"])
+def _last_items(r: DataFrame, back: int) -> DataFrame:
+    """r (id, source_id, items) with last: the items of up to back rows before in the source, dealt by ranges of
+    source and id. What a range needs of those before it lies in back ranges of the source at most."""
+    r = ranged(r, ["source_id", "id"])
     w = Window.partitionBy("__part", "source_id").orderBy("id")
     r = r.withColumn("own", F.collect_list("items").over(w.rowsBetween(-back, -1)))
     newest = r.withColumn("k", F.row_number().over(Window.partitionBy("__part", "source_id").orderBy(F.col("id").desc()))).where(F.col("k") <= back)
     tails = newest.groupBy("source_id", "__part").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "items"))), lambda x: x["items"]).alias("tail"))
     earlier = Window.partitionBy("source_id").orderBy("__part").rowsBetween(-back, -1)
     ahead = tails.select("source_id", "__part", F.flatten(F.collect_list("tail").over(earlier)).alias("ahead"))
-    # Spark has no framed median; the frame is at most span - 1 numbers.
     want = F.least(F.lit(back) - F.size("own"), F.size("ahead"))
-    before = F.concat(F.slice("ahead", F.size("ahead") - want + 1, want), F.col("own"))
-    r = r.join(ahead, ["source_id", "__part"]).withColumn("last", F.sort_array(before)).withColumn("n", F.size("last"))
+    return r.join(ahead, ["source_id", "__part"]).withColumn("last", F.concat(F.slice("ahead", F.size("ahead") - want + 1, want), F.col("own")))
+
+
+def rolling_yield(runs: DataFrame, span: int = WINDOW, split: int = SPLIT) -> DataFrame:
+    """For every run that is not blocked: the median of the items of up to span - 1 runs before it, and whether
+    the run falls under the yield rule. Where a source has more than split runs, all are dealt by ranges of source
+    and id, so that it is spread over many tasks; the result is the same."""
+    r = runs.where("outcome <> 'blocked' and not canary").select("id", "source_id", "items")
+    if busiest(r, "source_id") > split:
+        r = _last_items(r, span - 1)
+    else:
+        r = r.withColumn("last", F.collect_list("items").over(Window.partitionBy("source_id").orderBy("id").rowsBetween(-(span - 1), -1)))
+    # Spark has no framed median; the frame is at most span - 1 numbers.
+    r = r.withColumn("last", F.sort_array("last")).withColumn("n", F.size("last"))
     r = r.withColumn("trailing", (F.get("last", F.expr("(n - 1) div 2")) + F.get("last", F.expr("n div 2"))) / 2.0)
     low = (F.col("n") >= 2) & (F.col("trailing") > 0) & (F.col("items") < YIELD_FACTOR * F.col("trailing"))
     return r.select("id", "source_id", "items", F.coalesce("trailing", F.lit(0.0)).cast("double").alias("trailing_median"), F.coalesce(low, F.lit(False)).alias("collapsed"))

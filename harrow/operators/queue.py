@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import written
-from .tables import ERROR_CHARS, ranged, sequenced
+from .tables import ERROR_CHARS, SPLIT, busiest, ranged, sequenced
 
 MAX_ATTEMPTS = 5
 LEASE_S = 900
@@ -153,13 +153,26 @@ def queue_repairs(compile_runs: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(held, "source_id", "left_anti").groupBy("source_id").agg(F.min("kind").alias("kind"), F.lit("queued").alias("state"))
 
 
-def polite(requests: DataFrame, gap_ms: int = MIN_GAP_MS) -> DataFrame:
+def polite(requests: DataFrame, gap_ms: int = MIN_GAP_MS, split: int = SPLIT) -> DataFrame:
     """start_ms of each request (host, at_ms, id): at least gap_ms after the one before it on its host. As a
     running maximum: start_i = gap * i + max over j <= i of (at_j - gap * j). Without a host there is no gap.
 
-    Requests are dealt by ranges of host and time, so that a busy host is spread over many tasks: each counts and
-    takes its maximum for itself, and a table of one row a range and host says what came before."""
+    Where a host has more than split requests, all are dealt by ranges of host and time, so that it is spread over
+    many tasks: each counts and takes its maximum for itself, and a table of one row a range and host says what came
+    before. The result is the same."""
     asked = requests.where(F.col("host").isNotNull())
+    if busiest(asked, "host") > split:
+        out = _polite_ranges(asked, gap_ms)
+    else:
+        w = Window.partitionBy("host").orderBy("at_ms", "id")
+        numbered = asked.withColumn("__i", F.row_number().over(w))
+        out = numbered.withColumn("start_ms", gap_ms * F.col("__i") + F.max(F.col("at_ms") - gap_ms * F.col("__i")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__i")
+    free = requests.where(F.col("host").isNull()).withColumn("start_ms", F.col("at_ms"))
+    return out.unionByName(free).withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("waited_ms", F.col("start_ms") - F.col("at_ms"))
+
+
+def _polite_ranges(asked: DataFrame, gap_ms: int) -> DataFrame:
+    """asked with start_ms, by ranges."""
     r = ranged(asked, ["host", "at_ms", "id"])
     w = Window.partitionBy("__part", "host").orderBy("at_ms", "id")
     own = r.withColumn("__i", F.row_number().over(w)).withColumn("__lead", F.max(F.col("at_ms") - gap_ms * F.col("__i")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -167,9 +180,7 @@ def polite(requests: DataFrame, gap_ms: int = MIN_GAP_MS) -> DataFrame:
     earlier = Window.partitionBy("host").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("__most", F.max(F.col("lead") - gap_ms * F.col("__before")).over(earlier)).drop("n", "lead")
     lead = F.greatest("__most", F.col("__lead") - gap_ms * F.col("__before"))
-    out = own.join(blocks, ["host", "__part"]).withColumn("start_ms", gap_ms * (F.col("__before") + F.col("__i")) + lead).select(*requests.columns, "start_ms")
-    free = requests.where(F.col("host").isNull()).withColumn("start_ms", F.col("at_ms"))
-    return out.unionByName(free).withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("waited_ms", F.col("start_ms") - F.col("at_ms"))
+    return own.join(blocks, ["host", "__part"]).withColumn("start_ms", gap_ms * (F.col("__before") + F.col("__i")) + lead).select(*asked.columns, "start_ms")
 
 
 def next_state(state: Column, event: Column) -> Column:

@@ -71,6 +71,15 @@ def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
     return written(dealt, "ranged").withColumn("__part", F.shiftright("__place", 33))
 
 
+#: Rows of one key that a window takes in one task; keys with more are dealt by ranges.
+SPLIT = 1_000_000
+
+
+def busiest(rows: DataFrame, key: str) -> int:
+    """The rows of the key that has most."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def sequenced(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
     """rows with id, counting on from after in the given order: ranges of the order are counted by themselves, and
     each starts where those before it end."""

@@ -1,11 +1,13 @@
 """Scheduling transitions."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from harrow.operators import compile as C
+from harrow.operators import health as H
 from harrow.operators import lifecycle as L
 from harrow.operators import queue as Q
 
@@ -69,6 +71,17 @@ def test_polite(spark):
     assert {x.id: x.start_ms for x in Q.polite(r).collect()} == {1: 0, 2: 1000, 3: 5000, 4: 50, 5: 1, 6: 1}
 
 
+def test_busy_keys_are_split(spark):
+    """Ranges give what windows by key give, for a host and a source over all of them too."""
+    rng = random.Random(4)
+    r = spark.createDataFrame([(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(200_000)) for i in range(400)], "id bigint, host string, at_ms bigint")
+    both = [sorted((x.id, x.start_ms, x.waited_ms) for x in Q.polite(r, 1000, split).collect()) for split in (10**6, 0)]
+    assert both[0] == both[1]
+    runs = spark.createDataFrame([(i, rng.choice([1, 1, 1, 2, 3]), rng.randrange(50), rng.choice(["ok", "ok", "empty", "blocked"]), i % 9 == 0) for i in range(400)], "id bigint, source_id bigint, items int, outcome string, canary boolean")
+    both = [sorted(map(tuple, H.rolling_yield(runs, 20, split).collect())) for split in (10**6, 0)]
+    assert both[0] == both[1] and len(both[0]) > 200
+
+
 def test_route_and_states(spark):
     d = spark.createDataFrame([(5, "a", "c"), (10, "a", "c"), (5, None, "c"), (5, "a", None), (5, None, None)], "j bigint, a string, c string")
     assert [r[0] for r in d.select(Q.route(F.col("j"), F.col("a"), F.col("c"))).collect()] == ["c", "a", "c", "a", None]
