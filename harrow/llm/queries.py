@@ -222,3 +222,28 @@ m as (select l.*, k.key is not null and l.doc_id <> k.last as gone from l left j
 select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by r, doc_id
 """
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two or three words."""
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, share=50, top=2000)
+
+
+ORACLES["op11_phrases"] = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), lambda y: y <> '') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as x from d)),
+f as materialized (select lang, m, phrase, cast(count(*) as hugeint) as f from (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from p cross join (select unnest([1, 2, 3]) as m) where len(w) >= m)) group by all),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m >= 2 and f >= 10),
+k as (select lang, m, phrase, a, w, unnest(range(1, m)) as k from c),
+s as (select k.lang, k.m, k.phrase, k.a, k.k, x.f as l, y.f as r, (1000000 * k.a * k.a) // (x.f * y.f) as score
+      from k join f x on x.lang = k.lang and x.m = k.k and x.phrase = array_to_string(k.w[1:k.k], ' ') join f y on y.lang = k.lang and y.m = k.m - k.k and y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b as (select lang, m, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+g as (select lang, max(a) as longer, phrase from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from c where m = 3) group by lang, phrase),
+n as (select lang, sum(f) as n from f where m = 1 group by lang)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from b left join g on b.lang = g.lang and b.phrase = g.phrase join n on n.lang = b.lang where longer is null or 100 * longer < 50 * a qualify rank <= 2000
+"""
