@@ -11,7 +11,8 @@ Counting takes two passes over the texts, in shards of about ``SHARD`` bytes.
    goes on is one bit a counter: whether the bound reaches ``least``.
 2. Scan. The sequences of a shard whose bit is set are its candidates: those of other shards cannot match in it. They
    compile into one Aho-Corasick automaton a language, each guarded by a blank on both sides, and the automaton
-   counts all overlapping matches in the shard (single words are counted as they are numbered). Counts are summed over shards, and only sums of ``least`` or more stay.
+   counts all overlapping matches in the shard (single words are counted as they are numbered). Counts are summed over
+   shards, and only sums of ``least`` or more stay.
 
 A counter may let through too much, never too little, and the sums are of exact matches, so that the sketch's width
 decides how much is shuffled and nothing else. It follows the input up to 2**``most_bits`` counters (32 MiB of bits

@@ -247,3 +247,42 @@ n as (select lang, sum(f) as n from f where m = 1 group by lang)
 select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
 from b left join g on b.lang = g.lang and b.phrase = g.phrase join n on n.lang = b.lang where longer is null or 100 * longer < 50 * a qualify rank <= 2000
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations that share their first turns with every hundredth."""
+    from .prefix_trie import prefix_trie, sequences, spliced
+
+    seqs = sequences(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return prefix_trie(spliced(seqs, c - c % 100, F.crc32(c.cast("string")) % 6, most=5))
+
+
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda a, k: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end))"
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split({s}, ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(a >> 8, cast(tab[(xor(a, b) & 255) + 1] as bigint))))"
+ORACLES["op12_prefix_trie"] = f"""
+with t as materialized (select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(cast(strlen(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos,
+    md5(cast(strlen(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) as g, cast(length(coalesce(text, '')) as bigint) as chars from conversations where conv_id is not null),
+k as (select {_CRC_TABLE} as tab),
+c as materialized (select conv_id, {_CRC32.format(s="cast(conv_id as varchar)")} % 6 as h from (select distinct conv_id from t) cross join k),
+b as (select c.conv_id, t.pos, t.g, t.chars from c join t on t.conv_id = c.conv_id - c.conv_id % 100 and t.pos <= h
+      union all select c.conv_id, 1000000 + t.pos, t.g, t.chars from c join t on t.conv_id = c.conv_id and t.pos > h),
+s as materialized (select conv_id, coalesce(list(g order by pos) filter (g is not null), []) as gs, coalesce(list(chars order by pos) filter (g is not null), []) as cs from (select c.conv_id, b.pos, b.g, b.chars from c left join b using (conv_id)) group by conv_id),
+m as (select conv_id, d, array_to_string(gs[1:d], '') as p, case when d = 0 then '' else array_to_string(gs[1:d - 1], '') end as up, case when d = 0 then 0 else cs[d] end as chars, len(gs) = d as ends from (select *, unnest(range(0, len(gs) + 1)) as d from s)),
+n as materialized (select d, p, min(up) as up, min(conv_id) as conv_id, count(*) as n, max(chars) as chars, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as ids from m group by d, p),
+ch as (select d - 1 as d, up as p, count(*) as n from n where d > 0 group by all),
+a as (select n.*, coalesce(ch.n, 0) as children from n left join ch on n.d = ch.d and n.p = ch.p),
+sub as (select k as d, p[:32 * k] as p, sum((n - 1) * chars) as saved, count(*) filter (children = 0) as leaves from (select *, unnest(range(0, d + 1)) as k from a) group by all)
+select a.conv_id, cast(a.d as bigint) as depth, u.conv_id as parent_conv_id, cast(a.n as bigint) as n_convs, cast(children as bigint) as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(a.ids) as ends_sha256
+from a join sub on a.d = sub.d and a.p = sub.p left join n u on a.d > 0 and u.d = a.d - 1 and u.p = a.up
+"""
+
+
+@query
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, from mixtures of languages learnt without a third of them."""
+    from .langid import languages
+
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return languages(table(spark, sf_dir, "documents"), held_out=third).withColumnRenamed("id", "doc_id")
