@@ -19,11 +19,20 @@ NO_ERRORS = "array<string>"
 TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
 
 
+def one_value(text: Column) -> Column:
+    """Whether nothing follows the text's first JSON value. Spark's parsers read up to its end only, so the text is read
+    as the only element of an array and as the only field of an object: a bracket that closes the one too early is
+    an error in the other."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return alone & F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))) == 1, F.lit(False))
+
+
 def variant(text: Column) -> Column:
-    """Parsed JSON, or null; the last of equal keys counts (a setting of the session)."""
+    """Parsed JSON, or null where the text is not one value from end to end. The last of equal keys counts; Spark has
+    a setting of the session for that, which is put on here and stays on, as it is read when the plan is made."""
     if (spark := SparkSession.getActiveSession()) is not None:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return F.try_parse_json(text)
+    return F.when(one_value(text), F.try_parse_json(text))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -142,89 +151,179 @@ def json_text(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+#: Keywords of JSON Schema that assert something we do not build; they raise rather than let a bad value pass.
+UNSUPPORTED = ("$dynamicRef", "$recursiveRef", "unevaluatedItems")
+
+
+class RecursiveSchema(ValueError):
+    """A reference leads back to itself: such schemas are evaluated over nodes (``operators.schema``)."""
+
+
+class Expression:
+    """How the rules reach what lies below a value: as an expression within that of the value itself."""
+
+    def __init__(self, root: Any) -> None:
+        self.root = root
+
+    def fields(self, x: Column) -> Column:
+        """What stands for the values of an object's fields, by name."""
+        return F.coalesce(x["fields"], F.create_map().cast("map<string,variant>"))
+
+    def elements(self, x: Column) -> Column:
+        return F.coalesce(x["elements"], F.array().cast("array<variant>"))
+
+    def errors(self, child: Column, schema: Any, path: str, name: str, via: tuple[str, ...]) -> Column:
+        """The errors of what fields() or elements() stand for; name: the field's, or * where the data decide."""
+        return _errors(child, schema, f"{path}/{name}", self, via)
+
+
 def schema_errors(v: Column, schema: dict[str, Any] | bool, path: str = "") -> Column:
-    """Errors of a value under a JSON Schema, as an array of 'path keyword'. Keywords that only annotate, formats
-    and unknown keywords are passed over; references must not be recursive."""
-    return _errors(v, schema, path, schema, ())
+    """Errors of a value under a JSON Schema, as an array of 'path keyword'. Keywords that only annotate, formats and
+    keywords of no draft are passed over; those of UNSUPPORTED raise, as do recursive references (RecursiveSchema)."""
+    return _errors(v, schema, path, Expression(schema), ())
 
 
-def _errors(v: Column, schema: dict[str, Any] | bool, path: str, root: Any, via: tuple[str, ...]) -> Column:
+def _errors(v: Column, schema: dict[str, Any] | bool, path: str, below: Expression, via: tuple[str, ...]) -> Column:
+    if isinstance(schema, bool):
+        return F.array().cast(NO_ERRORS) if schema else F.array(F.lit(f"{path or '/'} false"))
+    return F.when(v.isNull(), F.array().cast(NO_ERRORS)).otherwise(_opened(v, lambda x: _rules(x, schema, path, below, via)))
+
+
+def _target(root: Any, ref: str) -> Any:
+    if not ref.startswith("#") or (ref[1:] and not ref.startswith("#/")):
+        raise ValueError(f"reference not supported: {ref}")
+    for step in [s.replace("~1", "/").replace("~0", "~") for s in ref[1:].split("/") if s]:
+        root = root[int(step) if isinstance(root, list) else step]
+    return root
+
+
+def _rules(x: Column, schema: dict[str, Any] | bool, path: str, below: Expression, via: tuple[str, ...]) -> Column:
+    """The errors of an opened value (v, fields, elements, kind)."""
     here, none = path or "/", F.array().cast(NO_ERRORS)
     if isinstance(schema, bool):
         return none if schema else F.array(F.lit(f"{here} false"))
-
-    def rules(x: Column) -> Column:
-        kind, found, lists = x["kind"], [], []
-        add = lambda bad, word: found.append(F.when(bad, F.lit(f"{here} {word}")))
-        below = lambda s, tag="": _errors(x["v"], s, path, root, via)
-        holds = lambda s: F.size(below(s)) == 0
-        number, text = F.try_variant_get(x["v"], "$", "double"), F.try_variant_get(x["v"], "$", "string")
-        types = schema.get("type")
-        if types is not None:
-            ok = F.lit(False)
-            for t in [types] if isinstance(types, str) else types:
-                ok |= (kind == "number") & (number == F.floor(number)) if t == "integer" else kind == t
-            add(~ok, "type")
-        if "enum" in schema:
-            add(~canonical(x["v"]).isin([json_text(c) for c in schema["enum"]]), "enum")
-        if "const" in schema:
-            add(canonical(x["v"]) != json_text(schema["const"]), "const")
-        for word, limit in schema.items():
-            if word in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and not isinstance(limit, bool):
-                bad = {"minimum": number < limit, "maximum": number > limit, "exclusiveMinimum": number <= limit, "exclusiveMaximum": number >= limit}[word]
-                add((kind == "number") & bad, word)
-            elif word == "multipleOf":
-                add((kind == "number") & (F.abs(number / limit - F.round(number / limit)) > 1e-9), word)
-            elif word in ("minLength", "maxLength"):
-                add((kind == "string") & (F.length(text) < limit if word == "minLength" else F.length(text) > limit), word)
-            elif word == "pattern":
-                add((kind == "string") & ~text.rlike(limit), word)
-            elif word in ("minItems", "maxItems"):
-                add((kind == "array") & (F.size(x["elements"]) < limit if word == "minItems" else F.size(x["elements"]) > limit), word)
-            elif word == "uniqueItems" and limit:
-                add((kind == "array") & (F.size(F.array_distinct(F.transform(x["elements"], canonical))) < F.size(x["elements"])), word)
-            elif word in ("minProperties", "maxProperties"):
-                add((kind == "object") & (F.size(x["fields"]) < limit if word == "minProperties" else F.size(x["fields"]) > limit), word)
-            elif word == "contains":
-                add((kind == "array") & ~F.exists(x["elements"], lambda e: F.size(_errors(e, limit, path, root, via)) == 0), word)  # noqa: B023
-            elif word == "anyOf":
-                add(~_any([holds(s) for s in limit]), word)
-            elif word == "oneOf":
-                add(sum([holds(s).cast("int") for s in limit], F.lit(0)) != 1, word)
-            elif word == "not":
-                add(holds(limit), word)
-            elif word == "allOf":
-                lists += [below(s) for s in limit]
-            elif word == "$ref":
-                if limit in via or not limit.startswith("#"):
-                    raise ValueError(f"reference not supported: {limit}")
-                target = root
-                for step in [s.replace("~1", "/").replace("~0", "~") for s in limit[1:].split("/") if s]:
-                    target = target[step]
-                lists.append(_errors(x["v"], target, path, root, (*via, limit)))
-        for name in schema.get("required", []):
-            add((kind == "object") & ~F.map_contains_key(x["fields"], F.lit(name)), f"required {name}")
-        out = [F.array_compact(F.array(*found))] if found else []
-        properties, patterns, more = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties")
-        known = lambda n: _any([n.isin(*properties) if properties else F.lit(False), *[n.rlike(p) for p in patterns]])
-        fields = F.coalesce(x["fields"], F.create_map().cast("map<string,variant>"))
-        if more is False:
-            extra = F.sort_array(F.filter(F.map_keys(fields), lambda n: ~known(n)))
-            out.append(F.transform(extra, lambda n: F.concat(F.lit(f"{here} additional "), n)))
-        elif isinstance(more, dict):
-            out.append(F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: ~known(n))), lambda e: _errors(e["value"], more, f"{path}/*", root, via))))
-        for name, sub in properties.items():
-            child = F.element_at(fields, F.lit(name))
-            out.append(F.when(child.isNotNull(), _errors(child, sub, f"{path}/{name}", root, via)).otherwise(none))
-        for pattern, sub in patterns.items():
-            out.append(F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: n.rlike(pattern))), lambda e: _errors(e["value"], sub, f"{path}/*", root, via))))  # noqa: B023
-        if "items" in schema:
-            each = F.coalesce(x["elements"], F.array().cast("array<variant>"))
-            out.append(F.flatten(F.transform(each, lambda e: _errors(e, schema["items"], f"{path}/*", root, via))))
-        out += lists
-        return F.concat(*[F.coalesce(o, none) for o in out]) if out else none
-
-    return F.when(v.isNull(), none).otherwise(_opened(v, rules))
+    if bad := [w for w in UNSUPPORTED if w in schema]:
+        raise ValueError(f"keyword not supported: {bad[0]}")
+    kind, found, out = x["kind"], [], []
+    add = lambda bad, word: found.append(F.when(bad, F.lit(f"{here} {word}")))
+    same = lambda s: _rules(x, s, path, below, via)
+    holds = lambda s: F.size(same(s)) == 0
+    has = lambda name: (kind == "object") & F.map_contains_key(x["fields"], F.lit(name))
+    child = lambda c, s, name="*": below.errors(c, s, path, name, via)
+    number, text = F.try_variant_get(x["v"], "$", "double"), F.try_variant_get(x["v"], "$", "string")
+    types = schema.get("type")
+    if types is not None:
+        ok = F.lit(False)
+        for t in [types] if isinstance(types, str) else types:
+            ok |= (kind == "number") & (number == F.floor(number)) if t == "integer" else kind == t
+        add(~ok, "type")
+    if "enum" in schema:
+        add(~canonical(x["v"]).isin([json_text(c) for c in schema["enum"]]), "enum")
+    if "const" in schema:
+        add(canonical(x["v"]) != json_text(schema["const"]), "const")
+    size, names = F.size(x["elements"]), F.map_keys(x["fields"])
+    for word, limit in schema.items():
+        if word in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and not isinstance(limit, bool):
+            bad = {"minimum": number < limit, "maximum": number > limit, "exclusiveMinimum": number <= limit, "exclusiveMaximum": number >= limit}[word]
+            add((kind == "number") & bad, word)
+        elif word == "multipleOf":
+            add((kind == "number") & (F.abs(number / limit - F.round(number / limit)) > 1e-9), word)
+        elif word in ("minLength", "maxLength"):
+            add((kind == "string") & (F.length(text) < limit if word == "minLength" else F.length(text) > limit), word)
+        elif word == "pattern":
+            add((kind == "string") & ~text.rlike(limit), word)
+        elif word in ("minItems", "maxItems"):
+            add((kind == "array") & (size < limit if word == "minItems" else size > limit), word)
+        elif word == "uniqueItems" and limit:
+            add((kind == "array") & (F.size(F.array_distinct(F.transform(x["elements"], canonical))) < size), word)
+        elif word in ("minProperties", "maxProperties"):
+            add((kind == "object") & (F.size(x["fields"]) < limit if word == "minProperties" else F.size(x["fields"]) > limit), word)
+        elif word == "contains":
+            least, most = schema.get("minContains", 1), schema.get("maxContains")
+            n = F.size(F.filter(below.elements(x), lambda e: F.size(child(e, limit)) == 0))  # noqa: B023
+            add((kind == "array") & (n < least), word)
+            if most is not None:
+                add((kind == "array") & (n > most), "maxContains")
+        elif word == "anyOf":
+            add(~_any([holds(s) for s in limit]), word)
+        elif word == "oneOf":
+            add(sum([holds(s).cast("int") for s in limit], F.lit(0)) != 1, word)
+        elif word == "not":
+            add(holds(limit), word)
+        elif word == "allOf":
+            out += [same(s) for s in limit]
+        elif word == "if":
+            then, other = (same(schema[k]) if k in schema else none for k in ("then", "else"))
+            out.append(F.when(holds(limit), then).otherwise(other))
+        elif word == "propertyNames":
+            bad = F.filter(names, lambda n: F.size(_errors(_string(n), limit, "", Expression(below.root), via)) > 0)  # noqa: B023
+            out.append(F.transform(F.sort_array(bad), lambda n: F.concat(F.lit(f"{here} propertyNames "), n)))
+        elif word in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for name, need in limit.items():
+                if isinstance(need, list):
+                    for other in need:
+                        add(has(name) & ~has(other), f"{word} {name} {other}")
+                else:
+                    out.append(F.when(has(name), same(need)).otherwise(none))
+        elif word == "$ref":
+            if limit in via:
+                raise RecursiveSchema(f"recursive reference: {limit}")
+            out.append(_rules(x, _target(below.root, limit), path, below, (*via, limit)))
+    for name in schema.get("required", []):
+        add((kind == "object") & ~F.map_contains_key(x["fields"], F.lit(name)), f"required {name}")
+    properties, patterns, more = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties")
+    known = lambda n: _any([n.isin(*properties) if properties else F.lit(False), *[n.rlike(p) for p in patterns]])
+    fields = below.fields(x)
+    rest = lambda taken, s, word: F.transform(F.sort_array(F.filter(F.map_keys(fields), lambda n: ~taken(n))), lambda n: F.concat(F.lit(f"{here} {word} "), n)) if s is False else F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: ~taken(n))), lambda e: child(e["value"], s)))
+    if more is not None and more is not True:
+        out.append(rest(known, more, "additional"))
+    for name, sub in properties.items():
+        c = F.element_at(fields, F.lit(name))
+        out.append(F.when(c.isNotNull(), child(c, sub, name)).otherwise(none))
+    for pattern, sub in patterns.items():
+        out.append(F.flatten(F.transform(F.map_entries(F.map_filter(fields, lambda n, _: n.rlike(pattern))), lambda e: child(e["value"], sub))))  # noqa: B023
+    if (last := schema.get("unevaluatedProperties")) is not None and last is not True:
+        taken = _evaluated(x, schema, path, below, via)
+        out.append(F.flatten(F.transform(F.array(taken), lambda t: rest(lambda n: F.array_contains(t, n), last, "unevaluated"))))
+    items, each = schema.get("items"), below.elements(x)
+    first = schema.get("prefixItems") or (items if isinstance(items, list) else [])
+    others = schema.get("additionalItems") if isinstance(items, list) else items
+    for k, sub in enumerate(first):
+        out.append(F.when(F.size(each) > k, child(F.get(each, F.lit(k)), sub, str(k))).otherwise(none))
+    if others is not None:
+        tail = F.slice(each, len(first) + 1, F.greatest(F.size(each), F.lit(1))) if first else each
+        out.append(F.flatten(F.transform(tail, lambda e: child(e, others))))
+    out = [F.array_compact(F.array(*found))] * bool(found) + out
+    return F.concat(*[F.coalesce(o, none) for o in out]) if out else none
+
+
+def _string(name: Column) -> Column:
+    """A string as a variant."""
+    return F.try_parse_json(F.regexp_replace(F.to_json(F.struct(name.alias("n"))), r'(?s)^\{"n":(.*)\}$', "$1"))
+
+
+def _evaluated(x: Column, schema: Any, path: str, below: Expression, via: tuple[str, ...]) -> Column:
+    """The names of an object's fields that the schema, or a schema of the same value that holds, looks at."""
+    none = F.array().cast("array<string>")
+    if not isinstance(schema, dict):
+        return none
+    names, parts = F.coalesce(F.map_keys(x["fields"]), none), [none]
+    inner = lambda s: _evaluated(x, s, path, below, via)
+    when = lambda s: F.when(F.size(_rules(x, s, path, below, via)) == 0, inner(s)).otherwise(none)
+    if "additionalProperties" in schema:
+        parts.append(names)
+    if schema.get("properties"):
+        parts.append(F.array(*map(F.lit, schema["properties"])))
+    parts += [F.filter(names, lambda n: n.rlike(p)) for p in schema.get("patternProperties", {})]  # noqa: B023
+    parts += [inner(s) for s in schema.get("allOf", [])]
+    parts += [when(s) for word in ("anyOf", "oneOf") for s in schema.get(word, [])]
+    if "if" in schema:
+        then, other = inner(schema.get("then")), inner(schema.get("else"))
+        parts.append(F.when(F.size(_rules(x, schema["if"], path, below, via)) == 0, F.concat(inner(schema["if"]), then)).otherwise(other))
+    parts += [F.when(F.array_contains(names, name), inner(s)).otherwise(none) for word in ("dependentSchemas", "dependencies") for name, s in schema.get(word, {}).items()]
+    if (ref := schema.get("$ref")) and ref not in via:
+        parts.append(_evaluated(x, _target(below.root, ref), path, below, (*via, ref)))
+    return F.concat(*parts)
 
 
 def _any(conditions: list[Column]) -> Column:

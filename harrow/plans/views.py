@@ -85,6 +85,17 @@ select id, source_id, fixture, v, k, case v
   when 12 then 'not json'
   else concat('{{"externalKey":"e', ks, '","id":"', ks, '","title":"t', ks, '","points":', ks, '}}') end as payload
 from (select event_id as id, user_id as source_id, cast(event_id % 4 as int) as fixture, cast(event_id % 14 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+    "bodies": """
+select id, case v when 0 then concat('{{"a":', ks, '}}') when 1 then concat('{{"a":', ks, '}} {{"b":2}}') when 2 then concat('[', ks, '] [2]') when 3 then concat('{{"a":', ks, '}} x}}') when 4 then concat('{{"a":1,"a":', ks, '}}')
+  when 5 then concat('{{"a":', ks, '}}]') when 6 then concat('{{"a":"it''s ', ks, '"}}') when 7 then concat(' [', ks, ',{{"b":"}}]"}}]') when 8 then concat('{{''a'':', ks, '}}') when 9 then concat('[', ks, ',]') when 10 then ks else concat('{{"a":0', ks, '}}') end as body
+from (select event_id as id, cast(event_id % 12 as int) as v, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+    "forms": """
+select id, concat('{{"kind":', case when v % 3 = 0 then '"card"' when v % 3 = 1 then '"bank"' else 'null' end, case when v % 2 = 0 then concat(',"number":"', ks, '"') else '' end, case when v % 5 < 2 then ',"address":"a"' else '' end,
+  case when v % 4 = 1 then concat(',"iban":"', ks, '"') else '' end, case when v % 7 = 0 then concat(',"N', ks, '":1') else '' end, case when v % 11 = 3 then '' else concat(',"tags":["t",', case when k % 3 = 0 then '"x"' else ks end, case when k % 5 = 0 then '' when k % 5 = 1 then ',true' when k % 5 = 2 then ',false' else ',true,1' end, ']') end, '}}') as payload
+from (select event_id as id, cast(event_id % 60 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+    "trees": """
+select id, concat(repeat(concat('{{"id":', ks, ',"kids":['), d), case v when 0 then '{{"id":1}}' when 1 then '{{"id":-1}}' when 2 then '{{"kids":[]}},{{"id":2,"note":"n"}}' when 3 then '"x"' when 4 then '{{"id":7}},{{"id":7,"note":"n","kids":[{{"id":2.5}}]}}' else '' end, repeat(']}}', d), case when d = 0 and (v = 2 or v >= 4) then ' 1' else '' end) as payload
+from (select event_id as id, cast(event_id % 7 as int) as d, cast($K as int) % 6 as v, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
     "gate_items": """
 select id, source_id, fixture, case when source_id % 3 = 0 then concat('{{"id":"', cast(k as varchar(20)), '","title":"t","points":', cast(id as varchar(20)), '}}') else payload end as payload from {payloads}""",
     "json_pages": """
@@ -145,4 +156,5 @@ def duck(sql: str) -> str:
     body = shown(sql).strip()
     if not names:
         return body
-    return f"with {ctes}{', ' + body[5:] if body[:5].lower() == 'with ' else ' ' + body}"
+    own = re.match("with (recursive )?", body)
+    return f"{own[0]}{ctes}, {body[own.end() :]}" if own else f"with {ctes} {body}"

@@ -9,6 +9,7 @@ from ..functions import jsonx as J
 from ..functions import text as X
 from ..operators import gate as G
 from ..operators import queue as Q
+from ..operators import schema as S
 from ..operators import trace as A
 from ..sources import html as D
 from ..sources import json_outline as O
@@ -95,6 +96,61 @@ def schema_errors(t: Tables) -> DataFrame:
     return _variants(t).select("id", F.array_join(F.sort_array(J.schema_errors(F.col("value"), SCHEMA)), "; ").alias("errors"))
 
 
+# DuckDB's parser takes a comma before a closing bracket, which is no JSON.
+@query("select id, json_valid(body) and not regexp_matches(body, ',[ ]*[\\]}}]') and regexp_matches(body, '^[ \\t\\n\\r]*[\\[{{]') as is_json from {bodies}")
+def json_test(t: Tables) -> DataFrame:
+    """Bodies that are one JSON object or array from end to end."""
+    return t.bodies.select("id", X.looks_like_json(F.col("body")).alias("is_json"))
+
+
+#: A schema with conditions, and one that leads back to itself.
+FORM = {
+    "type": "object",
+    "if": {"properties": {"kind": {"const": "card"}}, "required": ["kind"]},
+    "then": {"required": ["number"]},
+    "else": {"required": ["iban"]},
+    "dependentRequired": {"number": ["address"]},
+    "propertyNames": {"pattern": "^[a-z]+$"},
+    "properties": {"tags": {"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": {"type": "boolean"}, "contains": {"const": True}}},
+}
+TREE = {
+    "$defs": {
+        "node": {
+            "type": "object",
+            "required": ["id"],
+            "properties": {"id": {"type": "integer", "minimum": 0}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}},
+            "if": {"properties": {"id": {"const": 7}}, "required": ["id"]},
+            "then": {"required": ["note"]},
+        }
+    },
+    "$ref": "#/$defs/node",
+}
+_KIND = "json_extract_string(j, '$.kind')"
+_TAG = lambda i: f"json_type(j, '$.tags[{i}]')"
+
+
+@query(f"""select id, array_to_string(list_sort(list_concat(list_filter([case when {_KIND} = 'card' and j.number is null then '/ required number' end, case when coalesce({_KIND}, '') <> 'card' and j.iban is null then '/ required iban' end,
+ case when j.number is not null and j.address is null then '/ dependentRequired number address' end, case when {_TAG(1)} not in ('BIGINT', 'UBIGINT') then '/tags/1 type' end,
+ case when j.tags is not null and not contains(cast(j.tags as varchar), 'true') then '/tags contains' end], lambda x: x is not null),
+ list_transform(list_filter(json_keys(j), lambda k: not regexp_matches(k, '^[a-z]+$')), lambda k: concat('/ propertyNames ', k)),
+ list_transform(list_filter([{_TAG(2)}, {_TAG(3)}], lambda x: x is not null and x <> 'BOOLEAN'), lambda x: '/tags/* type'))), '; ') as errors from (select id, cast(payload as json) as j from {{forms}}) f""")
+def schema_conditions(t: Tables) -> DataFrame:
+    """Errors under a schema with conditions, dependencies, name rules and positional items."""
+    v = t.forms.select("id", J.variant(F.col("payload")).alias("value"))
+    return v.select("id", F.array_join(F.sort_array(J.schema_errors(F.col("value"), FORM)), "; ").alias("errors"))
+
+
+@query("""with recursive n as (select id, '' as path, cast(payload as json) as j from {trees} where json_valid(payload) union all select id, path || '/kids/*', unnest(cast(json_extract(j, '$.kids') as json[])) from n where json_type(j, '$.kids') = 'ARRAY'),
+e as (select id, path, j, json_type(j) = 'OBJECT' as o, json_extract_string(j, '$.id') as k, json_type(j, '$.id') as ty, json_type(j, '$.note') as note, case when path = '' then '/' else path end as here from n),
+f as (select id, unnest(list_filter([case when not o then here || ' type' end, case when o and k is null then here || ' required id' end, case when ty = 'DOUBLE' and cast(k as double) <> floor(cast(k as double)) then path || '/id type' end,
+ case when cast(k as double) < 0 then path || '/id minimum' end, case when cast(k as double) = 7 and note is null then here || ' required note' end], lambda x: x is not null)) as error from e)
+select t.id, case when json_valid(payload) then coalesce(errors, '') end as errors from {trees} t left join (select id, string_agg(error, '; ' order by error) as errors from f group by id) g on g.id = t.id""")
+def schema_tree(t: Tables) -> DataFrame:
+    """Errors of nested values under a schema that leads back to itself."""
+    v = t.trees.select("id", J.variant(F.col("payload")).alias("value"))
+    return S.with_schema_errors(v, "value", TREE).select("id", F.array_join(F.sort_array("errors"), "; ").alias("errors"))
+
+
 @query(f"with c as (select id, {_canonical('j')} as shown from {PARSED}) select a.id, a.shown = b.shown as same from c a join c b on b.id = a.id + 14")
 def expected_match(t: Tables) -> DataFrame:
     p = _variants(t).select("id", J.canonical(F.col("value")).alias("shown"))

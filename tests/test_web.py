@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.functions import jsonx as J
 from harrow.functions import text as X
 from harrow.operators import gate as G
+from harrow.operators import schema as S2
 from harrow.sources import fixtures as S
 from harrow.sources import html as D
 from harrow.sources import json_outline as O
@@ -62,8 +63,10 @@ SCHEMA = {"type": "object", "additionalProperties": False, "required": ["id", "t
 def test_schema(spark):
     texts = ['{"id":"1","title":"a"}', '{"id":"1"}', '{"id":1,"title":"a"}', '{"id":"1","title":"a","x":1}', '{"id":"1","title":"a","points":1.0}', '{"id":"1","title":"a","points":1.5}', '{"id":"1","title":"a","tags":["x",1]}', "[]", "nope", None]
     assert one(spark, lambda c: J.is_valid(J.variant(c), SCHEMA), *texts) == [True, False, False, False, True, False, False, False, False, False]
-    with pytest.raises(ValueError):
+    with pytest.raises(J.RecursiveSchema):
         J.schema_errors(F.col("x"), {"$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}, "$ref": "#/$defs/a"})
+    with pytest.raises(ValueError):
+        J.schema_errors(F.col("x"), {"$dynamicRef": "#node"})
 
 
 KEYWORDS = [
@@ -81,6 +84,19 @@ KEYWORDS = [
     ({"$defs": {"p": {"type": "integer"}}, "items": {"$ref": "#/$defs/p"}}, ["[1,2]", "[1,2.5]"], [True, False]),
     ({"contains": {"const": 1}, "minProperties": 1}, ["[2,1]", "[2]", "{}"], [True, False, False]),
     ({"type": "string", "format": "uri", "x-note": 1, "default": "d"}, ['"anything"', "1"], [True, False]),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"required": ["a"]}, "else": {"required": ["b"]}}, ['{"k":1,"a":0}', '{"k":1,"b":0}', '{"k":2,"b":0}', "{}", "3"], [True, False, True, False, True]),
+    ({"if": {"type": "string"}}, ['"x"', "1"], [True, True]),
+    ({"dependentRequired": {"card": ["address", "name"]}}, ['{"card":1,"address":2,"name":3}', '{"card":1,"name":3}', '{"name":1}', "[]"], [True, False, True, True]),
+    ({"dependentSchemas": {"a": {"properties": {"b": {"type": "string"}}}}}, ['{"a":1,"b":"x"}', '{"a":1,"b":2}', '{"b":2}'], [True, False, True]),
+    ({"dependencies": {"a": ["b"], "c": {"minProperties": 3}}}, ['{"a":1,"b":1}', '{"a":1}', '{"c":1}', '{"c":1,"d":1,"e":1}'], [True, False, False, True]),
+    ({"propertyNames": {"pattern": "^[a-z]+$", "maxLength": 3}}, ['{"ab":1}', '{"Ab":1}', '{"abcd":1}', '{"a\\"b":1}', "{}", "[1]"], [True, False, False, False, True, True]),
+    ({"prefixItems": [{"type": "string"}, {"minimum": 2}], "items": {"type": "boolean"}}, ['["a",2,true]', '["a",1]', '["a",2,3]', "[1]", "[]", '["a"]'], [True, False, False, False, True, True]),
+    ({"items": [{"type": "string"}, {"type": "number"}], "additionalItems": False}, ['["a",1]', '["a","b"]', '["a",1,2]', '["a"]'], [True, False, False, True]),
+    ({"contains": {"type": "number"}, "minContains": 2, "maxContains": 3}, ["[1,2]", '[1,"a"]', "[1,2,3,4]", "{}"], [True, False, False, True]),
+    ({"contains": {"type": "number"}, "minContains": 0}, ["[]", '["a"]'], [True, True]),
+    ({"allOf": [{"properties": {"a": {}}}], "anyOf": [{"properties": {"b": {"const": 1}}, "required": ["b"]}, {}], "unevaluatedProperties": False}, ['{"a":1,"b":1}', '{"a":1,"b":2}', '{"a":1,"c":1}', "3"], [True, False, False, True]),
+    ({"$defs": {"x": {"properties": {"a": {}}}}, "$ref": "#/$defs/x", "unevaluatedProperties": {"type": "string"}}, ['{"a":1,"z":"s"}', '{"a":1,"z":1}'], [True, False]),
+    (False, ["1"], [False]),
 ]
 
 
@@ -89,6 +105,65 @@ def test_schema_keywords(spark, schema, texts, valid):
     assert one(spark, lambda c: J.is_valid(J.variant(c), schema), *texts) == valid
 
 
+NODE = {
+    "type": "object",
+    "required": ["id"],
+    "properties": {"id": {"type": "integer", "minimum": 0}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}, "uniqueItems": True}, "by": {"additionalProperties": {"$ref": "#/$defs/node"}, "propertyNames": {"maxLength": 2}}},
+    "if": {"properties": {"id": {"const": 7}}, "required": ["id"]},
+    "then": {"required": ["note"]},
+}
+
+
+def test_recursive_schema(spark):
+    """Depth is data; the errors are those of the same schema unrolled."""
+    deep = '{"id":1,"kids":[' * 9 + '{"id":-1}' + "]}" * 9
+    texts = ['{"id":1}', '{"id":1,"kids":[{"id":2,"kids":[{"id":-3},{"x":1},"s"]},{"id":7}]}', '{"id":7,"note":1,"by":{"a":{"id":1.5},"abc":{"id":1}}}', "[]", deep, '{"id":2,"kids":[{"id":3},{"id":3.0}]}', "nope", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("v", J.variant(F.col("t"))).withColumn("node", F.lit("clash"))
+    schema = {"$defs": {"node": NODE}, "$ref": "#/$defs/node"}
+    got = {r.k: None if r.errors is None else sorted(r.errors) for r in S2.with_schema_errors(d, "v", schema).collect()}
+    assert got == {
+        0: [],
+        1: ["/kids/* required note", "/kids/*/kids/* required id", "/kids/*/kids/* type", "/kids/*/kids/*/id minimum"],
+        2: ["/by propertyNames abc", "/by/*/id type"],
+        3: ["/ type"],
+        4: ["/kids/*" * 9 + "/id minimum"],
+        5: ["/kids uniqueItems"],
+        6: None,
+        7: None,
+    }
+    unrolled = json.loads(json.dumps(NODE).replace('{"$ref": "#/$defs/node"}', json.dumps(NODE).replace('{"$ref": "#/$defs/node"}', json.dumps({k: NODE[k] for k in ("type", "required", "if", "then")} | {"properties": {"id": NODE["properties"]["id"]}}))))
+    for r in S2.with_schema_errors(d.where("k in (1, 2, 3, 5)"), "v", unrolled).collect():
+        assert sorted(r.errors) == got[r.k]
+    assert S2.with_schema_errors(d.where("k < 0"), "v", schema).count() == 0
+
+
+def test_schema_loop_without_descent(spark):
+    d = spark.createDataFrame([("1",)], "t string").withColumn("v", J.variant(F.col("t")))
+    with pytest.raises(J.RecursiveSchema):
+        S2.with_schema_errors(d, "v", {"$defs": {"a": {"allOf": [{"$ref": "#/$defs/a"}]}}, "$ref": "#/$defs/a"})
+
+
+JSON_TEXTS = ['{"a":1} {"b":2}', "[1] [2]", '{"a":1} x}', '{"a":1,"a":2}', '{"a":1}]', '{"a":1}} x', "{},{}", '{"a":"b\'c"}', "{'a':1}", '{"a":"x\\"\'y"}', "[1,]", " \n[]", '{"a":"tab\tx"}', '{"a":01}', "x[]", None, "", '{"a":NaN}', '{"a":[{"b":"}]"}]}', '{"a":"\\\\"}', '{"a":"' + '\\"' * 20000 + '"}']
+
+
+@pytest.mark.parametrize("setting", ["false", "true"])
+def test_json_test_is_strict(spark, setting):
+    """Python's parser is as strict, but for NaN; the session's settings do not matter."""
+
+    def strict(t):
+        try:
+            return t is not None and t.lstrip(" \n")[:1] in ("{", "[") and json.loads(t, parse_constant=lambda x: 1 / 0) is not None
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", setting)
+    try:
+        assert one(spark, X.looks_like_json, *JSON_TEXTS) == [strict(t) for t in JSON_TEXTS]
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
 def test_numbers_in_canonical_form(spark):
     texts = ["1e2", "100", "100.0", "-0", "0.0", "1.50", "1e-7", "0.000001", "1e21", "1e20", "12345678901234567890", "-1.5e300", '"1e2"', '"a\\"1.0"', '{"b":1.0,"a":[1e0]}', '{"a":1,"a":2}']
     assert one(spark, lambda c: J.canonical(J.variant(c)), *texts) == ["100", "100", "100", "0", "0", "1.5", "1e-7", "0.000001", "1e+21", "100000000000000000000", "12345678901234567000", "-1.5e+300", '"1e2"', '"a\\"1.0"', '{"a":[1],"b":1}', '{"a":2}']
