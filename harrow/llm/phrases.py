@@ -35,90 +35,93 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, parallelism, rough_bytes, text_bytes, written
 
-#: Bytes of text a shard holds, and counters a slice of the sketch has.
-SHARD, SLICE = 4 << 20, 1 << 18
+#: Bytes of text a shard holds, counters a slice of the sketch has, and hashes that are sorted before they are sent.
+SHARD, SLICE, HELD = 4 << 20, 1 << 18, 8 << 20
 #: A-Z small, what splits pieces a line end, the tab a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 BREAK = 1
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def shards(texts: list[bytes], overlap: int, size: int = SHARD) -> Iterator[tuple[list[bytes], int]]:
-    """The folded tokens of texts, pieces divided by line ends, about size bytes at a time, and how many words at the
-    start of each were in the one before as well."""
-    tokens: list[bytes] = []
-    held = repeated = 0
-    for t in texts:
-        t = t.translate(FOLD)
-        at = 0
-        while at < len(t):
-            end = len(t)
-            if end - at > size - held:  # up to a blank or line end, so that no word is cut
-                end = at + max(size - held, 1)
-                near = [x for x in (t.find(b" ", end), t.find(b"\n", end)) if x >= 0]
-                end = min(near, default=len(t))
-            tokens += t[at:end].replace(b"\n", b" \n ").split(b" ")
-            held, at = held + end - at, end
-            if held >= size:
-                yield tokens, repeated
-                last: list[bytes] = []
-                if at < len(t):
-                    for w in reversed(tokens):
-                        if w == b"\n" or len(last) == overlap:
-                            break
-                        if w:
-                            last.append(w)
-                tokens, held, repeated = last[::-1], 0, len(last)
-        tokens.append(b"\n")
-    if held:
-        yield tokens, repeated
-
-
 class Shard:
-    """Words as numbers and the hashes of all their sequences."""
-
-    def __init__(self, lang: str, tokens: list[bytes], repeated: int, max_words: int) -> None:
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        number[b""], number[b"\n"]
-        ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        self.ids, self.words, self.repeated, self.max_words = ids[ids != 0], list(number), repeated, max_words
-        self.tokens = tokens
-        own = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        self.own = own ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+    """Some text as numbers of words. Bytes are taken as Latin-1, so that they stay what they are."""
+
+    def __init__(self, lang: str, max_words: int, before: list[str]) -> None:
+        """before: words that end the shard before, in a piece that goes on here."""
+        self.lang, self.max_words, self.repeated = lang, max_words, len(before)
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.number[""], self.number["\n"]
+        self.parts: list[np.ndarray] = []
+        self.text: list[str] = []
+        self.size = 0
+        self.take(" ".join(before))
+
+    def take(self, text: str) -> None:
+        """More folded text, which ends where a word does."""
+        tokens = text.replace("\n", " \n ").split(" ")
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int32, len(tokens))
+        self.parts.append(ids[ids != 0])
+        self.text.append(" ".join(filter(None, tokens)))
+        self.size += len(text)
+
+    def done(self) -> Shard:
+        self.ids, self.words = np.concatenate(self.parts).astype(np.int64), list(self.number)
+        self.parts = []
+        return self
+
+    def last(self) -> list[str]:
+        """The words that the next shard repeats."""
+        ids = self.ids[max(0, len(self.ids) - self.max_words + 1) :].tolist()
+        after = max((i + 1 for i, x in enumerate(ids) if x == BREAK), default=0)
+        return [self.words[i] for i in ids[after:]]
 
     def sequences(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: the starts of the sequences inside pieces, and their hashes. The words repeated from the
         shard before start no sequence that ended there."""
+        own = np.fromiter((xxhash.xxh64_intdigest(w.encode("latin-1")) for w in self.words), np.uint64, len(self.words))
+        own ^= np.uint64(xxhash.xxh64_intdigest(self.lang.encode()))
+        own *= _K[1]
         h, good = np.zeros(len(self.ids), np.uint64), np.ones(len(self.ids), bool)
         for n in range(1, self.max_words + 1):
             m = len(self.ids) - n + 1
             if m <= 0:
                 return
             h, good = h[:m], good[:m] & (self.ids[n - 1 :] != BREAK)
-            h = (h ^ (h >> np.uint64(29))) * _K[0] + self.own[self.ids[n - 1 :]] * _K[1]
+            h = (h ^ (h >> np.uint64(29))) * _K[0] + own[self.ids[n - 1 :]]
             at = np.flatnonzero(good)
             at = at[at + n > self.repeated]
             x = h[at]
             x = (x ^ (x >> np.uint64(32))) * _K[2]
             yield n, at, x ^ (x >> np.uint64(29))
 
-    def distinct(self, n: int, at: np.ndarray) -> np.ndarray:
-        """One start for each distinct sequence of n words among those at the starts."""
-        rank = self.ids[at]
-        for j in range(1, n):
-            rank = np.unique(rank * len(self.words) + self.ids[at + j], return_inverse=True)[1]
-        return at[np.unique(rank, return_index=True)[1]]
-
-    def phrases(self, n: int, at: np.ndarray) -> list[bytes]:
-        w = self.words
-        return [b" ".join([w[i] for i in row]) for row in self.ids[at[:, None] + np.arange(n)].tolist()]
-
-    def counted(self, phrases: list[bytes]) -> np.ndarray:
+    def phrases(self, n: int, at: np.ndarray) -> list[str]:
+        """The distinct sequences of n words among those at the starts."""
+        base, w = len(self.words), self.words
+        if base**n < 1 << 63:
+            key = self.ids[at]
+            for j in range(1, n):
+                key = key * base + self.ids[at + j]
+            key = np.unique(key)
+            parts = []
+            for _ in range(n):
+                key, part = np.divmod(key, base)
+                parts.append(part)
+            parts.reverse()
+        else:  # ranks of beginnings in place of numbers that would not fit
+            rank = self.ids[at]
+            for j in range(1, n):
+                rank = np.unique(rank * base + self.ids[at + j], return_inverse=True)[1]
+            at = at[np.unique(rank, return_index=True)[1]]
+            parts = [self.ids[at + j] for j in range(n)]
+        return list(map(" ".join, zip(*[map(w.__getitem__, x.tolist()) for x in parts], strict=True)))
+
+    def counted(self, phrases: list[str]) -> np.ndarray:
         """How often each phrase occurs, without those that the shard before has counted."""
         import ahocorasick
 
@@ -126,12 +129,35 @@ class Shard:
             return np.zeros(0, np.int64)
         found = ahocorasick.Automaton()
         for k, p in enumerate(phrases):
-            found.add_word(f" {p.decode('latin-1')} ", k)
+            found.add_word(f" {p} ", k)
         found.make_automaton()
-        guarded = lambda tokens: f" {b' '.join(filter(None, tokens)).decode('latin-1')} "
-        hits = lambda tokens: np.bincount(np.fromiter(map(itemgetter(1), found.iter(guarded(tokens))), np.int64), minlength=len(phrases))
-        n = hits(self.tokens)
-        return n - hits(self.tokens[: self.repeated]) if self.repeated else n
+        hits = lambda text: np.bincount(np.fromiter(map(itemgetter(1), found.iter(f" {text} ")), np.int32), minlength=len(phrases))
+        n = hits(" ".join(filter(None, self.text)))
+        return n - hits(self.text[0]) if self.repeated else n
+
+
+def shards(lang: str, texts: list[bytes], max_words: int, size: int = SHARD) -> Iterator[Shard]:
+    """Texts in shards of about size bytes; a longer one goes on in the next shard."""
+    now, step = Shard(lang, max_words, []), max(1, min(size, 256 << 10))
+    for t in texts:
+        t, at = t.translate(FOLD).decode("latin-1"), 0
+        while at < len(t):
+            end = at + step
+            if end < len(t):  # up to a blank or line end, so that no word is cut
+                end = min([x for x in (t.find(" ", end), t.find("\n", end)) if x >= 0], default=len(t))
+            now.take(t[at:end])
+            at = end
+            if now.size >= size:
+                yield now.done()
+                now = Shard(lang, max_words, now.last() if at < len(t) else [])
+        now.take("\n")
+    yield now.done()
+
+
+def strings(values: list[str]) -> pa.Array:
+    """Strings whose characters are the bytes of UTF-8."""
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.LargeStringArray.from_buffers(len(values), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer("".join(values).encode("latin-1"))).cast(pa.string())
 
 
 def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -158,10 +184,11 @@ def steps(bins: np.ndarray, most: int) -> bytes:
 
 def added(counters: np.ndarray, blob: bytes, most: int) -> None:
     """Adds steps() to saturating counters."""
-    step = np.frombuffer(blob, np.uint8).astype(np.int64)
-    at = np.cumsum(step)[step != 255]
-    counters += np.bincount(at, minlength=len(counters)).astype(counters.dtype)
-    np.minimum(counters, most, out=counters)
+    step = np.frombuffer(blob, np.uint8)
+    at = np.cumsum(step, dtype=np.int64)[step != 255]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    used, n = at[first], np.diff(first, append=len(at))
+    counters[used] = np.minimum(counters[used] + n, most)
 
 
 def sketch(texts: DataFrame, bits: int, least: int, max_words: int) -> np.ndarray:
@@ -169,35 +196,43 @@ def sketch(texts: DataFrame, bits: int, least: int, max_words: int) -> np.ndarra
     slices = max(1, (1 << bits) // SLICE)
     width = (1 << bits) // slices
 
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bins = np.sort(np.concatenate(parts))
+        edges = np.searchsorted(bins, np.arange(slices + 1, dtype=np.int64) * width)
+        used = np.flatnonzero(np.diff(edges))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pack(steps(bins[edges[s] : edges[s + 1]].astype(np.int64) - s * width, least)) for s in used.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in batches:
             for lang, own in by_lang(b):
-                for tokens, repeated in shards(own, max_words - 1):
-                    bins = [(h >> np.uint64(64 - bits)).astype(np.int64) for _, _, h in Shard(lang, tokens, repeated, max_words).sequences()]
-                    if not bins:
-                        continue
-                    bins = np.sort(np.concatenate(bins))
-                    edges = np.searchsorted(bins, np.arange(slices + 1) * width)
-                    used = np.flatnonzero(np.diff(edges))
-                    blobs = [steps(bins[edges[s] : edges[s + 1]] - s * width, least) for s in used.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+                for s in shards(lang, own, max_words):
+                    held += [(h >> np.uint64(64 - bits)).astype(np.uint32) for _, _, h in s.sequences()]
+                    if sum(map(len, held)) > HELD:
+                        yield packed(held)
+                        held = []
+        if any(map(len, held)):
+            yield packed(held)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counters = None, None
+        unpack = zstandard.ZstdDecompressor().decompress
         done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counters >= least).tobytes()], pa.binary())], ["slice", "bits"])
         for b in batches:
             for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if s != now:
                     if now is not None:
                         yield done()
-                    now, counters = s, np.zeros(width, np.uint32)
-                added(counters, blob, least)
+                    now, counters = s, np.zeros(width, np.int64)
+                added(counters, unpack(blob), least)
         if now is not None:
             yield done()
 
     dealt = arrow_map(texts, run, "slice int, blob binary").repartition(min(slices, 4 * parallelism(texts.sparkSession)), "slice").sortWithinPartitions("slice")
     out = np.zeros((slices, -(-width // 8)), np.uint8)
-    for r in arrow_map(dealt, sums, "slice int, bits binary").toLocalIterator():  # 2**bits bits at most
+    for r in arrow_map(dealt, sums, "slice int, bits binary").collect():  # 2**bits bits at most
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -214,23 +249,24 @@ def sequence_counts(docs: DataFrame, max_words: int = 3, least: int = 10, lang_c
         known, shift = passed.value, np.uint64(64 - bits)
         for b in batches:
             for lang, own in by_lang(b):
-                for tokens, repeated in shards(own, max_words - 1):
-                    s = Shard(lang, tokens, repeated, max_words)
-                    single = np.bincount(s.ids[repeated:], minlength=len(s.words))
+                for s in shards(lang, own, max_words):
+                    single = np.bincount(s.ids[s.repeated :], minlength=len(s.words))
                     single[:2] = 0
-                    phrases, sizes, counts = [b""], [[0]], [[single.sum()]]
+                    phrases, sizes, counts = [""], [1], [[single.sum()]]
                     for n, at, h in s.sequences():
                         k = h >> shift
-                        at = s.distinct(n, at[(known[k >> np.uint64(3)] >> (np.uint64(7) - (k & np.uint64(7))).astype(np.uint8)) & 1 == 1])
-                        phrases += s.phrases(n, at)
-                        sizes.append(np.full(len(at), n))
+                        at = at[(known[k >> np.uint64(3)] >> (np.uint64(7) - (k & np.uint64(7))).astype(np.uint8)) & 1 == 1]
                         if n == 1:  # single words need no automaton
-                            counts.append(single[s.ids[at]])
+                            ids = np.unique(s.ids[at])
+                            counts.append(single[ids])
+                            phrases += [s.words[i] for i in ids.tolist()]
+                        else:
+                            phrases += s.phrases(n, at)
+                        sizes.append(len(phrases) - sum(sizes))
                     own_words = sum(map(len, counts))
                     counts.append(s.counted(phrases[own_words:]))
-                    texts = pa.array(phrases, pa.binary()).cast(pa.string())
-                    columns = [pa.array([lang] * len(texts), pa.string()), pa.array(np.concatenate(sizes), pa.int32()), texts, pa.array(np.concatenate(counts), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
+                    words = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, strings(phrases), pa.array(np.concatenate(counts), pa.int64())], ["lang", "words", "phrase", "f"])
 
     found = arrow_map(texts, run, "lang string, words int, phrase string, f bigint")
     sums = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))

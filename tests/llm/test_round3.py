@@ -59,14 +59,12 @@ def test_phrases_over_shards(size):
     rng = random.Random(size)
     texts = [" ".join(rng.choice("abc,d") for _ in range(rng.randint(0, 300))).replace("b", "b.").encode() for _ in range(12)] + [b"", b" ", b"\t a\x0b", b"a a a a " * 100]
     got, single = Counter(), Counter()
-    for tokens, repeated in phrases.shards(texts, 2, size):
-        s = phrases.Shard("x", tokens, repeated, 3)
+    for s in phrases.shards("x", texts, 3, size):
         names = []
         for n, at, _ in s.sequences():
-            at = s.distinct(n, at)
             names += s.phrases(n, at) if n > 1 else []
-        got.update({k: int(v) for k, v in zip(names, s.counted(names), strict=True) if v})
-        single.update(s.words[i] for i in s.ids[repeated:].tolist() if i != phrases.BREAK)
+        got.update({k.encode(): int(v) for k, v in zip(names, s.counted(names), strict=True) if v})
+        single.update(s.words[i].encode() for i in s.ids[s.repeated :].tolist() if i != phrases.BREAK)
     want, alone = Counter(), Counter()
     for t in texts:
         for piece in re.split(rb"[.,;:!?\x0A-\x0D]", t):
@@ -80,7 +78,7 @@ def test_phrases_over_shards(size):
 def test_sketch_counters():
     """Counters saturate, and count like a plain table below that."""
     rng = np.random.default_rng(0)
-    total, counters = Counter(), np.zeros(3000, np.uint32)
+    total, counters = Counter(), np.zeros(3000, np.int64)
     for _ in range(4):
         bins = np.sort(np.concatenate([rng.integers(0, 3000, 500), rng.integers(0, 5, 60), [2999]]))
         total.update(bins.tolist())
