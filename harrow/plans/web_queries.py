@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx as J
 from ..functions import text as X
 from ..operators import gate as G
+from ..operators import outline as P
 from ..operators import queue as Q
 from ..operators import schema as S
 from ..operators import trace as A
@@ -329,6 +330,38 @@ def query_dom(t: Tables) -> DataFrame:
     return p.select("page_id", F.size("found").cast("long").alias("n"), F.size("articles").cast("long").alias("n_articles"), X.text_of(D.text(F.get("found", 0))).alias("first_text"))
 
 
+#: Selectors of every kind, and the same parts of the pages in regular expressions.
+_FINDS = {
+    "nav li:not(:first-child):not(:last-child)": "regexp_extract_all(html, '<li>.*?</li>')[2:-2]",
+    'nav + div[class~="ad"]': """regexp_extract_all(html, '(?s)<div class="ad">.*?</div>')""",
+    'div[class="AD" i] ~ article > h1': "regexp_extract_all(html, '(?s)<article><h1>.*?</h1>')",
+    'html[lang|="en"] li:nth-child(2n) > a[href^="/"]': "case when html like '%<html lang=\"en%' then list_transform(range(2, 1 + len(regexp_extract_all(html, '<li>')), 2), lambda i: replace(replace(regexp_extract_all(html, '<li>.*?</li>')[i], '<li>', ''), '</li>', '')) else [] end",
+    "ul:has(> li) > li:is(:last-child, li:first-child)": "list_transform([1, len(regexp_extract_all(html, '<li>'))], lambda i: regexp_extract_all(html, '<li>.*?</li>')[i])",
+}
+_FOUND = " union all ".join(f"select page_id, '{k}' as selector, {v} as found from {{pages}}" for k, v in _FINDS.items())
+_PLAIN = "replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&amp;', '&')"
+_SAMPLES = lambda e: f"array_to_string(list_transform(found[1:5], lambda x: {e}), ' | ')"
+
+
+@query(f"""with f as (select page_id, selector, list_transform({{found}}, lambda x: replace(x, '<article>', '')) as found from ({{all}}) u)
+select page_id, selector, cast(len(found) as bigint) as n, {{texts}} as texts, {{sources}} as sources from f""".replace("{found}", "found").replace("{all}", _FOUND).replace("{texts}", _SAMPLES("substr(trim(regexp_replace(" + _PLAIN.format(x="x") + r", '\s+', ' ', 'g')), 1, 200)")).replace("{sources}", _SAMPLES("substr(x, 1, 400)")))
+def query_dom_samples(t: Tables) -> DataFrame:
+    """What selectors find on each page: the count, and text and source of the first five elements."""
+    q = P.queried(t.pages, "page_id", "html", list(_FINDS))
+    return q.select("page_id", "selector", "n", F.array_join("samples.text", " | ").alias("texts"), F.array_join("samples.html", " | ").alias("sources"))
+
+
+@query(r"""with a as (select page_id, html, unnest(regexp_extract_all(html, '<[a-z0-9]+[^>]*(data-testid|aria-label)="[^"]*"[^>]*>')) as tag, unnest(range(1, 1 + len(regexp_extract_all(html, '<[a-z0-9]+[^>]*(data-testid|aria-label)="[^"]*"[^>]*>')))) as pos from {listings}),
+v as (select page_id, html, tag, pos, 0 as ord, 'data-testid' as attribute, regexp_extract(tag, 'data-testid="([^"]*)"', 1) as value from a where contains(tag, 'data-testid=') union all select page_id, html, tag, pos, 4, 'aria-label', regexp_extract(tag, 'aria-label="([^"]*)"', 1) from a where contains(tag, 'aria-label=')),
+s as (select *, case when regexp_replace(value, '[-_]?[0-9]{{3,}}$', '') = '' then value else regexp_replace(value, '[-_]?[0-9]{{3,}}$', '') end as stem from v),
+g as (select page_id, ord, attribute, stem, count(*) as n, min(pos) as place, min_by(substr(html, instr(html, tag) + length(tag)), pos) as rest, min_by(regexp_extract(tag, '^<([a-z0-9]+)', 1), pos) as name from s group by all having count(*) >= 2),
+r as (select *, row_number() over (partition by page_id order by n desc, ord, place) as rank, trim(regexp_replace(regexp_replace(substr(rest, 1, instr(rest, concat('</', name, '>')) - 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as text from g)
+select page_id, cast(rank as int) as rank, concat('[', attribute, case when regexp_matches(stem, '[-_]?[0-9]{{3,}}$') then '="' else '^="' end, stem, '"]') as selector, n, case when length(text) > 80 then concat(substr(text, 1, 80), '…') else text end as sample from r where rank <= 30""")
+def page_anchors(t: Tables) -> DataFrame:
+    """The thirty most frequent anchors of each page, with the selector for them and the first element's text."""
+    return P.anchors(t.listings, "page_id", "html")
+
+
 _SHORT = r"case when length({x}) <= 400 then {x} else concat(substr({x}, 1, 400), '…') end"
 
 
@@ -348,6 +381,16 @@ def page_outline(t: Tables) -> DataFrame:
     return p.select("page_id", long(F.octet_length("html")).alias("n_bytes"), "title", embedded.alias("embedded"), long(F.size("elements")).alias("n_elements"), long(F.size(F.array_distinct(F.col("elements.tag")))).alias("n_tags"))
 
 
+@query(r"""with s as (select page_id, unnest(scripts) as x, unnest(range(1, 1 + len(scripts))) as k from (select page_id, regexp_extract_all(html, '(?s)<script[^>]*>.*?</script>') as scripts from {rich_pages})),
+t as (select page_id, k, regexp_extract(x, '<script[^>]*>') as tag, regexp_replace(x, '^<script[^>]*>|</script>$', '', 'g') as text from s),
+u as (select *, case when contains(tag, 'id="__NEXT_DATA__"') then '__NEXT_DATA__' when contains(tag, 'ld+json') then 'application/ld+json' when length(text) >= 40 and regexp_matches(text, '^\s*(window\.__|self\.__)') then 'inline state' end as source from t),
+w as (select *, row_number() over (partition by page_id order by k) as rank from u where source is not null)
+select page_id, cast(rank as int) as rank, source, cast(length(text) as int) as chars, """ + _SHORT.format(x=r"trim(regexp_replace(text, '\s+', ' ', 'g'))") + """ as preview from w where rank <= 5""")
+def page_embedded(t: Tables) -> DataFrame:
+    """Scripts that hold a page's state: where they come from, how long they are, how they begin."""
+    return P.embedded(t.rich_pages, "page_id", "html")
+
+
 @query("""select id, json_extract_string(item, '$.id') as key, json_extract_string(item, '$.title') as title, cast(json_extract(item, '$.points') as bigint) as points
 from (select id, unnest(json_extract(cast(body as json), '$.items[*]')) as item from {json_pages} where json_valid(body)) x where json_extract_string(item, '$.id') is not null and json_extract_string(item, '$.title') is not null""")
 def extract_json(t: Tables) -> DataFrame:

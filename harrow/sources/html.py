@@ -1,7 +1,8 @@
 """HTML as rows: one Arrow pass turns a page into its text and its elements; everything after is DataFrame work.
 
-An element says where its text begins and ends in the page's, which elements are above it, and which is the last
-below, so that a page's elements take little more room than the page.
+An element says where its text begins and ends in the page's text and where it begins and ends in the source, which
+elements are above it, which is the last below and which stands before it, so that a page's elements take little more
+room than the page. ``selectors`` finds them.
 
 Supported: tags in any case, void elements, unquoted attributes, entities, script and style as raw text; an end
 tag closes up to its start tag and is dropped if there is none. Browser repair (tables, formatting) is not.
@@ -10,6 +11,7 @@ tag closes up to its start tag and is dropped if there is none. Browser repair (
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,22 +20,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT = "struct<pos:int,last:int,parent:int,above:array<int>,tag:string,attrs:map<string,string>,start:int,end:int>"
+from .selectors import select  # noqa: F401
+
+#: pos, last, parent and before are places in the page's array of elements (-1: none); nth of of siblings, nth_type of
+#: of_type siblings of its tag; start and end in the text, from and to in the source.
+NUMBERS = ["pos", "last", "parent", "before", "nth", "of", "nth_type", "of_type", "start", "end", "from", "to"]
+ELEMENT = "struct<" + ",".join(f"`{n}`:int" for n in NUMBERS) + ",above:array<int>,tag:string,attrs:map<string,string>>"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Tree(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.html = html
+        self.lines = [0, *[m.end() for m in re.finditer("\n", html)]]
         self.out: list[dict] = []
         self.open: list[int] = []
+        self.below: dict[int, list[int]] = {}
         self.pieces: list[str] = []
         self.length = 0
 
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        pos = len(self.out)
+        pos, at = len(self.out), self.place()
         own = {k: v or "" for k, v in reversed(attrs)}
-        self.out.append({"pos": pos, "last": pos, "parent": self.open[-1] if self.open else -1, "above": list(self.open), "tag": tag, "attrs": own, "start": self.length, "end": self.length})
+        parent = self.open[-1] if self.open else -1
+        siblings = self.below.setdefault(parent, [])
+        self.out.append({"pos": pos, "last": pos, "parent": parent, "before": siblings[-1] if siblings else -1, "above": list(self.open), "tag": tag, "attrs": own, "start": self.length, "end": self.length, "from": at, "to": at + len(self.get_starttag_text() or "")})
+        siblings.append(pos)
         if tag not in VOID:
             self.open.append(pos)
 
@@ -45,39 +62,50 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.out[self.open[i]]["tag"] == tag), None)
         if at is not None:
-            self.leave(at)
+            start = self.place()
+            self.leave(at + 1, start)
+            self.leave(at, self.html.find(">", start) + 1 or len(self.html))
 
-    def leave(self, at: int) -> None:
-        """Closes what is open from there on."""
+    def leave(self, at: int, place: int) -> None:
+        """Closes what is open from there on, at a place in the source."""
         for p in self.open[at:]:
-            self.out[p]["last"], self.out[p]["end"] = len(self.out) - 1, self.length
+            self.out[p] |= {"last": len(self.out) - 1, "end": self.length, "to": place}
         del self.open[at:]
 
     def handle_data(self, data: str) -> None:
         self.pieces.append(data)
         self.length += len(data)
 
+    def ranked(self) -> list[dict]:
+        """The elements with their places among their siblings."""
+        for siblings in self.below.values():
+            tags = Counter(self.out[p]["tag"] for p in siblings)
+            met: Counter = Counter()
+            for k, p in enumerate(siblings):
+                e = self.out[p]
+                met[e["tag"]] += 1
+                e |= {"nth": k + 1, "of": len(siblings), "nth_type": met[e["tag"]], "of_type": tags[e["tag"]]}
+        return self.out
+
 
 def parse(html: str | None) -> tuple[str, list[dict]]:
-    """The page's text, and its elements in document order; last is the position of the last descendant, above the
-    positions of all ancestors, parent the nearest of them or -1, start and end the places of its text."""
-    t = _Tree()
-    t.feed(html or "")
+    """The page's text, and its elements in document order (see NUMBERS); above: the positions of all ancestors."""
+    t = _Tree(html or "")
+    t.feed(t.html)
     t.close()
-    t.leave(0)
-    return "".join(t.pieces), t.out
+    t.leave(0, len(t.html))
+    return "".join(t.pieces), t.ranked()
 
 
 def _arrow(pages: list[str | None]) -> pa.StructArray:
     """Text and elements of pages, column by column."""
     parsed = [parse(p) for p in pages]
     flat = [e for _, elements in parsed for e in elements]
-    ints = lambda name: pa.array([e[name] for e in flat], pa.int32())
     edges = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int32))
     strings = lambda values: pa.array(list(values), pa.string())
     above = pa.ListArray.from_arrays(edges(len(e["above"]) for e in flat), pa.array([p for e in flat for p in e["above"]], pa.int32()))
     attrs = pa.MapArray.from_arrays(edges(len(e["attrs"]) for e in flat), strings(k for e in flat for k in e["attrs"]), strings(v for e in flat for v in e["attrs"].values()))
-    columns = {"pos": ints("pos"), "last": ints("last"), "parent": ints("parent"), "above": above, "tag": strings(e["tag"] for e in flat), "attrs": attrs, "start": ints("start"), "end": ints("end")}
+    columns = {n: pa.array([e[n] for e in flat], pa.int32()) for n in NUMBERS} | {"above": above, "tag": strings(e["tag"] for e in flat), "attrs": attrs}
     lists = pa.ListArray.from_arrays(edges(len(elements) for _, elements in parsed), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
     return pa.StructArray.from_arrays([strings(text for text, _ in parsed), lists], ["text", "elements"])
 
@@ -88,7 +116,7 @@ def with_elements(df: DataFrame, html: str, name: str = "elements") -> DataFrame
     @F.arrow_udf(f"struct<text:string,elements:array<{ELEMENT}>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            parts = [_arrow(b.slice(i, 256).to_pylist()) for i in range(0, len(b), 256)]
+            parts = [_arrow(b.slice(i, 64).to_pylist()) for i in range(0, len(b), 64)]
             yield pa.concat_arrays(parts) if parts else _arrow([])
 
     page = f"{name}_page"
@@ -100,62 +128,10 @@ def text(e: Column, name: str = "elements") -> Column:
     return F.substring(F.col(f"{name}_text"), e["start"] + 1, e["end"] - e["start"])
 
 
-_STEP = re.compile(r"^([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:#[\w-]+|\.[\w-]+|\[[^\]]+\])*)$")
-_PART = re.compile(r"#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:(\^=|\$=|\*=|=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
-
-
-def _matches(e: Column, step: str) -> Column:
-    m = _STEP.match(step)
-    if not m or not step:
-        raise ValueError(f"selector not supported: {step!r}")
-    out = F.lit(True) if m[1] in (None, "*") else e["tag"] == m[1].lower()
-    for part in _PART.finditer(m[2] or ""):
-        get = lambda k: F.element_at(e["attrs"], k)
-        if part[1]:
-            out &= get("id") == part[1]
-        elif part[2]:
-            out &= F.array_contains(F.split(F.coalesce(get("class"), F.lit("")), r"\s+"), part[2])
-        elif not part[4]:
-            out &= F.map_contains_key(e["attrs"], part[3])
-        else:
-            v = F.lit(part[5])
-            out &= {"=": lambda a: a == v, "^=": lambda a: F.startswith(a, v), "$=": lambda a: F.endswith(a, v), "*=": lambda a: F.contains(a, v)}[part[4]](get(part[3]))  # noqa: B023
-    return F.coalesce(out, F.lit(False))
-
-
-def _branch(elements: Column, e: Column, steps: list[tuple[str, str]]) -> Column:
-    """Whether e matches the last step and its ancestors the rest. steps: (combinator before, step)."""
-    how, step = steps[-1]
-    out = _matches(e, step)
-    if len(steps) > 1:
-        rest = lambda p: F.coalesce(_branch(elements, F.get(elements, p), steps[:-1]), F.lit(False))  # noqa: E731  an element stands at its position
-        out &= (e["parent"] >= 0) & rest(e["parent"]) if how == ">" else F.exists(e["above"], rest)
-    return out
-
-
-def select(elements: Column, selector: str) -> Column:
-    """The elements a selector finds: tags, ids, classes, attributes (= ^= $= *=), descendants, children, lists."""
-    branches = []
-    for b in selector.split(","):
-        words = re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+|>", b.strip())
-        steps, how = [], " "
-        for w in words:
-            if w == ">":
-                how = ">"
-            else:
-                steps.append((how, w))
-                how = " "
-        if not steps:
-            raise ValueError(f"selector not supported: {selector!r}")
-        branches.append(steps)
-
-    def hit(e: Column) -> Column:
-        out = F.lit(False)
-        for steps in branches:
-            out |= _branch(elements, e, steps)
-        return out
-
-    return F.filter(elements, hit)
+def source(e: Column, html: str) -> Column:
+    """An element's own source, from its start tag to the end of its end tag; an element without one ends where the
+    next end tag outside it begins."""
+    return F.substring(F.col(html), e["from"] + 1, e["to"] - e["from"])
 
 
 def inside(elements: Column, box: Column, test) -> Column:
