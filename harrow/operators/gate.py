@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import canonical, external_key, is_valid, variant
@@ -35,10 +35,27 @@ def gate_verdict(report: DataFrame) -> DataFrame:
     return gate_totals(report).select("source_id", "fixtures", (~few & (F.col("failures") == 0)).alias("passed"), few.alias("too_few"), outcome.alias("outcome"))
 
 
-def process(responses: DataFrame, schema: dict[str, Any], array_path: str = "$.items") -> tuple[DataFrame, DataFrame]:
+def field_nulls(items: Column, required: tuple[str, ...]) -> Column:
+    """The share of an array's items in which each field is null or absent, for the required fields and all that occur,
+    by name; without items the required ones are all absent. Items that are no objects have no fields."""
+    absent = F.map_from_arrays(F.array(*map(F.lit, required)).cast("array<string>"), F.array(*[F.lit(1.0)] * len(required)).cast("array<double>"))
+
+    def rates(maps: Column) -> Column:
+        seen = F.flatten(F.transform(maps, lambda m: F.map_keys(F.map_filter(m, lambda _, v: ~F.is_variant_null(v)))))
+        names = F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, required)).cast("array<string>"), F.flatten(F.transform(maps, F.map_keys)))))
+        # How often a name is there, out of as many items: one pass over the names that are.
+        there = lambda n: F.size(F.filter(seen, lambda s: s == n))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.round(1 - there(n) / F.size(maps), 6)))
+
+    maps = F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    return F.when(F.size(items) > 0, F.get(F.transform(F.array(maps), rates), F.lit(0))).otherwise(absent)
+
+
+def process(responses: DataFrame, schema: dict[str, Any], array_path: str = "$.items", keep: tuple[str, ...] = (), required: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(run rows, valid keyed items) of a batch: classify, extract the item array, validate, key. An item
     without a key counts as invalid. A run says why it is not ok: the reason of a block, the status of a failed
-    fetch, or how many of its items failed."""
+    fetch, or how many of its items failed. keep: columns of the responses that both carry (source, tier, timings);
+    with required fields the run rows have field_nulls, of all items of the response."""
     r = responses.withColumn("fetched", fetch_outcome(F.col("status"), F.col("content_type"), F.col("body")))
     r = r.withColumn("items", F.when(F.col("fetched") == "ok", F.try_variant_get(variant(F.col("body")), array_path, "array<variant>")))
     good = lambda v: is_valid(v, schema) & external_key(v).isNotNull()
@@ -46,8 +63,9 @@ def process(responses: DataFrame, schema: dict[str, Any], array_path: str = "$.i
     outcome = F.when(F.col("fetched") != "ok", F.col("fetched")).when(F.col("n") == 0, "empty").when(F.col("valid") < F.col("n"), "schema_invalid").otherwise("ok")
     why = F.when(F.col("fetched") == "blocked", blocked_reason(F.col("status"), F.col("content_type"), F.col("body"))).when(F.col("fetched") == "fetch_error", F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("none"))))
     why = why.when(F.col("valid") < F.col("n"), F.format_string("%d of %d items failed validation", F.col("n") - F.col("valid"), F.col("n")))
-    runs = r.select("id", outcome.alias("outcome"), F.col("n").alias("items"), F.col("valid").alias("valid_items"), (outcome == "ok").alias("complete"), why.alias("error"))
-    items = r.select("id", F.posexplode("kept").alias("item_idx", "payload")).withColumn("external_key", external_key(F.col("payload")))
+    nulls = [] if required is None else [F.when(F.col("fetched") == "ok", field_nulls(F.coalesce("items", F.array().cast("array<variant>")), required)).alias("field_nulls")]
+    runs = r.select("id", outcome.alias("outcome"), F.col("n").alias("items"), F.col("valid").alias("valid_items"), (outcome == "ok").alias("complete"), why.alias("error"), *nulls, *keep)
+    items = r.select("id", *keep, F.posexplode("kept").alias("item_idx", "payload")).withColumn("external_key", external_key(F.col("payload")))
     return runs, items
 
 

@@ -103,6 +103,14 @@ select page_id as id, status, content_type, case when variant = 3 then '{{"items
     case when n >= 2 then concat(',{{"id":"', p, '2","title":"b","points":2}}') else '' end, case when n >= 3 then ',{{"title":"c","points":-2}}' else '' end, ']}}') end as body, n, variant
 from (select page_id, html, cast(page_id as varchar(20)) as p, cast(page_id % 4 as int) as n, cast(page_id % 5 as int) as variant, case cast(page_id % 7 as int) when 1 then 403 when 2 then 404 when 3 then 503 when 4 then 429 else 200 end as status,
     case when page_id % 2 = 0 then 'application/json' else '' end as content_type from {pages}) x""",
+    "tick_responses": """
+select id, id - id % 2 as source_id, id % 10 = 0 as canary, status, content_type, body, case when id % 5 = 0 then 'browser' else 'http' end as tier, id % 900 as fetch_ms, length(body) as bytes, n, variant from {json_pages}""",
+    "tick_sources": """
+select source_id, case when source_id % 7 = 2 then 'degraded' when source_id % 7 = 5 then 'disabled' else 'active' end as state from (select distinct id - id % 2 as source_id from {json_pages}) s""",
+    "tick_records": """
+select source_id, external_key, payload, active as is_active, timestamp '2024-01-01 00:00:00' as first_seen, timestamp '2024-01-02 00:00:00' as last_seen
+from (select id - id % 2 as source_id, concat(cast(id as varchar(20)), '1') as external_key, concat('{{"id":"', cast(id as varchar(20)), '1","points":', cast(id as varchar(20)), ',"title":"', case when id % 4 = 1 then 'old' else 'a' end, '"}}') as payload, id % 11 <> 0 as active from {json_pages} where id % 3 <> 0
+  union all select id - id % 2, concat('x', cast(id as varchar(20))), '{{}}', id % 6 <> 0 from {json_pages} where id % 2 = 1) r""",
     "listings": """
 select page_id, concat('<html><body><div class="list">',
   '<a data-testid="search-result-entry-header-', p, '" href="/d/', p, '"><h3> Flat ', p, ' </h3><span aria-label="Ort ', p, '">', plz, ' Wien, ', p, '. Bezirk, Nord</span>',
