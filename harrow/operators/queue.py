@@ -38,13 +38,51 @@ def ntz(t: datetime) -> Column:
     return F.lit(t).cast("timestamp_ntz")
 
 
+#: Units of an interval's text and what they count as: months, days or seconds.
+UNITS = {"mill(?:ennium|ennia|s?)": ("months", 12000), "cent(?:ury|uries|s?)": ("months", 1200), "dec(?:ade)?s?": ("months", 120), "y(?:(?:ea)?rs?)?": ("months", 12), "mons?|months?": ("months", 1), "w(?:eeks?)?": ("days", 7), "d(?:ays?)?": ("days", 1), "h(?:ours?|rs?)?": ("seconds", 3600), "m(?:in(?:ute)?s?)?": ("seconds", 60), "s(?:ec(?:ond)?s?)?": ("seconds", 1)}
+
+
+def interval_parts(text: Column) -> Column:
+    """A span of time as text (``1 mon 2 days``, ``-1 days +01:30:00``, ``36:00:00``, ``2 weeks ago``) as months, days and
+    seconds; null where it is none. They stay apart, as a month has no fixed length in days."""
+    t = F.lower(F.trim(text))
+    clock = r"([+-]?)(\d+):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?"
+    number = r"[+-]?\d+(?:\.\d+)?"
+    known = "|".join(UNITS)
+    good = t.rlike(rf"^(?:@\s*)?(?:(?:{number}\s*(?:{known})|{clock})(?:\s+|(?=[+-])|$))+(?:ago)?$")
+
+    def total(of: str) -> Column:
+        parts = []
+        for unit, (kind, size) in UNITS.items():
+            if kind == of:
+                found = F.regexp_extract_all(t, F.lit(rf"({number})\s*(?:{unit})(?![a-z])"), F.lit(1))
+                parts.append(F.aggregate(F.transform(found, lambda x: x.cast("decimal(20,6)")), F.lit(0).cast("decimal(20,6)"), lambda x, y: (x + y).cast("decimal(20,6)")) * size)
+        out = parts[0]
+        for x in parts[1:]:
+            out = out + x
+        return out
+
+    piece = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, clock, k), F.lit("")).cast("decimal(20,6)"), F.lit(0))
+    at = (piece(2) * 3600 + piece(3) * 60 + piece(4)) * F.when(F.regexp_extract(t, clock, 1) == "-", -1).otherwise(1)
+    sign = F.when(F.endswith(t, F.lit("ago")), -1).otherwise(1)
+    return F.when(good, F.struct((total("months") * sign).cast("int").alias("months"), (total("days") * sign).cast("int").alias("days"), ((total("seconds") + at) * sign).cast("decimal(18,6)").alias("seconds")))
+
+
+def before(at: Column, parts: Column) -> Column:
+    """at less a span: months first, as the calendar has them, then days, then time."""
+    zero = F.lit(0)
+    return at - F.make_interval(zero, parts["months"], zero, parts["days"], zero, zero, parts["seconds"])
+
+
 def due_sources(sources: DataFrame, runs: DataFrame, as_of: datetime, limit: int | None = None) -> DataFrame:
-    """Scheduled sources without a run inside their cadence: a left anti join on the source with a range residual.
+    """Scheduled sources without a run inside their cadence (a column cadence of text, or cadence_days): their newest
+    run, one row a source before anything is shuffled, is not younger than that.
     With a limit, so many of those that have waited longest (updated_at)."""
     s = sources.where(F.col("state").isin("active", "repairing"))
-    r = runs.select(F.col("source_id").alias("run_source"), "created_at")
-    newer = F.col("created_at") > ntz(as_of) - F.make_dt_interval(F.col("cadence_days"))
-    due = s.join(r, (F.col("source_id") == F.col("run_source")) & newer, "left_anti")
+    newest = runs.groupBy(F.col("source_id").alias("run_source")).agg(F.max("created_at").alias("newest"))
+    since = before(ntz(as_of), interval_parts(F.col("cadence"))) if "cadence" in sources.columns else ntz(as_of) - F.make_dt_interval(F.col("cadence_days"))
+    j = s.join(newest, F.col("source_id") == F.col("run_source"), "left")
+    due = j.where(F.col("newest").isNull() | (F.col("newest") <= since)).select(*sources.columns)
     return due if limit is None else due.orderBy("updated_at", "source_id").limit(limit)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.json_outline import with_outline
+
 #: Tool calls allowed by kind of run.
 CAPS = {"compile": 12, "repair": 8}
 
@@ -43,3 +45,11 @@ def probe_rank(responses: DataFrame, most: int = 40) -> DataFrame:
     seen = responses.where(F.col("content_type").rlike("(?i)json|javascript") & ~F.col("url").rlike(asset))
     first = seen.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("pos"))).where(F.col("k") <= most)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(F.col("bytes").desc(), "pos"))).select("page", "rank", "url", "bytes")
+
+
+def probe_shape(responses: DataFrame, body: str = "body") -> DataFrame:
+    """responses with what their JSON bodies hold: arrays (of objects, the longest first: path, length, keys), or the
+    value's shape where there are none; both null for what is no JSON."""
+    o = with_outline(responses, body, "__outline")
+    some = F.size("__outline.arrays") > 0
+    return o.withColumns({"arrays": F.when(some, F.col("__outline.arrays")), "shape": F.when(~some, F.col("__outline.shape"))}).drop("__outline")

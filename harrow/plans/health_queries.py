@@ -46,11 +46,13 @@ def null_rate_weighted(t: Tables) -> DataFrame:
 @query("""select source_id, cast(coalesce(min(case when outcome not in ('empty', 'exec_error') then rn end), count(*) + 1) - 1 as bigint) as streak
 from (select *, row_number() over (partition by source_id order by id desc) as rn from {runs} where outcome <> 'blocked') w group by source_id""")
 def failure_streak(t: Tables) -> DataFrame:
-    """The current streak over all history: newest rows up to the first that did not fail."""
-    good = ~F.col("outcome").isin(*H.FAILURES)
-    r = t.runs.where("outcome <> 'blocked'").groupBy("source_id").agg(F.max(F.when(good, F.col("id"))).alias("last_good"))
-    later = t.runs.where("outcome <> 'blocked'").join(r, "source_id").groupBy("source_id").agg(F.count(F.when(F.col("last_good").isNull() | (F.col("id") > F.col("last_good")), 1)).alias("streak"))
-    return later
+    """The current streak over all history: failures newer than the last run that did not fail. Only failures are
+    shuffled, and what a source's newest good run is comes from one partial aggregate."""
+    bad = F.col("outcome").isin(*H.FAILURES)
+    r = t.runs.where("outcome <> 'blocked'").select("source_id", "id", bad.alias("bad"))
+    last = r.groupBy("source_id").agg(F.max(F.when(~F.col("bad"), F.col("id"))).alias("last_good"))
+    later = last.join(r.where("bad").select("source_id", "id"), "source_id", "left")
+    return later.groupBy("source_id").agg(F.count(F.when(F.col("last_good").isNull() | (F.col("id") > F.col("last_good")), F.col("id"))).alias("streak"))
 
 
 @query("""select id, source_id, items, cast(coalesce(mid, 0) as double) as trailing_median, coalesce(n >= 2 and mid > 0 and items < 0.6 * mid, false) as collapsed

@@ -147,6 +147,24 @@ def due_page(t: Tables) -> DataFrame:
     return Q.due_sources(t.sources, t.runs, AS_OF, Q.DUE_PAGE).select("source_id", "cadence_days", "state", "updated_at")
 
 
+@query("""select id, cast(datepart('year', i) * 12 + datepart('month', i) as int) as months, cast(datepart('day', i) as int) as days, cast(epoch(i - to_months(cast(datepart('year', i) * 12 + datepart('month', i) as int)) - to_days(cast(datepart('day', i) as int))) * 1000 as bigint) as millis, moment - i as before
+from (select id, moment, cast(replace(span, '+', '') as interval) as i from {spans}) s""")
+def cadence_spans(t: Tables) -> DataFrame:
+    """Spans of time as text: their months, days and time, and a point in time less the span."""
+    s = t.spans.withColumn("p", Q.interval_parts(F.col("span")))
+    return s.select("id", "p.months", "p.days", (F.col("p.seconds") * 1000).cast("long").alias("millis"), Q.before(F.col("moment"), F.col("p")).alias("before"))
+
+
+CADENCE = "case cast(source_id % 5 as int) when 0 then '1 day' when 1 then '1 mon' when 2 then '36:00:00' when 3 then '12 hours' else '1 week -1 days' end"
+
+
+@query(f"""with s as (select *, {CADENCE} as cadence from {{sources}}) select source_id, cadence from s where state in ('active', 'repairing') and not exists (select 1 from {{runs}} r where r.source_id = s.source_id and r.created_at > timestamp '2024-01-31 00:00:00' - cast(s.cadence as interval))""")
+def due_by_span(t: Tables) -> DataFrame:
+    """Sources that are due by a cadence of text."""
+    s = t.sources.withColumn("cadence", F.expr(CADENCE))
+    return Q.due_sources(s, t.runs, AS_OF).select("source_id", "cadence")
+
+
 def _entry_keys(s: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(1), F.col("n_keys")), lambda i: F.concat(F.lit("key "), i.cast("string"), F.lit("/é")))
     return s.withColumn("entry_keys", F.when(F.col("n_keys") > 0, keys))

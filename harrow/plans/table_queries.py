@@ -48,8 +48,9 @@ def fixture_union(t: Tables) -> DataFrame:
 @query("select id, source_id, case when row_number() over (partition by source_id order by id) = 1 then cast(n as bigint) else 0 end as swept from (select id, source_id, source_id % 17 as n from {runs}) r")
 def swept_once(t: Tables) -> DataFrame:
     """A source's sweep is counted on its first report only."""
-    first = F.row_number().over(Window.partitionBy("source_id").orderBy("id")) == 1
-    return t.runs.select("id", "source_id", F.when(first, F.col("source_id") % 17).otherwise(0).cast("long").alias("swept"))
+    first = t.runs.groupBy("source_id").agg(F.min("id").alias("first")).select("first")
+    j = t.runs.join(first, F.col("id") == F.col("first"), "left")
+    return j.select("id", "source_id", F.when(F.col("first").isNotNull(), F.col("source_id") % 17).otherwise(0).cast("long").alias("swept"))
 
 
 EXTRACTOR = '''

@@ -36,6 +36,9 @@ select source_id, cast(1 + source_id % 3 as int) as cadence_days, concat('source
   case when source_id % 7 = 0 then null else concat('https://', cast(source_id % 11 as varchar(20)), '.example.com/list?q={{key}}') end as template,
   cast(source_id % 4 as int) as n_keys, updated_at
 from (select user_id as source_id, max(ts) as updated_at from {events} group by user_id) s""",
+    "spans": """
+select id, user_id as source_id, ts as moment, case v when 0 then '1 day' when 1 then '1 mon 2 days' when 2 then concat(ks, ':30:00') when 3 then concat(ks, ' days -01:15:30') when 4 then '2 weeks' when 5 then concat('-1 days +', ks, ':00:00') when 6 then concat(ks, ' hours') when 7 then '1 year 3 mons' when 8 then concat(ks, ' minutes') else '00:00:05.25' end as span
+from (select event_id as id, user_id, ts, cast(event_id % 10 as int) as v, cast(1 + cast($K as int) as varchar(20)) as ks from {events}) e""",
     "jobs": """
 select o_orderkey as id, o_custkey as source_id, cast(substring(o_orderpriority, 1, 1) as int) * 50 as priority,
   case o_orderstatus when 'P' then 'queued' when 'O' then 'running' else 'done' end as state,
@@ -84,7 +87,7 @@ select id, source_id, fixture, v, k, case v
   when 11 then concat('{{"title":"x","id":"', ks, '","points":0.0,"url":"u","key":', ks, '.0}}')
   when 12 then 'not json'
   else concat('{{"externalKey":"e', ks, '","id":"', ks, '","title":"t', ks, '","points":', ks, '}}') end as payload
-from (select event_id as id, user_id as source_id, cast(event_id % 4 as int) as fixture, cast(event_id % 14 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
+from (select event_id as id, user_id as source_id, cast(event_id % case when user_id % 5 = 1 then 2 else 4 end + 4 * cast(floor(event_id / 100000) as int) as int) as fixture, cast(event_id % 14 as int) as v, cast($K as int) as k, cast(cast($K as int) as varchar(20)) as ks from {events}) e""",
     "bodies": """
 select id, case v when 0 then concat('{{"a":', ks, '}}') when 1 then concat('{{"a":', ks, '}} {{"b":2}}') when 2 then concat('[', ks, '] [2]') when 3 then concat('{{"a":', ks, '}} x}}') when 4 then concat('{{"a":1,"a":', ks, '}}')
   when 5 then concat('{{"a":', ks, '}}]') when 6 then concat('{{"a":"it''s ', ks, '"}}') when 7 then concat(' [', ks, ',{{"b":"}}]"}}]') when 8 then concat('{{''a'':', ks, '}}') when 9 then concat('[', ks, ',]') when 10 then ks else concat('{{"a":0', ks, '}}') end as body

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 
 def decode_bytes(raw: bytes | None, encoding: str | None) -> str | None:
@@ -51,3 +51,20 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     bodies = bodies.select(F.element_at(F.split("path", "/"), -1).alias("file"), decode(F.col("content"), F.lit("gzip")).alias("body"))
     status = F.coalesce(F.col("status"), F.lit(200)) if "status" in manifest.columns else F.lit(200)
     return manifest.withColumn("status", status.cast("int")).join(bodies, "file", "left")
+
+
+@F.arrow_udf(BinaryType())
+def compress(text: pa.Array) -> pa.Array:
+    """The UTF-8 bytes of a text, gzipped; the same text gives the same bytes."""
+    return pa.array([None if t is None else gzip.compress(t.encode(), mtime=0) for t in text.to_pylist()], pa.binary())
+
+
+def captured(responses: DataFrame) -> DataFrame:
+    """Responses as rows of the table of fixtures: the body gzipped, the status 200 where there is none."""
+    rest = [c for c in responses.columns if c not in ("status", "body")]
+    return responses.select(*rest, F.coalesce("status", F.lit(200)).cast("int").alias("status_code"), compress(F.col("body")).alias("body"))
+
+
+def opened(fixtures: DataFrame) -> DataFrame:
+    """Rows of the table of fixtures with their bodies as text again."""
+    return fixtures.withColumn("body", decode(F.col("body"), F.lit("gzip")))
