@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
 from .tables import sequenced, stable_uuid
 
 KEY = ["source_id", "external_key"]
@@ -61,13 +62,40 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """The records after the batch, and the change each has seen: the last item of a key wins; what came is active
     again and no longer gone. An unchanged record is seen, and keeps its payload. Columns that either side lacks
     are null."""
+    current, last = _sides(current, incoming)
+    return _merged(current.join(last, KEY, "full_outer"))
+
+
+#: Keys of a batch that are sent to every task of the records' scan, rather than the records to the keys.
+SMALL = 1 << 16
+
+
+def upsert_small(current: DataFrame, incoming: DataFrame, most: int = SMALL) -> DataFrame:
+    """As upsert, without a shuffle of the records where the batch has few keys (counted): they go to the tasks that
+    scan the records, and those that no record has are found by a second scan of the keys alone. KEY is unique in
+    current."""
+    current, last = _sides(current, incoming)
+    last = written(last, "batch")
+    if last.count() > most:
+        return _merged(current.join(last, KEY, "full_outer"))
+    known = current.select(*KEY).join(F.broadcast(last.select(*KEY)), KEY, "left_semi")
+    fresh = last.join(F.broadcast(known), KEY, "left_anti")  # as many rows as the batch has, at most
+    nothing = fresh.select(*[F.col(c) if c in KEY else F.lit(None).cast(t).alias(c) for c, t in current.dtypes], "new", "new_seen", "new_first")
+    return _merged(current.join(F.broadcast(last), KEY, "left").unionByName(nothing))
+
+
+def _sides(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records, with all columns, and what the batch last says of each key."""
     kind = dict(incoming.dtypes).get("payload") or dict(current.dtypes).get("payload", "string")
     current = _whole(current, id="string", payload=kind, first_seen="timestamp_ntz", last_run_id="bigint", gone_at="timestamp_ntz")
     incoming = _whole(incoming, payload=kind, run_id="bigint")
     last = incoming.groupBy(*KEY).agg(
         F.max_by(F.struct("payload", "content_hash", "run_id"), F.struct(*ORDER)).alias("new"), F.max("seen_at").alias("new_seen"), F.min("seen_at").alias("new_first")
     )
-    j = current.join(last, KEY, "full_outer")
+    return current, last
+
+
+def _merged(j: DataFrame) -> DataFrame:
     came, there = F.col("new").isNotNull(), F.col("content_hash").isNotNull()
     changed = came & (~F.col("content_hash").eqNullSafe(F.col("new.content_hash")) | ~F.col("is_active"))
     return j.select(

@@ -19,10 +19,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import KEY, transitions, upsert
+from ..operators.upsert import KEY, transitions, upsert_small
 from ..store import listed, remove, scratch
 
 
+SETTLE = 16
+
+
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
     """New Parquet files under path, a bounded number a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -77,10 +80,12 @@ class MergedRecords:
         paths = [f"{self.folder}/v{v}/part={p}" for p, v in held.items() if only is None or p in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def _write(self, records: DataFrame, version: int, held: dict[int, int]) -> None:
-        """records are the new content of the parts they lie in; the list comes last and makes it count."""
+    def _write(self, records: DataFrame, version: int, held: dict[int, int], settle: bool = True) -> None:
+        """records are the new content of the parts they lie in; the list comes last and makes it count. Unless they are
+        to settle, each task writes what it has of a part, without a shuffle."""
         part = self._part()
-        records.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{version}")
+        placed = records.withColumn("part", part)
+        (placed.repartition("part") if settle else placed).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{version}")
         new = {int(n.removeprefix("part=")): version for n in listed(self.spark, f"{self.folder}/v{version}") if n.startswith("part=")}
         rows = [(p, v, self.parts, self.schema.json()) for p, v in {**held, **new}.items()] or [(None, None, self.parts, self.schema.json())]
         self.spark.createDataFrame(rows, "part int, version int, parts int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/n{version}")
@@ -96,7 +101,8 @@ class MergedRecords:
         touched = {r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()}  # parts at most
         current = self._read(held, touched)
         transitions(current, batch).where("kind <> 'unchanged'").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/events/b={number}")
-        self._write(upsert(current, batch).select(self.schema.names), number + 1, held)
+        # Every SETTLE batches the files that tasks have left side by side become one a part again.
+        self._write(upsert_small(current, batch).select(self.schema.names), number + 1, held, (number + 1) % SETTLE == 0)
         self.last = number + 1
         self._forget(number)
 
