@@ -75,6 +75,56 @@ def health_report(runs: DataFrame, null_cols: dict[str, str]) -> DataFrame:
     )
 
 
+def report_of(ring: Column, null_cols: dict[str, str]) -> list[Column]:
+    """The columns of health_report, without the source, from an array of a source's last active runs, newest first
+    (outcome, items, valid_items and the null rates): the same rules, as expressions over at most WINDOW elements."""
+    own = F.filter(ring, lambda r: r["outcome"] != "blocked")
+
+    def let(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def figures(runs: Column) -> Column:
+        total = lambda f: F.aggregate(F.transform(runs, f), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+        counts = F.array_sort(F.transform(F.slice(runs, 2, WINDOW), lambda r: r["items"]))
+        n = F.size(runs) - 1
+        middle = lambda c: F.when(n > 0, (F.get(c, F.expr("0") + F.floor((n - 1) / 2).cast("int")) + F.get(c, F.floor(n / 2).cast("int"))) / 2.0)
+        good = F.transform(runs, lambda r: ~r["outcome"].isin(*FAILURES))
+        first = F.array_position(good, True)
+        nulls = [F.struct(total(lambda r: F.when(r[c].isNotNull() & (r["items"] > 0), r[c] * r["items"])).alias("num"), total(lambda r: F.when(r[c].isNotNull() & (r["items"] > 0), r["items"])).alias("den")).alias(f) for f, c in null_cols.items()]  # noqa: B023
+        return F.struct(
+            F.size(runs).cast("long").alias("considered"), total(lambda r: r["items"]).alias("ti"), total(lambda r: r["valid_items"]).alias("tv"), F.get(runs, F.lit(0))["items"].alias("latest"),
+            let(counts, middle).alias("med"), F.greatest(n, F.lit(0)).alias("ntrail"), F.when(first == 0, F.size(runs)).otherwise(first - 1).alias("streak"), *nulls,
+        )
+
+    def verdict(x: Column) -> Column:
+        invalid = _rate(x["ti"] - x["tv"], x["ti"], 0.0)
+        nulls = {f: _rate(x[f]["num"], x[f]["den"], 0.0) for f in null_cols}
+        trip_null = F.lit(False)
+        for r in nulls.values():
+            trip_null |= r > MAX_NULL_RATE
+        return F.struct(
+            x["considered"].alias("considered"), (F.size(ring) - x["considered"]).cast("long").alias("blocked"), F.round(invalid, 6).alias("schema_invalid_rate"), F.coalesce(x["latest"], F.lit(0)).cast("long").alias("latest_items"),
+            F.coalesce(x["med"], F.lit(0.0)).cast("double").alias("median_items"), x["streak"].cast("long").alias("streak"), *[F.round(r, 6).alias(f"null_rate_{f}") for f, r in nulls.items()], (invalid > MAX_INVALID_RATE).alias("trip_schema"), trip_null.alias("trip_null"),
+            F.coalesce((x["ntrail"] >= 2) & (x["med"] > 0) & (x["latest"] < YIELD_FACTOR * x["med"]), F.lit(False)).alias("trip_yield"), (x["streak"] >= STREAK).alias("trip_streak"),
+        )
+
+    names = ["considered", "blocked", "schema_invalid_rate", "latest_items", "median_items", "streak", *[f"null_rate_{f}" for f in null_cols], "trip_schema", "trip_null", "trip_yield", "trip_streak"]
+    out = let(let(own, figures), verdict)
+    return [out[n].alias(n) for n in names]
+
+
+def health_after_each(runs: DataFrame, null_cols: dict[str, str], split: int = SPLIT) -> DataFrame:
+    """For every active run, what health_report says of its source once that run is there: id, source_id, the report.
+    Where a source has more than split runs, all are dealt by ranges, as in rolling_yield."""
+    r = runs.where("not canary").select("id", "source_id", F.struct("outcome", "items", "valid_items", *null_cols.values()).alias("items"))
+    if busiest(r, "source_id") > split:
+        r = _last_items(r, WINDOW - 1)
+    else:
+        r = r.withColumn("last", F.collect_list("items").over(Window.partitionBy("source_id").orderBy("id").rowsBetween(-(WINDOW - 1), -1)))
+    r = r.withColumn("ring", F.concat(F.array("items"), F.reverse("last")))
+    return r.select("id", "source_id", *report_of(F.col("ring"), null_cols))
+
+
 def degraded() -> Column:
     return F.col("trip_schema") | F.col("trip_null") | F.col("trip_yield") | F.col("trip_streak")
 

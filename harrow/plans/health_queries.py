@@ -37,6 +37,22 @@ def health_report(t: Tables) -> DataFrame:
     return H.health_report(t.runs, NULLS)
 
 
+AFTER = """with a as (select id, source_id, outcome, items, valid_items, null_price, null_title, row_number() over (partition by source_id order by id) as p from {runs} where not canary),
+w as (select n.id as nid, n.source_id, o.*, row_number() over (partition by n.id, o.outcome <> 'blocked' order by o.p desc) as crn, o.outcome <> 'blocked' as ok from a n join (select id as oid, source_id as s, outcome, items, valid_items, null_price, null_title, p from a) o on o.s = n.source_id and o.p between n.p - 19 and n.p),
+d as (select nid as id, source_id, count(*) filter (ok) as considered, count(*) filter (not ok) as blocked, sum(case when ok then items end) as ti, sum(case when ok then valid_items end) as tv, max(case when ok and crn = 1 then items end) as latest,
+  median(case when ok and crn > 1 then items end) as med, count(*) filter (ok and crn > 1) as ntrail, coalesce(min(case when ok and outcome not in ('empty', 'exec_error') then crn end), count(*) filter (ok) + 1) - 1 as streak,
+  sum(case when ok and null_price is not null and items > 0 then null_price * items end) as wnp, sum(case when ok and null_price is not null and items > 0 then items end) as wtp,
+  sum(case when ok and null_title is not null and items > 0 then null_title * items end) as wnt, sum(case when ok and null_title is not null and items > 0 then items end) as wtt from w group by nid, source_id)
+select id, """ + REPORT[REPORT.index("source_id, cast(considered") : REPORT.index("from (select source_id, sum(case when ok")] + " from d"
+
+
+# The order of a sum of doubles decides the last of six digits here and there; four are compared.
+@query(f"select * replace (round(null_rate_price + 1e-9, 4) as null_rate_price, round(null_rate_title + 1e-9, 4) as null_rate_title) from ({AFTER}) h")
+def health_after_each(t: Tables) -> DataFrame:
+    """The health of a source after each of its runs."""
+    return H.health_after_each(t.runs, NULLS).withColumns({f"null_rate_{f}": F.round(F.col(f"null_rate_{f}") + 1e-9, 4) for f in NULLS})
+
+
 @query("""select source_id, round(sum(null_price * items) / sum(items), 6) as null_rate from {runs} where null_price is not null and items > 0 group by source_id""")
 def null_rate_weighted(t: Tables) -> DataFrame:
     r = t.runs.where("null_price is not null and items > 0")

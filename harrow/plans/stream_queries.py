@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.upsert import RECORD, record_id
 from ..store import scratch
 from ..streaming import outbox as S
+from ..streaming import timers as T
+from .health_queries import AFTER, NULLS
 from .registry import Tables, query
 from .state_queries import MERGED
 
@@ -60,3 +62,36 @@ def stream_changes(t: Tables) -> DataFrame:
     path = scratch(t.spark, "items")
     t.incoming.write.parquet(path)
     return _collect(t, S.keyed_changes(S.file_stream(t.spark, path, t.incoming.schema, 10_000)), "changes")
+
+
+def _in_turn(t: Tables, df: DataFrame, order: str, tag: str, parts: int) -> DataFrame:
+    """df as a stream of files that come one after the other, in ranges of a column."""
+    path = scratch(t.spark, tag)
+    edges = df.agg(F.expr(f"percentile({order}, array({', '.join(str(i / parts) for i in range(1, parts))}))")).first()[0] if parts > 1 else []
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        rows = df if low is None else df.where(F.col(order) > low)
+        rows = rows if high is None else rows.where(F.col(order) <= high)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(t.spark, path, df.schema, 1)
+
+
+#: A user's silence of this long counts.
+SILENCE_S = 43_200
+
+
+@query(f"""with e as (select user_id, ts, event_type = 'purchase' as ends, lead(ts) over (partition by user_id order by ts) as next from {{events}}), m as (select max(ts) as top from {{events}})
+select cast(user_id as varchar) as key, ts as at from e cross join m where not ends and ts + interval '{SILENCE_S}' second < coalesce(next, top)""")
+def stream_overdue(t: Tables) -> DataFrame:
+    """Events after which their user was silent for half a day, told by timers as the stream's time goes on; a
+    purchase ends the waiting."""
+    e = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = _collect(t, T.overdue(_in_turn(t, e, "us", "silence", 4), "user_id", "ts", SILENCE_S, ends="event_type = 'purchase'"), "overdue")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(f"select * replace (round(null_rate_price + 1e-9, 4) as null_rate_price, round(null_rate_title + 1e-9, 4) as null_rate_title) from ({AFTER}) h")
+def stream_health(t: Tables) -> DataFrame:
+    """The health of a source after each of its runs, from a stream of runs with the last twenty as state."""
+    out = _collect(t, T.health_stream(_in_turn(t, t.runs, "id", "runs", 3), NULLS), "health")
+    return out.withColumns({f"null_rate_{f}": F.round(F.col(f"null_rate_{f}") + 1e-9, 4) for f in NULLS})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,32 +26,39 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """The scratch paths of this thread, so that pipelines side by side leave each other's alone."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; clean() removes it."""
-    _made.append(f"{shared_root(spark)}/harrow/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.paths.append(f"{shared_root(spark)}/harrow/{tag}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes all scratch paths of this process. Results that have not been written yet go with them."""
-    while _made:
-        remove(spark, _made.pop())
+    """Removes all scratch paths that this thread has made. Results that have not been written yet go with them."""
+    while _made.paths:
+        remove(spark, _made.paths.pop())
 
 
 def made() -> int:
     """How many scratch paths there are: a mark for settled()."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
     """df written and read back, and the scratch paths made since the mark removed, which it no longer needs."""
     out = written(df, tag)
-    used, own = _made[since:-1], _made[-1]
-    del _made[since:]
-    _made.append(own)
+    paths = _made.paths
+    used, own = paths[since:-1], paths[-1]
+    paths[since:] = [own]
     for path in used:
         remove(df.sparkSession, path)
     return out

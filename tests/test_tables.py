@@ -141,3 +141,25 @@ def test_scratch(spark):
     assert before.count() == 3 and os.path.exists(path)
     clean(spark)
     assert not os.path.exists(path)
+
+
+def test_scratch_of_threads_is_apart(spark):
+    """What one thread settles or cleans is its own."""
+    import threading
+
+    from harrow import store
+
+    kept = store.written(spark.range(3).toDF("n"), "kept")
+    seen = {}
+
+    def other() -> None:
+        since = store.made()
+        first = store.written(spark.range(5).toDF("n"), "first")
+        seen["settled"] = store.settled(first.where("n > 1"), "second", since).count()
+        store.clean(spark)
+        seen["left"] = store.made()
+
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    assert seen == {"settled": 3, "left": 0} and kept.count() == 3
