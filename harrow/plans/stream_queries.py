@@ -7,13 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.upsert import RECORD, record_id
+from ..operators.upsert import KEY, ORDER, RECORD, change_events, record_id
+from ..sources import connectors as C
 from ..store import scratch
 from ..streaming import outbox as S
 from ..streaming import timers as T
 from .health_queries import AFTER, NULLS
 from .registry import Tables, query
-from .state_queries import MERGED
+from .state_queries import MERGED, TRANS, WITH_ID
 
 
 def _collect(t: Tables, stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
@@ -95,3 +96,18 @@ def stream_health(t: Tables) -> DataFrame:
     """The health of a source after each of its runs, from a stream of runs with the last twenty as state."""
     out = _collect(t, T.health_stream(_in_turn(t, t.runs, "id", "runs", 3), NULLS), "health")
     return out.withColumns({f"null_rate_{f}": F.round(F.col(f"null_rate_{f}") + 1e-9, 4) for f in NULLS})
+
+
+@query(f"""select row_number() over (order by seen_at, job_id, item_idx, content_hash, source_id, external_key) as id, rid as record_id, source_id, external_key, kind, seen_at as created_at
+from {WITH_ID.replace("{0}", f"({TRANS}) k")} x where kind <> 'unchanged'""")
+def feed_source(t: Tables) -> DataFrame:
+    """The change feed, appended in two batches and read through its own source by a stream that stops in between."""
+    C.register(t.spark)
+    path, out = scratch(t.spark, "feed"), scratch(t.spark, "consumed")
+    events = change_events(t.record_cur, t.incoming).withColumns({"record_id": record_id(F.col("source_id"), F.col("external_key")), "created_at": F.col("seen_at")})
+    early = F.col("seen_at") < F.lit(datetime(1995, 1, 1)).cast("timestamp_ntz")
+    for rows in (events.where(early), events.where(~early)):
+        C.append_feed(rows, path, [*ORDER, *KEY])
+        s = t.spark.readStream.format("harrow_feed").option("path", path).option("consumer", "query").load()
+        s.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(C.FEED).parquet(f"{out}/rows")

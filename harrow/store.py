@@ -53,6 +53,12 @@ def made() -> int:
     return len(_made.paths)
 
 
+def forget(spark: SparkSession, since: int) -> None:
+    """Removes the scratch paths made since the mark."""
+    while len(_made.paths) > since:
+        remove(spark, _made.paths.pop())
+
+
 def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
     """df written and read back, and the scratch paths made since the mark removed, which it no longer needs."""
     out = written(df, tag)

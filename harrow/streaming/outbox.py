@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.upsert import KEY, transitions, upsert_small
-from ..store import listed, remove, scratch
+from ..store import forget, listed, made, remove, scratch
 
 
 SETTLE = 16
@@ -97,6 +97,7 @@ class MergedRecords:
         return self.spark.read.parquet(f"{self.folder}/events")
 
     def apply(self, batch: DataFrame, number: int) -> None:
+        since = made()
         held = self._list(number)
         touched = {r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()}  # parts at most
         current = self._read(held, touched)
@@ -105,6 +106,7 @@ class MergedRecords:
         self._write(upsert_small(current, batch).select(self.schema.names), number + 1, held, (number + 1) % SETTLE == 0)
         self.last = number + 1
         self._forget(number)
+        forget(self.spark, since)
 
     def _forget(self, number: int) -> None:
         """Removes what neither this batch, if it is run again, nor a later one reads."""

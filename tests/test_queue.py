@@ -126,3 +126,12 @@ def test_versions(spark):
     assert L.assert_single(p).count() == 0
     assert {r.source_id: (r.target, r.rejected) for r in L.rollback(a).collect()} == {1: (2, 3), 2: (None, None)}
     assert {r.source_id: r.next_version for r in L.next_version(a, spark.createDataFrame([(1,), (9,)], "source_id bigint")).collect()} == {1: 5, 9: 1}
+
+
+def test_spans_of_time(spark):
+    texts = ["1 day", "1 mon 2 days", "01:30:00", "36:00:00", "-1 days +02:03:04.5", "1 year 3 mons", "2 weeks ago", "@ 1 hour 30 mins", "P1D", "", None, "soon", "1 fortnight", "1.5 hours", "3d", "1 mon -1 day"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("p", Q.interval_parts(F.col("t")))
+    got = [None if r.p is None else (r.p.months, r.p.days, float(r.p.seconds)) for r in d.orderBy("i").collect()]
+    assert got == [(0, 1, 0), (1, 2, 0), (0, 0, 5400), (0, 0, 129600), (0, -1, 7384.5), (15, 0, 0), (0, -14, 0), (0, 0, 5400), None, None, None, None, None, (0, 0, 5400), (0, 3, 0), (1, -1, 0)]
+    at = F.lit(datetime(2024, 3, 31, 12)).cast("timestamp_ntz")
+    assert [r[0] for r in d.where("i in (1, 3, 5)").orderBy("i").select(Q.before(at, F.col("p"))).collect()] == [datetime(2024, 2, 27, 12), datetime(2024, 3, 30), datetime(2022, 12, 31, 12)]

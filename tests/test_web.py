@@ -237,3 +237,10 @@ def test_decode_and_fixtures(spark, tmp_path):
     for n in "12":
         (tmp_path / f"{n}.body.gz").write_bytes(gzip.compress(f"body {n}".encode()))
     assert sorted((r.url, r.status, r.body) for r in S.load(spark, str(tmp_path)).collect()) == [("u", 200, "body 1"), ("v", 404, "body 2")]
+
+
+def test_capture_round_trip(spark):
+    d = spark.createDataFrame([(1, 404, "é" * 3000), (2, None, ""), (3, 200, None)], "id int, status int, body string")
+    kept = S.captured(d)
+    assert [(r.id, r.status_code, r.body and gzip.decompress(r.body).decode()) for r in kept.orderBy("id").collect()] == [(1, 404, "é" * 3000), (2, 200, ""), (3, 200, None)]
+    assert [r.body for r in S.opened(kept).orderBy("id").collect()] == ["é" * 3000, "", None]
