@@ -4,7 +4,8 @@ A line's key is the line without ASCII white space at its ends and with A-Z lowe
 ``least_chars`` code points count. The state is a folder and holds:
 
 * signed postings (key, document, +1 or -1), appended by inserts and deletions, whose sums say which documents hold
-  a key;
+  a key; tables of like size are merged, summed and without what has come to nothing, so that there are as many as the
+  size has binary digits, however many changes there were;
 * exact reference-count tables: how many documents hold a key and which is the largest, for the keys that at least
   ``least_docs`` documents hold. A change counts the keys it touches again and writes only what has changed; the
   tables of the last changes stand on top of each other and are merged from time to time;
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import remove
 from .common import arrow_map, open_read, pieces, row_hash, scratch, text_bytes, write_bytes, written
 
 BLANK = b" \t\n\x0b\f\r"
@@ -194,7 +196,7 @@ class LineIndex:
         self.folder = folder or scratch(spark, "lines")
         self.version = 0  # of the last change
         self.layers: list[int] = []  # versions whose count tables stand on top of each other
-        self.files: list[int] = []  # versions that wrote filters
+        self.posts: list[list] = []  # tables of postings, [name, rows], the oldest and largest first
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> LineIndex:
@@ -202,12 +204,12 @@ class LineIndex:
         with open_read(f"{folder}/manifest.json") as f:
             m = json.loads(f.read())
         index = cls(spark, m["shards"], m["least_docs"], m["least_chars"], folder)
-        index.version, index.layers, index.files = m["version"], m["layers"], m["files"]
+        index.version, index.layers, index.posts = m["version"], m["layers"], m["posts"]
         return index
 
     def _save(self) -> None:
         """The manifest comes last: a change that was cut off has not happened, and its version is written anew."""
-        m = {k: getattr(self, k) for k in ("shards", "least_docs", "least_chars", "version", "layers", "files")}
+        m = {k: getattr(self, k) for k in ("shards", "least_docs", "least_chars", "version", "layers", "posts")}
         write_bytes(f"{self.folder}/manifest.json", iter([json.dumps(m).encode()]))
 
     def _read(self, kind: str, versions: list[int]) -> DataFrame:
@@ -217,6 +219,24 @@ class LineIndex:
             out = df if out is None else out.unionByName(df)
         return out
 
+    def _postings(self, tables: list[list]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/{name}" for name, _ in tables])
+
+    def _merge(self) -> list[str]:
+        """Merges the newest tables of postings as long as the one before is not twice as large; the names of those
+        that are no longer needed once the manifest stands."""
+        take, rows = 1, self.posts[-1][1]
+        while take < len(self.posts) and self.posts[-take - 1][1] <= 2 * rows:
+            rows += self.posts[-take - 1][1]
+            take += 1
+        if take == 1:
+            return []
+        old, name = self.posts[-take:], f"postings-{self.version}-merged"
+        summed = self._postings(old).groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by <> 0")
+        summed.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        self.posts[-take:] = [[name, self.spark.read.parquet(f"{self.folder}/{name}").count()]]
+        return [n for n, _ in old]
+
     def _put(self, df: DataFrame, kind: str, version: int) -> DataFrame:
         path = f"{self.folder}/{kind}-{version}"
         df.write.mode("overwrite").parquet(path)
@@ -247,14 +267,15 @@ class LineIndex:
 
     def _change(self, keys: DataFrame, by: int) -> None:
         v, enough = self.version + 1, F.col("n_docs") >= self.least_docs
-        batch = self._put(keys.select("id", "k1", "k2").distinct().withColumn("by", F.lit(by)), "postings", v)
+        batch = self._put(keys.select("id", "k1", "k2").distinct().withColumn("by", F.lit(by).cast("long")), "postings", v)
+        posts = [*self.posts, [f"postings-{v}", batch.count()]]
         count = lambda held: held.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last"))
         if not self.layers:
             now = self._put(count(batch.where("by > 0")).where(enough), "counts", v)
             moved = now.select("k1", "k2", F.lit(True).alias("add"))
         else:
             touched = written(batch.select("k1", "k2").distinct(), "touched")
-            held = self.spark.read.schema(batch.schema).parquet(*[f"{self.folder}/postings-{k}" for k in range(1, v + 1)]).join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by > 0")
+            held = self._postings(posts).join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by > 0")
             was = self.counts.select("k1", "k2", F.lit(True).alias("was")).join(touched, ["k1", "k2"], "left_semi")
             now = touched.join(count(held), ["k1", "k2"], "left").join(was, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "last", F.coalesce("was", F.lit(False)).alias("was"))
             now = written(now.where(enough | F.col("was")), "now")
@@ -278,21 +299,25 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([v], pa.int32())], ["shard", "version"])
 
         dealt = moved.select("shard", "version", "k2", "add").repartition(self.shards, "shard").sortWithinPartitions("shard", "k2")
-        self._put(arrow_map(dealt, run, "shard int, version int"), "files", v)
+        made = arrow_map(dealt, run, "shard int, version int")
+        if old is not None:  # the list is whole, a row a shard
+            made = old.select("shard", F.col("version").alias("before")).join(written(made, "filters"), "shard", "full_outer").select("shard", F.coalesce("version", "before").alias("version"))
+        self._put(made, "files", v)
         self.version = v
         self.layers.append(v)
-        self.files.append(v)
+        self.posts = posts
+        gone = self._merge()
         if len(self.layers) > LAYERS:
             merged = written(self.counts, "merged")
             self._put(merged, "counts", v)
             self.layers = [v]
         self._save()
+        for name in gone:
+            remove(self.spark, f"{self.folder}/{name}")
 
     def _filters(self) -> DataFrame | None:
         """shard, version: the file of its filter."""
-        if not self.files:
-            return None
-        return self._read("files", self.files).groupBy("shard").agg(F.max("version").alias("version"))
+        return self.spark.read.parquet(f"{self.folder}/files-{self.version}") if self.version else None
 
     def look_up(self, keys: DataFrame) -> DataFrame:
         """Rows of keys whose key may be in least_docs documents, by the filters alone."""

@@ -161,6 +161,11 @@ def test_lines_incrementally(spark, docs, rows):
             index.insert(spark.createDataFrame(new, DOC))
             extra += new
     assert len(index.layers) <= line_dedup.LAYERS
+    # The tables that a change reads do not add up with the changes: postings of like size are one, filters are in one list.
+    total = sum(n for _, n in index.posts)
+    assert len(index.posts) <= 2 + np.log2(total) / 2 and all(a > 2 * b for (_, a), (_, b) in zip(index.posts, index.posts[1:], strict=False))
+    assert index._filters()._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert index._postings(index.posts).groupBy("k1", "k2", "id").agg(F.sum("by").alias("by")).where("by < 0").count() == 0
     whole = spark.createDataFrame(rows + extra, DOC)
     same([tuple(r) for r in index.apply(whole).collect()], lines(rows + extra))
 
