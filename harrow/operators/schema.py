@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
@@ -65,8 +65,10 @@ def node_levels(rows: DataFrame, value: str) -> list[DataFrame]:
         fields = F.transform(F.map_entries(J._fields(F.col("v"))), lambda e: F.struct(e["key"].alias("step"), e["value"].alias("v")))
         elements = F.transform(J._elements(F.col("v")), lambda e: F.struct(F.lit(None).cast("string").alias("step"), e.alias("v")))
         below = levels[-1].select("row", F.col("node").alias("parent"), F.posexplode(F.coalesce(fields, elements)).alias("pos", "c"))
-        level = written(below.select("row", F.concat("parent", F.lit("/"), F.col("pos").cast("string")).alias("node"), "parent", "c.step", "pos", "c.v"), "nodes")
-        if level.isEmpty():
+        seen = Observation()
+        rows = below.select("row", F.concat("parent", F.lit("/"), F.col("pos").cast("string")).alias("node"), "parent", "c.step", "pos", "c.v")
+        level = written(rows.observe(seen, F.count("*").alias("n")), "nodes")
+        if not seen.get["n"]:
             return levels
         levels.append(level)
 
@@ -79,7 +81,7 @@ def with_schema_errors(items: DataFrame, value: str, schema: dict[str, Any] | bo
         pass
     row = "__row"
     base = written(items.withColumn(row, F.monotonically_increasing_id()), "items")
-    done = None
+    done, rules = None, _Nodes(schema).rules()
     for level in reversed(node_levels(base.select(F.col(row).alias("row"), value), value)):
         if done is None:
             nodes = level.withColumns({"kids": F.lit(None).cast(f"map<string,{ERRORS}>"), "list": F.lit(None).cast(f"array<{ERRORS}>")})
@@ -87,6 +89,6 @@ def with_schema_errors(items: DataFrame, value: str, schema: dict[str, Any] | bo
             named, listed = F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "errors"))), F.collect_list(F.when(F.col("step").isNull(), F.struct("pos", "errors")))
             below = done.groupBy("row", F.col("parent").alias("node")).agg(F.map_from_entries(named).alias("kids"), F.transform(F.sort_array(listed), lambda e: e["errors"]).alias("list"))
             nodes = level.join(below, ["row", "node"], "left")
-        done = written(nodes.select("row", "parent", "step", "pos", _Nodes(schema).rules().alias("errors")), "checked")
+        done = written(nodes.select("row", "parent", "step", "pos", rules.alias("errors")), "checked")
     found = done.select(F.col("row").alias(row), F.get("errors", F.lit(0)).alias(name))
     return base.join(found, row).withColumn(name, F.when(F.col(value).isNotNull(), F.col(name))).drop(row)
