@@ -6,8 +6,11 @@ Super-k-mers go to the bucket of their minimiser, where all equal windows of the
 are unpacked, sorted by two 64-bit hashes (of the 64-bit hashes of their words) and document id, and every window
 that a smaller id also has is a hit. Words under hits are removed.
 
-Transport. Map tasks pack each bucket's super-k-mers into Zstandard blobs, which go to their bucket's task through one
-shuffle, sorted by bucket, so that a task holds one bucket at a time. A lost executor costs its tasks.
+Transport. A reduce task counts several buckets, more of them the larger the input is, at most ``most_tasks`` tasks in
+all. Map tasks pack the super-k-mers of a reduce task together into Zstandard blobs, whatever their buckets, so that
+blobs stay worth packing where a map task has hardly a string for each bucket. The reduce task unpacks them into rows,
+which Spark sorts by bucket and spills where they are many; then it holds one bucket at a time. A lost executor costs its
+tasks.
 
 Skew. A task sends a super-k-mer once; when it meets the same string again in a larger id, that is a hit
 already and only its place is sent on. So copies and shared passages cost a bucket about one string a task, however
@@ -39,9 +42,11 @@ from .common import arrow_map, pieces, row_hash, text_bytes, written
 
 NONE = -(2**63)
 SEEN = 200_000  # strings a task remembers
-FLUSH = 256 << 10  # bytes of a bucket's blob before packing
+FLUSH = 256 << 10  # bytes of a blob before packing
 HELD = 48 << 20  # bytes of all strings a task holds
-ROW = "bucket bigint, blob binary, id bigint, h bigint, first int, last int"
+TASK_BUCKETS = 4  # a reduce task's buckets, until there are most_tasks of them
+PACKED = "part int, blob binary, id bigint, h bigint, first int, windows int"
+STRINGS = "bucket bigint, string binary, id bigint, h bigint, first int, windows int"
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 2**63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,12 +71,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    """Collects strings by bucket and packs them into rows; hits that it finds itself are rows without a blob."""
+    """Collects strings by reduce task and packs them into rows; hits that it finds itself are rows without a blob."""
 
-    def __init__(self) -> None:
+    def __init__(self, parts: int) -> None:
         import zstandard
 
         self.pack = zstandard.ZstdCompressor(level=5)
+        self.parts = parts
         self.open: dict[int, list[tuple]] = defaultdict(list)
         self.bytes: dict[int, int] = defaultdict(int)
         self.held = self.ready = 0
@@ -84,52 +90,58 @@ class Packer:
         mark = xxh3_128_digest(string)
         least = self.seen.get(mark)
         if least is not None and key > least:
-            self.rows.append((hash((key, h, first)), None, key, h, first, first + windows - 1))
+            self.rows.append((hash((key, h, first)) % self.parts, None, key, h, first, windows))
             self.ready += 64
             return
         if len(self.seen) >= SEEN:
             self.seen.clear()
         self.seen[mark] = key if least is None else min(key, least)
-        self.open[bucket].append((string, key, h, first, windows))
-        self.bytes[bucket] += len(string) + 28
-        self.held += len(string) + 28
-        if self.bytes[bucket] >= FLUSH:
-            self.flush(bucket)
+        turn, part = divmod(bucket, self.parts)
+        self.open[part].append((string, turn, key, h, first, windows))
+        self.bytes[part] += len(string) + 36
+        self.held += len(string) + 36
+        if self.bytes[part] >= FLUSH:
+            self.flush(part)
         if self.held >= HELD:
-            for b in list(self.open):
-                self.flush(b)
+            for x in list(self.open):
+                self.flush(x)
 
-    def flush(self, bucket: int) -> None:
-        got = self.open.pop(bucket)
-        self.held -= self.bytes.pop(bucket)
-        strings, keys, hs, firsts, windows = zip(*got, strict=True)
+    def flush(self, part: int) -> None:
+        got = self.open.pop(part)
+        self.held -= self.bytes.pop(part)
+        strings, turns, keys, hs, firsts, windows = zip(*got, strict=True)
         # Keys as steps: a task goes through small ids first, so most steps are small.
-        head = [np.int64(len(got)), np.diff(np.array(keys, np.int64), prepend=0), np.array(hs, np.int64), np.array(firsts, np.int32), np.array(windows, np.int32)]
-        blob = self.pack.compress(b"".join([x.tobytes() for x in head]) + b"\n".join(strings))
-        self.rows.append((bucket, blob, None, None, None, None))
+        head = [np.int64(len(got)), np.array(turns, np.int64), np.diff(np.array(keys, np.int64), prepend=0), np.array(hs, np.int64), np.array(firsts, np.int32), np.array(windows, np.int32)]
+        blob = self.pack.compress(b"".join([x.tobytes() for x in head]) + b"\n".join(strings) + b"\n")
+        self.rows.append((part, blob, None, None, None, None))
         self.ready += len(blob)
 
     def batch(self, end: bool = False) -> Iterator[pa.RecordBatch]:
         """The rows that are ready, some megabytes at a time."""
         if end:
-            for b in list(self.open):
-                self.flush(b)
+            for x in list(self.open):
+                self.flush(x)
         if self.rows and (end or self.ready >= 4 << 20):
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             for i in range(0, len(self.rows), 20_000):
                 part = self.rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], ["bucket", "blob", "id", "h", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], ["part", "blob", "id", "h", "first", "windows"])
             self.rows, self.ready = [], 0
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
-    """(keys, hs, firsts, windows) and the strings, one a line."""
+def _unpack(blob: bytes, part: int, parts: int) -> pa.RecordBatch:
+    """The strings of a blob as rows, each string with a line end."""
     import zstandard
 
     plain = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(plain, np.int64, 1)[0])
-    wide, narrow = np.frombuffer(plain, np.int64, 2 * n, 8), np.frombuffer(plain, np.int32, 2 * n, 8 + 16 * n)
-    return np.stack([np.cumsum(wide[:n]), wide[n:], narrow[:n].astype(np.int64), narrow[n:].astype(np.int64)]), plain[8 + 24 * n :]
+    wide, narrow = np.frombuffer(plain, np.int64, 3 * n, 8).reshape(3, n), np.frombuffer(plain, np.int32, 2 * n, 8 + 24 * n).reshape(2, n)
+    text = memoryview(plain)[8 + 32 * n :]
+    ends = np.zeros(n + 1, np.int32)
+    ends[1:] = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1  # words hold no line end
+    strings = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(text)])
+    columns = [pa.array(wide[0] * parts + part), strings, pa.array(np.cumsum(wide[1])), *[pa.array(x) for x in (wide[2], *narrow)]]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "string", "id", "h", "first", "windows"])
 
 
 def _superkmers(b: pa.RecordBatch, size: int, gram: int, buckets: int) -> Iterator[tuple[int, bytes, int, int, int, int]]:
@@ -183,11 +195,11 @@ def hot_buckets(rows: DataFrame, size: int, gram: int, buckets: int, most: float
     return {r["bucket"]: -int(-r["n"] // most) for r in n.collect()}  # fewer than windows / most
 
 
-def pack_documents(rows: DataFrame, size: int, gram: int, buckets: int, hot: dict[int, int]) -> DataFrame:
-    """The blobs of the super-k-mers of rows (key, h, text), and hits found on the way."""
+def pack_documents(rows: DataFrame, size: int, gram: int, buckets: int, hot: dict[int, int], parts: int) -> DataFrame:
+    """The blobs of the super-k-mers of rows (key, h, text) for each of the reduce tasks, and hits found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Packer()
+        p = Packer(parts)
         for b in pieces(batches, 256):
             for bucket, string, key, h, first, windows in _superkmers(b, size, gram, buckets):
                 if bucket not in hot:
@@ -200,39 +212,59 @@ def pack_documents(rows: DataFrame, size: int, gram: int, buckets: int, hot: dic
             yield from p.batch()
         yield from p.batch(end=True)
 
-    return arrow_map(rows, run, ROW)
+    return arrow_map(rows, run, PACKED)
+
+
+def unpacked(packed: DataFrame, parts: int) -> DataFrame:
+    """The strings in the blobs, a row each; hits found on the way keep their rows, without bucket and string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            is_blob = pc.is_valid(b.column(1))
+            hits, blobs = b.filter(pc.invert(is_blob)), b.filter(is_blob)
+            none = [pa.nulls(hits.num_rows, t) for t in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, *hits.columns[2:]], ["bucket", "string", "id", "h", "first", "windows"])
+            for part, blob in zip(blobs.column(0).to_pylist(), blobs.column(1), strict=True):
+                yield _unpack(blob.as_py(), part, parts)
+
+    return arrow_map(packed, run, STRINGS)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """The word hashes and numbers of each bucket in turn; blobs come sorted by bucket."""
+    """The word hashes and numbers (key, h, first, windows) of each bucket in turn; strings come sorted by bucket."""
     now, hashes, numbers = None, [], []
     for b in batches:
-        for i, bucket in enumerate(b.column(0).to_pylist()):
-            if bucket != now and hashes:
+        if not b.num_rows:
+            continue
+        buckets = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if buckets[i] != now and hashes:
                 yield hashes, numbers
                 hashes, numbers = [], []
-            now = bucket
-            n, text = _unpack(b.column(1)[i].as_py())
-            hashes.append(_hashes(text.split()))
-            numbers.append(n)
+            now = buckets[i]
+            hashes.append(_hashes(b"".join(b.column(1)[i:j].to_pylist()).split()))
+            numbers.append(np.stack([c[i:j].to_numpy().astype(np.int64) for c in b.columns[2:]]))
     if hashes:
         yield hashes, numbers
 
 
-def count_buckets(packed: DataFrame, size: int) -> DataFrame:
-    """Hits of each bucket: id, h, first, last (windows). packed: as pack_documents has it, the rows of a bucket one
-    after the other."""
+def count_buckets(strings: DataFrame, size: int) -> DataFrame:
+    """Hits of each bucket: id, h, first, last (windows). strings: as unpacked() has them, sorted by bucket in each
+    partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes: list[pa.RecordBatch] = []
 
-        def blobs() -> Iterator[pa.RecordBatch]:
+        def own() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                is_blob = pc.is_valid(b.column(1))
-                notes.append(b.filter(pc.invert(is_blob)).select([2, 3, 4, 5]))
-                yield b.filter(is_blob)
+                is_string = pc.is_valid(b.column(1))
+                found = b.filter(pc.invert(is_string))
+                last = pc.subtract(pc.add(found.column(4), found.column(5)), pa.scalar(1, pa.int32()))
+                notes.append(pa.RecordBatch.from_arrays([*found.columns[2:5], last], ["id", "h", "first", "last"]))
+                yield b.filter(is_string)
 
-        for hashes, numbers in _by_bucket(blobs()):
+        for hashes, numbers in _by_bucket(own()):
             yield from notes
             notes.clear()
             keys, hs, firsts, windows = np.concatenate(numbers, axis=1)
@@ -265,7 +297,7 @@ def count_buckets(packed: DataFrame, size: int) -> DataFrame:
 
         yield from notes
 
-    return arrow_map(packed, run, "id bigint, h bigint, first int, last int")
+    return arrow_map(strings, run, "id bigint, h bigint, first int, last int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -279,21 +311,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.join(ranks, F.col("id") == F.col("name"), "left").drop("name"), "keyed")
 
 
-def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 3, bucket_windows: int = 400_000, hot: int = 4, sample: float = 1 / 16, sample_docs: int = 200_000) -> DataFrame:
+def repeated_windows(rows: DataFrame, size: int = 13, gram: int = 3, bucket_windows: int = 400_000, hot: int = 4, sample: float = 1 / 16, sample_docs: int = 200_000, most_tasks: int = 20_000) -> DataFrame:
     """(key, h, first, last): runs of windows that a smaller key has too. rows: key long, h, text. A null key is
-    shown as the least long. sample: the share of documents that hot buckets are counted on, of sample_docs at most."""
+    shown as the least long. sample: the share of documents that hot buckets are counted on, of sample_docs at most.
+    most_tasks: the reduce tasks at most; beyond them a task gets more buckets, and still holds one at a time."""
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("chars"), F.count("*").alias("n")).first()
     buckets = max(1, (total["chars"] or 0) // (6 * bucket_windows))
     rows = rows.select("key", "h", "text")
     share = min(sample, sample_docs / max(total["n"], 1))
     some = rows.where(F.xxhash64("key", "h") < -(2**63) + int(share * 2.0**64)) if share < 1 else rows
     over = hot_buckets(some, size, gram, buckets, hot * bucket_windows * share) if buckets > 1 else {}
-    packed = pack_documents(rows, size, gram, buckets, over)
-    # A task counts a few buckets one after the other, up to a bound on tasks.
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, buckets // 4))
-    # Dealt in turn, not by a hash, so that no task gets more buckets than others.
-    dealt = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
-    hits = count_buckets(dealt, size)
+    # Sized by the text, so that a task's load does not grow with it. Buckets are dealt in turn, not by a hash, so that no
+    # task gets more than others.
+    tasks = max(1, min(buckets, rows.sparkSession.sparkContext.defaultParallelism), min(most_tasks, buckets // TASK_BUCKETS))
+    packed = pack_documents(rows, size, gram, buckets, over, tasks)
+    strings = unpacked(packed.repartitionById(tasks, F.col("part")), tasks)
+    hits = count_buckets(strings.sortWithinPartitions("bucket"), size)
     return written(hits.withColumnRenamed("id", "key").distinct(), "hits")
 
 

@@ -50,7 +50,7 @@ def removed(rows, size=13):
         yield d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("params", [{}, {"bucket_windows": 40}, {"bucket_windows": 40, "hot": 1, "sample": 1.0}])
+@pytest.mark.parametrize("params", [{}, {"bucket_windows": 40}, {"bucket_windows": 40, "hot": 1, "sample": 1.0}, {"bucket_windows": 40, "most_tasks": 2}])
 def test_substring(docs, rows, params):
     got = [tuple(r) for r in substring_dedup.substring_dedup(docs, **params).collect()]
     same(got, removed(rows))
