@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, rough_bytes, scratch
+from .common import arrow_map, pieces, scratch
 
 CACHE_BYTES = 80 << 20
 #: What an entry takes besides its letters and ids: two objects' heads and its share of the table.
@@ -149,7 +149,7 @@ def write_tokens(
     meta = [c for c in meta_cols if c in docs.columns]
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"meta_{c}") for c in meta], F.monotonically_increasing_id().alias("__m"))
-    size = rough_bytes(docs) or docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+    size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0  # of the texts, whatever packs them in files
     parts = max(1, min(-(-size // part_bytes), 1 << 18), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
     rows = rows.repartitionByRange(parts, "id", "__m").sortWithinPartitions("id", "__m").drop("__m").withColumn("part", F.spark_partition_id())
     kind = rows.schema["id"].dataType
