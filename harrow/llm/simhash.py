@@ -17,6 +17,9 @@ look-ups. No bucket is capped and no link is lost.
 Components come from star contraction (large star, small star) over the links, each round written to the
 shared folder; the rounds grow with the logarithm of the longest chain.
 
+Tables that grow with the corpus are joined by sort and merge, as told by a hint: after an explode or a distinct Spark
+takes a table for no larger than the compressed file beneath it, and would broadcast millions of rows by the driver.
+
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle of them all. Repeated rows each get a row out. Null ids get a row too; a component of
 null ids only has a null component_id. Extra columns are not read.
@@ -91,7 +94,7 @@ def _segment(fp, k: int, bits: int):
 
 
 def _verified(probe: DataFrame, table: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
-    found = probe.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), keys)
+    found = probe.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b").hint("merge"), keys)
     return found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
 
@@ -113,7 +116,7 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFram
         deep = lambda df: df.join(crowded, ["seg", "value"], "left_semi").withColumn("other", F.when(F.col("seg") == 0, _segment(fp, 1, 32)).otherwise(_segment(fp, 0, 32)))
         sub = ["seg", "value", "half", "part"]
         table2 = deep(table).select("fp", "seg", "value", halves(lambda c: c)).select("fp", "seg", "value", "h.*")
-        crowded2 = table2.groupBy(*sub).count().where(F.col("count") > bucket_limit).select(*sub)
+        crowded2 = written(table2.groupBy(*sub).count().where(F.col("count") > bucket_limit).select(*sub), "crowded")
         # The whole ball here, not half of it: the first segment's flip has already set the direction.
         probe2 = deep(probe).select("fp", "seg", "value", halves(lambda c: _full_ball(c, 16, 1))).select("fp", "seg", "value", "h.half", "h.last", F.explode("h.part").alias("part"))
         second = _verified(probe2.join(crowded2, sub, "left_anti"), table2, sub, max_bits)
@@ -131,9 +134,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = written(small, "edges")
         # The edges stop changing when each node has one edge, to its root; the sum tells a changed set.
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -149,10 +152,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = written(fingerprints(docs, id_col, text_col, shingle, (seed,)).select("id", "h", F.get("fps", F.lit(0)).alias("fp")), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     comp = components(links(nodes.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("root").alias("component"))
-    rooted = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rooted = nodes.join(comp.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = rooted.groupBy("component").agg(F.min("id").alias("component_id"))
-    of = written(rooted.select("fp", "component").join(named, "component").select("fp", "component", "component_id"), "components")
-    return fps.join(of, "fp").select("id", "h", "fp", "component", "component_id")
+    of = written(rooted.select("fp", "component").join(named.hint("merge"), "component").select("fp", "component", "component_id"), "components")
+    return fps.join(of.hint("merge"), "fp").select("id", "h", "fp", "component", "component_id")
 
 
 def _node(fps: Column) -> Column:
@@ -174,15 +177,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Each fingerprint is stood for by one of its texts, to which the others of that fingerprint link.
         first = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
         a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("u")), first.select(F.col("fp").alias("b"), F.col("rep").alias("v"))
-        near = links(first.select("fp"), max_bits).join(a, "a").join(b, "b").select("u", "v")
+        near = links(first.select("fp"), max_bits).join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("u", "v")
         # Written seed by seed: one plan over all seeds would be as large as all of them for the driver.
-        edges.append(written(near.unionByName(own.join(first, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))), "edges"))
+        edges.append(written(near.unionByName(own.join(first.hint("merge"), "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))), "edges"))
     union = edges[0]
     for e in edges[1:]:
         union = union.unionByName(e)
     comp = components(union, "u", "v")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    g = prints.select("id", "h", "node").join(comp, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    g = prints.select("id", "h", "node").join(comp.hint("merge"), "node", "left").withColumn("group", F.coalesce("root", "node"))
     own_id, own_h, own_k = free(docs, "__id", "__h", "__k")
     first = written(g.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h)), "first")
     on = F.col(id_col).eqNullSafe(F.col(own_id)) & (row_hash(F.col(text_col)) == F.col(own_h))

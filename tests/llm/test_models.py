@@ -356,3 +356,22 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert last.columns == [*docs.columns, "n_bytes_", "depth", "shard_"] and last.count() == docs.count()
+
+
+def test_simhash_never_broadcasts_what_grows(spark, monkeypatch):
+    """After an explode or a distinct Spark takes a table for as small as the file beneath; the driver would build it."""
+    from harrow.llm import simhash
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def recorded(df, tag, write=simhash.written):
+        plans.append(plan(df))
+        return write(df, tag)
+
+    monkeypatch.setattr(simhash, "written", recorded)
+    rows = [(i, f"alpha beta gamma delta word{i // 2} epsilon zeta eta theta iota") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans += [plan(simhash.simhash_groups(docs)), plan(simhash.near_dedup(docs, seeds=(42, 43)))]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
