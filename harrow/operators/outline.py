@@ -43,9 +43,9 @@ def _squeezed(text: Column, most: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
 
 
-def queried(pages: DataFrame, page: str, html: str, selectors: list[str]) -> DataFrame:
+def queried(pages: DataFrame, page: str, html: str, selectors: list[str], whole_refs: bool = False) -> DataFrame:
     """page, selector, n, samples (text and html of the first SAMPLES elements), for every page and selector."""
-    p = D.with_elements(pages.select(page, html), html)
+    p = D.with_elements(pages.select(page, html), html, whole_refs=whole_refs)
     sample = lambda e: F.struct(_squeezed(D.text(e), SAMPLE_TEXT).alias("text"), F.substring(D.source(e, html), 1, SAMPLE_HTML).alias("html"))
     found = lambda s: F.transform(F.array(D.select(F.col("elements"), s)), lambda x: F.struct(F.lit(s).alias("selector"), F.size(x).cast("long").alias("n"), F.transform(F.slice(x, 1, SAMPLES), sample).alias("samples")))
     return p.select(page, F.explode(F.concat(*map(found, selectors))).alias("q")).select(page, "q.selector", "q.n", "q.samples")

@@ -244,3 +244,22 @@ def test_capture_round_trip(spark):
     kept = S.captured(d)
     assert [(r.id, r.status_code, r.body and gzip.decompress(r.body).decode()) for r in kept.orderBy("id").collect()] == [(1, 404, "é" * 3000), (2, 200, ""), (3, 200, None)]
     assert [r.body for r in S.opened(kept).orderBy("id").collect()] == ["é" * 3000, "", None]
+
+
+def test_references_without_semicolon():
+    page = '<title>a &amp; b&amp</title><p title="x&lt y&gt;">&copy;&amp;amp; &#65; &#65 &nosuch; &</p><script>a&amp&&b</script>'
+    text, e = D.parse(page, whole_refs=True)
+    assert text == "a & b&amp©&amp; A &#65 &nosuch; &a&amp&&b"
+    assert [x["attrs"] for x in e] == [{}, {"title": "x&lt y>"}, {}]
+    assert page[e[1]["from"] : e[1]["to"]].startswith("<p title") and page[e[1]["from"] : e[1]["to"]].endswith("&</p>")
+    assert D.parse(page)[0].startswith("a & b&©")  # as browsers do
+
+
+def test_pages_cut_in_a_reference(spark, tmp_path):
+    from harrow.plans import catalog
+
+    html = '<!DOCTYPE html><html lang="en"><head><title>T &amp;&amp</title></head><body><nav><ul><li><a href="/">H</a></li></ul></nav><div class="ad">x</div><article><h1>T &amp;&amp</h1></article></body></html>'
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["title"] for r in catalog.QUERIES["page_outline"](spark, str(tmp_path)).collect()] == ["T &&amp"]
+    found = catalog.QUERIES["query_dom_samples"](spark, str(tmp_path)).where("selector like '%article > h1'").collect()
+    assert [(r["texts"], r["sources"]) for r in found] == [("T &&amp", "<h1>T &amp;&amp</h1>")]
