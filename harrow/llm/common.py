@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..store import scratch, written  # noqa: F401
+from ..store import BATCH_BYTES, scratch, small_batches, written  # noqa: F401
 
 #: ASCII white space, as the word patterns [^\x20\x09-\x0D]+ take it.
 WHITE = " \t\n\x0b\f\r"
@@ -126,16 +126,9 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-#: Bytes of an Arrow batch on its way to a Python worker. Spark's own bound is 64 MiB, which a worker holds several
-#: times over; a batch still has one row at least, so a single longer text passes.
-BATCH_BYTES = 8 << 20
-
-
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow with batches of at most BATCH_BYTES (a setting of the session, lowered where it is higher)."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -263,3 +263,22 @@ def test_pages_cut_in_a_reference(spark, tmp_path):
     assert [r["title"] for r in catalog.QUERIES["page_outline"](spark, str(tmp_path)).collect()] == ["T &&amp"]
     found = catalog.QUERIES["query_dom_samples"](spark, str(tmp_path)).where("selector like '%article > h1'").collect()
     assert [(r["texts"], r["sources"]) for r in found] == [("T &&amp", "<h1>T &amp;&amp</h1>")]
+
+
+def test_pages_are_parsed_in_bounded_parts(spark):
+    """Neither many pages nor long ones are held together, whatever the batch; no page is lost or moved."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    rows = [(i, f"<p>{i}</p>" * (30_000 if i % 50 == 0 else 1) if i % 7 else None) for i in range(300)]
+    try:
+        e = D.with_elements(spark.createDataFrame(rows, "i long, html string").coalesce(1), "html")
+        assert {r["i"]: (r["n"], r["t"]) for r in e.select("i", F.size("elements").alias("n"), F.substr("elements_text", F.lit(1), F.lit(3)).alias("t")).collect()} == {i: (h.count("<p>"), (str(i) * 3 if h.count("<p>") > 1 else str(i))[:3]) if h else (0, "") for i, h in rows}
+        assert int(spark.conf.get(key)) <= 8 << 20
+    finally:
+        spark.conf.set(key, old)
+    parts = list(D._parts(pa.array([h for _, h in rows])))
+    assert [p for part in parts for p in part] == [h for _, h in rows]
+    assert max(map(len, parts)) <= 64 and max(sum(len(p or "") for p in part[:-1]) for part in parts) < 1 << 18
