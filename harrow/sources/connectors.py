@@ -5,7 +5,7 @@
 * ``harrow_captures`` (batch): every folder under the path that has a manifest, a partition each. The driver lists
   folders and reads no manifest; a task reads its folder's and opens one body at a time.
 * ``harrow_feed`` (stream and batch): the change feed as ``append_feed`` writes it, whose offsets are event ids. A batch of
-  the stream takes the ids after the last one up to the newest, a folder of the feed a partition. When Spark has
+  the stream takes the ids after the last one up to the newest, a file of the feed a partition. When Spark has
   committed a batch, the consumer's position is written beside the feed: an event counts as consumed by a consumer once the
   position has passed it, and is handed over again if a consumer stops before that.
 """
@@ -113,20 +113,24 @@ class _Feed:
         self.path, self.consumer = options["path"].rstrip("/"), options.get("consumer", "default")
 
     def _ranges(self, after: int, upto: int) -> list[InputPartition]:
-        return [_Range(uri, after, upto) for first, last, uri in _feed_parts(self.path) if first <= upto and last > after]
+        folders = [uri for first, last, uri in _feed_parts(self.path) if first <= upto and last > after]
+        return [_Range(f"{uri}/{n}", after, upto) for uri in folders for n, folder in _names(uri) if not folder and n.endswith(".parquet")]
 
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
 
         if partition is None:  # Spark's stand-in where there are no partitions
             return
 
         store, path = _fs(partition.uri)
         names = [c.split()[0] for c in FEED.split(", ")]
-        rows = ds.dataset(path, filesystem=store, format="parquet")
-        for b in rows.to_batches(columns=names, filter=(ds.field("id") > partition.after) & (ds.field("id") <= partition.upto), batch_size=4096):
-            if b.num_rows:
-                yield b
+        with store.open_input_file(path) as f:
+            # No reading ahead, a small buffer a column: a dataset's scan would hold several files' row groups.
+            for b in pq.ParquetFile(f, buffer_size=1 << 20, pre_buffer=False).iter_batches(4096, columns=names, use_threads=False):
+                b = b.filter((pc.field("id") > partition.after) & (pc.field("id") <= partition.upto)).select(names)
+                if b.num_rows:
+                    yield b
 
 
 class _FeedReader(_Feed, DataSourceReader):

@@ -2,7 +2,8 @@
 
 import gzip
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,18 @@ def test_captures(spark, tmp_path):
     d = spark.read.format("harrow_captures").option("path", f"file://{tmp_path}/c").load()
     assert sorted(map(tuple, d.collect())) == [("x", "x/1.gz", 200, "eins"), ("x", "x/2.gz", 404, "ü"), ("y", "deep/y/1.gz", 200, "three")]
     assert d.rdd.getNumPartitions() == 2
+
+
+def test_feed_is_dealt_by_file(spark, tmp_path):
+    """A folder of the feed is not one task, and what is asked for within files is all there, once."""
+    path = f"{tmp_path}/feed"
+    rows = [(f"r{i}", i, f"k{i}", "insert", datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(9000)]
+    changes = spark.createDataFrame(rows, "record_id string, source_id long, external_key string, kind string, created_at timestamp_ntz")
+    C.append_feed(changes.where("source_id < 4000"), path, ["created_at"])
+    C.append_feed(changes.where("source_id >= 4000").repartition(3), path, ["created_at"])
+    reader = C._FeedStream({"path": path})
+    files = [f for d in Path(path).iterdir() for f in d.glob("*.parquet")]
+    parts = reader.partitions({"id": 0}, {"id": 1 << 40})
+    assert len(parts) == len(files) > 2
+    got = [i for p in reader.partitions({"id": 1000}, {"id": 7000}) for b in reader.read(p) for i in b["id"].to_pylist()]
+    assert sorted(got) == list(range(1001, 7001))
