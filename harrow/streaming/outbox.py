@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -121,23 +122,36 @@ class MergedRecords:
         drain(items, self.apply, f"{self.folder}/checkpoint")
 
 
-def keyed_changes(items: DataFrame) -> DataFrame:
+def keyed_changes(items: DataFrame, buckets: int = 4096) -> DataFrame:
     """A stream of insert and update events from a stream of items (KEY, content_hash), with the last hash of each
-    key as keyed state."""
+    key as keyed state. Keys are dealt by hash into buckets whose last hashes are one state, as a call of Python for
+    every key would take far longer than the work; a batch reads and writes the buckets it touches. More keys want
+    more buckets; their number is fixed by the checkpoint."""
+    names = [*KEY, "content_hash"]
+    held_as = pa.schema([(n, pa.string()) for n in names])
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for h in pd.concat(list(rows)).sort_values(["seen_at", "content_hash"])["content_hash"]:
-            if h != last:
-                out.append((*key, h, "insert" if last is None else "update"))
-                last = h
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[*KEY, "content_hash", "kind"])
+        new = pd.concat(list(rows)).drop(columns="bucket").assign(new=True)
+        if state.exists:
+            held = pa.ipc.open_stream(state.get[0]).read_pandas()
+            new = pd.concat([held.assign(seen_at=pd.Series(pd.NaT, held.index, new["seen_at"].dtype), new=False), new], ignore_index=True)
+        new["code"] = new.groupby(KEY, dropna=False, sort=False).ngroup()
+        new = new.sort_values(["code", "new", "seen_at", "content_hash"], ignore_index=True)
+        h, first, last = new["content_hash"], new["code"] != new["code"].shift(), new["code"] != new["code"].shift(-1)
+        before = h.shift().where(~first, None)
+        changed = new["new"] & ~((h == before) | (h.isna() & before.isna()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held_as, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            w.write_table(pa.Table.from_pandas(new.loc[last, names], held_as, preserve_index=False))
+        state.update((sink.getvalue().to_pybytes(),))
+        yield new.loc[changed, names].assign(kind=before[changed].isna().map({True: "insert", False: "update"}).astype(object))
 
     kinds = dict(items.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", content_hash string, kind string"
-    return items.select(*KEY, "seen_at", "content_hash").groupBy(*KEY).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket")
+    rows = items.select(bucket, *[F.col(k).cast("string").alias(k) for k in KEY], "seen_at", "content_hash")
+    schema = ", ".join(f"{n} string" for n in [*names, "kind"])
+    out = rows.groupBy("bucket").applyInPandasWithState(step, schema, "last binary", "append", GroupStateTimeout.NoTimeout)
+    return out.select(*[F.col(k).cast(kinds[k]).alias(k) for k in KEY], "content_hash", "kind")
 
 
 def tumbling(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:

@@ -82,3 +82,27 @@ def test_keyed_state(spark):
     none = spark.createDataFrame([], CUR)
     want = sorted((r.source_id, r.external_key, r.content_hash, r.kind) for r in U.change_events(none, spark.createDataFrame(rows(0) + rows(1), INC)).collect())
     assert got == want
+
+
+def test_keyed_changes_over_batches(spark, tmp_path):
+    """Keys of all kinds over three batches, as one loop by key tells them; Python is called by bucket, not by key."""
+    import random
+    from datetime import datetime
+
+    from harrow.streaming import outbox as S
+
+    rng = random.Random(5)
+    schema = "source_id long, external_key string, content_hash string, seen_at timestamp_ntz"
+    batches = [[(rng.choice([None, 1, 2**60 + 1, 2**60 + 2]), rng.choice([None, "", "a", "b"]), rng.choice(["x", "y"]), datetime(2024, b + 1, 1 + rng.randrange(9))) for _ in range(60)] for b in range(3)]
+    want, last = [], {}
+    for batch in batches:
+        for s, k, h, _ in sorted(batch, key=lambda r: (r[3], r[2])):
+            if last.get((s, k)) != h:
+                want.append((s, k, h, "update" if (s, k) in last else "insert"))
+                last[s, k] = h
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = S.keyed_changes(S.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), buckets=3)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("source_id", "external_key", "content_hash", "kind").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
