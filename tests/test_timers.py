@@ -76,3 +76,29 @@ def test_late_rows_are_left_out(spark, tmp_path):
     put(spark, path, [(day(0, 6), "a"), (day(4, 12), "b"), (day(9), "a")], schema)
     got = run(spark, path, out, schema, lambda e: S.tumbling(e, "ts", "1 day", "1 day", "kind"))
     assert sorted((r.start, r.kind, r.n) for r in got.collect()) == [(day(0), "a", 2), (day(1), "b", 1), (day(4), "b", 1), (day(5), "a", 2)]
+
+
+def test_many_keys_share_a_bucket(spark, tmp_path):
+    """Deadlines of many keys in two buckets over three batches, as one loop by key tells them."""
+    import random
+    from datetime import datetime, timedelta
+
+    from harrow.streaming import outbox as S
+
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    rows = sorted({(rng.choice([None, *"abcdefgh"]), start + timedelta(seconds=30 * rng.randrange(400))) for _ in range(200)}, key=lambda r: (r[1], r[0] or ""))
+    rows = [(k, at, i % 9 == 0) for i, (k, at) in enumerate(rows)]
+    schema = "k string, at timestamp, done boolean"
+    thirds = [rows[:60], rows[60:130], rows[130:]]
+    for third in thirds:
+        spark.createDataFrame(third, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = T.overdue(S.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "k", "at", 600, ends="done", buckets=2)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    want, top = [], max(r[1] for r in rows)
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        for r, after in zip(own, [*[x[1] for x in own[1:]], top], strict=True):
+            if not r[2] and r[1] + timedelta(seconds=600) < after:
+                want.append((key, r[1]))
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
