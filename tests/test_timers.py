@@ -102,3 +102,14 @@ def test_many_keys_share_a_bucket(spark, tmp_path):
                 want.append((key, r[1]))
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_many_sources_share_a_bucket(spark, tmp_path):
+    """The rings of sources dealt into two buckets, over two batches, are those of each source alone, a null one's too."""
+    schema = "id long, source_id long, canary boolean, outcome string, items int, valid_items int, null_p double"
+    rows = [(i, (None, 1, 2, 2**60 + 1)[i % 4], False, "ok" if i % 3 else "empty", i, i, 0.5 if i % 5 else None) for i in range(80)]
+    for part in (rows[:37], rows[37:]):
+        put(spark, f"{tmp_path}/in", part, schema)
+        got = run(spark, f"{tmp_path}/in", f"{tmp_path}/out", schema, lambda r: T.health_stream(r, NULLS, buckets=2))
+    want = H.health_after_each(spark.createDataFrame(rows, schema), NULLS).select(got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
