@@ -36,8 +36,9 @@ def variant(text: Column) -> Column:
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value evaluated once: the last step of an aggregate over nothing. The element of an array of one
+    that is transformed would be the same, but is copied, and its type is made anew for every value."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
 
 
 def number_text(token: Column) -> Column:
@@ -294,7 +295,8 @@ def _rules(x: Column, schema: dict[str, Any] | bool, path: str, below: Expressio
         tail = F.slice(each, len(first) + 1, F.greatest(F.size(each), F.lit(1))) if first else each
         out.append(F.flatten(F.transform(tail, lambda e: child(e, others))))
     out = [F.array_compact(F.array(*found))] * bool(found) + out
-    return F.concat(*[F.coalesce(o, none) for o in out]) if out else none
+    # Not concat, which is slow outside of generated code.
+    return F.flatten(F.array(*[F.coalesce(o, none) for o in out])) if len(out) > 1 else F.coalesce(out[0], none) if out else none
 
 
 def _string(name: Column) -> Column:

@@ -137,6 +137,27 @@ def test_recursive_schema(spark):
     assert S2.with_schema_errors(d.where("k < 0"), "v", schema).count() == 0
 
 
+def test_recursive_schema_within_the_row(spark):
+    """No table of nodes is written; wide levels, with and without children in turn, keep each child with its parent."""
+    from harrow.store import made
+
+    def check(x, here=""):
+        if not isinstance(x, dict):
+            return [f"{here or '/'} type"]
+        out = [] if "id" in x else [f"{here or '/'} required id"]
+        out += [f"{here}/id minimum"] if x.get("id", 0) < 0 else []
+        return out + [e for c in x.get("kids", []) for e in check(c, here + "/kids/*")]
+
+    tree = lambda i, n: {"id": i % 5 - 1, "kids": [tree(i * 7 + k, n - 1) if (i + k) % 3 else {"id": -k} if k % 2 else "s" for k in range(i % 4)]} if n else {"x": i}
+    values = [{"id": 1, "kids": [tree(i, 4) for i in range(j, j + 30)]} for j in range(4)]
+    schema = {"$defs": {"n": {"type": "object", "required": ["id"], "properties": {"id": {"minimum": 0}, "kids": {"items": {"$ref": "#/$defs/n"}}}}}, "$ref": "#/$defs/n"}
+    d = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, t string").withColumn("v", J.variant(F.col("t")))
+    before = made()
+    got = {r.k: sorted(r.errors) for r in S2.with_schema_errors(d, "v", schema).select("k", "errors").collect()}
+    assert made() == before
+    assert got == {k: sorted(check(v)) for k, v in enumerate(values)}
+
+
 def test_schema_loop_without_descent(spark):
     d = spark.createDataFrame([("1",)], "t string").withColumn("v", J.variant(F.col("t")))
     with pytest.raises(J.RecursiveSchema):
