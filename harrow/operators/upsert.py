@@ -84,32 +84,62 @@ def upsert_small(current: DataFrame, incoming: DataFrame, most: int = SMALL) ->
     return _merged(current.join(F.broadcast(last), KEY, "left").unionByName(nothing))
 
 
+def applied(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The records after the batch (upsert) and the items' transitions, from one join in which either side is shuffled
+    once: what is r for a record and e for an item that changed something; columns of the other kind are null."""
+    current, incoming = _typed(current, incoming)
+    w, key = Window.partitionBy(*KEY).orderBy(*ORDER), Window.partitionBy(*KEY)
+    items = incoming.select(*KEY, *[c for c in ORDER if c != "content_hash"], F.struct("payload", "content_hash", "run_id").alias("new"), F.max("seen_at").over(key).alias("new_seen"), F.min("seen_at").over(key).alias("new_first"),
+        (F.row_number().over(w) == 1).alias("first"), F.lead(F.lit(True)).over(w).isNull().alias("last"), F.lag("content_hash").over(w).alias("before"))
+    j = current.join(items, KEY, "full_outer")
+    cur, new = F.col("content_hash"), F.col("new.content_hash")
+    same = F.when(F.col("first"), cur.eqNullSafe(new) & F.coalesce("is_active", F.lit(False))).otherwise(F.col("before") == new)
+    kind = F.when(F.col("first") & cur.isNull(), "insert").when(same, "unchanged").otherwise("update")
+    event = F.struct(*KEY, *[(new if c == "content_hash" else F.col(c)).alias(c) for c in ORDER], kind.alias("kind"))
+    shown = _record().items()
+    record = F.struct(*[c.alias(n) for n, c in shown])
+    both = j.select(F.when(F.coalesce("last", F.lit(True)), record).alias("r"), F.when(F.col("new").isNotNull() & (kind != "unchanged"), event).alias("e"))
+    rows = both.select(F.explode(F.filter(F.array(F.struct(F.lit("r").alias("what"), "r", F.lit(None).cast(both.schema["e"].dataType).alias("e")), F.struct(F.lit("e").alias("what"), F.lit(None).cast(both.schema["r"].dataType).alias("r"), "e")), lambda x: x["r"].isNotNull() | x["e"].isNotNull())).alias("x"))
+    names = [n for n, _ in shown]
+    shared = [n for n in names if n in (*KEY, "content_hash")]
+    return rows.select("x.what", *[F.coalesce(f"x.r.{n}", f"x.e.{n}").alias(n) if n in shared else F.col(f"x.r.{n}") for n in names], *[F.col(f"x.e.{n}") for n in (*ORDER, "kind") if n not in shared])
+
+
 def _sides(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The records, with all columns, and what the batch last says of each key."""
-    kind = dict(incoming.dtypes).get("payload") or dict(current.dtypes).get("payload", "string")
-    current = _whole(current, id="string", payload=kind, first_seen="timestamp_ntz", last_run_id="bigint", gone_at="timestamp_ntz")
-    incoming = _whole(incoming, payload=kind, run_id="bigint")
+    current, incoming = _typed(current, incoming)
     last = incoming.groupBy(*KEY).agg(
         F.max_by(F.struct("payload", "content_hash", "run_id"), F.struct(*ORDER)).alias("new"), F.max("seen_at").alias("new_seen"), F.min("seen_at").alias("new_first")
     )
     return current, last
 
 
+def _typed(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kind = dict(incoming.dtypes).get("payload") or dict(current.dtypes).get("payload", "string")
+    current = _whole(current, id="string", payload=kind, first_seen="timestamp_ntz", last_run_id="bigint", gone_at="timestamp_ntz")
+    return current, _whole(incoming, payload=kind, run_id="bigint")
+
+
 def _merged(j: DataFrame) -> DataFrame:
+    return j.select(*[c.alias(n) for n, c in _record().items()])
+
+
+def _record() -> dict[str, Column]:
+    """What becomes of a record (null where there is none) and what the batch last says of it (new, or null)."""
     came, there = F.col("new").isNotNull(), F.col("content_hash").isNotNull()
     changed = came & (~F.col("content_hash").eqNullSafe(F.col("new.content_hash")) | ~F.col("is_active"))
-    return j.select(
-        F.coalesce("id", record_id(F.col("source_id"), F.col("external_key"))).alias("id"),
-        *KEY,
-        F.when(changed | ~there, F.col("new.payload")).otherwise(F.col("payload")).alias("payload"),
-        F.coalesce("new.content_hash", "content_hash").alias("content_hash"),
-        F.coalesce("first_seen", "new_first").alias("first_seen"),
-        F.when(came, F.greatest("new_seen", "last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
-        F.when(came, F.col("new.run_id")).otherwise(F.col("last_run_id")).alias("last_run_id"),
-        (came | F.coalesce("is_active", F.lit(False))).alias("is_active"),
-        F.when(~came, F.col("gone_at")).alias("gone_at"),
-        F.when(~there, "insert").when(changed, "update").otherwise("unchanged").alias("change"),
-    )
+    return {
+        "id": F.coalesce("id", record_id(F.col("source_id"), F.col("external_key"))),
+        **{k: F.col(k) for k in KEY},
+        "payload": F.when(changed | ~there, F.col("new.payload")).otherwise(F.col("payload")),
+        "content_hash": F.coalesce("new.content_hash", "content_hash"),
+        "first_seen": F.coalesce("first_seen", "new_first"),
+        "last_seen": F.when(came, F.greatest("new_seen", "last_seen")).otherwise(F.col("last_seen")),
+        "last_run_id": F.when(came, F.col("new.run_id")).otherwise(F.col("last_run_id")),
+        "is_active": came | F.coalesce("is_active", F.lit(False)),
+        "gone_at": F.when(~came, F.col("gone_at")),
+        "change": F.when(~there, "insert").when(changed, "update").otherwise("unchanged"),
+    }
 
 
 def swept(current: DataFrame, gone: DataFrame, at: Column) -> DataFrame:

@@ -46,15 +46,15 @@ def stream_tumbling(t: Tables) -> DataFrame:
 @query(f"select * exclude (change) from ({MERGED}) m")
 def stream_merge(t: Tables) -> DataFrame:
     """Records after a stream of items: those of the first years in one run of the stream, the rest in another, which
-    takes the state up again from its folder."""
+    takes the state up again from its folder. A record's id is made from its key, so the state does without it."""
     folder = scratch(t.spark, "merged")
     path = scratch(t.spark, "items")
     late = F.col("seen_at") >= F.lit(datetime(1995, 1, 1)).cast("timestamp_ntz")
-    S.MergedRecords(t.spark, t.record_cur.withColumn("id", record_id(F.col("source_id"), F.col("external_key"))).select(*RECORD), folder, 16)
+    S.MergedRecords(t.spark, t.record_cur.select(*[c for c in RECORD if c != "id"]), folder, 16)
     for items in (t.incoming.where(~late), t.incoming.where(late)):
         items.write.mode("append").parquet(path)
         S.MergedRecords.open(t.spark, folder).drain(S.file_stream(t.spark, path, items.schema, 10_000))
-    return S.MergedRecords.open(t.spark, folder).records()
+    return S.MergedRecords.open(t.spark, folder).records().withColumn("id", record_id(F.col("source_id"), F.col("external_key"))).select(*RECORD)
 
 
 @query("""select source_id, external_key, content_hash, case when before is null then 'insert' else 'update' end as kind from (select *, lag(content_hash) over (partition by source_id, external_key order by seen_at, content_hash) as before from {incoming}) x where before is null or before <> content_hash""")

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import KEY, transitions, upsert_small
+from ..operators.upsert import KEY, ORDER, SMALL, applied, transitions, upsert_small
 from ..store import forget, listed, made, remove, scratch
 
 
@@ -57,7 +57,7 @@ class MergedRecords:
     def __init__(self, spark: SparkSession, current: DataFrame, folder: str | None = None, parts: int = 64) -> None:
         """A new state in folder, from the records there are."""
         self.spark, self.folder, self.parts, self.schema, self.last = spark, folder or scratch(spark, "records"), parts, current.schema, 0
-        self._write(current, 0, {})
+        self._write(current.select(F.lit("r").alias("what"), "*"), 0, {}, False)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> MergedRecords:
@@ -78,16 +78,16 @@ class MergedRecords:
         return {r["part"]: r["version"] for r in rows}
 
     def _read(self, held: dict[int, int], only: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.folder}/v{v}/part={p}" for p, v in held.items() if only is None or p in only]
+        paths = [f"{self.folder}/v{v}/what=r/part={p}" for p, v in held.items() if only is None or p in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _write(self, records: DataFrame, version: int, held: dict[int, int], settle: bool = True) -> None:
-        """records are the new content of the parts they lie in; the list comes last and makes it count. Unless they are
-        to settle, each task writes what it has of a part, without a shuffle."""
+        """records are the new content of the parts they lie in (what is r), and the batch's events (e); the list comes last
+        and makes it count. Unless they are to settle, each task writes what it has of a part, without a shuffle."""
         part = self._part()
         placed = records.withColumn("part", part)
-        (placed.repartition("part") if settle else placed).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/v{version}")
-        new = {int(n.removeprefix("part=")): version for n in listed(self.spark, f"{self.folder}/v{version}") if n.startswith("part=")}
+        (placed.repartition("what", "part") if settle else placed).write.mode("overwrite").partitionBy("what", "part").parquet(f"{self.folder}/v{version}")
+        new = {int(n.removeprefix("part=")): version for n in listed(self.spark, f"{self.folder}/v{version}/what=r") if n.startswith("part=")}
         rows = [(p, v, self.parts, self.schema.json()) for p, v in {**held, **new}.items()] or [(None, None, self.parts, self.schema.json())]
         self.spark.createDataFrame(rows, "part int, version int, parts int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/n{version}")
 
@@ -95,25 +95,36 @@ class MergedRecords:
         return self._read(self._list(self.last))
 
     def events(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/events")
+        """What the batches have changed: KEY, ORDER, kind and the batch's number."""
+        held = [f"{self.folder}/{v}/what=e" for v in listed(self.spark, self.folder) if v.startswith("v") and "what=e" in listed(self.spark, f"{self.folder}/{v}")]
+        if not held:
+            keys = ", ".join(f"{k} {self.schema[k].dataType.simpleString()}" for k in KEY)
+            return self.spark.createDataFrame([], f"{keys}, seen_at timestamp_ntz, job_id bigint, item_idx bigint, content_hash string, kind string, batch int")
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*held).select(*KEY, *ORDER, "kind", "batch")
 
     def apply(self, batch: DataFrame, number: int) -> None:
+        """A batch of many keys is joined once, for records and events; one of few leaves the records where they are."""
         since = made()
         held = self._list(number)
-        touched = {r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()}  # parts at most
-        current = self._read(held, touched)
-        transitions(current, batch).where("kind <> 'unchanged'").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/events/b={number}")
+        seen = batch.agg(F.collect_set(self._part()).alias("parts"), F.approx_count_distinct(F.xxhash64(*KEY)).alias("keys")).first()  # parts at most
+        current = self._read(held, set(seen["parts"]))
+        if seen["keys"] <= SMALL:
+            known = current.join(F.broadcast(batch.select(*KEY).distinct()), KEY, "left_semi")
+            changes = transitions(known, batch).where("kind <> 'unchanged'").withColumn("what", F.lit("e"))
+            rows = upsert_small(current, batch).select(F.lit("r").alias("what"), *self.schema.names).unionByName(changes, allowMissingColumns=True)
+        else:
+            rows = applied(current, batch).select("what", *self.schema.names, *[c for c in (*ORDER, "kind") if c not in self.schema.names])
         # Every SETTLE batches the files that tasks have left side by side become one a part again.
-        self._write(upsert_small(current, batch).select(self.schema.names), number + 1, held, (number + 1) % SETTLE == 0)
+        self._write(rows.withColumn("batch", F.lit(number)), number + 1, held, (number + 1) % SETTLE == 0)
         self.last = number + 1
         self._forget(number)
         forget(self.spark, since)
 
     def _forget(self, number: int) -> None:
         """Removes what neither this batch, if it is run again, nor a later one reads."""
-        needed = {f"v{v}/part={p}" for n in (number, number + 1) for p, v in self._list(n).items()}
+        needed = {f"v{v}/what=r/part={p}" for n in (number, number + 1) for p, v in self._list(n).items()}
         if number > 0:
-            old = {f"v{v}/part={p}" for p, v in self._list(number - 1).items()}
+            old = {f"v{v}/what=r/part={p}" for p, v in self._list(number - 1).items()}
             for path in old - needed:
                 remove(self.spark, f"{self.folder}/{path}")
             remove(self.spark, f"{self.folder}/lists/n{number - 1}")

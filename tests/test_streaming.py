@@ -106,3 +106,28 @@ def test_keyed_changes_over_batches(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("source_id", "external_key", "content_hash", "kind").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_large_batch_is_joined_once(spark, monkeypatch):
+    """Records and events of a batch of many keys come from one join, each side shuffled once, and are those of the
+    two operators by themselves: keys that come again, inactive records, and a key without a source."""
+    cur = spark.createDataFrame([(s, f"k{k}", "abc"[k % 3], T0, k % 4 > 0) for s in range(3) for k in range(5)] + [(9, "old", "z", T0, True)], CUR)
+    batch = spark.createDataFrame([*rows(1), (None, "k1", "a", T0, 1, 1), (1, None, None, T0, 1, 2), (2, "k2", "b", None, 1, 3)], INC)
+    both, order = U.applied(cur, batch), lambda d: sorted(map(repr, d.collect()))
+    want = U.upsert(cur, batch)
+    assert order(both.where("what = 'r'").select(want.columns)) == order(want)
+    events = U.change_events(cur, batch)
+    assert order(both.where("what = 'e'").select(events.columns)) == order(events)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = U.applied(cur, batch)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    monkeypatch.setattr(S, "SMALL", 3)
+    state = S.MergedRecords(spark, cur, parts=4)
+    assert state.events().count() == 0
+    state.apply(batch, 0)
+    state.apply(batch.limit(2), 1)
+    assert order(state.records()) == order(U.upsert(want.select(cur.columns), batch.limit(2)).select(cur.columns))
+    assert order(state.events().where("batch = 0").select(events.columns)) == order(events)
